@@ -47,6 +47,7 @@ class _Model:
     def __init__(self, lanes: int, vocabulary: int):
         edges = np.unique(np.floor(np.exp(np.linspace(0, np.log(vocabulary + 1), GROUPS + 1))).astype(np.int64) - 1)
         edges[-1] = vocabulary
+        self.rows = -(-(len(edges) - 1) // 8)
         self.edges, self.groups = edges, len(edges) - 1
         self.group_of = np.repeat(np.arange(self.groups), np.diff(edges))
         self.width = np.diff(edges)
@@ -54,67 +55,107 @@ class _Model:
         self.lane = np.arange(lanes)
         self.prev1 = np.zeros(lanes, dtype=np.int64)
         self.prev2 = np.zeros(lanes, dtype=np.int64)
-        self.said = [np.zeros(lanes * SLOTS, dtype=np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, dtype=np.int8) for _ in range(2)]
+        # A slot holds the id that came last, times 8, and how sure it is (0: empty).
+        self.slots = [np.zeros(lanes * SLOTS, dtype=np.int32) for _ in range(2)]
         self.right = [np.tile(_START, lanes) for _ in range(2)]
-        self.freq = np.full((lanes, self.groups), 8, dtype=np.int64)
-        self.total = np.full(lanes, 8 * self.groups, dtype=np.int64)
+        self.freq = np.full((lanes, self.rows * 8), 8, dtype=np.int32)
+        self.sums = np.full((lanes, self.rows), 64, dtype=np.int32)
+        self.total = np.full(lanes, 64 * self.rows, dtype=np.int64)
 
     def shrink(self, lanes: int) -> None:
         """The last lanes have ended."""
         self.n = lanes
-        for name in ("lane", "prev1", "prev2", "freq", "total"):
+        for name in ("lane", "prev1", "prev2", "freq", "sums", "total"):
             setattr(self, name, getattr(self, name)[:lanes])
 
     def predict(self) -> None:
-        """p2, p1: the predicted ids; f2, f1: their parts of 65536, the rest being order 0's."""
+        """p: the ids that orders 2 and 1 predict; f2, f1: their parts of 65536, the rest being order 0's."""
         base = self.lane * SLOTS
-        self.at = (base + ((self.prev1 * 40503 + self.prev2 * 60493) >> 4) % SLOTS, base + (self.prev1 * 40503 >> 3) % SLOTS)
-        self.p = [said[at].astype(np.int64) for said, at in zip(self.said, self.at)]
-        self.c = [sure[at].astype(np.int64) for sure, at in zip(self.sure, self.at)]
+        one = self.prev1 * 40503
+        self.at = (base + ((one + self.prev2 * 60493) >> 4) % SLOTS, base + (one >> 3) % SLOTS)
+        self.entry = [slots[at] for slots, at in zip(self.slots, self.at)]
+        self.p = [e >> 3 for e in self.entry]
+        self.c = [e & 7 for e in self.entry]
         self.r = [self.lane * 8 + c for c in self.c]
-        a2, a1 = (right[r] for right, r in zip(self.right, self.r))
+        self.a = [right[r] for right, r in zip(self.right, self.r)]
+        a2, a1 = self.a
         same = (self.p[0] == self.p[1]) & (self.c[0] > 0)
         share = (_ONE - a2) * a1 >> 16
-        self.f2 = a2 + np.where(same, share, 0)
-        self.f1 = np.where(same, 0, share)
+        both = share * same
+        self.f2, self.f1 = a2 + both, share - both
 
     def update(self, ids: np.ndarray) -> None:
-        for said, sure, right, at, p, c, r in zip(self.said, self.sure, self.right, self.at, self.p, self.c, self.r):
+        fresh = (ids * 8 + 1).astype(np.int32)
+        for slots, right, at, entry, p, c, r, a in zip(self.slots, self.right, self.at, self.entry, self.p, self.c, self.r, self.a):
             hit = p == ids
-            a = right[r]
             # The chance of the empty class stays 0; others keep within a range that leaves room for the rest.
-            right[r] = np.where(c == 0, 0, np.clip(a + ((np.where(hit, 63000, 0) - a) >> 4), 64, 62000))
-            said[at] = np.where(hit | (c > 1), p, ids)
-            sure[at] = np.where(c == 0, 1, np.where(hit, np.minimum(c + 1, 7), np.maximum(c >> 1, 1)))
+            right[r] = np.minimum(np.maximum(a + ((hit * 63000 - a) >> 4), 64), 62000) * (c > 0)
+            slots[at] = np.where(c <= 1, np.where(hit & (c > 0), entry + 1, fresh), entry + _STEP[hit.view(np.int8), c])
         self.prev2, self.prev1 = self.prev1, ids
 
     def count(self, lanes: np.ndarray, group: np.ndarray) -> None:
         self.freq[lanes, group] += 24
+        self.sums[lanes, group >> 3] += 24
         self.total[lanes] += 24
         full = lanes[self.total[lanes] > _ONE - 64]
         if len(full):
             self.freq[full] = self.freq[full] + 1 >> 1
-            self.total[full] = self.freq[full].sum(axis=1)
+            self.sums[full] = self.freq[full].reshape(len(full), self.rows, 8).sum(axis=2)
+            self.total[full] = self.sums[full].sum(axis=1)
+
+    def below(self, lanes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Frequencies of the groups before, and of the group."""
+        row = group >> 3
+        upper = (self.sums[lanes] * (_RANK[: self.rows] < row[:, None])).sum(axis=1)
+        own = self.freq.reshape(-1, 8)[lanes * self.rows + row]
+        inner = group & 7
+        return upper + (own * (_RANK[:8] < inner[:, None])).sum(axis=1), own[np.arange(len(lanes)), inner]
+
+    def locate(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The group that a cumulative frequency falls in, the frequencies before it, and its own."""
+        ends = self.sums[lanes].cumsum(axis=1)
+        row = (ends <= value[:, None]).sum(axis=1)
+        k = np.arange(len(lanes))
+        upper = ends[k, row] - self.sums[lanes, row]
+        own = self.freq.reshape(-1, 8)[lanes * self.rows + row]
+        ends = own.cumsum(axis=1) + upper[:, None]
+        inner = (ends <= value[:, None]).sum(axis=1)
+        mine = own[k, inner]
+        return row * 8 + inner, ends[k, inner] - mine, mine
+
+
+_RANK = np.arange(GROUPS)
+# What a slot's sureness changes by: on a miss (halved) and on a hit (one more, 7 at most).
+_STEP = np.array([[0, 0, -1, -2, -2, -3, -3, -4], [0, 1, 1, 1, 1, 1, 1, 0]], dtype=np.int32)
+_BYTES = np.arange(8)
 
 
 def _settle(low, span, send) -> None:
-    """Shifts bytes out of (or into) all lanes whose leading byte is fixed or whose span is small."""
-    lanes = None
+    """Shifts out of (or into) every lane its leading bytes that are fixed; a lane whose span is small gives up
+    the part of it beyond the next byte, and goes on."""
     while True:
-        a, b = (low, span) if lanes is None else (low[lanes], span[lanes])
-        fixed = (a ^ (a + b)) < _TOP
-        small = ~fixed & (b < _BOT)
-        go = np.flatnonzero(fixed | small)
-        if not len(go):
+        apart = low ^ (low + span)
+        # Bits that differ, from the float's exponent; the last 16 don't matter, and 48 bits are exact.
+        n = (48 - np.frexp((apart >> _u(16)).astype(np.float64))[1]) >> 3
+        if n.any():
+            send(n, low)
+            shift = (n << 3).astype(np.uint64)
+            low <<= shift
+            span <<= shift
+        small = np.flatnonzero(span < _BOT)
+        if not len(small):
             return
-        if small.any():
-            b = np.where(small, (_u(0) - a) & (_BOT - _u(1)), b)
-        picked = go if lanes is None else lanes[go]
-        send(picked, a[go])
-        low[picked] = a[go] << _u(8)
-        span[picked] = b[go] << _u(8)
-        lanes = picked
+        # Where bytes are still fixed the next round shifts them; else the span ends at the next multiple of _BOT.
+        part = low[small]
+        stuck = (part ^ (part + span[small])) >= _TOP
+        cut = small[stuck]
+        if len(cut):
+            span[cut] = (_u(0) - low[cut]) & (_BOT - _u(1))
+            one = np.zeros(len(low), dtype=np.int64)
+            one[cut] = 1
+            send(one, low)
+            low[cut] <<= _u(8)
+            span[cut] <<= _u(8)
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK_IDS) -> list[bytes]:
@@ -130,14 +171,18 @@ def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK_IDS) -> l
     model = _Model(lanes, vocabulary)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     out, at = np.zeros((lanes, 2 * block + 64), dtype=np.uint8), np.zeros(lanes, dtype=np.int64)
+    flat = out.reshape(-1)
 
-    def send(picked, values):
-        nonlocal out
-        place = at[picked]
-        if place.max() >= out.shape[1]:
+    def send(n, values):
+        nonlocal out, flat
+        k = len(n)
+        if at.max() + 16 >= out.shape[1]:
             out = np.concatenate([out, np.zeros_like(out)], axis=1)
-        out[picked, place] = (values >> _u(56)).astype(np.uint8)
-        at[picked] = place + 1
+            flat = out.reshape(-1)
+        # All eight bytes are written; those beyond n are written over later.
+        where = np.arange(k) * out.shape[1] + at[:k]
+        flat[where[:, None] + _BYTES] = values.astype(">u8").view(np.uint8).reshape(k, 8)
+        at[:k] += n
 
     for t in range(block):
         if t == last:
@@ -157,18 +202,16 @@ def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK_IDS) -> l
         rest = np.flatnonzero(~(hit2 | hit1))
         if len(rest):
             group = model.group_of[now[rest]]
-            freq = model.freq[rest]
-            below = np.where(np.arange(model.groups) < group[:, None], freq, 0).sum(axis=1)
+            below, own = model.below(rest, group)
             r2 = new[rest] // model.total[rest].astype(np.uint64)
-            r3 = r2 * freq[np.arange(len(rest)), group].astype(np.uint64) // model.width[group].astype(np.uint64)
+            r3 = r2 * own.astype(np.uint64) // model.width[group].astype(np.uint64)
             lo[rest] += r2 * below.astype(np.uint64) + r3 * (now[rest] - model.edges[group]).astype(np.uint64)
             new[rest] = r3
             model.count(rest, group)
         span[:k] = new
         _settle(lo, span[:k], send)
         model.update(now)
-    for k in range(8):
-        send(np.arange(lanes), low << _u(8 * k))
+    send(np.full(lanes, 8), low)
     return [out[k, : at[k]].tobytes() for k in range(lanes)]
 
 
@@ -177,21 +220,25 @@ def decode_blocks(codes: list[bytes], counts: list[int], vocabulary: int) -> np.
     lanes, block = len(codes), max(counts, default=0)
     if not lanes:
         return np.zeros(0, dtype=np.uint32)
-    width = max(map(len, codes)) + 8
+    width = max(map(len, codes)) + 24
     data = np.zeros((lanes, width), dtype=np.uint8)
     for k, c in enumerate(codes):
         data[k, : len(c)] = np.frombuffer(c, dtype=np.uint8)
     code, at = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 8, dtype=np.int64)
     for k in range(8):
         code = code << _u(8) | data[:, k]
+    flat = data.reshape(-1)
     grid = np.zeros((block, lanes), dtype=np.int64)
     model = _Model(lanes, vocabulary)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
 
-    def send(picked, _):
-        place = at[picked]
-        code[picked] = code[picked] << _u(8) | data[picked, np.minimum(place, width - 1)]
-        at[picked] = place + 1
+    def send(n, _):
+        k = len(n)
+        ahead = flat[(np.arange(k) * width + at[:k])[:, None] + _BYTES].view(">u8").reshape(k)
+        bits = (n << 3).astype(np.uint64)
+        # The next n bytes come in from the right (a shift by 64 is taken in two).
+        code[:k] = (code[:k] << bits) | (ahead.astype(np.uint64) >> (_u(56) - bits) >> _u(8))
+        at[:k] += n
 
     for t in range(block):
         if t == counts[-1]:
@@ -208,16 +255,13 @@ def decode_blocks(codes: list[bytes], counts: list[int], vocabulary: int) -> np.
         part = np.where(hit2, model.f2, np.where(hit1, model.f1, _ONE - model.f2 - model.f1))
         lo += r * start.astype(np.uint64)
         new = r * part.astype(np.uint64)
-        now = np.where(hit2, model.p[0], model.p[1])
+        now = np.where(hit2, model.p[0], model.p[1]).astype(np.int64)
         rest = np.flatnonzero(~(hit2 | hit1))
         if len(rest):
-            freq = model.freq[rest]
             r2 = new[rest] // model.total[rest].astype(np.uint64)
             v = np.minimum((code[rest] - lo[rest]) // r2, (model.total[rest] - 1).astype(np.uint64)).astype(np.int64)
-            ends = freq.cumsum(axis=1)
-            group = (ends <= v[:, None]).sum(axis=1)
-            own = freq[np.arange(len(rest)), group]
-            lo[rest] += r2 * (ends[np.arange(len(rest)), group] - own).astype(np.uint64)
+            group, below, own = model.locate(rest, v)
+            lo[rest] += r2 * below.astype(np.uint64)
             r3 = r2 * own.astype(np.uint64) // model.width[group].astype(np.uint64)
             inner = np.minimum((code[rest] - lo[rest]) // r3, (model.width[group] - 1).astype(np.uint64))
             lo[rest] += r3 * inner
