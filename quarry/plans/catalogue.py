@@ -1,5 +1,8 @@
 """All registered queries and their SQL, gathered from the modules of this folder."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quarry.plans import corpus, market, runs
+
+QUERIES = market.QUERIES | corpus.QUERIES | runs.QUERIES
+ORACLE_SQL = market.ORACLE_SQL | corpus.ORACLE_SQL | runs.ORACLE_SQL
+#: The query that ``entry`` runs.
 FLAGSHIP = "rrf_hybrid"
