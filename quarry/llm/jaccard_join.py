@@ -7,12 +7,13 @@ length n - ceil(t n) + l of the two, under one global order of shingles, share a
    fewer shingles occur elsewhere than any partner would share is done: it has no link.
 2. What is left is stored as sorted arrays, counted, and ordered by frequency. Each node now takes the prefix length
    whose estimated candidate cost is least, and asks for as many shared shingles as that length warrants.
-3. Nodes that share a prefix shingle are verified against three pivots of its group, and linked nodes are merged.
-4. Only nodes of different components still count as candidates: pairs with enough shared prefix shingles are
-   verified by their whole sets.
+3. Nodes that share a prefix shingle are verified against a few pivots of its group, and linked nodes are merged.
+4. Shingles whose nodes are of several components are indexed in sorted arrays, mapped into memory. A node looks up
+   its own there and finds the nodes of components that aren't smaller than its own; those that share enough prefix
+   shingles are verified by their whole sets, the most promising first, until one links the two components.
 
-Steps 3 and 4 lose no link between components, and groups of copies cost one comparison a node and pivot, not all
-pairs. Sets are compared by 64-bit shingle hashes.
+Steps 3 and 4 lose no link between components, and no list of pairs is made: members of a large group of copies are
+merged by way of its pivots, and only what is left outside is compared with it. Sets are compared by 64-bit shingle hashes.
 
 Edge cases: null text, or text without words, has an empty set and no link; fewer words than a shingle make one
 shingle; repeated rows share a node; a null doc_id takes part but names no component while another id is there; an
@@ -37,8 +38,8 @@ WORDS, PERCENT = 5, 75
 BROADCAST_NODES = 500_000
 #: Estimated cost of verifying a candidate, in postings read.
 VERIFY_COST = 20
-#: Pairs of one shingle group made at once.
-PAIR_BLOCK = 1 << 20
+#: Pivots of a group, and postings that a lookup gathers before it adds them up.
+PIVOTS, GATHER = 6, 1 << 20
 
 _U = np.uint64
 
@@ -88,8 +89,8 @@ def _bucketed(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]
     return ((tokens >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64), (tokens & _U(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _postings(tokens, owners, nodes, sizes, needs, buckets: int) -> pa.Table:
-    """Packed rows (bucket, data): last bits of shingles, their nodes, and the nodes' sizes and needs."""
+def _postings(tokens, owners, nodes, sizes, lengths, buckets: int) -> pa.Table:
+    """Packed rows (bucket, data): last bits of shingles, their nodes, and the nodes' sizes and prefix lengths."""
     bucket, low = _bucketed(tokens, buckets)
     order = np.lexsort((low, bucket))
     bucket, low, owners = bucket[order], low[order], owners[order]
@@ -99,30 +100,30 @@ def _postings(tokens, owners, nodes, sizes, needs, buckets: int) -> pa.Table:
         who, index = np.unique(owners[edges[b] : edges[b + 1]], return_inverse=True)
         head = np.array([edges[b + 1] - edges[b], len(who)], dtype="<u4").tobytes()
         rows.append((b, head + low[edges[b] : edges[b + 1]].tobytes() + index.astype("<u4").tobytes() + nodes[who].tobytes()
-                     + sizes[who].astype("<u4").tobytes() + needs[who].astype("<u4").tobytes()))
+                     + sizes[who].astype("<u4").tobytes() + lengths[who].astype("<u4").tobytes()))
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
 
 def _read_postings(table: pa.Table):
-    """All of a range: last bits and node index, sorted by bits, without repeats; nodes, sizes, needs."""
-    lows, owners, nodes, sizes, needs, base = [], [], [], [], [], 0
+    """All of a range: last bits and node index, sorted by bits, without repeats; nodes, sizes, prefix lengths."""
+    lows, owners, nodes, sizes, lengths, base = [], [], [], [], [], 0
     for data in table.column("data").to_pylist():
         n, m = np.frombuffer(data[:8], dtype="<u4").tolist()
         at = 8
-        for size, kind, out in ((n, "<u4", lows), (n, "<u4", owners), (m, "<i8", nodes), (m, "<u4", sizes), (m, "<u4", needs)):
+        for size, kind, out in ((n, "<u4", lows), (n, "<u4", owners), (m, "<i8", nodes), (m, "<u4", sizes), (m, "<u4", lengths)):
             width = np.dtype(kind).itemsize
             out.append(np.frombuffer(data[at : at + width * size], dtype=kind))
             at += width * size
         owners[-1] = owners[-1].astype(np.int64) + base
         base += m
-    low, owner, nodes, sizes, needs = map(np.concatenate, (lows, owners, nodes, sizes, needs))
+    low, owner, nodes, sizes, lengths = map(np.concatenate, (lows, owners, nodes, sizes, lengths))
     nodes, first, back = np.unique(nodes, return_index=True, return_inverse=True)
     owner = back[owner]
     order = np.lexsort((owner, low))
     low, owner = low[order], owner[order]
     keep = np.ones(len(low), dtype=bool)
     keep[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
-    return low[keep], owner[keep], nodes, sizes[first].astype(np.int64), needs[first].astype(np.int64)
+    return low[keep], owner[keep], nodes, sizes[first].astype(np.int64), lengths[first].astype(np.int64)
 
 
 def _groups(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,12 +206,7 @@ def _links(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
             for i in order.tolist():
                 if a[i] != last:
                     last, mine = a[i], sets.set_of(int(a[i]), held)
-                other = sets.set_of(int(b[i]), held)
-                x, y = (mine, other) if len(mine) <= len(other) else (other, mine)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                good[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                good[i] = _alike(mine, sets.set_of(int(b[i]), held), percent)
             yield pa.record_batch([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
     return pairs.select("a", "b").mapInArrow(verify, "a long, b long")
@@ -326,7 +322,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 order = np.lexsort((keys, df, owner))
                 cost = np.concatenate(([0], np.cumsum((df - 1)[order])))
                 base = sizes - least_overlap(sizes, percent)
-                take, need, best = base + 1, np.ones(len(nodes), dtype=np.int64), None
+                take, best = base + 1, None
                 level = 1
                 while level <= max(1, int(sizes.max(initial=0))):
                     ok = level <= least_overlap(sizes, percent)
@@ -337,14 +333,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                         best = price
                     else:
                         better = price < best
-                        take, need, best = np.where(better, length, take), np.where(better, level, need), np.where(better, price, best)
+                        take, best = np.where(better, length, take), np.where(better, price, best)
                     level *= 2
                 who = np.repeat(np.arange(len(nodes)), take)
                 at = order[np.arange(len(who)) - np.repeat(np.cumsum(take) - take, take) + offsets[who]]
                 seen = df[at] > 1
-                yield from _postings(keys[at[seen]], who[seen], np.asarray(nodes), sizes, need, buckets).to_batches()
+                yield from _postings(keys[at[seen]], who[seen], np.asarray(nodes), sizes, take, buckets).to_batches()
 
-    # 3. Three pivots for each group of nodes that share a prefix shingle.
+    # 3. Pivots for each group of nodes that share a prefix shingle.
     postings = stored(listed.mapInArrow(chosen, "bucket int, data binary"), "jaccard-postings")
 
     def pivots(table):
@@ -353,33 +349,32 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         length = ends - starts
         at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(starts, length)
         a, b = [], []
-        for place in (starts, ends - 1, starts + length // 2):
+        for k in range(PIVOTS):
+            place = starts + (length - 1) * k // (PIVOTS - 1)
             a.append(owner[at])
             b.append(np.repeat(owner[place], length))
         a, b = np.concatenate(a), np.concatenate(b)
-        return _pairs(a, b, sizes, nodes, percent, None)
+        return _pairs(a, b, sizes, nodes, percent)
 
-    def _distinct(pairs):
-        return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
-
-    kinds = "a long, b long, shared long, need long"
-    tried = _distinct(postings.groupBy("bucket").applyInArrow(pivots, kinds))
+    tried = postings.groupBy("bucket").applyInArrow(pivots, "a long, b long").distinct()
     links = stored(_links(tried, sets, percent), "jaccard-links")
     found = stored(components(links), "jaccard-components")
 
-    # 4. Pairs between components.
+    # 4. Lookups between components.
+    counted = found.join(found.groupBy(F.col("root").alias("__root")).agg(F.count(F.lit(1)).alias("members")), F.col("root") == F.col("__root"))
+
     def place(key, table):
-        nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
+        nodes, roots, members = (table.column(c).to_numpy() for c in ("node", "root", "members"))
         order = np.argsort(nodes)
-        sets.write("root", key[0].as_py(), np.stack([nodes[order], roots[order]]))
+        sets.write("root", key[0].as_py(), np.stack([nodes[order], roots[order], members[order]]))
         return pa.table({"n": pa.array([len(nodes)], pa.int64())})
 
-    shard = F.pmod(F.col("node"), F.lit(shards))  # of the signed number; written and read alike below
-    found.withColumn("shard", shard.cast("int")).groupBy("shard").applyInArrow(place, "n long").agg(F.sum("n")).collect()
+    shard = F.pmod(F.col("node"), F.lit(shards)).cast("int")
+    counted.select("node", "root", "members", shard.alias("shard")).groupBy("shard").applyInArrow(place, "n long").agg(F.sum("n")).collect()
 
-    def between(table):
-        low, owner, nodes, sizes, needs = _read_postings(table)
-        root = np.array(nodes)
+    def rooted(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes' components and their sizes, as far as the pivots showed them."""
+        root, size = np.array(nodes), np.ones(len(nodes), dtype=np.int64)
         at_shard = np.mod(nodes, shards)
         for k in np.unique(at_shard).tolist():
             known = sets.read("root", k)
@@ -388,52 +383,125 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             mine = np.flatnonzero(at_shard == k)
             at = np.searchsorted(known[0], nodes[mine])
             at[at == known.shape[1]] = 0
-            root[mine] = np.where(known[0][at] == nodes[mine], known[1][at], root[mine])
-        out, held_a, held_b, held = [], [], [], 0
-
-        def flush():
-            nonlocal held
-            if held_a:
-                out.append(_pairs(np.concatenate(held_a), np.concatenate(held_b), sizes, nodes, percent, needs))
-                held_a.clear(), held_b.clear()
-                held = 0
-
-        for lo, hi in zip(*(x.tolist() for x in _groups(low))):
-            mine = owner[lo:hi]
-            its = root[mine]
-            if (its == its[0]).all():
+            hit = known[0][at] == nodes[mine]
+            root[mine[hit]], size[mine[hit]] = known[1][at[hit]], known[2][at[hit]]
+        return root, size
+
+    def index(key, table):
+        """Stores the range's shingles that lie in several components; a row for each node that has to look some up."""
+        low, owner, nodes, sizes, lengths = _read_postings(table)
+        root, members = rooted(nodes)
+        starts, ends = _groups(low)
+        its = root[owner]
+        change = np.concatenate(([0], np.cumsum(its[1:] != its[:-1])))
+        mixed = change[ends - 1] > change[starts]
+        starts, ends = starts[mixed], ends[mixed]
+        if not len(starts):
+            return _no_lookups()
+        width = ends - starts
+        at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(starts, width)
+        who, rank = owner[at], members[owner[at]]
+        first = np.cumsum(width) - width
+        b = key[0].as_py()
+        sets.write("token", b, np.stack([low[starts].astype(np.int64), first, first + width]))
+        sets.write("posting", b, np.stack([nodes[who], root[who], rank, sizes[who], lengths[who]]))
+        # Whose component is the largest, alone, has nothing to look up.
+        top = np.maximum.reduceat(rank, first)
+        is_top = rank == np.repeat(top, width)
+        lone = np.repeat(np.minimum.reduceat(np.where(is_top, root[who], np.iinfo(np.int64).max), first)
+                         == np.maximum.reduceat(np.where(is_top, root[who], np.iinfo(np.int64).min), first), width)
+        ask = np.flatnonzero(~(is_top & lone))
+        ask = ask[np.argsort(who[ask], kind="stable")]
+        token = np.repeat(np.arange(len(starts)), width)[ask].astype("<u4")
+        cut = np.flatnonzero(np.concatenate(([True], who[ask][1:] != who[ask][:-1])))
+        asks = nodes[who[ask][cut]]
+        bounds = np.append(cut, len(ask)).tolist()
+        return pa.table({"shard": pa.array(sets.shard(asks), pa.int32()), "node": pa.array(asks, pa.int64()), "bucket": pa.array([b] * len(asks), pa.int32()),
+                         "n": pa.array(sizes[who[ask][cut]], pa.int64()), "length": pa.array(lengths[who[ask][cut]], pa.int64()),
+                         "tokens": pa.array([token[lo:hi].tobytes() for lo, hi in zip(bounds, bounds[1:])], pa.binary())})
+
+    def look_up(key, table):
+        table = table.sort_by("node")
+        held: dict = {}
+        out_a, out_b = [], []
+        nodes = table.column("node").to_numpy()
+        own_root, own_size = rooted(nodes)
+        lists = {c: table.column(c).to_pylist() for c in ("bucket", "n", "length", "tokens")}
+        edges = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1], [True]))).tolist()
+        for lo, hi in zip(edges, edges[1:]):
+            node, root, size, n, length = int(nodes[lo]), own_root[lo], own_size[lo], lists["n"][lo], lists["length"][lo]
+            parts, gathered, waiting = None, [], 0
+
+            def add_up(parts, gathered):
+                rows = np.concatenate(gathered + ([parts] if parts is not None else []), axis=1)
+                order = np.argsort(rows[0], kind="stable")
+                rows = rows[:, order]
+                first = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
+                shared = np.add.reduceat(rows[4], first)
+                rows = rows[:, first].copy()
+                rows[4] = shared
+                return rows
+
+            for i in range(lo, hi):
+                tokens, postings = sets.read("token", lists["bucket"][i]), sets.read("posting", lists["bucket"][i])
+                for t in np.frombuffer(lists["tokens"][i], dtype="<u4").tolist():
+                    p = postings[:, tokens[1][t] : tokens[2][t]]
+                    there = (p[1] != root) & (p[2] >= size) & (100 * np.minimum(p[3], n) >= percent * np.maximum(p[3], n))
+                    if there.any():
+                        p = p[:, there]
+                        gathered.append(np.stack([p[0], p[1], p[3], p[4], np.ones(p.shape[1], dtype=np.int64)]))
+                        waiting += p.shape[1]
+                        if waiting > GATHER:
+                            parts, gathered, waiting = add_up(parts, gathered), [], 0
+            if gathered:
+                parts = add_up(parts, gathered)
+            if parts is None:
                 continue
-            order = np.lexsort((sizes[mine], its))
-            mine, its = mine[order], its[order]
-            ends = np.searchsorted(its, its, side="right")
-            for i in range(len(mine)):
-                other = mine[ends[i] :]
-                other = other[100 * np.minimum(sizes[other], sizes[mine[i]]) >= percent * np.maximum(sizes[other], sizes[mine[i]])]
-                if len(other):
-                    held_a.append(np.full(len(other), mine[i]))
-                    held_b.append(other)
-                    held += len(other)
-                    if held >= PAIR_BLOCK:
-                        flush()
-        flush()
-        return pa.concat_tables(out) if out else _pairs(owner[:0], owner[:0], sizes, nodes, percent, needs)
-
-    rest = _distinct(postings.groupBy("bucket").applyInArrow(between, kinds)).filter("shared >= need")
-    more = stored(_links(rest, sets, percent), "jaccard-more")
+            # Shingles that both share beyond either prefix are at most as many as stand there.
+            need = -(-percent * (parts[2] + n) // (100 + percent)) - np.maximum(parts[2] - parts[3], n - length)
+            parts = parts[:, parts[4] >= np.maximum(need, 1)]
+            mine, linked = sets.set_of(node, held), set()
+            for i in np.argsort(-parts[4], kind="stable").tolist():
+                if int(parts[1][i]) not in linked and _alike(mine, sets.set_of(int(parts[0][i]), held), percent):
+                    linked.add(int(parts[1][i]))
+                    out_a.append(node)
+                    out_b.append(int(parts[0][i]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    asked = postings.groupBy("bucket").applyInArrow(index, _LOOKUP)
+    # All of the index is written before the first lookup.
+    asked = stored(asked, "jaccard-lookups")
+    more = stored(asked.groupBy("shard").applyInArrow(look_up, "a long, b long"), "jaccard-more")
     if not more.isEmpty():
         # Components of the first links are stars; the new links join them.
         found = stored(components(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))), "jaccard-components")
     return _named(result_none, found)
 
 
-def _pairs(a, b, sizes, nodes, percent: int, needs) -> pa.Table:
-    """Distinct pairs of node indexes that lengths allow, with how often they occur and what they need."""
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Are two sorted sets similar enough?"""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+_LOOKUP = "shard int, node long, bucket int, n long, length long, tokens binary"
+
+
+def _no_lookups() -> pa.Table:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.table({c.split()[0]: pa.array([], kind) for c, kind in zip(_LOOKUP.split(", "), kinds)})
+
+
+def _pairs(a, b, sizes, nodes, percent: int) -> pa.Table:
+    """Distinct pairs of node indexes that lengths allow."""
     lo, hi = np.minimum(a, b), np.maximum(a, b)
     ok = (lo != hi) & (100 * np.minimum(sizes[lo], sizes[hi]) >= percent * np.maximum(sizes[lo], sizes[hi]))
-    key, count = np.unique(lo[ok] * len(nodes) + hi[ok], return_counts=True)
-    lo, hi = (key // max(1, len(nodes)), key % max(1, len(nodes)))
-    need = np.minimum(needs[lo], needs[hi]) if needs is not None else np.ones(len(lo), dtype=np.int64)
-    return pa.table({"a": pa.array(nodes[lo], pa.int64()), "b": pa.array(nodes[hi], pa.int64()), "shared": pa.array(count, pa.int64()), "need": pa.array(need, pa.int64())})
+    key = np.unique(lo[ok] * len(nodes) + hi[ok])
+    return pa.table({"a": pa.array(nodes[key // max(1, len(nodes))], pa.int64()), "b": pa.array(nodes[key % max(1, len(nodes))], pa.int64())})
 
 
 def _named(members: DataFrame, roots: DataFrame | None) -> DataFrame:
