@@ -46,6 +46,17 @@ def mounted(path: str) -> str:
     return path
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that docs has no column of."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read again: lineage ends here, lost executors cost no rerun."""
     spark = df.sparkSession

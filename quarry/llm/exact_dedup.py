@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, fresh, stored
 
 BLOCK_BYTES = 8192
 #: Names are numbered inside so many ranges of sorted keys, in parallel.
@@ -100,5 +100,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns. docs should be a scan: row numbers are taken twice."""
     stays = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("__row").alias("__stays"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(stays, F.col("__row") == F.col("__stays"), "left_semi").drop("__row")
+    row, = fresh(docs, "__row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    return numbered.join(stays.withColumnRenamed("__stays", f"{row}_"), F.col(row) == F.col(f"{row}_"), "left_semi").drop(row)

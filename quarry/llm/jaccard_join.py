@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix, mounted, shared_dir, stored, word_hashes
+from .common import batches, fresh, mix, mounted, shared_dir, stored, word_hashes
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -523,5 +523,6 @@ def _named(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, one of each component, with all their columns."""
     stays = similar(docs, **options).filter("__row = first_row").select(F.col("__row").alias("__stays"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(stays, F.col("__row") == F.col("__stays"), "left_semi").drop("__row")
+    row, = fresh(docs, "__row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    return numbered.join(stays.withColumnRenamed("__stays", f"{row}_"), F.col(row) == F.col(f"{row}_"), "left_semi").drop(row)

@@ -295,17 +295,17 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Traine
 
 def score(docs: DataFrame, model: Trained, text_col: str = "text") -> DataFrame:
     """docs with n_tokens, n_known, base_score and score."""
+    docs = docs.drop("n_tokens", "n_known", "base_score", "score")  # columns of these names are replaced
     names = docs.columns
 
     def run(tables):
         for t in tables:
-            for batch in [t]:
-                found = []
-                for group in batches(((x.encode() if x else b""),) for x in batch.column(text_col).to_pylist()):
-                    found += model.score([g[0] for g in group])
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.record_batch([*batch.columns, *(pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds))],
-                                      [*names, "n_tokens", "n_known", "base_score", "score"])
+            found = []
+            for group in batches((x.encode() if x else b"",) for x in t.column(text_col).to_pylist()):
+                found += model.score([g[0] for g in group])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.record_batch([*t.columns, *(pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds))],
+                                  [*names, "n_tokens", "n_known", "base_score", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, n_tokens long, n_known long, base_score double, score double")

@@ -70,8 +70,13 @@ class Space:
         edges = np.cumsum([0] + [len(t) + 1 for t in lowered])
         letter = self.letter[codes]
         keep = letter | np.concatenate(([True], letter[:-1]))
-        owner = np.searchsorted(edges, np.flatnonzero(keep), side="right") - 1  # a separator belongs to what follows
+        owner = np.searchsorted(edges, np.flatnonzero(keep) - 1, side="right") - 1
         seq = np.where(letter, codes, 0).astype(np.int64)[keep]
+        # A separator stands for a run of them, which may reach over texts without letters: it belongs to what follows.
+        gaps = np.flatnonzero(seq[:-1] == 0)
+        owner[gaps] = owner[gaps + 1]
+        if len(seq) and seq[-1] == 0:
+            owner[-1] = len(texts)
         if len(seq) < self.n:
             return out
         keys = np.zeros(len(seq) - self.n + 1, dtype=np.int64)
@@ -140,6 +145,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dim:
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = DIM, n: int = N, seed: int = SEED) -> DataFrame:
     """docs with lang_pred and score: the largest cosine, at least 0."""
+    docs = docs.drop("lang_pred", "score")  # columns of these names are replaced
     langs, names = list(prototypes), docs.columns
     matrix = np.array([prototypes[k] for k in langs], dtype=np.float32).reshape(len(langs), dim)
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 WINDOW_LINES = 3
 
 
@@ -38,13 +40,14 @@ def repeated_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_LINES) -> DataFrame:
     """docs with text_col without its repeated lines, n_lines and n_removed. docs should be a scan."""
-    marks = repeated_positions(docs, id_col, text_col, window).select(F.col("__row").alias("__marked"), "lines")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    row, marked, gone = fresh(docs, "__row", "__marked", "__gone")
+    marks = repeated_positions(docs, id_col, text_col, window).select(F.col("__row").alias(marked), F.col("lines").alias(gone))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
     lines = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("lines"), i)), "\n")
-    out = numbered.join(marks, F.col("__row") == F.col("__marked"), "left")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    out = numbered.join(marks, F.col(row) == F.col(marked), "left")
     return out.withColumns({
         "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_removed": F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long"),
-        text_col: F.when(F.col("lines").isNull(), F.col(text_col)).otherwise(left),
-    }).drop("__row", "__marked", "lines")
+        "n_removed": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"),
+        text_col: F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left),
+    }).drop(row, marked, gone)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 BLOCK_WORDS = 2048
 SHARD_WORDS = 1 << 22
@@ -203,23 +203,23 @@ def mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     taken, text and n_chars being the piece's; shards are partitions, each in a local random order. docs should be a scan."""
     plan = stored(plan_mix(docs, seed=seed, **options), "mix-plan").filter(F.size("pieces") > 0)
     names, schema = docs.columns, docs.schema
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    joined = numbered.join(plan.select(F.col("__row").alias("__r"), "size", "pieces").withColumnsRenamed({"size": "__size", "pieces": "__pieces"}),
-                           F.col("__row") == F.col("__r")).drop("__r")
-    joined = joined.select(*names, "__size", F.explode("__pieces").alias("__piece"))
+    row, mate, size, piece, shard, place = fresh(docs, "__row", "__mate", "__size", "__piece", "__shard", "__place")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    planned = plan.select(F.col("__row").alias(mate), F.col("size").alias(size), F.explode("pieces").alias(piece))
+    joined = numbered.join(planned, F.col(row) == F.col(mate)).select(*names, size, piece)
 
     def cut(tables):
         for t in tables:
-            pieces, sizes = t.column("__piece").to_pylist(), t.column("__size").to_pylist()
+            pieces, sizes = t.column(piece).to_pylist(), t.column(size).to_pylist()
             texts = [cut_words(x, p["first"], p["words"], n) for x, p, n in zip(t.column("text").to_pylist(), pieces, sizes)]
             columns = {c: t.column(c) for c in names}
             columns["text"] = pa.array(texts, t.column("text").type)
             if "n_chars" in names:
                 columns["n_chars"] = pa.array([len(x) for x in texts], t.column("n_chars").type)
             yield pa.record_batch([*columns.values(), pa.array([p["shard"] for p in pieces], pa.int64()), pa.array([p["place"] for p in pieces], pa.int64())],
-                                  [*names, "__shard", "__place"])
+                                  [*names, shard, place])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    out = joined.mapInArrow(cut, f"{fields}, __shard long, __place long")
-    out = out.repartition("__shard").sortWithinPartitions("__shard", F.xxhash64(F.lit(seed), "__shard", "source", "__place"), "__place")
+    out = joined.mapInArrow(cut, f"{fields}, {shard} long, {place} long")
+    out = out.repartition(shard).sortWithinPartitions(shard, F.xxhash64(F.lit(seed), shard, "source", place), place)
     return out.select(*names)
