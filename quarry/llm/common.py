@@ -115,7 +115,7 @@ def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarr
     return hashes, np.searchsorted(starts, edges), sizes
 
 
-def batches(rows, limit: int = 4 << 20):
+def batches(rows, limit: int = 1 << 20):
     """Groups of consecutive items (key, text) with at most limit bytes of text, or one item."""
     group, size = [], 0
     for row in rows:

@@ -132,6 +132,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dim:
                 langs = np.array([g[0] for g in group])
                 for lang in set(langs):
                     sums[lang] = sums.get(lang, 0) + v[langs == lang].sum(axis=0, dtype=np.float64)
+        _spaces.clear()  # a worker lives on for other work
         for lang, v in sums.items():
             yield pa.record_batch([pa.array([str(lang)] * dim), pa.array(range(dim), pa.int32()), pa.array(v, pa.float64())], ["lang", "at", "v"])
 
@@ -162,6 +163,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 pred += [langs[b] if s else UNKNOWN for b, s in zip(best, seen)]
                 score += [float(min(1.0, max(0.0, cos[i, b]))) if s else 0.0 for i, (b, s) in enumerate(zip(best, seen))]
             yield pa.record_batch([*t.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+        _spaces.clear()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
