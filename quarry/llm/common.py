@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,8 +81,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _STEP = 0x9E3779B97F4A7C15 | 1
 _STEP_INV = pow(_STEP, -1, 1 << 64)
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1B54A32D192ED03))
-_BREAK = np.zeros(256, dtype=bool)
-_BREAK[list(WORD_BREAKS)] = True
+BREAK = np.zeros(256, dtype=bool)
+BREAK[list(WORD_BREAKS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -102,7 +105,7 @@ def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarr
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     if lower:
         buf = _LOWER[buf]
-    gap = _BREAK[buf]
+    gap = BREAK[buf]
     inner = ~gap
     starts = np.flatnonzero(inner & np.concatenate(([True], gap[:-1])))
     ends = np.flatnonzero(gap & np.concatenate(([False], inner[:-1])))
@@ -127,3 +130,21 @@ def batches(rows, limit: int = 1 << 20):
         size += n
     if group:
         yield group
+
+
+def lean(run):
+    """A function for mapInArrow whose worker gives freed memory back to the system when its task ends: workers live
+    on for other work, beside it."""
+
+    def inner(tables):
+        try:
+            yield from run(tables)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # only glibc has it
+
+    return inner

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, lean
 
 DIM, N, SEED = 1024, 3, 11
 UNKNOWN = "und"
@@ -137,7 +137,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dim:
             yield pa.record_batch([pa.array([str(lang)] * dim), pa.array(range(dim), pa.int32()), pa.array(v, pa.float64())], ["lang", "at", "v"])
 
     parts = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, text_col)
-    sums = parts.mapInArrow(bundle, "lang string, at int, v double").groupBy("lang", "at").agg(F.sum("v").alias("v")).collect()
+    sums = parts.mapInArrow(lean(bundle), "lang string, at int, v double").groupBy("lang", "at").agg(F.sum("v").alias("v")).collect()
     out: dict[str, np.ndarray] = {}
     for r in sums:
         out.setdefault(r.lang, np.zeros(dim))[r["at"]] = r.v
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
         _spaces.clear()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(lean(run), f"{fields}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, training: Column, least: float = 0.1) -> DataFrame:

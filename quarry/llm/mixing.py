@@ -13,7 +13,6 @@ columns stay. The result depends on the rows and the seed only, not on their ord
 
 from __future__ import annotations
 
-import re
 import zlib
 from math import ceil
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import BREAK, batches, fresh, lean, stored
 
 BLOCK_WORDS = 2048
 SHARD_WORDS = 1 << 22
@@ -30,8 +29,8 @@ SHARD_WORDS = 1 << 22
 CELL_DOCS = 4096
 #: Sources are listed on the driver; a table with more is refused.
 MOST_SOURCES = 100_000
-
-_WORD = re.compile(r"[^ \t-\r]+")
+#: Pieces of a document that are cut in one go, and characters of cut text after which a batch ends.
+PIECES_AT_ONCE, BATCH_CHARS = 64, 4_000_000
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = 2.0) -> list[float]:
@@ -157,7 +156,7 @@ def plan_mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (
                                    pa.array([zlib.crc32(x) for x in texts], pa.int64())], ["__row", "doc_id", "source", "size", "mark"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
-    rows = stored(rows.mapInArrow(measure, _SIZES), "mix-sizes")
+    rows = stored(rows.mapInArrow(lean(measure), _SIZES), "mix-sizes")
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -186,16 +185,21 @@ def plan_mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (
                                    pa.array([plan.sizes[i] for i in k], pa.int64()), pa.array([plan.targets[i] for i in k], pa.float64()),
                                    pa.array(pieces, pa.list_(_PIECE))], ["__row", "doc_id", "source", "size", "source_size", "target", "pieces"])
 
-    return placed.mapInArrow(draw, "__row long, doc_id long, source string, size long, source_size long, target double, "
+    return placed.mapInArrow(lean(draw), "__row long, doc_id long, source string, size long, source_size long, target double, "
                                    "pieces array<struct<shard:long,pass:long,place:long,first:long,words:long>>")
 
 
-def cut_words(text: str, first: int, words: int, size: int) -> str:
-    """words words of text from the first-th on, with what stands between them."""
-    if first == 0 and words == size:
-        return text
-    spans = [m.span() for m in _WORD.finditer(text)]
-    return text[spans[first][0] : spans[first + words - 1][1]]
+def cut_words(text: str, pieces: list[tuple[int, int]], size: int) -> list[str]:
+    """For each (first, words): words words of text from the first-th on, with what stands between them.
+    The words are found once, however many pieces a text has."""
+    if all(first == 0 and words == size for first, words in pieces):
+        return [text] * len(pieces)
+    raw = text.encode("utf-8", "surrogatepass")
+    gap = BREAK[np.frombuffer(raw, dtype=np.uint8)]
+    edge = np.diff(gap.astype(np.int8), prepend=1, append=1)
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return [text if first == 0 and words == size else raw[starts[first] : ends[first + words - 1]].decode("utf-8", "surrogatepass")
+            for first, words in pieces]
 
 
 def mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
@@ -205,21 +209,38 @@ def mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     names, schema = docs.columns, docs.schema
     row, mate, size, piece, shard, place = fresh(docs, "__row", "__mate", "__size", "__piece", "__shard", "__place")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    planned = plan.select(F.col("__row").alias(mate), F.col("size").alias(size), F.explode("pieces").alias(piece))
+    planned = plan.select(F.col("__row").alias(mate), F.col("size").alias(size), F.col("pieces").alias(piece))
+    # A document goes through the join once, whatever the number of its pieces.
     joined = numbered.join(planned, F.col(row) == F.col(mate)).select(*names, size, piece)
 
     def cut(tables):
         for t in tables:
-            pieces, sizes = t.column(piece).to_pylist(), t.column(size).to_pylist()
-            texts = [cut_words(x, p["first"], p["words"], n) for x, p, n in zip(t.column("text").to_pylist(), pieces, sizes)]
-            columns = {c: t.column(c) for c in names}
-            columns["text"] = pa.array(texts, t.column("text").type)
-            if "n_chars" in names:
-                columns["n_chars"] = pa.array([len(x) for x in texts], t.column("n_chars").type)
-            yield pa.record_batch([*columns.values(), pa.array([p["shard"] for p in pieces], pa.int64()), pa.array([p["place"] for p in pieces], pa.int64())],
-                                  [*names, shard, place])
+            all_pieces, sizes = t.column(piece).to_pylist(), t.column(size).to_pylist()
+            for group in batches((i, x) for i, x in enumerate(t.column("text").to_pylist())):
+                at, texts, shards, places, held = [], [], [], [], 0
+                for i, text in group:
+                    for lo in range(0, len(all_pieces[i]), PIECES_AT_ONCE):
+                        part = all_pieces[i][lo : lo + PIECES_AT_ONCE]
+                        texts += cut_words(text, [(p["first"], p["words"]) for p in part], sizes[i])
+                        at += [i] * len(part)
+                        shards += [p["shard"] for p in part]
+                        places += [p["place"] for p in part]
+                        held += sum(map(len, texts[-len(part) :]))
+                        if held > BATCH_CHARS:
+                            yield batch(t, at, texts, shards, places)
+                            at, texts, shards, places, held = [], [], [], [], 0
+                if at:
+                    yield batch(t, at, texts, shards, places)
+
+    def batch(t, at, texts, shards, places):
+        rows = pa.array(at, pa.int64())
+        columns = {c: t.column(c).take(rows) for c in names if c not in ("text", "n_chars")}
+        columns["text"] = pa.array(texts, t.column("text").type)
+        if "n_chars" in names:
+            columns["n_chars"] = pa.array([len(x) for x in texts], t.column("n_chars").type)
+        return pa.record_batch([*(columns[c] for c in names), pa.array(shards, pa.int64()), pa.array(places, pa.int64())], [*names, shard, place])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    out = joined.mapInArrow(cut, f"{fields}, {shard} long, {place} long")
+    out = joined.mapInArrow(lean(cut), f"{fields}, {shard} long, {place} long")
     out = out.repartition(shard).sortWithinPartitions(shard, F.xxhash64(F.lit(seed), shard, "source", place), place)
     return out.select(*names)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored
+from .common import batches, lean, stored
 from .tokens import encoder
 
 WINDOW = 1024
@@ -49,7 +49,7 @@ def token_stream(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "d
                 yield pa.record_batch([pa.array([part] * len(keys), pa.int32()), pa.array(starts, pa.int64()), pa.array(keys, pa.int64()),
                                        pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], ["part", "before", "doc_id", "doc_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _TOKENS)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), _TOKENS)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,7 +77,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WINDOW
             yield pa.record_batch([pa.array(c, pa.binary() if k == 7 else pa.int64()) for k, c in enumerate(out)],
                                   ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return stream.select("part", "before", "doc_id", "doc_tokens", "ids").mapInArrow(cut, _PIECES)
+    return stream.select("part", "before", "doc_id", "doc_tokens", "ids").mapInArrow(lean(cut), _PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -328,3 +328,17 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 199)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 150: 150, 199: 150, 200: 150}
+
+
+def test_cut_words_finds_pieces_of_any_text():
+    from quarry.llm.mixing import cut_words
+
+    text = "\t one\n\ntwo  žluť\x0b four five  six "
+    words = text.replace("\x0b", " ").split(" ")
+    words = [w for part in words for w in part.replace("\t", "\n").split("\n") if w]
+    assert cut_words(text, [(0, len(words))], len(words)) == [text]
+    for first in range(len(words)):
+        for n in range(1, len(words) - first + (first > 0)):
+            piece, = cut_words(text, [(first, n)], len(words))
+            assert piece.startswith(words[first]) and piece.endswith(words[first + n - 1]) and piece in text
+    assert cut_words(text, [(1, 1), (0, 2), (1, 1)], len(words)) == ["two", "one\n\ntwo", "two"]
