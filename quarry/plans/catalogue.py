@@ -1,8 +1,8 @@
 """All registered queries and their SQL, gathered from the modules of this folder."""
 
-from quarry.plans import corpus, market, runs
+from quarry.plans import corpus, judged, market, runs
 
-QUERIES = market.QUERIES | corpus.QUERIES | runs.QUERIES
-ORACLE_SQL = market.ORACLE_SQL | corpus.ORACLE_SQL | runs.ORACLE_SQL
+QUERIES = market.QUERIES | corpus.QUERIES | runs.QUERIES | judged.QUERIES
+ORACLE_SQL = market.ORACLE_SQL | corpus.ORACLE_SQL | runs.ORACLE_SQL | judged.ORACLE_SQL
 #: The query that ``entry`` runs.
 FLAGSHIP = "rrf_hybrid"

@@ -61,15 +61,15 @@ QUERIES = {
     "request_validation": lambda s, d: t.bars(s, d).groupBy("symbol").agg(F.min("date").alias("lo"), F.max("date").alias("hi")).join(
         t.table(s, d, "events").select(F.col("event_type").alias("symbol"), F.col("event_id"), F.date_add(F.to_date("ts"), ((F.col("event_id") % 5) - 2).cast("int")).alias("day")), "symbol").select(
         "event_id", F.when(F.col("day") < F.col("lo"), "before_range").when(F.col("day") > F.col("hi"), "after_range").otherwise("ok").alias("verdict")),
-    "provenance_superset": lambda s, d: t.superset_check(t.assets(s, d).filter("asset_id % 3 <> 0"), t.assets(s, d).filter("asset_id % 2 = 0"), ["asset_id"]),
+    "provenance_superset": lambda s, d: t.superset_check(t.assets(s, d), t.table(s, d, "labels").select(F.col("doc_id").alias("asset_id")), ["asset_id"]),
     "resume_antijoin": lambda s, d: t.assets(s, d).select("asset_id").join(t.table(s, d, "labels").select(F.col("doc_id").alias("asset_id")), "asset_id", "left_anti"),
     "upsert_latest": lambda s, d: t.upsert(t.bars(s, d).select("symbol", "date", "close"), t.bars(s, d).filter("volume > 50").select("symbol", "date", (F.col("close") + 1).alias("close")), ["symbol", "date"]).select("symbol", "date", *r6("close")),
     "corpus_pivot_totals": lambda s, d: t.assets(s, d).cube("ticker", "source_type").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("ticker", F.lit("total")).alias("ticker"), F.coalesce("source_type", F.lit("total")).alias("source_type"), "n"),
     "source_counts": lambda s, d: t.assets(s, d).groupBy("source_type").agg(F.count(F.lit(1)).alias("n")),
     "logical_source_fanout": lambda s, d: t.endpoints(t.table(s, d, "documents").select("doc_id", F.element_at(F.array(F.lit("news"), F.lit("prices"), F.lit("other")), (F.col("doc_id") % 3 + 1).cast("int")).alias("source"))),
     "experiment_matrix": lambda s, d: t.table(s, d, "region").select("r_name").crossJoin(t.table(s, d, "nation").select("n_name")).crossJoin(s.createDataFrame([("full",), ("no_rerank",)], "profile string")),
-    "config_compare_full_outer": lambda s, d: t.assets(s, d).filter("asset_id % 2 = 0").groupBy("ticker").agg(F.count(F.lit(1)).alias("n_a")).join(
-        t.assets(s, d).filter("asset_id % 3 = 0 and ticker <> 'src1'").groupBy("ticker").agg(F.count(F.lit(1)).alias("n_b")), "ticker", "full_outer").select("ticker", "n_a", "n_b", F.col("n_b").isNull().alias("missing_b")),
+    "config_compare_full_outer": lambda s, d: t.assets(s, d).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_a")).join(
+        t.assets(s, d).filter("source_type = 'fred_macro' and ticker <> 'src1'").groupBy("ticker").agg(F.count(F.lit(1)).alias("n_b")), "ticker", "full_outer").select("ticker", "n_a", "n_b", F.col("n_b").isNull().alias("missing_b")),
 }
 
 _AR = RETURNS + """, market AS (SELECT date, avg(ret) AS market FROM rets GROUP BY date), fit AS (
@@ -110,13 +110,13 @@ ORACLE_SQL = {
     "request_validation": f"""WITH {BARS}, b AS (SELECT symbol, min(date) AS lo, max(date) AS hi FROM bars GROUP BY 1),
         e AS (SELECT event_id, event_type AS symbol, CAST(CAST(ts AS DATE) + CAST(event_id % 5 - 2 AS INT) AS DATE) AS day FROM events)
         SELECT event_id, CASE WHEN day < lo THEN 'before_range' WHEN day > hi THEN 'after_range' ELSE 'ok' END AS verdict FROM e JOIN b USING (symbol)""",
-    "provenance_superset": "SELECT count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 2 <> 0) AS missing, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 3 = 0) AS extra FROM documents",
+    "provenance_superset": "SELECT (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS extra",
     "resume_antijoin": "SELECT doc_id AS asset_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "upsert_latest": f"WITH {BARS} SELECT symbol, date, round(CASE WHEN volume > 50 THEN close + 1 ELSE close END, 6) AS close FROM bars",
     "corpus_pivot_totals": f"WITH {ASSETS} SELECT coalesce(ticker, 'total') AS ticker, coalesce(source_type, 'total') AS source_type, count(*) AS n FROM assets GROUP BY CUBE (ticker, source_type)",
     "source_counts": f"WITH {ASSETS} SELECT source_type, count(*) AS n FROM assets GROUP BY 1",
     "logical_source_fanout": "SELECT doc_id, ['news', 'prices', 'other'][doc_id % 3 + 1] AS source, ['polygon_news', 'polygon_ohlcv', 'other'][doc_id % 3 + 1] AS endpoint FROM documents",
     "experiment_matrix": "SELECT r_name, n_name, profile FROM region, nation, (VALUES ('full'), ('no_rerank')) p(profile)",
-    "config_compare_full_outer": f"""WITH {ASSETS}, a AS (SELECT ticker, count(*) AS n_a FROM assets WHERE asset_id % 2 = 0 GROUP BY 1),
-        b AS (SELECT ticker, count(*) AS n_b FROM assets WHERE asset_id % 3 = 0 AND ticker <> 'src1' GROUP BY 1) SELECT ticker, n_a, n_b, n_b IS NULL AS missing_b FROM a FULL JOIN b USING (ticker)""",
+    "config_compare_full_outer": f"""WITH {ASSETS}, a AS (SELECT ticker, count(*) AS n_a FROM assets GROUP BY 1),
+        b AS (SELECT ticker, count(*) AS n_b FROM assets WHERE source_type = 'fred_macro' AND ticker <> 'src1' GROUP BY 1) SELECT ticker, n_a, n_b, n_b IS NULL AS missing_b FROM a FULL JOIN b USING (ticker)""",
 }
