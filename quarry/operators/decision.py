@@ -75,8 +75,3 @@ def allocated(events: DataFrame, infra: float = 1.0) -> DataFrame:
     """A run's infrastructure cost, shared among its events by latency."""
     total = F.sum("latency_ms").over(Window.partitionBy("run_id"))
     return events.withColumn("infra_cost", F.when(total == 0, 0.0).otherwise(infra * F.col("latency_ms") / total))
-
-
-def run_status(raw: Column) -> Column:
-    s = F.upper(F.trim(raw))
-    return F.when(s.isin("OK", "DONE", "SUCCESS", "SUFFICIENT"), "SUFFICIENT").when(s.isin("PARTIAL"), "PARTIAL").when(s.isin("REFUSED", "INSUFFICIENT"), "INSUFFICIENT").otherwise("SYSTEM_ERROR")

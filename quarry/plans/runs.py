@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import decision, evaluation
+from quarry.operators import decision, evaluation, grounding
 from quarry.sources import tables as t
 
 GRADED = """graded AS (SELECT doc_id % 97 AS case_id, CAST(doc_id * 31 % 100 AS DOUBLE) / 100 AS relevance, doc_id % 3 <> 0 AS temporal_match FROM documents),
@@ -70,7 +70,7 @@ QUERIES = {
     "cost_cap": lambda s, d: decision.within_budget(decision.costed(t.trace_events(s, d)), 0.05).select("run_id", "event_seq", "node"),
     "infra_allocation": lambda s, d: decision.allocated(t.trace_events(s, d)).select("run_id", "event_seq", F.round("infra_cost", 6).alias("infra_cost")),
     "events_after_cursor": lambda s, d: t.trace_events(s, d).filter("event_seq > 2").select("run_id", "event_seq"),
-    "run_status_normalize": lambda s, d: t.table(s, d, "orders").groupBy(decision.run_status(F.element_at(F.array(*map(F.lit, ("ok", " partial", "refused", "boom"))), (F.col("o_orderkey") % 4 + 1).cast("int"))).alias("status")).agg(F.count(F.lit(1)).alias("n")),
+    "run_status_normalize": lambda s, d: t.table(s, d, "orders").groupBy(grounding.run_state(F.element_at(F.array(*map(F.lit, ("SUFFICIENT", "PARTIAL", "QUEUED", "SYSTEM_ERROR"))), (F.col("o_orderkey") % 4 + 1).cast("int"))).alias("status")).agg(F.count(F.lit(1)).alias("n")),
     "attribution_f1": lambda s, d: evaluation.attribution_f1(_f1_cases(s, d)),
     "confidence_calibration": lambda s, d: evaluation.buckets(_confidence(s, d)),
     "status_accuracy": lambda s, d: _three(s, d).groupBy("a").agg(F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 6).alias("accuracy")),
@@ -102,7 +102,7 @@ ORACLE_SQL = {
     "cost_cap": f"WITH {COST}, b AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY node ORDER BY run_id, event_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM costs) SELECT run_id, event_seq, node FROM b WHERE spent <= 0.05",
     "infra_allocation": f"WITH {TRACE} SELECT run_id, event_seq, round(CASE WHEN sum(latency_ms) OVER (PARTITION BY run_id) = 0 THEN 0.0 ELSE latency_ms / sum(latency_ms) OVER (PARTITION BY run_id) END, 6) AS infra_cost FROM trace",
     "events_after_cursor": f"WITH {TRACE} SELECT run_id, event_seq FROM trace WHERE event_seq > 2",
-    "run_status_normalize": "SELECT ['SUFFICIENT', 'PARTIAL', 'INSUFFICIENT', 'SYSTEM_ERROR'][o_orderkey % 4 + 1] AS status, count(*) AS n FROM orders GROUP BY 1",
+    "run_status_normalize": "SELECT ['SUCCEEDED', 'PARTIAL', 'QUEUED', 'FAILED_SYSTEM'][o_orderkey % 4 + 1] AS status, count(*) AS n FROM orders GROUP BY 1",
     "confidence_calibration": """WITH r AS (SELECT (doc_id % 100) / 100 AS c, quality = 1 AS ok FROM labels) SELECT CAST(least(floor(c * 4), 3) AS BIGINT) AS bucket, count(*) AS n, round(avg(c), 6) AS mean_confidence,
         round(avg(ok::INT), 6) AS accuracy, round(abs(avg(c) - avg(ok::INT)), 6) AS error FROM r GROUP BY 1""",
     "status_accuracy": f"WITH {THREE} SELECT a, round(avg((a = b)::INT), 6) AS accuracy FROM three GROUP BY 1",
