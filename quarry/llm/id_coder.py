@@ -29,7 +29,9 @@ from .common import batches, mounted, shared_dir
 from .tokens import encoder
 
 MAGIC = b"IDCM1\n"
-BLOCK_IDS = 4096
+#: Ids of a block: as many as give LANES blocks side by side, within these limits. Larger blocks code better; each
+#: step costs the same however few lanes it has, so a small chunk takes smaller blocks.
+LEAST_BLOCK_IDS, BLOCK_IDS, LANES = 1024, 4096, 256
 #: Ids of one chunk at most (but for one longer document): they and their models are in memory together.
 CHUNK_IDS = 6_000_000
 SLOTS = 1024
@@ -276,12 +278,13 @@ def decode_blocks(codes: list[bytes], counts: list[int], vocabulary: int) -> np.
 
 
 def write_chunk(f, keys: list[int | None], counts: list[int], ids: np.ndarray, vocabulary: int) -> None:
-    blocks = encode_blocks(ids, vocabulary)
+    size = min(BLOCK_IDS, max(LEAST_BLOCK_IDS, -(-len(ids) // LANES)))
+    blocks = encode_blocks(ids, vocabulary, size)
     known = np.array([k is not None for k in keys], dtype=np.uint8).tobytes()
     table = np.array([k or 0 for k in keys], dtype="<i8").tobytes() + known + np.array(counts, dtype="<u4").tobytes()
     f.write(struct.pack("<IQIII", len(keys), len(ids), len(blocks), vocabulary, zlib.crc32(table)) + table)
     for k, b in enumerate(blocks):
-        f.write(struct.pack("<III", min(BLOCK_IDS, len(ids) - k * BLOCK_IDS), len(b), zlib.crc32(b)))
+        f.write(struct.pack("<III", min(size, len(ids) - k * size), len(b), zlib.crc32(b)))
     for b in blocks:
         f.write(b)
 
