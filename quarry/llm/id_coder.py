@@ -28,136 +28,130 @@ from pyspark.sql import functions as F
 from .common import batches, mounted, shared_dir
 from .tokens import encoder
 
-MAGIC = b"IDCM1\n"
-#: Ids of a block: as many as give LANES blocks side by side, within these limits. Larger blocks code better; each
-#: step costs the same however few lanes it has, so a small chunk takes smaller blocks.
-LEAST_BLOCK_IDS, BLOCK_IDS, LANES = 1024, 4096, 256
+MAGIC = b"IDCM2\n"
+#: Ids of a block: as many as give LANES blocks side by side, within these limits. Larger blocks code a little better
+#: (2048 ids by 1% against 1024); a step has a cost however few lanes it has, so a small chunk takes smaller blocks.
+LEAST_BLOCK_IDS, BLOCK_IDS, LANES = 512, 4096, 4096
 #: Ids of one chunk at most (but for one longer document): they and their models are in memory together.
 CHUNK_IDS = 6_000_000
-SLOTS = 1024
+#: Contexts of one order that a block remembers (a power of two).
+SLOTS = 256
 GROUPS = 64
+#: Steps after which order 0's shares are set anew from its counts; at first they are set more often.
+REFRESH, EARLY = 32, (4, 8, 16)
 
 _u = np.uint64
-_TOP, _BOT = _u(1 << 56), _u(1 << 48)
-_ONE = 1 << 16
-_START = np.array([0, 12000, 26000, 36000, 44000, 50000, 56000, 60000], dtype=np.int64)
+_ONE, _BOT, _SHIFT, _TOP = 1 << 16, _u(1 << 48), _u(16), _u(48)
+_HALF = 1 << 15
+#: How often a prediction of each confidence is right, of 65536, at first.
+_START = np.array([0, 12000, 26000, 36000, 44000, 50000, 56000, 60000], dtype=np.int32)
+# What a slot's sureness changes by: on a miss (halved) and on a hit (one more, 7 at most).
+_STEP = np.array([0, 0, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0], dtype=np.int32)
+_RANK = np.arange(GROUPS, dtype=np.int32)
+
+
+def _count_true(rows: np.ndarray) -> np.ndarray:
+    """How many of each row's eight booleans are true."""
+    return np.bitwise_count(rows.view(np.uint64)[:, 0]).astype(np.int64)
 
 
 class _Model:
     """The three predictions for a number of lanes, one for each block."""
 
     def __init__(self, lanes: int, vocabulary: int):
-        edges = np.unique(np.floor(np.exp(np.linspace(0, np.log(vocabulary + 1), GROUPS + 1))).astype(np.int64) - 1)
-        edges[-1] = vocabulary
-        self.rows = -(-(len(edges) - 1) // 8)
-        self.edges, self.groups = edges, len(edges) - 1
-        self.group_of = np.repeat(np.arange(self.groups), np.diff(edges))
-        self.width = np.diff(edges)
-        self.n = lanes
+        # Groups are as wide as a power of two: the leading bits of id + 1, as many as give GROUPS groups at most.
+        top = int(vocabulary).bit_length()
+        kept = next(m for m in range(5, -1, -1) if sum(1 << min(e, m) for e in range(top)) <= GROUPS)
+        exponent = np.repeat(np.arange(top), [1 << min(e, kept) for e in range(top)])
+        self.bits = np.maximum(exponent - kept, 0).astype(np.uint64)
+        self.edges = np.concatenate(([0], np.cumsum(1 << self.bits.astype(np.int64))))
+        self.groups = len(exponent)
+        self.group_of = np.repeat(np.arange(self.groups), np.diff(self.edges))
+        self.n, self.steps = lanes, 0
+        self.base = np.arange(2 * lanes).reshape(2, lanes)
         self.lane = np.arange(lanes)
         self.prev1 = np.zeros(lanes, dtype=np.int64)
         self.prev2 = np.zeros(lanes, dtype=np.int64)
-        # A slot holds the id that came last, times 8, and how sure it is (0: empty).
-        self.slots = [np.zeros(lanes * SLOTS, dtype=np.int32) for _ in range(2)]
-        self.right = [np.tile(_START, lanes) for _ in range(2)]
-        self.freq = np.full((lanes, self.rows * 8), 8, dtype=np.int32)
-        self.sums = np.full((lanes, self.rows), 64, dtype=np.int32)
-        self.total = np.full(lanes, 64 * self.rows, dtype=np.int64)
+        # Rows are orders 2 and 1. A slot holds the id that came last, times 8, and how sure it is (0: empty).
+        self.slots = np.zeros(2 * lanes * SLOTS, dtype=np.int32)
+        self.right = np.tile(_START, 2 * lanes)
+        self.counts = np.zeros((lanes, GROUPS), dtype=np.int32)
+        self.counts[:, : self.groups] = 8
+        self._refresh()
 
     def shrink(self, lanes: int) -> None:
         """The last lanes have ended."""
         self.n = lanes
-        for name in ("lane", "prev1", "prev2", "freq", "sums", "total"):
+        for name in ("lane", "prev1", "prev2", "counts"):
             setattr(self, name, getattr(self, name)[:lanes])
+        self.base = np.ascontiguousarray(self.base[:, :lanes])
+        self._refresh()
+
+    def _refresh(self) -> None:
+        """Order 0: shares of 32768 from counts; no share is 0."""
+        ends = self.counts.cumsum(axis=1, dtype=np.int64)
+        full = np.flatnonzero(ends[:, -1] > _ONE)
+        if len(full):
+            self.counts[full, : self.groups] = self.counts[full, : self.groups] + 1 >> 1
+            ends[full] = self.counts[full].cumsum(axis=1)
+        ends *= (((_HALF - GROUPS) << 16) // ends[:, -1])[:, None]
+        ends >>= 16
+        starts = np.zeros((len(ends), GROUPS + 1), dtype=np.int32)
+        starts[:, 1:] = ends
+        starts[:, 1:] += _RANK + 1
+        self.own = np.diff(starts, axis=1).reshape(-1)
+        self.starts = starts[:, :-1].reshape(-1)
+        self.rows = self.starts.reshape(-1, 8)
+        self.firsts = np.ascontiguousarray(self.starts.reshape(-1, GROUPS)[:, ::8])
 
     def predict(self) -> None:
         """p: the ids that orders 2 and 1 predict; f2, f1: their parts of 65536, the rest being order 0's."""
-        base = self.lane * SLOTS
+        at = self.base * SLOTS
         one = self.prev1 * 40503
-        self.at = (base + ((one + self.prev2 * 60493) >> 4) % SLOTS, base + (one >> 3) % SLOTS)
-        self.entry = [slots[at] for slots, at in zip(self.slots, self.at)]
-        self.p = [e >> 3 for e in self.entry]
-        self.c = [e & 7 for e in self.entry]
-        self.r = [self.lane * 8 + c for c in self.c]
-        self.a = [right[r] for right, r in zip(self.right, self.r)]
-        a2, a1 = self.a
-        same = (self.p[0] == self.p[1]) & (self.c[0] > 0)
+        at[0] += (one + self.prev2 * 60493 >> 4) & (SLOTS - 1)
+        at[1] += (one >> 3) & (SLOTS - 1)
+        self.at = at
+        self.entry = self.slots.take(at)
+        self.p = self.entry >> 3
+        self.c = self.entry & 7
+        self.r = self.base * 8
+        self.r += self.c
+        self.a = self.right.take(self.r)
+        a2, a1 = self.a.astype(np.int64)
         share = (_ONE - a2) * a1 >> 16
-        both = share * same
-        self.f2, self.f1 = a2 + both, share - both
+        both = share * (self.p[0] == self.p[1])
+        both *= a2 > 0
+        self.f2 = a2 + both
+        self.f1 = share - both
+        self.f = self.f2 + self.f1
 
     def update(self, ids: np.ndarray) -> None:
-        fresh = (ids * 8 + 1).astype(np.int32)
-        for slots, right, at, entry, p, c, r, a in zip(self.slots, self.right, self.at, self.entry, self.p, self.c, self.r, self.a):
-            hit = p == ids
-            # The chance of the empty class stays 0; others keep within a range that leaves room for the rest.
-            right[r] = np.minimum(np.maximum(a + ((hit * 63000 - a) >> 4), 64), 62000) * (c > 0)
-            slots[at] = np.where(c <= 1, np.where(hit & (c > 0), entry + 1, fresh), entry + _STEP[hit.view(np.int8), c])
+        hit = self.p == ids
+        a = self.a
+        goal = hit * np.int32(62000)
+        goal += np.int32(1024)
+        goal -= a
+        goal >>= 4
+        goal += a
+        self.right[self.r] = goal
+        # The chance of the empty class stays 0.
+        self.right[::8] = 0
+        k = hit * np.int32(8)
+        k += self.c
+        self.slots[self.at] = np.where(k <= 1, (ids * 8 + 1).astype(np.int32), self.entry + _STEP.take(k))
         self.prev2, self.prev1 = self.prev1, ids
+        self.steps += 1
+        if self.steps % REFRESH == 0 or self.steps in EARLY:
+            self._refresh()
 
-    def count(self, lanes: np.ndarray, group: np.ndarray) -> None:
-        self.freq[lanes, group] += 24
-        self.sums[lanes, group >> 3] += 24
-        self.total[lanes] += 24
-        full = lanes[self.total[lanes] > _ONE - 64]
-        if len(full):
-            self.freq[full] = self.freq[full] + 1 >> 1
-            self.sums[full] = self.freq[full].reshape(len(full), self.rows, 8).sum(axis=2)
-            self.total[full] = self.sums[full].sum(axis=1)
-
-    def below(self, lanes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Frequencies of the groups before, and of the group."""
-        row = group >> 3
-        upper = (self.sums[lanes] * (_RANK[: self.rows] < row[:, None])).sum(axis=1)
-        own = self.freq.reshape(-1, 8)[lanes * self.rows + row]
-        inner = group & 7
-        return upper + (own * (_RANK[:8] < inner[:, None])).sum(axis=1), own[np.arange(len(lanes)), inner]
-
-    def locate(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The group that a cumulative frequency falls in, the frequencies before it, and its own."""
-        ends = self.sums[lanes].cumsum(axis=1)
-        row = (ends <= value[:, None]).sum(axis=1)
-        k = np.arange(len(lanes))
-        upper = ends[k, row] - self.sums[lanes, row]
-        own = self.freq.reshape(-1, 8)[lanes * self.rows + row]
-        ends = own.cumsum(axis=1) + upper[:, None]
-        inner = (ends <= value[:, None]).sum(axis=1)
-        mine = own[k, inner]
-        return row * 8 + inner, ends[k, inner] - mine, mine
-
-
-_RANK = np.arange(GROUPS)
-# What a slot's sureness changes by: on a miss (halved) and on a hit (one more, 7 at most).
-_STEP = np.array([[0, 0, -1, -2, -2, -3, -3, -4], [0, 1, 1, 1, 1, 1, 1, 0]], dtype=np.int32)
-_BYTES = np.arange(8)
-
-
-def _settle(low, span, send) -> None:
-    """Shifts out of (or into) every lane its leading bytes that are fixed; a lane whose span is small gives up
-    the part of it beyond the next byte, and goes on."""
-    while True:
-        apart = low ^ (low + span)
-        # Bits that differ, from the float's exponent; the last 16 don't matter, and 48 bits are exact.
-        n = (48 - np.frexp((apart >> _u(16)).astype(np.float64))[1]) >> 3
-        if n.any():
-            send(n, low)
-            shift = (n << 3).astype(np.uint64)
-            low <<= shift
-            span <<= shift
-        small = np.flatnonzero(span < _BOT)
-        if not len(small):
-            return
-        # Where bytes are still fixed the next round shifts them; else the span ends at the next multiple of _BOT.
-        part = low[small]
-        stuck = (part ^ (part + span[small])) >= _TOP
-        cut = small[stuck]
-        if len(cut):
-            span[cut] = (_u(0) - low[cut]) & (_BOT - _u(1))
-            one = np.zeros(len(low), dtype=np.int64)
-            one[cut] = 1
-            send(one, low)
-            low[cut] <<= _u(8)
-            span[cut] <<= _u(8)
+    def count(self, at: np.ndarray) -> None:
+        self.counts.reshape(-1)[at] += 24
+
+    def locate(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The group that each lane's value of 32768 falls in."""
+        value = value[:, None]
+        row = _count_true(self.firsts.take(lanes, axis=0) <= value) - 1
+        return row * 8 + _count_true(self.rows.take(lanes * 8 + row, axis=0) <= value) - 1
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK_IDS) -> list[bytes]:
@@ -166,25 +160,25 @@ def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK_IDS) -> l
     lanes = -(-n // block)
     if not lanes:
         return []
-    grid = np.zeros(lanes * block, dtype=np.int64)
+    grid = np.zeros(lanes * block, dtype=np.int32)
     grid[:n] = ids
     grid = grid.reshape(lanes, block).T.copy()
     last = n - (lanes - 1) * block
     model = _Model(lanes, vocabulary)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-    out, at = np.zeros((lanes, 2 * block + 64), dtype=np.uint8), np.zeros(lanes, dtype=np.int64)
-    flat = out.reshape(-1)
-
-    def send(n, values):
-        nonlocal out, flat
-        k = len(n)
-        if at.max() + 16 >= out.shape[1]:
-            out = np.concatenate([out, np.zeros_like(out)], axis=1)
-            flat = out.reshape(-1)
-        # All eight bytes are written; those beyond n are written over later.
-        where = np.arange(k) * out.shape[1] + at[:k]
-        flat[where[:, None] + _BYTES] = values.astype(">u8").view(np.uint8).reshape(k, 8)
-        at[:k] += n
+    # An id takes less than four words of 16 bits.
+    width = 4 * block + 8
+    out, at = np.zeros(lanes * width, dtype=np.uint16), np.arange(lanes) * width
+
+    def add(lo, amount, at):
+        lo += amount
+        over = np.flatnonzero(lo < amount)
+        # A carry goes into the words before, as far as they are full.
+        where = at[over]
+        while len(where):
+            where = where - 1
+            out[where] += 1
+            where = where[out[where] == 0]
 
     for t in range(block):
         if t == last:
@@ -192,29 +186,42 @@ def encode_blocks(ids: np.ndarray, vocabulary: int, block: int = BLOCK_IDS) -> l
             if lanes == 1:
                 break
         k = model.n
-        now = grid[t, :k]
+        now = grid[t, :k].astype(np.int64)
         model.predict()
-        hit2 = (now == model.p[0]) & (model.f2 > 0) & (model.c[0] > 0)
-        hit1 = ~hit2 & (now == model.p[1]) & (model.f1 > 0)
-        lo, r = low[:k], span[:k] >> _u(16)
-        start = np.where(hit2, 0, np.where(hit1, model.f2, model.f2 + model.f1))
-        part = np.where(hit2, model.f2, np.where(hit1, model.f1, _ONE - model.f2 - model.f1))
-        lo += r * start.astype(np.uint64)
-        new = r * part.astype(np.uint64)
+        hit2 = (now == model.p[0]) & (model.f2 > 0)
+        hit1 = (now == model.p[1]) & (model.f1 > 0)
+        hit1 &= ~hit2
+        r = span[:k] >> _SHIFT
+        start = np.where(hit2, 0, np.where(hit1, model.f2, model.f)).view(np.uint64)
+        part = np.where(hit2, model.f2, np.where(hit1, model.f1, _ONE - model.f)).view(np.uint64)
+        start *= r
+        part *= r
         rest = np.flatnonzero(~(hit2 | hit1))
         if len(rest):
-            group = model.group_of[now[rest]]
-            below, own = model.below(rest, group)
-            r2 = new[rest] // model.total[rest].astype(np.uint64)
-            r3 = r2 * own.astype(np.uint64) // model.width[group].astype(np.uint64)
-            lo[rest] += r2 * below.astype(np.uint64) + r3 * (now[rest] - model.edges[group]).astype(np.uint64)
-            new[rest] = r3
-            model.count(rest, group)
-        span[:k] = new
-        _settle(lo, span[:k], send)
+            ids_ = now.take(rest)
+            group = model.group_of.take(ids_)
+            cell = rest * GROUPS + group
+            r2 = part.take(rest) >> _u(15)
+            r3 = r2 * model.own.take(cell).astype(np.uint64) >> model.bits.take(group)
+            start[rest] += r2 * model.starts.take(cell).astype(np.uint64) + r3 * (ids_ - model.edges.take(group)).view(np.uint64)
+            part[rest] = r3
+            model.count(cell)
+        add(low[:k], start, at)
+        span[:k] = part
+        few = np.flatnonzero(part < _BOT)
+        while len(few):
+            x, y, where = low[few], span[few] << _SHIFT, at[few]
+            out[where] = x >> _TOP
+            at[few] = where + 1
+            low[few] = x << _SHIFT
+            span[few] = y
+            few = few[y < _BOT]
         model.update(now)
-    send(np.full(lanes, 8), low)
-    return [out[k, : at[k]].tobytes() for k in range(lanes)]
+    # One more word tells a number in the last span.
+    add(low, (_u(0) - low) & (_BOT - _u(1)), at)
+    out[at] = low >> _TOP
+    out = out.astype(">u2")
+    return [out[k * width : end + 1].tobytes() for k, end in enumerate(at.tolist())]
 
 
 def decode_blocks(codes: list[bytes], counts: list[int], vocabulary: int) -> np.ndarray:
@@ -222,26 +229,15 @@ def decode_blocks(codes: list[bytes], counts: list[int], vocabulary: int) -> np.
     lanes, block = len(codes), max(counts, default=0)
     if not lanes:
         return np.zeros(0, dtype=np.uint32)
-    width = max(map(len, codes)) + 24
-    data = np.zeros((lanes, width), dtype=np.uint8)
-    for k, c in enumerate(codes):
-        data[k, : len(c)] = np.frombuffer(c, dtype=np.uint8)
-    code, at = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 8, dtype=np.int64)
-    for k in range(8):
-        code = code << _u(8) | data[:, k]
-    flat = data.reshape(-1)
-    grid = np.zeros((block, lanes), dtype=np.int64)
+    width = max(map(len, codes)) // 2 + 8
+    data = np.frombuffer(b"".join(c.ljust(2 * width, b"\0") for c in codes), dtype=">u2").astype(np.uint64)
+    at = np.arange(lanes) * width
+    code, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+    for _ in range(4):
+        code = code << _SHIFT | data[at]
+        at += 1
+    grid = np.zeros((block, lanes), dtype=np.uint32)
     model = _Model(lanes, vocabulary)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-
-    def send(n, _):
-        k = len(n)
-        ahead = flat[(np.arange(k) * width + at[:k])[:, None] + _BYTES].view(">u8").reshape(k)
-        bits = (n << 3).astype(np.uint64)
-        # The next n bytes come in from the right (a shift by 64 is taken in two).
-        code[:k] = (code[:k] << bits) | (ahead.astype(np.uint64) >> (_u(56) - bits) >> _u(8))
-        at[:k] += n
-
     for t in range(block):
         if t == counts[-1]:
             model.shrink(lanes - 1)
@@ -249,29 +245,38 @@ def decode_blocks(codes: list[bytes], counts: list[int], vocabulary: int) -> np.
                 break
         k = model.n
         model.predict()
-        lo, r = low[:k], span[:k] >> _u(16)
-        v = np.minimum((code[:k] - lo) // r, _u(_ONE - 1)).astype(np.int64)
-        hit2 = v < model.f2
-        hit1 = ~hit2 & (v < model.f2 + model.f1)
-        start = np.where(hit2, 0, np.where(hit1, model.f2, model.f2 + model.f1))
-        part = np.where(hit2, model.f2, np.where(hit1, model.f1, _ONE - model.f2 - model.f1))
-        lo += r * start.astype(np.uint64)
-        new = r * part.astype(np.uint64)
-        now = np.where(hit2, model.p[0], model.p[1]).astype(np.int64)
-        rest = np.flatnonzero(~(hit2 | hit1))
+        r = span[:k] >> _SHIFT
+        v = (code[:k] // r).view(np.int64)
+        miss2, miss = v >= model.f2, v >= model.f
+        start = np.where(miss, model.f, model.f2 * miss2).view(np.uint64)
+        part = np.where(miss, _ONE - model.f, np.where(miss2, model.f1, model.f2)).view(np.uint64)
+        start *= r
+        part *= r
+        now = np.where(miss2, model.p[1], model.p[0]).astype(np.int64)
+        left = code[:k]
+        left -= start
+        rest = np.flatnonzero(miss)
         if len(rest):
-            r2 = new[rest] // model.total[rest].astype(np.uint64)
-            v = np.minimum((code[rest] - lo[rest]) // r2, (model.total[rest] - 1).astype(np.uint64)).astype(np.int64)
-            group, below, own = model.locate(rest, v)
-            lo[rest] += r2 * below.astype(np.uint64)
-            r3 = r2 * own.astype(np.uint64) // model.width[group].astype(np.uint64)
-            inner = np.minimum((code[rest] - lo[rest]) // r3, (model.width[group] - 1).astype(np.uint64))
-            lo[rest] += r3 * inner
-            now[rest] = model.edges[group] + inner.astype(np.int64)
-            new[rest] = r3
-            model.count(rest, group)
-        span[:k] = new
-        _settle(lo, span[:k], send)
+            mine = left.take(rest)
+            r2 = part.take(rest) >> _u(15)
+            group = model.locate(rest, (mine // r2).astype(np.int32))
+            cell = rest * GROUPS + group
+            mine -= r2 * model.starts.take(cell).astype(np.uint64)
+            r3 = r2 * model.own.take(cell).astype(np.uint64) >> model.bits.take(group)
+            inner = mine // r3
+            mine -= r3 * inner
+            left[rest] = mine
+            now[rest] = model.edges.take(group) + inner.view(np.int64)
+            part[rest] = r3
+            model.count(cell)
+        span[:k] = part
+        few = np.flatnonzero(part < _BOT)
+        while len(few):
+            y, where = span[few] << _SHIFT, at[few]
+            code[few] = code[few] << _SHIFT | data[where]
+            at[few] = where + 1
+            span[few] = y
+            few = few[y < _BOT]
         grid[t, :k] = now
         model.update(now)
     return grid.T.reshape(-1)[: sum(counts)].astype("<u4")
