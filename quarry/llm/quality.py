@@ -1,8 +1,9 @@
 """Quality rules: base rules on words and repetition, then tokeniser fertility.
 
 A public vocabulary measures each text: characters per token, the share of byte-fallback tokens, and the entropy of
-the token distribution. Texts of one script form a band: a text far outside its script's quantiles, which are
-computed over all texts, is rejected.
+the token distribution. Texts of one language, where it is known, or else of one script form a group: a text far
+outside its group's quartiles is rejected. A group of a few texts is held to what any other group's bands
+allow, or to the quartiles of the whole table if no group has bands.
 
 Edge cases: null text counts as empty and fails the base rules; a text without letters is of script ``none``;
 repeated rows are measured as often as they occur; an empty table gives an empty result; extra columns are ignored.
@@ -20,8 +21,12 @@ from .common import batches, mix, stored, word_hashes
 # Fixed values of the base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW_WORDS = 10, 20, 5
 SYMBOLS = b"#*$%&|<>"
-#: Bands: quantiles of a script's texts, and the room given beyond them as a multiple of their distance.
-LOW, HIGH, ROOM = 0.02, 0.98, 1.5
+#: Bands: quartiles of a group's texts, which a few per cent of junk hardly move, and the room given beyond them as a
+#: multiple of their distance; and the least room, for groups that hardly differ.
+LOW, HIGH, ROOM = 0.25, 0.75, 5.0
+LEAST_ROOM = {"chars_per_token": 0.1, "byte_share": 0.05, "entropy": 0.25}
+#: A group of fewer texts has no bands of its own.
+LEAST_TEXTS = 30
 #: Ratios and entropy say little about a text of fewer tokens: it is left to the base rules.
 LEAST_TOKENS = 100
 CACHE_WORDS = 400_000
@@ -124,42 +129,57 @@ def script(text: str) -> str:
 
 _ROW = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "n_tokens long, byte_share double, entropy double, chars_per_token double, script string")
+_GROUP = "__group"
 
 
-def measure(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measure(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The measures of each text, and __group: its language, or its script where docs has none for it."""
+
     def run(tables):
         for t in tables:
-            for group in batches(zip(t.column(0).to_pylist(), t.column(1).to_pylist())):
-                texts = [x or "" for _, x in group]
+            for group in batches(zip(t.column(0).to_pylist(), t.column(2).to_pylist(), t.column(1).to_pylist())):
+                texts = [x or "" for *_, x in group]
+                scripts = list(map(script, texts))
                 base = base_measures([x.encode() for x in texts])
                 tokens = fertility(texts, vocabulary)
                 n = [x[0] for x in tokens]
                 yield pa.record_batch(
                     [pa.array([g[0] for g in group], pa.int64()), *(pa.array(x, pa.int64()) for x in base), pa.array(n, pa.int64()),
                      pa.array([x[1] / max(1, x[0]) for x in tokens], pa.float64()), pa.array([x[2] for x in tokens], pa.float64()),
-                     pa.array([c / max(1, k) for c, k in zip(base[1].tolist(), n)], pa.float64()), pa.array(map(script, texts), pa.string())],
+                     pa.array([c / max(1, k) for c, k in zip(base[1].tolist(), n)], pa.float64()), pa.array(scripts, pa.string()),
+                     pa.array([f"lang {g[1]}" if g[1] else f"script {x}" for g, x in zip(group, scripts)], pa.string())],
                     ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "byte_share", "entropy",
-                     "chars_per_token", "script"])
+                     "chars_per_token", "script", _GROUP])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _ROW)
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang")).mapInArrow(
+        run, f"{_ROW}, {_GROUP} string")
 
 
-def judge(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: the measures, base_failed, and kept: the base rules hold and it lies in its script's bands."""
-    rows = stored(measure(docs, vocabulary, id_col, text_col), "quality")
+def judge(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """A row per document: the measures, base_failed, and kept: the base rules hold and it lies in its group's bands."""
+    rows = stored(measure(docs, vocabulary, id_col, text_col, lang_col), "quality")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    # A row per script: their list is fixed.
-    names = ("chars_per_token", "byte_share", "entropy")
     sound = rows.filter(~F.col("base_failed") & (F.col("n_tokens") >= LEAST_TOKENS))
-    bands = sound.groupBy(F.col("script").alias("__script")).agg(
-        *(F.percentile_approx(c, [LOW, HIGH], 10_000).alias(f"__{c}") for c in names))
-    joined = rows.join(F.broadcast(bands), F.col("script") == F.col("__script"), "left")
-
-    def inside(c: str, least: float):
-        lo, hi = F.col(f"__{c}")[0], F.col(f"__{c}")[1]
-        room = F.greatest((hi - lo) * ROOM, F.lit(least))
-        return F.coalesce((F.col(c) >= lo - room) & (F.col(c) <= hi + room), F.lit(True))
-
-    verdict = inside("chars_per_token", 1.0) & inside("byte_share", 0.1) & inside("entropy", 1.0)
-    return joined.withColumn("kept", ~F.col("base_failed") & (verdict | (F.col("n_tokens") < LEAST_TOKENS))).drop("__script", *(f"__{c}" for c in names))
+    measures = list(LEAST_ROOM)
+
+    def bands(grouped):
+        """Least and most of each measure, room included."""
+        q = grouped.agg(*(F.percentile_approx(c, [LOW, HIGH], 10_000).alias(c) for c in measures), F.count(F.lit(1)).alias("n"))
+        room = {c: F.greatest((F.col(c)[1] - F.col(c)[0]) * ROOM, F.lit(LEAST_ROOM[c])) for c in measures}
+        return q.select("*", *(x for c in measures for x in ((F.col(c)[0] - room[c]).alias(f"lo_{c}"), (F.col(c)[1] + room[c]).alias(f"hi_{c}")))).drop(*measures)
+
+    # A row per language and script, whose lists are bounded. The rest is held to what any of them allows, or, if none
+    # has bands, to those of all texts together: one row.
+    own = bands(sound.groupBy(F.col(_GROUP).alias("__own"))).filter(F.col("n") >= LEAST_TEXTS)
+    sides = [(f"{s}_{c}", f) for c in measures for s, f in (("lo", F.min), ("hi", F.max))]
+    rest = own.agg(*(f(x).alias(f"__any_{x}") for x, f in sides)).crossJoin(bands(sound.groupBy()).select(*(F.col(x).alias(f"__all_{x}") for x, _ in sides)))
+    own = own.select("__own", *(F.col(x).alias(f"__own_{x}") for x, _ in sides))
+    joined = rows.join(F.broadcast(own), F.col(_GROUP) == F.col("__own"), "left").crossJoin(F.broadcast(rest))
+    limit = lambda x: F.coalesce(*(F.col(f"__{of}_{x}") for of in ("own", "any", "all")))
+    verdict = F.lit(True)
+    for c in measures:
+        verdict &= F.coalesce(F.col(c).between(limit(f"lo_{c}"), limit(f"hi_{c}")), F.lit(True))
+    out = joined.withColumn("kept", ~F.col("base_failed") & (verdict | (F.col("n_tokens") < LEAST_TOKENS)))
+    return out.select(*(c for c in rows.columns if c != _GROUP), "kept")

@@ -1,5 +1,6 @@
 """The operators against brute force, on a table of nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -230,6 +231,37 @@ def test_quality(docs, rows, empty):
     assert not any(r.kept and r.base_failed for r in got) and quality.judge(empty, path).count() == 0
 
 
+def planted_junk():
+    rng = random.Random(11)
+    letters = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(rng.randint(3, 9)))
+    return {"hex": lambda: f"{rng.getrandbits(160):040x}", "base64": lambda: base64.b64encode(rng.randbytes(24)).decode(),
+            "letters": lambda: letters("abcdefghijklmnopqrstuvwxyz"), "symbols": lambda: letters("!@^()_+-=[]{};:?/~"),
+            "greek": lambda: letters("αβγδεζηθικλμνοπρστυφ"), "cyrillic": lambda: letters("абвгдежзийклмнопрст"),
+            "bytes": lambda: "".join(chr(rng.randint(0xB85, 0xBB9)) for _ in range(4))}
+
+
+def judged(spark, n_words, known):
+    """Verdicts over sf0.01 with texts of n_words planted in it: of the junk by kind and language, and of the table's own rows."""
+    own = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = [(-1 - i, " ".join(word() for _ in range(n_words)), lang if known else None)
+            for i, (word, lang) in enumerate((w, x) for w in planted_junk().values() for x in ("en", "fr", "de", "es"))]
+    got = quality.judge(own.unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string")), queries.vocabulary("piece_bpe_32k.model")).collect()
+    assert not any(r.base_failed for r in got if r.doc_id < 0)
+    return [r for r in got if r.doc_id < 0], [r for r in got if r.doc_id >= 0 and not r.base_failed]
+
+
+def test_quality_rejects_junk(spark):
+    junk, own = judged(spark, 200, True)
+    assert len(junk) == 28 and not any(r.kept for r in junk)
+    assert sum(r.kept for r in own) > 0.98 * len(own)
+
+
+def test_quality_small_groups(spark):
+    """Without a language, foreign scripts have too few texts for bands of their own."""
+    junk, _ = judged(spark, 200, None)
+    assert not any(r.kept for r in junk if r.script in ("greek", "cyrillic", "other"))
+
+
 def test_model(docs, rows, empty):
     held = crc_bucket(F.col("doc_id"), 5) == 1
     for order in (1, 2, 3):
