@@ -2,8 +2,9 @@
 
 A public vocabulary measures each text: characters per token, the share of byte-fallback tokens, and the entropy of
 the token distribution. Texts of one language, where it is known, or else of one script form a group: a text far
-outside its group's quartiles is rejected. A group of a few texts is held to what any other group's bands
-allow, or to the quartiles of the whole table if no group has bands.
+outside its group's quartiles, which are computed over all texts, is rejected, however short it is; entropy is compared
+within a length class. A group of a few texts is held to what any other group's bands allow, or to the quartiles of
+the whole table if no group has bands.
 
 Edge cases: null text counts as empty and fails the base rules; a text without letters is of script ``none``;
 repeated rows are measured as often as they occur; an empty table gives an empty result; extra columns are ignored.
@@ -27,8 +28,8 @@ LOW, HIGH, ROOM = 0.25, 0.75, 5.0
 LEAST_ROOM = {"chars_per_token": 0.1, "byte_share": 0.05, "entropy": 0.25}
 #: A group of fewer texts has no bands of its own.
 LEAST_TEXTS = 30
-#: Ratios and entropy say little about a text of fewer tokens: it is left to the base rules.
-LEAST_TOKENS = 100
+#: Entropy grows with length, so its bands are set apart by powers of two of the tokens, from the first to the last of these.
+FIRST_CLASS, LAST_CLASS = 4, 10
 CACHE_WORDS = 400_000
 
 # First and last code points of scripts' letters.
@@ -156,30 +157,40 @@ def measure(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         run, f"{_ROW}, {_GROUP} string")
 
 
-def judge(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A row per document: the measures, base_failed, and kept: the base rules hold and it lies in its group's bands."""
-    rows = stored(measure(docs, vocabulary, id_col, text_col, lang_col), "quality")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
-    sound = rows.filter(~F.col("base_failed") & (F.col("n_tokens") >= LEAST_TOKENS))
-    measures = list(LEAST_ROOM)
+def banded(rows: DataFrame, every: DataFrame, measures: list[str], classes: list[str]):
+    """rows with columns of limits, and whether the measures lie within: those of a row's group and classes, or if it
+    is too small what any group of these classes allows, or if none has bands those of all texts of these classes."""
 
-    def bands(grouped):
-        """Least and most of each measure, room included."""
-        q = grouped.agg(*(F.percentile_approx(c, [LOW, HIGH], 10_000).alias(c) for c in measures), F.count(F.lit(1)).alias("n"))
+    def bands(*keys):
+        q = every.groupBy(*keys).agg(*(F.percentile_approx(c, [LOW, HIGH], 10_000).alias(c) for c in measures), F.count(F.lit(1)).alias("n"))
         room = {c: F.greatest((F.col(c)[1] - F.col(c)[0]) * ROOM, F.lit(LEAST_ROOM[c])) for c in measures}
         return q.select("*", *(x for c in measures for x in ((F.col(c)[0] - room[c]).alias(f"lo_{c}"), (F.col(c)[1] + room[c]).alias(f"hi_{c}")))).drop(*measures)
 
-    # A row per language and script, whose lists are bounded. The rest is held to what any of them allows, or, if none
-    # has bands, to those of all texts together: one row.
-    own = bands(sound.groupBy(F.col(_GROUP).alias("__own"))).filter(F.col("n") >= LEAST_TEXTS)
+    # A row per language or script and length class, whose lists are bounded.
+    own = bands(_GROUP, *classes).filter(F.col("n") >= LEAST_TEXTS)
     sides = [(f"{s}_{c}", f) for c in measures for s, f in (("lo", F.min), ("hi", F.max))]
-    rest = own.agg(*(f(x).alias(f"__any_{x}") for x, f in sides)).crossJoin(bands(sound.groupBy()).select(*(F.col(x).alias(f"__all_{x}") for x, _ in sides)))
-    own = own.select("__own", *(F.col(x).alias(f"__own_{x}") for x, _ in sides))
-    joined = rows.join(F.broadcast(own), F.col(_GROUP) == F.col("__own"), "left").crossJoin(F.broadcast(rest))
-    limit = lambda x: F.coalesce(*(F.col(f"__{of}_{x}") for of in ("own", "any", "all")))
-    verdict = F.lit(True)
+    tables = [(own, "own", [_GROUP, *classes]), (own.groupBy(*classes).agg(*(f(x).alias(x) for x, f in sides)), "any", classes), (bands(*classes), "all", classes)]
+    for table, of, keys in tables:
+        named = F.broadcast(table.select(*(F.col(k).alias(f"__{of}{k}") for k in keys), *(F.col(x).alias(f"__{of}_{x}") for x, _ in sides)))
+        rows = rows.join(named, [F.col(k) == F.col(f"__{of}{k}") for k in keys], "left").drop(*(f"__{of}{k}" for k in keys)) if keys else rows.crossJoin(named)
+    limit = lambda x: F.coalesce(*(F.col(f"__{of}_{x}") for _, of, _ in tables))
+    inside = F.lit(True)
     for c in measures:
-        verdict &= F.coalesce(F.col(c).between(limit(f"lo_{c}"), limit(f"hi_{c}")), F.lit(True))
-    out = joined.withColumn("kept", ~F.col("base_failed") & (verdict | (F.col("n_tokens") < LEAST_TOKENS)))
+        inside &= F.col(c).between(limit(f"lo_{c}"), limit(f"hi_{c}"))
+    return rows, inside
+
+
+def judge(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """A row per document: the measures, base_failed, and kept: the base rules hold and it lies in its group's bands."""
+    rows = stored(measure(docs, vocabulary, id_col, text_col, lang_col), "quality")
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+    rows = rows.withColumn("base_failed", failed)
+    length = F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")
+    joined = rows.withColumn("__class", F.least(F.greatest(length, F.lit(FIRST_CLASS)), F.lit(LAST_CLASS)))
+    every = joined.select(_GROUP, "__class", *LEAST_ROOM)
+    verdict = F.lit(True)
+    for measures, classes in ((["chars_per_token", "byte_share"], []), (["entropy"], ["__class"])):
+        joined, inside = banded(joined, every, measures, classes)
+        verdict &= inside
+    out = joined.withColumn("kept", ~F.col("base_failed") & verdict)
     return out.select(*(c for c in rows.columns if c != _GROUP), "kept")

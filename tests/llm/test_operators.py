@@ -262,6 +262,22 @@ def test_quality_small_groups(spark):
     assert not any(r.kept for r in junk if r.script in ("greek", "cyrillic", "other"))
 
 
+def test_quality_rejects_short_junk(spark):
+    junk, own = judged(spark, 12, True)
+    # Twelve words of random letters can lie at the edge of a band.
+    edge = list(planted_junk()).index("letters")
+    assert any(r.n_tokens < 100 for r in junk) and not any(r.kept for r in junk if (-1 - r.doc_id) // 4 != edge)
+    assert sum(r.kept for r in junk) <= 2
+    short = [r for r in own if r.n_tokens < 100]
+    assert short and sum(r.kept for r in short) > 0.8 * len(short) and sum(r.kept for r in own) > 0.98 * len(own)
+
+
+def test_quality_short_bytes(spark):
+    """Quartiles are of all texts, so one text of 15 words made of byte-fallback tokens is held to the others' bands."""
+    junk, _ = judged(spark, 15, None)
+    assert all(r.byte_share > 0.5 and not r.kept for r in junk if r.script == "other") and any(r.script == "other" for r in junk)
+
+
 def test_model(docs, rows, empty):
     held = crc_bucket(F.col("doc_id"), 5) == 1
     for order in (1, 2, 3):
