@@ -25,7 +25,7 @@ def _queries(s, d):
 
 
 def _vector_queries(s, d):
-    e = t.table(s, d, "embeddings").filter("vec_id < 20")
+    e = t.table(s, d, "embeddings").filter("vec_id % 20 = 0")
     return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
@@ -33,13 +33,8 @@ def _vectors(s, d):
     return t.table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
-def _text_queries(s, d):
-    """The twenty items that the vector queries stand beside."""
-    return _queries(s, d).filter("query_id < 20")
-
-
 def _hybrid(s, d):
-    return search.fuse([search.nearest(_vectors(s, d), _vector_queries(s, d)), search.bm25(t.table(s, d, "documents").select("doc_id", "text"), _text_queries(s, d))])
+    return search.fuse([search.nearest(_vectors(s, d), _vector_queries(s, d)), search.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d))])
 
 
 def _articles(s, d):
@@ -70,7 +65,7 @@ QUERIES = {
     "news_markdown": lambda s, d: t.news(s, d).filter("source_type = 'polygon_news'").select("asset_id", F.length(F.concat(F.lit("## "), F.col("ticker"), F.lit(": "), F.col("title"), F.lit("\n\n"), F.col("body"))).alias("chars")),
     "error_classes": lambda s, d: t.table(s, d, "events").select("event_id", text.error_class(F.element_at(F.array(*map(F.lit, ("HTTP 429", "timed out", "bad JSON", "HTTP 503", "fine"))), (F.col("event_id") % 5 + 1).cast("int"))).alias("kind")),
     "bm25_topk": lambda s, d: search.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d), 10).select("query_id", "rank", F.round("score", 4).alias("score")),
-    "vector_topk": lambda s, d: search.nearest(_vectors(s, d), t.table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10).select("query_id", "rank", F.round("score", 3).alias("score")),
+    "vector_topk": lambda s, d: search.nearest(_vectors(s, d), _vector_queries(s, d), 10).select("query_id", "rank", F.round("score", 3).alias("score")),
     "rrf_hybrid": lambda s, d: _hybrid(s, d),
     "sufficiency": lambda s, d: search.sufficient(_hybrid(s, d)),
     "rerank_overlap": lambda s, d: search.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d), 10).join(t.table(s, d, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").join(_queries(s, d), "query_id").select(

@@ -1,10 +1,13 @@
 """Every registered query against its SQL, and exact values of operators."""
 
+import collections
 import datetime as dt
 import math
+import re
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +82,37 @@ def test_returns(spark):
     assert (r.ret_t0, r.ret_t1, r.ret_t3) == (-2 / 150, 4 / 148, None)
 
 
+def test_hybrid_answers_all(spark, con):
+    """Both sides by brute force: every benchmark item, and every vector whose id is divisible by 20."""
+    docs = {i: re.findall("[a-z0-9]+", (x or "").lower()) for i, x in con.execute("SELECT doc_id, text FROM documents").fetchall()}
+    tf = {i: collections.Counter(x) for i, x in docs.items()}
+    df = collections.Counter(w for x in tf.values() for w in x)
+    mean = sum(map(len, docs.values())) / len(docs)
+    idf = {w: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    expected = {}
+
+    def ranked(query, scores):
+        for k, (_, i) in enumerate(sorted((-round(x, 6), i) for i, x in scores.items())[:20]):
+            n, score = expected.get((query, i), (0, 0.0))
+            expected[query, i] = n + 1, score + 1 / (60 + k + 1)
+
+    items = con.execute("SELECT item_id, text FROM benchmark").fetchall()
+    for q, body in items:
+        terms = set(re.findall("[a-z0-9]+", body.lower()))
+        ranked(q, {i: sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * len(docs[i]) / mean)) for w in terms if w in c) for i, c in tf.items() if any(w in c for w in terms)})
+    ids, vectors = zip(*con.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall())
+    m = np.array(vectors, dtype=np.float64)
+    for q in (i for i in ids if i % 20 == 0):
+        ranked(q, dict(zip(ids, (m @ m[ids.index(q)]).tolist())))
+    got = {(r.query_id, r.doc_id): (r.n_lists, r.score) for r in catalogue.QUERIES["rrf_hybrid"](spark, SF).collect()}
+    queries = {q for q, _ in got}
+    assert queries == {q for q, _ in items} | {i for i in ids if i % 20 == 0} and len(queries) > 20
+    # Sums in another order may exchange neighbours of one rounded score.
+    assert len(set(got) ^ set(expected)) <= 0.002 * len(expected)
+    assert sum(abs(got[k][1] - expected[k][1]) > 1e-6 for k in set(got) & set(expected)) <= 0.002 * len(expected)
+    assert {r.query_id for r in catalogue.QUERIES["sufficiency"](spark, SF).collect()} == queries
+
+
 def test_fusion(spark):
     ranked = lambda ids: spark.createDataFrame([(1, i, k + 1) for k, i in enumerate(ids)], "query_id int, doc_id string, rank int")
     assert search.fuse([ranked(["a1"])]).head().score == round(1 / 61, 9)
