@@ -38,11 +38,17 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, most: int = 10_000) -> DataFrame:
-    """Exact nearest vectors of a stated, bounded set of queries (vectors of unit length)."""
-    if queries.count() > most:
-        raise ValueError(f"more than {most} query vectors at once")
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("score"))
-    return top_k(scored, k)
+    """Exact nearest vectors of each query (vectors of unit length), in blocks of about half of most query vectors,
+    dealt by id; ids are held to be distinct. Each block is broadcast by itself, and one plan holds them all."""
+    n = queries.count()
+    blocks = -(-2 * n // most) if n > most else 1
+    out = None
+    for b in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        scored = vectors.crossJoin(F.broadcast(part)).select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("score"))
+        best = top_k(scored, k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:

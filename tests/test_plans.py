@@ -113,6 +113,15 @@ def test_hybrid_answers_all(spark, con):
     assert {r.query_id for r in catalogue.QUERIES["sufficiency"](spark, SF).collect()} == queries
 
 
+def test_nearest_in_blocks(spark):
+    e = tables.table(spark, SF, "embeddings")
+    vectors = e.select(F.col("vec_id").alias("doc_id"), "embedding")
+    some = e.filter("vec_id < 60").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    whole = search.nearest(vectors, some, 3)
+    cut = search.nearest(vectors, some, 3, most=25)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 180
+
+
 def test_fusion(spark):
     ranked = lambda ids: spark.createDataFrame([(1, i, k + 1) for k, i in enumerate(ids)], "query_id int, doc_id string, rank int")
     assert search.fuse([ranked(["a1"])]).head().score == round(1 / 61, 9)
