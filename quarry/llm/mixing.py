@@ -202,10 +202,10 @@ def cut_words(text: str, pieces: list[tuple[int, int]], size: int) -> list[str]:
             for first, words in pieces]
 
 
-def mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, plan: DataFrame | None = None, **options) -> DataFrame:
     """The mix itself: rows with the columns of docs (doc_id, text, source, n_chars and others), a row for each piece
-    taken, text and n_chars being the piece's; shards are partitions, each in a local random order. docs should be a scan."""
-    plan = stored(plan_mix(docs, seed=seed, **options), "mix-plan").filter(F.size("pieces") > 0)
+    taken, text and n_chars being the piece's; shards are partitions, each in a local random order. docs should be a scan. plan: a stored plan_mix of the same docs and seed."""
+    plan = (stored(plan_mix(docs, seed=seed, **options), "mix-plan") if plan is None else plan).filter(F.size("pieces") > 0)
     names, schema = docs.columns, docs.schema
     row, mate, size, piece, shard, place = fresh(docs, "__row", "__mate", "__size", "__piece", "__shard", "__place")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())

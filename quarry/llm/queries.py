@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, id_coder, jaccard_join, kn_lm, langid, line_dedup, mixing, packing, quality
-from .common import crc_bucket
+from .common import WORD_BREAKS, crc_bucket, stored
 
 #: Vocabulary files of public tokenizers.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -29,9 +29,13 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_mix(_documents(spark, sf_dir))
-    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"])
-    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    docs = _documents(spark, sf_dir).withColumn("__mixed", F.monotonically_increasing_id())
+    plan = stored(mixing.plan_mix(docs), "mix-plan")
+    # What was taken is counted in the mix itself: the words of each piece, by the row it came from.
+    words = F.size(F.filter(F.split("text", f"[{WORD_BREAKS.decode()}]+"), lambda w: w != "")).cast("long")
+    taken = mixing.mix(docs, plan=plan).groupBy("__mixed").agg(F.sum(words).alias("taken"))
+    rows = plan.join(taken, F.col("__row") == F.col("__mixed"), "left")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

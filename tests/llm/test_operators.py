@@ -231,6 +231,17 @@ def test_quality(docs, rows, empty):
     assert not any(r.kept and r.base_failed for r in got) and quality.judge(empty, path).count() == 0
 
 
+def test_mixing_query_counts_the_mix(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_mixing(spark, str(tmp_path)).collect()
+    exp = mixing.plan_mix(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(str((r.doc_id, r["size"], r.source_size, r.target, sum(p.words for p in r.pieces))) for r in exp)
+    whole = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda *a, **k: whole(*a, **k).limit(5))
+    less = queries.op2_mixing(spark, str(tmp_path)).collect()
+    assert len(less) == len(got) and sum(r.taken for r in less) < sum(r.taken for r in got)
+
+
 def planted_junk():
     rng = random.Random(11)
     letters = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(rng.randint(3, 9)))
