@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, id_coder, jaccard_join, kn_lm, langid, line_dedup, mixing, packing, quality
-from .common import WORD_BREAKS, crc_bucket, stored
+from .common import crc_bucket, lean, stored
 
 #: Vocabulary files of public tokenizers.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -31,9 +32,15 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).withColumn("__mixed", F.monotonically_increasing_id())
     plan = stored(mixing.plan_mix(docs), "mix-plan")
-    # What was taken is counted in the mix itself: the words of each piece, by the row it came from.
-    words = F.size(F.filter(F.split("text", f"[{WORD_BREAKS.decode()}]+"), lambda w: w != "")).cast("long")
-    taken = mixing.mix(docs, plan=plan).groupBy("__mixed").agg(F.sum(words).alias("taken"))
+
+    def counted(tables):
+        for t in tables:
+            yield pa.record_batch([t.column("__mixed"), pa.array([len(x.encode().split()) for x in t.column("text").to_pylist()], pa.int64())], ["__mixed", "words"])
+
+    # What was taken is counted in the mix itself: the words of each piece, by the row it came from. Counted in Python, in
+    # the mix's order: under an aggregate alone Spark would leave out the local shuffle.
+    words = mixing.mix(docs, plan=plan).mapInArrow(lean(counted), "__mixed long, words long")
+    taken = words.groupBy("__mixed").agg(F.sum("words").alias("taken"))
     rows = plan.join(taken, F.col("__row") == F.col("__mixed"), "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
