@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import uuid
 
 import numpy as np
@@ -31,10 +32,12 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir. The setting is read from the session; where it is unset
-    (tests, single machine) a folder in the working directory is set."""
+    """A fresh folder below spark.checkpoint.dir. The setting is read from the session; where it is unset and
+    everything runs in one process (tests), a folder in the working directory is set. On a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.abspath("spark-warehouse/shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -68,6 +71,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, column: str) -> DataFrame:
+    """docs with a number for each row, given once and stored with it: however often the rows are read, and whatever
+    the cluster has become by then, a row keeps its number."""
+    return stored(docs.withColumn(column, F.monotonically_increasing_id()), "numbered")
+
+
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """df, dealt out once more, evenly: a join on keys then stands in another stage than the aggregate or window that
+    made df, and Spark can split a hot key of the other side."""
+    return df.repartition(F.xxhash64(*keys))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift-multiply)."""
     x = x ^ (x >> _U(30))
@@ -97,10 +112,50 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of buf[start:end]. Equal spans have equal hashes; two different ones meet with a chance of
+    2**-64. A polynomial over the bytes, taken for all spans at once from its prefix sums."""
+    up, down = _power(len(buf))
+    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum(_TABLE[buf] * up, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0x2545F4914F6CDD1D))
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start and size, end to end."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of texts, end to end, and their edges; null is the empty text."""
+    column = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    buf = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return buf[edges[0] : edges[-1]], edges - edges[0]
+
+
+def binary(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """values[edges[i]:edges[i + 1]] as bytes, a row for each i."""
+    offsets = (edges * values.itemsize).astype(np.int64 if len(values) * values.itemsize >= 1 << 31 else np.int32)
+    kind = pa.binary() if offsets.dtype == np.int32 else pa.large_binary()
+    return pa.Array.from_buffers(kind, len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def text_groups(edges: np.ndarray, limit: int = 1 << 20):
+    """Ranges (first, end) of consecutive texts with at most limit bytes, or one text."""
+    i, n = 0, len(edges) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + limit, side="right")) - 1)
+        yield i, j
+        i = j
+
+
 def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, in order; offsets of each text's words (len(texts) + 1);
     and the words' lengths in bytes. Equal words have equal hashes; two different ones meet with a chance of
-    2**-64. A polynomial over the bytes, taken for all words at once from its prefix sums."""
+    2**-64."""
     texts = [t or b"" for t in texts]
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     if lower:
@@ -109,13 +164,8 @@ def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarr
     inner = ~gap
     starts = np.flatnonzero(inner & np.concatenate(([True], gap[:-1])))
     ends = np.flatnonzero(gap & np.concatenate(([False], inner[:-1])))
-    up, down = _power(len(buf))
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[buf] * up, out=sums[1:])
-    sizes = ends - starts
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + sizes.astype(np.uint64) * _U(0x2545F4914F6CDD1D))
     edges = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(starts, edges), sizes
+    return span_hashes(buf, starts, ends), np.searchsorted(starts, edges), ends - starts
 
 
 def batches(rows, limit: int = 1 << 20):

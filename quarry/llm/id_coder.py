@@ -25,13 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mounted, shared_dir
-from .tokens import encoder
+from .common import binary, lean, mounted, shared_dir, text_bytes, text_groups
+from .tokens import encoder, with_end
 
 MAGIC = b"IDCM2\n"
-#: Ids of a block: as many as give LANES blocks side by side, within these limits. Larger blocks code a little better
-#: (2048 ids by 1% against 1024); a step has a cost however few lanes it has, so a small chunk takes smaller blocks.
-LEAST_BLOCK_IDS, BLOCK_IDS, LANES = 512, 4096, 4096
+#: Ids of a block. Larger blocks code a little better (2048 ids by 1% against 1024), and fewer lie side by side.
+BLOCK_IDS = 1024
 #: Ids of one chunk at most (but for one longer document): they and their models are in memory together.
 CHUNK_IDS = 6_000_000
 #: Contexts of one order that a block remembers (a power of two).
@@ -283,7 +282,7 @@ def decode_blocks(codes: list[bytes], counts: list[int], vocabulary: int) -> np.
 
 
 def write_chunk(f, keys: list[int | None], counts: list[int], ids: np.ndarray, vocabulary: int) -> None:
-    size = min(BLOCK_IDS, max(LEAST_BLOCK_IDS, -(-len(ids) // LANES)))
+    size = BLOCK_IDS
     blocks = encode_blocks(ids, vocabulary, size)
     known = np.array([k is not None for k in keys], dtype=np.uint8).tobytes()
     table = np.array([k or 0 for k in keys], dtype="<i8").tobytes() + known + np.array(counts, dtype="<u4").tobytes()
@@ -333,27 +332,27 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "
         os.makedirs(folder, exist_ok=True)
         part, tmp, held, total = TaskContext.get().partitionId(), f"{folder}/.{uuid.uuid4().hex}", 0, 0
         keys, counts, parts = [], [], []
-        tail = np.array([end_id], dtype="<u4").tobytes()
         with open(tmp, "wb") as f:
             f.write(MAGIC)
 
             def flush():
                 if keys:
-                    write_chunk(f, keys, counts, np.frombuffer(b"".join(parts), dtype="<u4"), size)
+                    write_chunk(f, keys, counts, np.concatenate(parts), size)
                     keys.clear(), counts.clear(), parts.clear()
 
             for t in tables:
-                for group in batches(zip(*(c.to_pylist() for c in t.columns))):
-                    for (key, _), raw in zip(group, enc.encode([x for _, x in group])):
-                        n = len(raw) // 4 + 1
-                        if held and held + n > CHUNK_IDS:
-                            flush()
-                            held = 0
-                        keys.append(key)
-                        counts.append(n)
-                        parts.append(raw + tail)
-                        held += n
-                        total += n
+                buf, edges = text_bytes(t.column(1))
+                names = t.column(0).to_pylist()
+                for i, j in text_groups(edges):
+                    ids, ends = with_end(*enc.ids(buf[edges[i] : edges[j]], edges[i : j + 1] - edges[i]), end_id)
+                    if held and held + len(ids) > CHUNK_IDS:
+                        flush()
+                        held = 0
+                    keys += names[i:j]
+                    counts += np.diff(ends).tolist()
+                    parts.append(ids)
+                    held += len(ids)
+                    total += len(ids)
             flush()
         # An attempt that fails leaves no file of this name.
         final = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex[:8]}.idcm"
@@ -361,7 +360,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([final]), pa.array([total], pa.int64())], ["range", "path", "n"])
 
     # One row for each file; later parts of the work read files of these names only.
-    files = sorted(rows.mapInArrow(run, "range int, path string, n long").collect())
+    files = sorted(rows.mapInArrow(lean(run), "range int, path string, n long").collect())
     return folder, files
 
 
@@ -389,4 +388,4 @@ def read_ids(spark, files: list) -> DataFrame:
                     at += int(ends[-1])
 
     paths = spark.sparkContext.parallelize(listed, len(listed))
-    return spark.createDataFrame(paths, "path string, at long").mapInArrow(run, schema)
+    return spark.createDataFrame(paths, "path string, at long").mapInArrow(lean(run), schema)

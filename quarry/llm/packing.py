@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, lean, stored
-from .tokens import encoder
+from .common import binary, lean, stored, text_bytes, text_groups
+from .tokens import encoder, with_end
 
 WINDOW = 1024
 
@@ -33,23 +33,17 @@ def token_stream(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "d
 
     def run(tables):
         enc = encoder(vocabulary)
-        wide = "<u4" if max(enc.model.get_vocab_size(), end_id) > 1 << 16 else "<u2"
+        wide = "<u4" if max(enc.model.get_vocab_size(), end_id + 1) > 1 << 16 else "<u2"
         part, before = TaskContext.get().partitionId(), 0
         for table in tables:
-            rows = zip(table.column(0).to_pylist(), table.column(1).to_pylist())
-            for group in batches(rows):
-                keys, counts, starts, blobs = [], [], [], []
-                for (key, _), raw in zip(group, enc.encode([t for _, t in group])):
-                    ids = np.frombuffer(raw, dtype="<u4")
-                    keys.append(key)
-                    counts.append(len(ids) + 1)
-                    starts.append(before)
-                    blobs.append(np.append(ids, end_id).astype(wide).tobytes())
-                    before += len(ids) + 1
-                yield pa.record_batch([pa.array([part] * len(keys), pa.int32()), pa.array(starts, pa.int64()), pa.array(keys, pa.int64()),
-                                       pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], ["part", "before", "doc_id", "doc_tokens", "ids"])
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), _TOKENS)
+            buf, edges = text_bytes(table.column(1))
+            for i, j in text_groups(edges):
+                ids, ends = with_end(*enc.ids(buf[edges[i] : edges[j]], edges[i : j + 1] - edges[i]), end_id)
+                yield pa.record_batch([pa.array(np.full(j - i, part, dtype=np.int32)), pa.array(before + ends[:-1]), table.column(0).slice(i, j - i),
+                                       pa.array(np.diff(ends)), binary(ids.astype(wide), ends)], ["part", "before", "doc_id", "doc_tokens", "ids"])
+                before += int(ends[-1])
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(run), _TOKENS)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

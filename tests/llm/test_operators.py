@@ -122,6 +122,35 @@ def test_ids(name):
     assert enc.encode(odd) == plain and enc.encode(odd) == plain
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_the_plain_call(name):
+    """Against an untouched tokenizer: strings of special tokens, capitals before combining marks, stops, many texts."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", " T\u0308x", "I\u0307", "E\u0301a", "Word.", "word,", "a.b", "7", " 7 ", "77,", "x7.", "\u00a0", "\u3000", "\u0085",
+             " ", "  ", "\n", "\n\n", "\r\n", "it's", "'S", "\u65e5\u672c", "\u306e", "e.", "\U0001f600", "\u00e9."]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(800)] + ["<|endoftext|> x", "x<|endoftext|>", "", "word " * 9000]
+    plain = [np.array(x.ids, dtype="<u4").tobytes() for x in Tokenizer.from_file(queries.vocabulary(name)).encode_batch(odd, add_special_tokens=False)]
+    enc = tokens.Encoder(queries.vocabulary(name))
+    assert enc.encode(odd) == plain and enc.encode(odd) == plain
+    as_text = Tokenizer.from_file(queries.vocabulary(name))
+    as_text.encode_special_tokens = True
+    plain = [np.array(x.ids, dtype="<u4").tobytes() for x in as_text.encode_batch(odd, add_special_tokens=False)]
+    assert tokens.Encoder(queries.vocabulary(name), special_as_text=True).encode(odd) == plain
+
+
+def test_ids_with_little_memory(monkeypatch):
+    """Chunks that are forgotten, or that share a place, are encoded anew."""
+    monkeypatch.setattr(tokens, "PLACES", 16)
+    monkeypatch.setattr(tokens, "POOL_IDS", 300)
+    enc = tokens.Encoder(queries.vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    for _ in range(20):
+        some = [" ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(rng.choice([3, 40, 500]))) for _ in range(5)]
+        assert enc.encode(some) == [np.array(x.ids, dtype="<u4").tobytes() for x in enc.model.encode_batch(some, add_special_tokens=False)]
+
+
 def test_packing(docs, rows, empty):
     vocabulary = queries.vocabulary("byte_bpe_50k.json")
     pieces = packing.pack(docs, vocabulary)
@@ -167,7 +196,7 @@ def test_id_blocks():
     rng = np.random.default_rng(3)
     for ids in (np.zeros(0, int), np.array([5]), rng.integers(0, 50_000, 9001), np.full(8192, 49_999), rng.choice([1, 2, 40_000], 5000), np.tile(rng.integers(0, 50_000, 50), 300)):
         codes = id_coder.encode_blocks(ids, 50_000)
-        counts = [min(4096, len(ids) - 4096 * k) for k in range(len(codes))]
+        counts = [min(id_coder.BLOCK_IDS, len(ids) - id_coder.BLOCK_IDS * k) for k in range(len(codes))]
         assert (id_coder.decode_blocks(codes, counts, 50_000) == ids).all()
 
 
