@@ -11,10 +11,10 @@ def normalized_title(title: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " ")), F.lit(""))
 
 
-def fingerprint(title: Column, published: Column) -> Column:
-    """16 hex digits of the title without punctuation and its two-hour window."""
-    clean = F.trim(F.lower(F.regexp_replace(title, r"(?U)[^\w\s]", "")))
-    hour = F.date_format(F.date_trunc("hour", published) - F.make_dt_interval(hours=F.hour(published) % 2), "yyyy-MM-dd HH:mm:ss")
+def fingerprint(title: Column, published: Column, offset: str = "+00:00") -> Column:
+    """16 hex digits of the title without punctuation and its two-hour window, an ISO time with its offset."""
+    clean = F.regexp_replace(F.lower(F.regexp_replace(title, r"(?U)[^\w\s]", "")), r"(?U)^\s+|\s+$", "")
+    hour = F.concat(F.date_format(F.date_trunc("hour", published) - F.make_dt_interval(hours=F.hour(published) % 2), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(offset))
     return F.substring(F.sha2(F.concat(clean, F.lit("|"), hour), 256), 1, 16)
 
 
@@ -22,17 +22,30 @@ def language(text: Column) -> Column:
     return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "unknown").when(text.rlike("[㐀-鿿]"), "non_target_language").otherwise("en")
 
 
+#: Prefixes of parameters that only track a visitor. Fixed values.
+TRACKING = ["utm_", "ref_", "mc_"]
+
+
+def _encoded(part: Column) -> Column:
+    """A part of a query as a form writes it."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no fragment, no tracking parameters, sorted parameters, no trailing slash on short paths."""
+    """Lower-case scheme and host (with its port, without a user), no fragment, no tracking parameters, parameters
+    written in one way and sorted by name and value, no trailing slash on short paths."""
     bare = F.regexp_replace(url, "#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1))
+    host = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)", 1))
     path = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1)
     slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
     path = F.when(path == "/", "").when((slashes == 2) & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^(utm_|ref_|mc_)")))
-    joined = F.array_join(kept, "&")
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(
+        F.substring_index(p, "=", 1).alias("k"), F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("").alias("v")))
+    kept = F.filter(pairs, lambda p: ~F.lower(F.coalesce(F.try_url_decode(p["k"]), p["k"])).rlike("^(" + "|".join(TRACKING) + ")"))
+    kept = F.array_sort(F.transform(kept, lambda p: F.struct(F.coalesce(F.try_url_decode(p["k"]), p["k"]).alias("k"), F.coalesce(F.try_url_decode(p["v"]), p["v"]).alias("v"))))
+    joined = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     return F.concat(scheme, F.lit("://"), host, path, F.when(joined == "", "").otherwise(F.concat(F.lit("?"), joined)))
 
 
@@ -42,12 +55,18 @@ def sentences(text: Column, least: int = 12, most: int = 30) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: w != ""))
+    """Distinct lower-case words between white space, punctuation and all."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""))
+
+
+def terms(text: Column) -> Column:
+    """Distinct lower-case runs of letters, digits and underscores of any script."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)))
 
 
 def overlap(query: Column, text: Column) -> Column:
-    """Share of the query's words that the text has."""
-    return F.size(F.array_intersect(words(query), words(text))) / F.greatest(F.lit(1), F.size(words(query)))
+    """Share of the query's terms that the text has."""
+    return F.size(F.array_intersect(terms(query), terms(text))) / F.greatest(F.lit(1), F.size(terms(query)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -61,11 +80,11 @@ def markdown_row(*columns: Column) -> Column:
 
 
 def error_class(message: Column) -> Column:
-    """Ordered rules over the words of an error message."""
-    m, out = F.lower(message), F.lit("other")
-    # Words and classes, the first that matches decides.
-    rules = [("429|rate limit", "rate_limit"), ("401|403|auth", "auth"), ("timeout|timed out", "timeout"), ("404|not found", "not_found"),
-             ("5[0-9][0-9]", "server"), ("parse|json", "parse"), ("empty", "empty")]
-    for words_, name in reversed(rules):
-        out = F.when(m.rlike(words_), name).otherwise(out)
-    return out
+    """The class of an error message by ordered rules; null for no message."""
+    m, out = F.lower(message), F.lit("fetch")
+    # Patterns and classes, the first that matches decides.
+    rules = [("429|rate", "rate_limit"), ("timeout", "timeout"), ("50[0234]", "server_error"), ("^ingest:", "ingest"), ("^clean:", "clean"),
+             ("^transform:", "transform"), ("^storage:", "storage")]
+    for pattern, name in reversed(rules):
+        out = F.when(m.rlike(pattern), name).otherwise(out)
+    return F.when(F.coalesce(message, F.lit("")) != "", out)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-THRESHOLD, PENALTY, K_SUFFICIENT, K_PARTIAL, M_THRESHOLD = 0.25, 0.9, 1, 2, 0.3
+# Thresholds of grading and the number of expansions of a search.
+THRESHOLD, PENALTY, K_SUFFICIENT, K_PARTIAL, M_THRESHOLD, MAX_EXPANSIONS = 0.25, 0.9, 1, 1, 0.3, 2
 # Dollars for a million tokens, in and out.
 PRICES = {"user": (3.0, 15.0), "assistant": (0.8, 4.0)}
 
@@ -15,26 +16,53 @@ def penalised(relevance: Column, temporal_match: Column) -> Column:
 
 
 def magnitude_coverage(mean: Column, n: Column) -> Column:
-    return F.coalesce(F.least(F.lit(1.0), mean * F.least(F.lit(1.0), n / K_PARTIAL)), F.lit(0.0))
+    return F.least(F.lit(1.0), F.coalesce(mean, F.lit(0.0)) * F.least(F.lit(1.0), n / K_PARTIAL))
 
 
 def critic(graded: DataFrame) -> DataFrame:
-    """case_id, n, coverage, decision of graded chunks (case_id, relevance, temporal_match)."""
+    """case_id, n, coverage, decision and next_action of graded chunks (case_id, relevance, temporal_match)."""
     rows = graded.withColumn("r", penalised(F.col("relevance"), F.col("temporal_match")))
     kept = F.col("r") > THRESHOLD
-    out = rows.groupBy("case_id").agg(F.count_if(kept).alias("n"), F.avg(F.when(kept, F.col("r"))).alias("mean"), F.max(F.when(kept, F.col("r"))).alias("best"))
+    # A single chunk decides by itself if it is relevant enough and of the right time.
+    sure = kept & (F.col("r") >= 0.8) & F.coalesce("temporal_match", F.lit(False))
+    out = rows.groupBy("case_id").agg(F.count_if(kept).alias("n"), F.avg(F.when(kept, F.col("r"))).alias("mean"), F.max(sure).alias("sure"))
     out = out.withColumn("coverage", F.round(magnitude_coverage(F.col("mean"), F.col("n")), 6))
     enough = (F.col("n") >= K_SUFFICIENT) & (F.col("coverage") >= M_THRESHOLD)
-    decision = F.when(F.col("n") == 0, "insufficient").when((F.col("n") == 1) & (F.col("best") >= 0.8), "sufficient").when(enough, "sufficient").otherwise("partial")
-    return out.select("case_id", "n", "coverage", decision.alias("decision"))
+    decision = F.when(F.col("n") == 0, "insufficient").when((F.col("n") == 1) & F.col("sure"), "sufficient").when(enough, "sufficient").otherwise("partial")
+    return out.select("case_id", "n", "coverage", decision.alias("decision"), F.when(decision == "insufficient", "refuse").otherwise("proceed").alias("next_action"))
 
 
 def route(guards: DataFrame) -> DataFrame:
-    """The edge each case takes. Guards are nullable; only a false one stops a case."""
-    edge = (F.when(F.col("error") == F.lit(True), "system_error").when(F.col("ticker_consistent") == F.lit(False), "insufficient")
-            .when(F.col("session_valid") == F.lit(False), "insufficient").when(F.col("magnitude_plausible") == F.lit(False), "insufficient")
-            .when(F.col("decision").isNull(), "system_error").when(F.col("decision") == "insufficient", "insufficient").otherwise("judge"))
-    return guards.withColumn("edge", edge)
+    """The edge each case takes, and why. Guards are nullable; only a false one stops a case. guards: error,
+    ticker_consistent, session_valid, magnitude_plausible, next_action (null: no decision), n_graded, expansions."""
+    false = F.lit(False)
+    used = F.coalesce("expansions", F.lit(0))
+    rules = [
+        (F.col("error") == F.lit(True), "system_error", "upstream_system_error"),
+        (F.col("ticker_consistent") == false, "insufficient", "ticker_mismatch_guard"),
+        (F.col("session_valid") == false, "insufficient", "market_session_guard"),
+        (F.col("magnitude_plausible") == false, "insufficient", "magnitude_guard"),
+        (F.col("next_action").isNull(), "insufficient", "missing_critic_decision"),
+        ((F.col("next_action") == "proceed") & (F.coalesce("n_graded", F.lit(0)) == 0), "insufficient", "empty_graded_evidence_guard"),
+        (F.col("next_action") == "proceed", "judge", "critic_proceed"),
+        ((F.col("next_action") == "expand_macro") & (used < MAX_EXPANSIONS), "expand_macro", "critic_expand_macro"),
+        (F.col("next_action") == "expand_macro", "insufficient", "expansions_exhausted"),
+        (F.col("next_action") == "expand_related", "insufficient", "layer3_not_implemented"),
+    ]
+    out = F.struct(F.lit("insufficient").alias("edge"), F.lit("critic_refused").alias("edge_reason"))
+    for when, edge, reason in reversed(rules):
+        out = F.when(when, F.struct(F.lit(edge).alias("edge"), F.lit(reason).alias("edge_reason"))).otherwise(out)
+    return guards.withColumn("__to", out).withColumns({"edge": F.col("__to.edge"), "edge_reason": F.col("__to.edge_reason")}).drop("__to")
+
+
+def expand(cases: DataFrame) -> DataFrame:
+    """Cases that are to search once more: the macro layer, one expansion more, and the reason kept once."""
+    again = F.col("edge") == "expand_macro"
+    reasons = F.coalesce("expansion_reasons", F.array().cast("array<string>"))
+    return cases.withColumns({
+        "layer": F.when(again, "macro").otherwise(F.col("layer")),
+        "expansions": F.coalesce("expansions", F.lit(0)) + again.cast("int"),
+        "expansion_reasons": F.when(again, F.array_union(reasons, F.array(F.lit("critic_expand_macro")))).otherwise(reasons)})
 
 
 def final_status(decision: Column, failure: Column) -> Column:

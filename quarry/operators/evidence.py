@@ -16,12 +16,21 @@ def layer(source_type: Column) -> Column:
     return out
 
 
-def scoped(assets: DataFrame, ticker: str, first: str, last: str, kinds: list[str] | None = None) -> DataFrame:
-    """Conjunctive evidence filter, scored 1/rank by latest date, then id."""
-    rows = assets.filter((F.col("ticker") == ticker) & F.col("reference_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-    rows = rows.filter(F.col("source_type").isin(kinds)) if kinds else rows
-    order = Window.partitionBy("ticker").orderBy(F.desc("reference_date"), "asset_id")
-    return rows.withColumn("score", 1 / F.row_number().over(order))
+def scoped(assets: DataFrame, ticker: str, first: str, last: str, layer_name: str = "direct", top: int | None = None) -> DataFrame:
+    """The layer's assets in a window of days, scored 1/rank by latest date, then id; the first top of them. Direct
+    evidence is the ticker's own; macro evidence is everybody's. Known duplicates are left out."""
+    rows = assets.filter(F.col("reference_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")) & F.col("source_type").isin(LAYERS[layer_name])
+                         & ~F.coalesce("is_duplicate", F.lit(False)))
+    rows = rows.filter(F.col("ticker") == ticker) if layer_name == "direct" else rows
+    # Ranks in two steps, so that no window holds all rows: inside a day, and after the later days.
+    days = rows.groupBy("reference_date").agg(F.count(F.lit(1)).alias("__n"))
+    later = F.coalesce(F.sum("__n").over(Window.orderBy(F.desc("reference_date")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(F.col("reference_date").alias("__day"), later.alias("__later"))  # one row a day
+    inside = F.row_number().over(Window.partitionBy("reference_date").orderBy("asset_id"))
+    rows = rows.withColumn("__inside", inside).join(days, F.col("reference_date") == F.col("__day"))
+    rows = rows.withColumn("rank", F.col("__later") + F.col("__inside")).drop("__inside", "__day", "__later")
+    rows = rows.filter(F.col("rank") <= top) if top else rows
+    return rows.withColumn("score", 1 / F.col("rank"))
 
 
 def window_join(cases: DataFrame, assets: DataFrame, days: int = 3, by_ticker: bool = False) -> DataFrame:
@@ -53,37 +62,41 @@ def hard_duplicates(news: DataFrame) -> DataFrame:
 
 
 def cross_source_pairs(articles: DataFrame, hours: int = 4) -> DataFrame:
-    """Pairs with one URL, or one title and ticker less than some hours apart: an OR split into two equi-joins; for
-    the second, times fall in buckets of that length and only neighbouring buckets meet."""
+    """Links of articles of one URL, or of one title and ticker less than some hours apart: an OR split in two. Not all
+    pairs of a group, which grow with its square, but enough to connect what they connect: each article with the first
+    of its URL, and with the one before it in time of its title and ticker, if that is near enough."""
     a = articles.select("asset_id", "url", "ticker", text.normalized_title(F.col("title")).alias("t"), F.unix_timestamp(F.col("published").cast("timestamp")).alias("at"))
-    b = a.select(*(F.col(c).alias(f"b_{c}") for c in a.columns))
-    by_url = a.filter("url is not null").join(b, (F.col("url") == F.col("b_url")) & (F.col("asset_id") < F.col("b_asset_id")))
-    width = hours * 3600
-    near = a.filter("t is not null").withColumn("slot", F.explode(F.array(*((F.floor(F.col("at") / width) + k) for k in (-1, 0, 1)))))
-    other = b.withColumn("b_slot", F.floor(F.col("b_at") / width))
-    by_title = near.join(other, (F.col("slot") == F.col("b_slot")) & (F.col("t") == F.col("b_t")) & (F.col("ticker") == F.col("b_ticker")) & (F.col("asset_id") < F.col("b_asset_id")))
-    by_title = by_title.filter(F.abs(F.col("at") - F.col("b_at")) < width)
-    return by_url.select("asset_id", "b_asset_id").union(by_title.select("asset_id", "b_asset_id")).distinct()
+    firsts = a.filter("url is not null").groupBy(F.col("url").alias("__url")).agg(F.min("asset_id").alias("first"))
+    by_url = a.join(firsts, F.col("url") == F.col("__url")).filter("first <> asset_id").select(F.col("first").alias("asset_id"), F.col("asset_id").alias("b_asset_id"))
+    # Only neighbours in time meet; the line of a title and ticker is ordered by Spark's sort, not gathered.
+    line = Window.partitionBy("t", "ticker").orderBy("at", "asset_id")
+    by_title = a.filter("t is not null and ticker is not null").select(F.lag("asset_id").over(line).alias("before"), "asset_id", (F.col("at") - F.lag("at").over(line)).alias("gap"))
+    by_title = by_title.filter(F.col("gap") < hours * 3600).select(F.least("before", "asset_id").alias("asset_id"), F.greatest("before", "asset_id").alias("b_asset_id"))
+    return by_url.union(by_title).distinct()
 
 
 def canonical(articles: DataFrame, group: str) -> DataFrame:
     """The best of each group: by source priority, then earliest, then longest body."""
-    # Source priority.
-    rank = F.when(F.col("source_type") == "polygon_news", 0).when(F.col("source_type") == "fmp_fundamentals", 1).when(F.col("source_type") == "gdelt_news", 2).otherwise(3)
-    return first_seen(articles.withColumn("__rank", rank), group, ["__rank", "published", F.desc(F.length("body")), "asset_id"]).drop("__rank")
-
-
-def quality_flags(assets: DataFrame, least_chars: int = 200, spam: int = 5) -> DataFrame:
-    """The first reason against each asset, or null, and the share of six checks it passes. Title counts are joined,
-    so that a common title is one row on its side."""
-    rows = assets.withColumns({"t": text.normalized_title(F.col("title")), "lang": text.language(F.col("body")), "size": F.length(F.trim("body"))})
+    # Source priority; any other source comes last.
+    priority = ["polygon_news", "fmp_news", "finnhub_company_news", "gdelt_news"]
+    rank = F.lit(len(priority))
+    for k, name in enumerate(priority):
+        rank = F.when(F.col("source_type") == name, k).otherwise(rank)
+    blank = F.col("body").rlike(r"^\s*$")
+    return first_seen(articles.withColumns({"__rank": rank, "__blank": blank}), group, ["__rank", "published", F.desc(F.length("body")), "__blank", "asset_id"]).drop("__rank", "__blank")
+
+
+def quality_flags(articles: DataFrame, least_chars: int = 200, spam: int = 5) -> DataFrame:
+    """The first reason against each article (asset_id, title, source, published, body), or null, and the share of six
+    checks it passes. Title counts are joined, so that a common title is one row on its side."""
+    filled = lambda c: F.coalesce(c != "", F.lit(False))
+    rows = articles.withColumns({"t": text.normalized_title(F.col("title")), "lang": text.language(F.col("body")), "size": F.coalesce(F.length("body"), F.lit(0))})
     counts = rows.filter("t is not null").groupBy(F.col("t").alias("__t")).agg(F.count(F.lit(1)).alias("same"))
     rows = rows.join(counts, F.col("t") == F.col("__t"), "left").na.fill({"same": 0})
-    missing = F.col("t").isNull() | F.col("ticker").isNull() | F.col("reference_date").isNull()
-    reason = (F.when(F.coalesce("size", F.lit(0)) == 0, "short_text").when(missing, "missing_fields").when(F.col("size") < least_chars, "short_text")
+    named = [filled(F.col("title")), filled(F.col("published").cast("string")), filled(F.col("source"))]
+    reason = (F.when(F.col("size") == 0, "short_text").when(~(named[0] & named[1] & named[2]), "missing_fields").when(F.col("size") < least_chars, "short_text")
               .when(F.col("lang") != "en", "non_target_language").when(F.col("same") >= spam, "template_spam"))
-    checks = [F.col("t").isNotNull(), F.col("ticker").isNotNull(), F.col("reference_date").isNotNull(),
-              F.coalesce("size", F.lit(0)) >= least_chars, F.col("lang") == "en", F.col("same") < spam]
+    checks = [F.col("size") >= least_chars, *named, F.col("lang") == "en", F.col("same") < spam]
     return rows.select("asset_id", "ticker", "source_type", reason.alias("reason"), F.round(sum(c.cast("int") for c in checks) / len(checks), 3).alias("score"))
 
 

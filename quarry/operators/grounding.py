@@ -11,8 +11,8 @@ from quarry.functions.text import jaccard, words
 SWEEP = [0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50]
 #: Statuses that are never tried again, and the reasons that decide for the others. Fixed values.
 FINAL = ["QUEUED", "RUNNING", "SUCCEEDED", "FAILED_REQUEST"]
-RETRYABLE_PARTIAL = ["INCONCLUSIVE"]
-NON_RETRYABLE_INSUFFICIENT = ["NON_MATERIAL_MOVE"]
+TRY_PARTIAL_AGAIN = ["INCONCLUSIVE"]
+LEAVE_INSUFFICIENT = ["NON_MATERIAL_MOVE"]
 
 
 def cited(citations: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -53,8 +53,8 @@ def run_state(status: Column) -> Column:
 
 def retryable(status: Column, reason: Column) -> Column:
     state = run_state(status)
-    return (F.when(state.isin(FINAL), False).when(state == "FAILED_SYSTEM", True).when(state == "PARTIAL", F.coalesce(reason.isin(RETRYABLE_PARTIAL), F.lit(False)))
-            .when(state == "INSUFFICIENT", F.coalesce(~reason.isin(NON_RETRYABLE_INSUFFICIENT), F.lit(True))).otherwise(False))
+    return (F.when(state.isin(FINAL), False).when(state == "FAILED_SYSTEM", True).when(state == "PARTIAL", F.coalesce(reason.isin(TRY_PARTIAL_AGAIN), F.lit(False)))
+            .when(state == "INSUFFICIENT", F.coalesce(~reason.isin(LEAVE_INSUFFICIENT), F.lit(True))).otherwise(False))
 
 
 def category_accuracy(predicted: DataFrame, golden: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """All registered queries and their SQL, gathered from the modules of this folder."""
 
-from quarry.plans import corpus, judged, market, runs
+from quarry.plans import cases, corpus, evals, ingest, judged, market, runs
 
-QUERIES = market.QUERIES | corpus.QUERIES | runs.QUERIES | judged.QUERIES
-ORACLE_SQL = market.ORACLE_SQL | corpus.ORACLE_SQL | runs.ORACLE_SQL | judged.ORACLE_SQL
+QUERIES, ORACLE_SQL = {}, {}
+for module in (market, corpus, runs, judged, ingest, cases, evals):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
 #: The query that ``entry`` runs.
 FLAGSHIP = "rrf_hybrid"

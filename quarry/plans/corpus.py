@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 
 from quarry.functions import html, text
 from quarry.operators import evidence, search
-from quarry.plans.market import ASSETS, NEWS, r6
+from quarry.plans.market import ARTICLES, ASSETS, NEWS, r6
 from quarry.sources import tables as t
 
 NORM = "nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '')"
-FP = """substr(sha256(trim(lower(regexp_replace(title, '[^\\p{L}\\p{N}_\\s]', '', 'g'))) || '|' ||
-    strftime(date_trunc('hour', published) - to_hours(hour(published) % 2), '%Y-%m-%d %H:%M:%S')), 1, 16)"""
-QUALITY = ASSETS + f""", q AS (SELECT *, {NORM} AS t, length(trim(body)) AS size FROM assets),
+FP = """substr(sha256(regexp_replace(lower(regexp_replace(title, '[^\\p{L}\\p{N}_\\s]', '', 'g')), '^\\s+|\\s+$', '', 'g') || '|' ||
+    strftime(date_trunc('hour', published) - to_hours(hour(published) % 2), '%Y-%m-%dT%H:%M:%S') || '+00:00'), 1, 16)"""
+QUALITY = ARTICLES + f""", q AS (SELECT *, {NORM} AS t, coalesce(length(body), 0) AS size, CASE WHEN coalesce(trim(body), '') = '' THEN 'unknown' WHEN regexp_matches(body, '[㐀-鿿]') THEN 'other' ELSE 'en' END AS tongue FROM arts),
     c AS (SELECT t, count(*) AS same FROM q WHERE t IS NOT NULL GROUP BY 1),
     f AS (SELECT q.*, coalesce(c.same, 0) AS same FROM q LEFT JOIN c USING (t)),
-    flags AS (SELECT asset_id, ticker, source_type, CASE WHEN size = 0 THEN 'short_text' WHEN t IS NULL OR ticker IS NULL THEN 'missing_fields' WHEN size < 200 THEN 'short_text' WHEN same >= 5 THEN 'template_spam' END AS reason,
-    round(((t IS NOT NULL)::INT + (ticker IS NOT NULL)::INT + 1 + (size >= 200)::INT + (size > 0)::INT + (same < 5)::INT) / 6, 3) AS score FROM f)"""
+    flags AS (SELECT asset_id, ticker, source_type, CASE WHEN size = 0 THEN 'short_text' WHEN coalesce(title, '') = '' OR published IS NULL OR coalesce(source, '') = '' THEN 'missing_fields'
+        WHEN size < 200 THEN 'short_text' WHEN tongue <> 'en' THEN 'non_target_language' WHEN same >= 5 THEN 'template_spam' END AS reason,
+    round(((size >= 200)::INT + (coalesce(title, '') <> '')::INT + (published IS NOT NULL)::INT + (coalesce(source, '') <> '')::INT + (tongue = 'en')::INT + (same < 5)::INT) / 6, 3) AS score FROM f)"""
+PAGE_URL = """regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '')"""
 TOKS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
@@ -41,20 +43,30 @@ def _articles(s, d):
     pages = t.table(s, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
     n = pages.agg(F.count(F.lit(1)).alias("n"))
     a = t.news(s, d).crossJoin(F.broadcast(n))  # one row
-    return a.withColumn("page_id", F.col("asset_id") % (F.col("n") * 3)).join(pages, "page_id", "left").drop("n", "page_id")
+    return a.withColumn("page_id", F.col("asset_id") % F.col("n")).join(pages, "page_id", "left").drop("n", "page_id")
 
 
+def _tracked(s, d):
+    """Page addresses with tracking parameters, a user, capitals and codes in them."""
+    url = F.regexp_replace("url", "#.*$", "")
+    more = F.lit("utm_source=x&b=2&A=%7e+z&a=1&UTM_x=1&ref_src=y&c&mc_cid=9#frag")
+    url = F.concat(F.regexp_replace(url, "^https?://", "HTTPS://me@WWW."), F.when(F.contains(url, F.lit("?")), "&").otherwise("?"), more)
+    return t.table(s, d, "pages").select("page_id", url.alias("url"))
+
+
+_MESSAGES = ("HTTP 429", "Rate limit hit", "Read timeout", "HTTP 503", "502 bad gateway", "ingest: no rows", "clean: bad JSON", "transform: no text", "storage: disk full", "no route to host", "")
+
 QUERIES = {
     "dedup_hard_fingerprint": lambda s, d: t.news(s, d).select("asset_id", text.fingerprint(F.col("title"), F.col("published")).alias("fp")),
     "dedup_first_seen": lambda s, d: evidence.first_seen(t.news(s, d).select("asset_id", text.normalized_title(F.col("title")).alias("t")), "t", ["asset_id"]),
     "dedup_stats": lambda s, d: evidence.hard_duplicates(t.news(s, d)).agg(F.sum("n").alias("articles"), F.count(F.lit(1)).alias("distinct_articles")),
-    "canonical_url": lambda s, d: t.table(s, d, "pages").select("page_id", text.canonical_url(F.concat(F.col("url"), F.lit("?utm_source=x&b=2&a=1&ref_src=y#frag"))).alias("url")),
+    "canonical_url": lambda s, d: _tracked(s, d).select("page_id", text.canonical_url(F.col("url")).alias("url")),
     "cross_source_pairs": lambda s, d: evidence.cross_source_pairs(_articles(s, d)),
     "select_canonical": lambda s, d: evidence.canonical(t.news(s, d).withColumn("g", text.normalized_title(F.col("title"))).filter("g is not null"), "g").select("asset_id", "source_type"),
     "title_counts": lambda s, d: t.assets(s, d).select(text.normalized_title(F.col("title")).alias("t")).filter("t is not null").groupBy("t").agg(F.count(F.lit(1)).alias("n")),
-    "quality_flags": lambda s, d: evidence.quality_flags(t.assets(s, d)),
-    "eligibility_rate": lambda s, d: evidence.quality_flags(t.assets(s, d)).groupBy("source_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("reason").isNull().cast("double")), 6).alias("rate")),
-    "fallback_trigger": lambda s, d: evidence.quality_flags(t.assets(s, d)).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNull()).alias("good"), F.count_if(F.col("reason") == "short_text").alias("bad")).select(
+    "quality_flags": lambda s, d: evidence.quality_flags(t.articles(s, d)),
+    "eligibility_rate": lambda s, d: evidence.quality_flags(t.articles(s, d)).groupBy("source_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("reason").isNull().cast("double")), 6).alias("rate")),
+    "fallback_trigger": lambda s, d: evidence.quality_flags(t.articles(s, d)).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNull()).alias("good"), F.count_if(F.col("reason") == "short_text").alias("bad")).select(
         "ticker", evidence.fallback_reason(F.col("n"), F.col("bad"), F.lit(0.05), F.col("good")).alias("reason")),
     "language_profile": lambda s, d: t.table(s, d, "documents").groupBy(text.language(F.col("text")).alias("detected"), "lang").agg(F.count(F.lit(1)).alias("n")),
     "provider_audit": lambda s, d: t.table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.median("n_chars").alias("median_chars"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.count_if(F.col("n_chars") < 200).alias("n_short")),
@@ -63,7 +75,7 @@ QUERIES = {
     "html_clean": lambda s, d: html.clean_pages(t.table(s, d, "pages")),
     "md_table_render": lambda s, d: t.table(s, d, "nation").select(text.markdown_row(F.col("n_name"), F.col("n_regionkey").cast("string")).alias("line")),
     "news_markdown": lambda s, d: t.news(s, d).filter("source_type = 'polygon_news'").select("asset_id", F.length(F.concat(F.lit("## "), F.col("ticker"), F.lit(": "), F.col("title"), F.lit("\n\n"), F.col("body"))).alias("chars")),
-    "error_classes": lambda s, d: t.table(s, d, "events").select("event_id", text.error_class(F.element_at(F.array(*map(F.lit, ("HTTP 429", "timed out", "bad JSON", "HTTP 503", "fine"))), (F.col("event_id") % 5 + 1).cast("int"))).alias("kind")),
+    "error_classes": lambda s, d: t.table(s, d, "events").select("event_id", text.error_class(F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % len(_MESSAGES) + 1).cast("int"))).alias("kind")),
     "bm25_topk": lambda s, d: search.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d), 10).select("query_id", "rank", F.round("score", 4).alias("score")),
     "vector_topk": lambda s, d: search.nearest(_vectors(s, d), _vector_queries(s, d), 10).select("query_id", "rank", F.round("score", 3).alias("score")),
     "rrf_hybrid": lambda s, d: _hybrid(s, d),
@@ -85,10 +97,18 @@ ORACLE_SQL = {
     "dedup_hard_fingerprint": f"WITH {NEWS} SELECT asset_id, {FP} AS fp FROM news",
     "dedup_first_seen": f"WITH {ASSETS}, n AS (SELECT asset_id, {NORM} AS t FROM assets) SELECT asset_id, t FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY asset_id) AS k FROM n) WHERE k = 1 OR t IS NULL",
     "dedup_stats": f"WITH {NEWS} SELECT count(*) AS articles, count(DISTINCT {FP}) AS distinct_articles FROM news",
-    "cross_source_pairs": f"""WITH {NEWS}, p AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '\\?utm_source=[^&]*$', '') AS url FROM pages), a AS (SELECT n.asset_id, n.ticker, {NORM} AS t, n.published, p.url FROM news n LEFT JOIN p ON n.asset_id % ((SELECT count(*) FROM pages) * 3) = p.page_id)
-        SELECT a.asset_id, b.asset_id AS b_asset_id FROM a JOIN a b ON a.url = b.url AND a.asset_id < b.asset_id
-        UNION SELECT a.asset_id, b.asset_id FROM a JOIN a b ON a.t = b.t AND a.ticker = b.ticker AND a.asset_id < b.asset_id AND abs(epoch(a.published) - epoch(b.published)) < 14400""",
-    "select_canonical": f"""WITH {NEWS}, n AS (SELECT *, {NORM} AS g, CASE source_type WHEN 'polygon_news' THEN 0 WHEN 'fmp_fundamentals' THEN 1 WHEN 'gdelt_news' THEN 2 ELSE 3 END AS p FROM news)
+    "canonical_url": r"""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages), parts AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?]*)', 1)) AS host,
+            regexp_extract(url, '^https?://[^/?]*([^?]*)', 1) AS path, regexp_extract(url, '[?](.*)$', 1) AS q FROM u),
+        pairs AS (SELECT page_id, host, path, unnest(list_filter(string_split(q, '&'), lambda x: x <> '') || ['b=2', 'A=~ z', 'a=1', 'c=']) AS kv FROM parts),
+        kept AS (SELECT page_id, host, path, url_decode(split_part(kv, '=', 1)) AS k, url_decode(substr(kv, instr(kv, '=') + 1)) AS v FROM pairs)
+        SELECT page_id, 'https://www.' || host || CASE WHEN path = '/' THEN '' WHEN length(path) - length(replace(path, '/', '')) = 2 AND path LIKE '%/' THEN rtrim(path, '/') ELSE path END || '?' ||
+            string_agg(replace(url_encode(k), '%20', '+') || '=' || replace(url_encode(v), '%20', '+'), '&' ORDER BY k, v) AS url
+        FROM kept WHERE NOT regexp_matches(lower(k), '^(utm_|ref_|mc_)') GROUP BY page_id, host, path""",
+    "cross_source_pairs": f"""WITH {NEWS}, p AS (SELECT page_id, {PAGE_URL} AS url FROM pages), a AS (SELECT n.asset_id, n.ticker, {NORM} AS t, n.published, p.url FROM news n LEFT JOIN p ON n.asset_id % (SELECT count(*) FROM pages) = p.page_id),
+        f AS (SELECT min(asset_id) OVER (PARTITION BY url) AS asset_id, asset_id AS b_asset_id FROM a WHERE url IS NOT NULL),
+        l AS (SELECT lag(asset_id) OVER w AS x, asset_id AS y, epoch(published) - lag(epoch(published)) OVER w AS gap FROM a WHERE t IS NOT NULL AND ticker IS NOT NULL WINDOW w AS (PARTITION BY t, ticker ORDER BY published, asset_id))
+        SELECT asset_id, b_asset_id FROM f WHERE asset_id <> b_asset_id UNION SELECT least(x, y), greatest(x, y) FROM l WHERE gap < 14400""",
+    "select_canonical": f"""WITH {NEWS}, n AS (SELECT *, {NORM} AS g, coalesce(list_position(['polygon_news', 'fmp_news', 'finnhub_company_news', 'gdelt_news'], source_type), 5) AS p FROM news)
         SELECT asset_id, source_type FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p, published, length(body) DESC, asset_id) AS k FROM n WHERE g IS NOT NULL) WHERE k = 1""",
     "title_counts": f"WITH {ASSETS} SELECT {NORM} AS t, count(*) AS n FROM assets GROUP BY 1 HAVING t IS NOT NULL",
     "quality_flags": f"WITH {QUALITY} SELECT * FROM flags",
@@ -101,7 +121,10 @@ ORACLE_SQL = {
         SELECT CAST(asset_id AS VARCHAR) AS chunk_id, 'l1' AS level, 0 AS nth, length(body) AS chars FROM assets UNION ALL SELECT asset_id || '::l2s' || lpad(CAST(n AS VARCHAR), 4, '0'), 'l2', n, length(c) FROM l""",
     "md_table_render": "SELECT '| ' || n_name || ' | ' || n_regionkey || ' |' AS line FROM nation",
     "news_markdown": f"WITH {ASSETS} SELECT asset_id, length('## ' || ticker || ': ' || title || chr(10) || chr(10) || body) AS chars FROM assets WHERE source_type = 'polygon_news'",
-    "error_classes": "SELECT event_id, ['rate_limit', 'timeout', 'parse', 'server', 'other'][event_id % 5 + 1] AS kind FROM events",
+    "error_classes": f"""WITH m AS (SELECT event_id, lower({list(_MESSAGES)}[event_id % {len(_MESSAGES)} + 1]) AS m FROM events)
+        SELECT event_id, CASE WHEN m = '' THEN NULL WHEN contains(m, '429') OR contains(m, 'rate') THEN 'rate_limit' WHEN contains(m, 'timeout') THEN 'timeout'
+            WHEN contains(m, '500') OR contains(m, '502') OR contains(m, '503') OR contains(m, '504') THEN 'server_error' WHEN starts_with(m, 'ingest:') THEN 'ingest' WHEN starts_with(m, 'clean:') THEN 'clean'
+            WHEN starts_with(m, 'transform:') THEN 'transform' WHEN starts_with(m, 'storage:') THEN 'storage' ELSE 'fetch' END AS kind FROM m""",
     "bm25_topk": f"""WITH d AS (SELECT doc_id, {TOKS} AS toks FROM documents), s AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
         q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKS}) AS term FROM benchmark),
         p AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d), tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),

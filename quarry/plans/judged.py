@@ -12,7 +12,7 @@ from quarry.sources import tables as t
 CITED = ASSETS + """, ev AS (SELECT asset_id % 97 AS case_id, asset_id, reference_date FROM assets),
     ci AS (SELECT doc_id % 97 AS case_id, doc_id AS cause_id, unnest([doc_id, doc_id + 97 * toxic * quality, doc_id * (1 + 999983 * toxic)]) AS asset_id FROM labels),
     cited AS (SELECT ci.*, ev.asset_id IS NOT NULL AS found, reference_date FROM ci LEFT JOIN ev USING (case_id, asset_id))"""
-WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
+WORDS = "list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''))"
 PAIRS = f"""c AS (SELECT conv_id, turn, {WORDS} AS w FROM conversations),
     pairs AS (SELECT a.conv_id AS event_id, a.turn AS i, b.turn AS j, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0::DOUBLE
         ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) END, 6) AS jaccard FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn < b.turn)"""

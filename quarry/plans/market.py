@@ -11,12 +11,20 @@ BARS = """bars AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS date, first(
     min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS volume FROM events GROUP BY 1, 2)"""
 LONG = """longs AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date, last(o_totalprice ORDER BY o_orderkey) AS close FROM orders GROUP BY 1, 2)"""
 ASSETS = """assets AS (SELECT doc_id AS asset_id, source AS ticker, ['polygon_news', 'fmp_fundamentals', 'fred_macro', 'gdelt_news'][doc_id // 20 % 4 + 1] AS source_type,
-    CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS DATE) AS reference_date, substr(text, 1, 60) AS title, text AS body FROM documents)"""
+    CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS DATE) AS reference_date, split_part(text, chr(10), 1) AS title, text AS body, doc_id % 29 = 0 AS is_duplicate FROM documents)"""
 NEWS = ASSETS + """, news AS (SELECT *, CAST(reference_date AS TIMESTAMP) + to_minutes(CAST(asset_id * 37 % 1440 AS INT)) AS published FROM assets)"""
 CASES = BARS + """, cases AS (SELECT symbol, date, (close - open) / open AS move FROM bars WHERE open <> 0 AND abs((close - open) / open) > 0.5)"""
 RETURNS = LONG + """, rets AS (SELECT * FROM (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r0,
     (close - lag(close) OVER (PARTITION BY symbol ORDER BY date)) / lag(close) OVER (PARTITION BY symbol ORDER BY date) AS ret FROM longs) WHERE ret IS NOT NULL)"""
-LAYER = "CASE WHEN source_type IN ('fred_macro', 'gdelt_news') THEN 'macro' ELSE 'direct' END"
+ARTICLES = NEWS + """, arts AS (SELECT asset_id, ticker, source_type, reference_date, title, body, CASE WHEN asset_id % 37 <> 0 THEN ticker END AS source,
+    CASE WHEN asset_id % 41 <> 0 THEN strftime(published, '%Y-%m-%dT%H:%M:%SZ') END AS published FROM news)"""
+# Source types by evidence layer.
+DIRECT = "('polygon_news', 'fmp_news', 'finnhub_company_news', 'fmp_fundamentals', 'sec_filing')"
+MACRO = "('macro_news', 'market_news', 'geopolitical_news', 'fred_rates', 'fred_macro', 'gdelt_news', 'policy_news')"
+LAYER = f"CASE WHEN source_type IN {MACRO} THEN 'macro' WHEN source_type IN {DIRECT} THEN 'direct' ELSE 'other' END"
+# The endpoints of each logical source.
+ENDPOINTS = """MAP {'fmp_fundamentals': ['income_statement', 'balance_sheet', 'cash_flow'], 'yfinance_fundamentals': ['income_statement', 'balance_sheet', 'cash_flow'],
+    'polygon_news': ['news'], 'polygon_ohlcv': ['ohlcv'], 'fred_macro': ['DFF', 'DGS10', 'VIXCLS', 'UNRATE', 'CPIAUCSL']}"""
 
 
 def r6(*names):
@@ -53,7 +61,8 @@ QUERIES = {
         t.assets(s, d).filter("source_type = 'fmp_fundamentals'").groupBy("ticker", "reference_date").agg(F.max("asset_id").alias("snapshot")),
         "ticker", "reference_date", "reference_date", "snapshot"),
     "evidence_window_sql": lambda s, d: evidence.scoped(t.assets(s, d), "src1", "2024-01-05", "2024-01-20").select("asset_id", "source_type", "reference_date", *r6("score")),
-    "evidence_layers": lambda s, d: evidence.scoped(t.assets(s, d), "src1", "2024-01-05", "2024-01-20", t.LAYERS["macro"]).select("asset_id", "source_type", *r6("score")),
+    "evidence_layers": lambda s, d: evidence.scoped(t.assets(s, d), "src1", "2024-01-05", "2024-01-20", "macro").select("asset_id", "source_type", *r6("score")),
+    "evidence_top_k": lambda s, d: evidence.scoped(t.assets(s, d), "src1", "2024-01-05", "2024-01-20", "macro", top=12).select("asset_id", "rank"),
     "coverage_audit": lambda s, d: evidence.coverage(_shifted_cases(s, d).select("symbol", "date").distinct(), t.assets(s, d)),
     "direct_min_per_ticker": lambda s, d: t.assets(s, d).filter(evidence.layer(F.col("source_type")) == "direct").groupBy("ticker", "reference_date").agg(F.countDistinct("asset_id").alias("n")).groupBy("ticker").agg(F.min("n").alias("least")),
     "macro_distinct_docs": lambda s, d: evidence.window_join(_shifted_cases(s, d).select("date").distinct(), t.assets(s, d).filter(evidence.layer(F.col("source_type")) == "macro")).agg(F.countDistinct("asset_id").alias("n_docs")),
@@ -66,7 +75,7 @@ QUERIES = {
     "upsert_latest": lambda s, d: t.upsert(t.bars(s, d).select("symbol", "date", "close"), t.bars(s, d).filter("volume > 50").select("symbol", "date", (F.col("close") + 1).alias("close")), ["symbol", "date"]).select("symbol", "date", *r6("close")),
     "corpus_pivot_totals": lambda s, d: t.assets(s, d).cube("ticker", "source_type").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("ticker", F.lit("total")).alias("ticker"), F.coalesce("source_type", F.lit("total")).alias("source_type"), "n"),
     "source_counts": lambda s, d: t.assets(s, d).groupBy("source_type").agg(F.count(F.lit(1)).alias("n")),
-    "logical_source_fanout": lambda s, d: t.endpoints(t.table(s, d, "documents").select("doc_id", F.element_at(F.array(F.lit("news"), F.lit("prices"), F.lit("other")), (F.col("doc_id") % 3 + 1).cast("int")).alias("source"))),
+    "logical_source_fanout": lambda s, d: t.endpoints(t.table(s, d, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, (*t.LOGICAL_SOURCES, "other"))), (F.col("doc_id") % 6 + 1).cast("int")).alias("source"))),
     "experiment_matrix": lambda s, d: t.table(s, d, "region").select("r_name").crossJoin(t.table(s, d, "nation").select("n_name")).crossJoin(s.createDataFrame([("full",), ("no_rerank",)], "profile string")),
     "config_compare_full_outer": lambda s, d: t.assets(s, d).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_a")).join(
         t.assets(s, d).filter("source_type = 'fred_macro' and ticker <> 'src1'").groupBy("ticker").agg(F.count(F.lit(1)).alias("n_b")), "ticker", "full_outer").select("ticker", "n_a", "n_b", F.col("n_b").isNull().alias("missing_b")),
@@ -98,9 +107,11 @@ ORACLE_SQL = {
         SELECT a.asset_id, a.ticker, a.reference_date, s.snapshot AS latest_snapshot FROM (SELECT * FROM assets WHERE source_type = 'polygon_news') a
         ASOF LEFT JOIN snaps s ON a.ticker = s.ticker AND a.reference_date >= s.reference_date""",
     "evidence_window_sql": f"""WITH {ASSETS} SELECT asset_id, source_type, reference_date, round(1 / row_number() OVER (ORDER BY reference_date DESC, asset_id), 6) AS score
-        FROM assets WHERE ticker = 'src1' AND reference_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""",
+        FROM assets WHERE ticker = 'src1' AND source_type IN {DIRECT} AND NOT coalesce(is_duplicate, false) AND reference_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""",
     "evidence_layers": f"""WITH {ASSETS} SELECT asset_id, source_type, round(1 / row_number() OVER (ORDER BY reference_date DESC, asset_id), 6) AS score
-        FROM assets WHERE ticker = 'src1' AND reference_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND source_type IN ('fred_macro', 'gdelt_news')""",
+        FROM assets WHERE reference_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND source_type IN {MACRO} AND NOT coalesce(is_duplicate, false)""",
+    "evidence_top_k": f"""WITH {ASSETS} SELECT asset_id, row_number() OVER (ORDER BY reference_date DESC, asset_id) AS rank FROM assets
+        WHERE reference_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND source_type IN {MACRO} AND NOT coalesce(is_duplicate, false) ORDER BY reference_date DESC, asset_id LIMIT 12""",
     "coverage_audit": f"""WITH {SHIFTED}, {ASSETS}, c AS (SELECT DISTINCT symbol, date FROM shifted)
         SELECT c.symbol, c.date, count(*) FILTER ({LAYER} = 'direct' AND asset_id IS NOT NULL) AS n_direct, count(*) FILTER ({LAYER} = 'macro' AND asset_id IS NOT NULL) AS n_macro, count(asset_id) AS n_any
         FROM c LEFT JOIN assets a ON a.reference_date BETWEEN c.date - 3 AND c.date + 3 GROUP BY 1, 2""",
@@ -115,7 +126,8 @@ ORACLE_SQL = {
     "upsert_latest": f"WITH {BARS} SELECT symbol, date, round(CASE WHEN volume > 50 THEN close + 1 ELSE close END, 6) AS close FROM bars",
     "corpus_pivot_totals": f"WITH {ASSETS} SELECT coalesce(ticker, 'total') AS ticker, coalesce(source_type, 'total') AS source_type, count(*) AS n FROM assets GROUP BY CUBE (ticker, source_type)",
     "source_counts": f"WITH {ASSETS} SELECT source_type, count(*) AS n FROM assets GROUP BY 1",
-    "logical_source_fanout": "SELECT doc_id, ['news', 'prices', 'other'][doc_id % 3 + 1] AS source, ['polygon_news', 'polygon_ohlcv', 'other'][doc_id % 3 + 1] AS endpoint FROM documents",
+    "logical_source_fanout": f"""WITH r AS (SELECT doc_id, ['fmp_fundamentals', 'yfinance_fundamentals', 'polygon_news', 'polygon_ohlcv', 'fred_macro', 'other'][doc_id % 6 + 1] AS source FROM documents)
+        SELECT doc_id, source, unnest(coalesce(({ENDPOINTS})[source], [source])) AS endpoint FROM r""",
     "experiment_matrix": "SELECT r_name, n_name, profile FROM region, nation, (VALUES ('full'), ('no_rerank')) p(profile)",
     "config_compare_full_outer": f"""WITH {ASSETS}, a AS (SELECT ticker, count(*) AS n_a FROM assets GROUP BY 1),
         b AS (SELECT ticker, count(*) AS n_b FROM assets WHERE source_type = 'fred_macro' AND ticker <> 'src1' GROUP BY 1) SELECT ticker, n_a, n_b, n_b IS NULL AS missing_b FROM a FULL JOIN b USING (ticker)""",

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from quarry.operators import decision, evaluation, grounding
 from quarry.sources import tables as t
 
-GRADED = """graded AS (SELECT doc_id % 97 AS case_id, CAST(doc_id * 31 % 100 AS DOUBLE) / 100 AS relevance, doc_id % 3 <> 0 AS temporal_match FROM documents),
-    pen AS (SELECT case_id, greatest(0.0, CASE WHEN NOT temporal_match THEN relevance * CAST(0.9 AS DOUBLE) ELSE relevance END) AS r FROM graded),
-    agg AS (SELECT case_id, count(*) FILTER (r > 0.25) AS n, avg(r) FILTER (r > 0.25) AS mean, max(r) FILTER (r > 0.25) AS best FROM pen GROUP BY 1),
-    cov AS (SELECT *, round(coalesce(least(1.0, mean * least(1.0, n / 2)), 0.0), 6) AS coverage FROM agg),
-    critic AS (SELECT case_id, n, coverage, CASE WHEN n = 0 THEN 'insufficient' WHEN n = 1 AND best >= 0.8 THEN 'sufficient' WHEN n >= 1 AND coverage >= 0.3 THEN 'sufficient' ELSE 'partial' END AS decision FROM cov)"""
+GRADED = """graded AS (SELECT doc_id // 3 AS case_id, CAST(doc_id * 31 % 100 AS DOUBLE) / 100 * CASE WHEN doc_id % 5 < 2 THEN CAST(0.3 AS DOUBLE) ELSE 1 END AS relevance, doc_id % 4 <> 0 AS temporal_match FROM documents),
+    pen AS (SELECT case_id, temporal_match, greatest(0.0, CASE WHEN NOT temporal_match THEN relevance * CAST(0.9 AS DOUBLE) ELSE relevance END) AS r FROM graded),
+    agg AS (SELECT case_id, count(*) FILTER (r > 0.25) AS n, avg(r) FILTER (r > 0.25) AS mean, bool_or(r >= 0.8 AND temporal_match) AS sure FROM pen GROUP BY 1),
+    cov AS (SELECT *, round(CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, mean * least(1.0, n / 1)) END, 6) AS coverage FROM agg),
+    dec AS (SELECT case_id, n, coverage, CASE WHEN n = 1 AND sure THEN 'sufficient' WHEN n >= 1 AND coverage >= 0.3 THEN 'sufficient' WHEN n = 0 THEN 'insufficient' ELSE 'partial' END AS decision FROM cov),
+    critic AS (SELECT *, CASE decision WHEN 'insufficient' THEN 'refuse' ELSE 'proceed' END AS next_action FROM dec)"""
 TRACE = """trace AS (SELECT conv_id AS run_id, turn AS event_seq, role AS node, CAST(length(text) * 3 AS BIGINT) AS latency_ms, CAST(length(text) AS BIGINT) AS input_tokens, CAST(length(text) % 97 AS BIGINT) AS output_tokens FROM conversations)"""
 PAIRED = "paired AS (SELECT doc_id, quality AS a, toxic AS b FROM labels)"
 THREE = "three AS (SELECT doc_id % 3 AS a, (doc_id // 3) % 3 AS b, n_chars FROM documents)"
@@ -20,7 +21,8 @@ COST = TRACE + """, costs AS (SELECT *, (input_tokens * CASE node WHEN 'user' TH
 
 
 def _graded(s, d):
-    return t.table(s, d, "documents").select((F.col("doc_id") % 97).alias("case_id"), ((F.col("doc_id") * 31 % 100) / 100).alias("relevance"), (F.col("doc_id") % 3 != 0).alias("temporal_match"))
+    k = F.col("doc_id")
+    return t.table(s, d, "documents").select(F.expr("doc_id div 3").alias("case_id"), ((k * 31 % 100) / 100 * F.when(k % 5 < 2, 0.3).otherwise(1.0)).alias("relevance"), (k % 4 != 0).alias("temporal_match"))
 
 
 def _paired(s, d):
@@ -37,7 +39,8 @@ def _xy(s, d):
 
 def _f1_cases(s, d):
     b = t.table(s, d, "benchmark")
-    return b.select(F.col("item_id").alias("case_id"), F.array("text", F.substring("text", 1, 40)).alias("predicted"), F.array(F.substring("text", 1, 60), F.reverse("text")).alias("golden"))
+    lines = F.filter(F.split("text", r"[.\n]"), lambda x: x.rlike(r"\S"))
+    return b.select(F.col("item_id").alias("case_id"), lines.alias("predicted"), F.reverse(F.transform(lines, lambda x, i: F.when(i % 2 == 0, x).otherwise(F.concat(x, F.lit(" and more"))))).alias("golden"))
 
 
 def _confidence(s, d):
@@ -51,16 +54,25 @@ def _p_values(s, d):
 def _guards(s, d):
     c = decision.critic(_graded(s, d))
     k = F.col("case_id")
-    return c.select("case_id", "decision", (k % 31 == 0).alias("error"), F.when(k % 5 == 0, k % 2 == 0).alias("ticker_consistent"), (k % 7 != 0).alias("session_valid"), F.when(k % 3 == 0, True).alias("magnitude_plausible"))
+    action = F.when(k % 23 == 0, None).when(k % 13 == 0, "expand_macro").when(k % 17 == 0, "expand_related").otherwise(F.col("next_action"))
+    return c.select("case_id", (k % 31 == 0).alias("error"), F.when(k % 5 == 0, k % 2 == 0).alias("ticker_consistent"), (k % 7 != 0).alias("session_valid"), F.when(k % 3 == 0, k % 11 != 0).alias("magnitude_plausible"),
+                    action.alias("next_action"), F.when(k % 19 == 0, 0).otherwise(F.col("n")).alias("n_graded"), (k % 4).cast("int").alias("expansions"))
 
 
-_EDGE = """CASE WHEN case_id % 31 = 0 THEN 'system_error' WHEN case_id % 5 = 0 AND case_id % 2 <> 0 THEN 'insufficient' WHEN case_id % 7 = 0 THEN 'insufficient' WHEN decision = 'insufficient' THEN 'insufficient' ELSE 'judge' END"""
+STATE = GRADED + """, state AS (SELECT case_id, case_id % 31 = 0 AS error, CASE WHEN case_id % 5 = 0 THEN case_id % 2 = 0 END AS ticker_consistent, case_id % 7 <> 0 AS session_valid,
+    CASE WHEN case_id % 3 = 0 THEN case_id % 11 <> 0 END AS magnitude_plausible, CASE WHEN case_id % 23 = 0 THEN NULL WHEN case_id % 13 = 0 THEN 'expand_macro' WHEN case_id % 17 = 0 THEN 'expand_related' ELSE next_action END AS next_action,
+    CASE WHEN case_id % 19 = 0 THEN 0 ELSE n END AS n_graded, case_id % 4 AS expansions FROM critic),
+    routed AS (SELECT *, CASE WHEN error THEN 'upstream_system_error' WHEN ticker_consistent = false THEN 'ticker_mismatch_guard' WHEN session_valid = false THEN 'market_session_guard'
+        WHEN magnitude_plausible = false THEN 'magnitude_guard' WHEN next_action IS NULL THEN 'missing_critic_decision' WHEN next_action = 'proceed' AND n_graded = 0 THEN 'empty_graded_evidence_guard'
+        WHEN next_action = 'proceed' THEN 'critic_proceed' WHEN next_action = 'expand_macro' AND expansions < 2 THEN 'critic_expand_macro' WHEN next_action = 'expand_macro' THEN 'expansions_exhausted'
+        WHEN next_action = 'expand_related' THEN 'layer3_not_implemented' ELSE 'critic_refused' END AS edge_reason FROM state)"""
+_EDGE = "CASE edge_reason WHEN 'upstream_system_error' THEN 'system_error' WHEN 'critic_proceed' THEN 'judge' WHEN 'critic_expand_macro' THEN 'expand_macro' ELSE 'insufficient' END"
 
 
 QUERIES = {
     "relevance_filter": lambda s, d: _graded(s, d).withColumn("r", F.round(decision.penalised(F.col("relevance"), F.col("temporal_match")), 6)).filter("r > 0.25").select("case_id", "r"),
     "critic_decision": lambda s, d: decision.critic(_graded(s, d)),
-    "router_edges": lambda s, d: decision.route(_guards(s, d)).select("case_id", "edge"),
+    "router_edges": lambda s, d: decision.route(_guards(s, d)).select("case_id", "edge", "edge_reason"),
     "final_status": lambda s, d: decision.critic(_graded(s, d)).select("case_id", decision.final_status(F.col("decision"), F.when(F.col("case_id") % 11 == 0, "timeout").when(F.col("case_id") % 13 == 0, "schema_invalid")).alias("status")),
     "trace_node_rollup": lambda s, d: decision.node_rollup(t.trace_events(s, d)),
     "run_summary": lambda s, d: t.trace_events(s, d).groupBy("run_id").agg(F.sum("latency_ms").alias("latency_ms"), F.count(F.lit(1)).alias("n_events")),
@@ -83,7 +95,6 @@ QUERIES = {
     "cohens_dz": lambda s, d: evaluation.cohens_dz(_xy(s, d)),
     "holm_adjust": lambda s, d: evaluation.holm(_p_values(s, d)).select("family", "name", "adjusted"),
     "calibrate_thresholds": lambda s, d: evaluation.calibrate(decision.critic(_graded(s, d)).withColumn("expected", F.when(F.col("case_id") % 2 == 0, "sufficient").otherwise("partial")), [1, 2, 4, 8], [0.2, 0.4, 0.6]),
-    "consistency_rate": lambda s, d: _three(s, d).groupBy("a").agg(F.countDistinct("b").alias("kinds"), F.max("n_chars").alias("longest")),
     "correlation": lambda s, d: _xy(s, d).agg(F.round(F.corr("x", "y"), 6).alias("pearson")),
     "taxonomy_share": lambda s, d: t.table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6)),
 }
@@ -91,7 +102,7 @@ QUERIES = {
 ORACLE_SQL = {
     "relevance_filter": f"WITH {GRADED} SELECT case_id, round(r, 6) AS r FROM pen WHERE round(r, 6) > 0.25",
     "critic_decision": f"WITH {GRADED} SELECT * FROM critic",
-    "router_edges": f"WITH {GRADED} SELECT case_id, {_EDGE} AS edge FROM critic",
+    "router_edges": f"WITH {STATE} SELECT case_id, {_EDGE} AS edge, edge_reason FROM routed",
     "final_status": f"WITH {GRADED} SELECT case_id, CASE WHEN case_id % 11 = 0 THEN 'SYSTEM_ERROR' WHEN case_id % 13 = 0 THEN 'PARTIAL' WHEN decision = 'sufficient' THEN 'SUFFICIENT' WHEN decision = 'partial' THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS status FROM critic",
     "trace_node_rollup": f"WITH {TRACE} SELECT node, count(*) AS calls, CAST(sum(latency_ms) AS BIGINT) AS latency_ms, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM trace GROUP BY 1",
     "run_summary": f"WITH {TRACE} SELECT run_id, CAST(sum(latency_ms) AS BIGINT) AS latency_ms, count(*) AS n_events FROM trace GROUP BY 1",
@@ -119,7 +130,6 @@ ORACLE_SQL = {
         SELECT family, name, round(least(1.0, max(raw) OVER (PARTITION BY family ORDER BY p, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS adjusted FROM r""",
     "calibrate_thresholds": f"""WITH {GRADED}, g AS (SELECT k, m FROM (VALUES (1), (2), (4), (8)) a(k), (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE)) b(m))
         SELECT k, m, round(avg((CASE WHEN n >= k AND coverage >= m THEN 'sufficient' WHEN n = 0 THEN 'insufficient' ELSE 'partial' END = CASE WHEN case_id % 2 = 0 THEN 'sufficient' ELSE 'partial' END)::INT), 6) AS accuracy FROM critic, g GROUP BY 1, 2""",
-    "consistency_rate": f"WITH {THREE} SELECT a, count(DISTINCT b) AS kinds, max(n_chars) AS longest FROM three GROUP BY 1",
     "correlation": "SELECT round(corr(p_size, CAST(p_partkey % 50 + 1 AS INT)), 6) AS pearson FROM part",
     "taxonomy_share": "SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1",
 }

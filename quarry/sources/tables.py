@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Logical sources and the endpoints they stand for.
-LOGICAL_SOURCES = {"news": ["polygon_news"], "prices": ["polygon_ohlcv"], "macro": ["fred_macro"], "fundamentals": ["fmp_fundamentals"]}
+LOGICAL_SOURCES = {
+    "fmp_fundamentals": ["income_statement", "balance_sheet", "cash_flow"],
+    "yfinance_fundamentals": ["income_statement", "balance_sheet", "cash_flow"],
+    "polygon_news": ["news"],
+    "polygon_ohlcv": ["ohlcv"],
+    "fred_macro": ["DFF", "DGS10", "VIXCLS", "UNRATE", "CPIAUCSL"],
+}
 # Source types by evidence layer.
-LAYERS = {"direct": ["polygon_news", "fmp_fundamentals"], "macro": ["fred_macro", "gdelt_news"]}
+LAYERS = {
+    "direct": ["polygon_news", "fmp_news", "finnhub_company_news", "fmp_fundamentals", "sec_filing"],
+    "macro": ["macro_news", "market_news", "geopolitical_news", "fred_rates", "fred_macro", "gdelt_news", "policy_news"],
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +39,12 @@ def long_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean documents with ticker, source type and reference date."""
+    """Clean documents with ticker, source type and reference date. A title is a text's first line."""
     kind = F.element_at(F.array(*map(F.lit, ("polygon_news", "fmp_fundamentals", "fred_macro", "gdelt_news"))), F.expr("cast(doc_id div 20 % 4 + 1 as int)"))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("asset_id"), F.col("source").alias("ticker"), kind.alias("source_type"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("reference_date"),
-        F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"))
+        F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), (F.col("doc_id") % 29 == 0).alias("is_duplicate"))
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +53,17 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets(spark, sf_dir).withColumn("published", F.expr("cast(reference_date as timestamp_ntz)") + F.make_dt_interval(mins=minutes))
 
 
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News as it is stored: Markdown of a header, a source line, the body and references. Some have no source or time."""
+    n = news(spark, sf_dir)
+    k = F.col("asset_id")
+    n = n.select("asset_id", "ticker", "source_type", "reference_date", "title", "body", F.when(k % 37 != 0, F.col("ticker")).alias("source"),
+                 F.when(k % 41 != 0, F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("published"))
+    md = F.concat(F.lit("## "), F.col("ticker"), F.lit(": "), F.col("title"), F.lit("\n*Source: "), F.coalesce("source", F.lit("")), F.lit(" | "), F.coalesce("published", F.lit("")),
+                  F.lit(" | Category: news*\n\n"), F.col("body"), F.lit("\n\n## References\n[1] https://example.com/"), k.cast("string"))
+    return n.withColumn("content_md", md)
+
+
 def cases(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
     """Days of a large move: symbol, date, move."""
     move = (F.col("close") - F.col("open")) / F.col("open")
