@@ -85,18 +85,71 @@ def last_events(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(last.alias("e"), F.count(F.lit(1)).alias("n_events")).select("run_id", "e.*", "n_events")
 
 
-def rolling_health(events: DataFrame, last: int = 20, slow: int = 3000) -> DataFrame:
-    """Share of quick events among the last ones of each node; an incident if it is under a half."""
-    frame = Window.partitionBy("node").orderBy("run_id", "event_seq").rowsBetween(1 - last, 0)
-    ok = F.avg(F.when(F.col("latency_ms") < slow, 1.0).otherwise(0.0)).over(frame)
-    out = events.withColumns({"seen": F.count(F.lit(1)).over(frame), "ok_rate": ok})
-    return out.withColumn("incident", (F.col("seen") == last) & (F.col("ok_rate") < 0.5))
+def _bases(events: DataFrame, value: Column) -> DataFrame:
+    """What a node's value sums to before each bucket of its runs: node, bucket, base. A bucket is a row here."""
+    sums = events.groupBy("node", "bucket").agg(F.sum(value).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    return sums.select(F.col("node").alias("__node"), F.col("bucket").alias("__bucket"), F.coalesce(before, F.lit(0)).alias("base"))
 
 
-def within_budget(costs: DataFrame, cap: float) -> DataFrame:
+def _with_base(events: DataFrame, value: Column) -> DataFrame:
+    bases = _bases(events, value)
+    return events.join(bases, F.col("node").eqNullSafe(F.col("__node")) & (F.col("bucket") == F.col("__bucket"))).drop("__node", "__bucket")
+
+
+def placed(events: DataFrame, width: int = 1024) -> DataFrame:
+    """events with their place (from 0) among their node's, by run and sequence. Places come from counts of buckets of
+    runs, so that a node with most of the log is spread over many tasks."""
+    rows = _with_base(events.withColumn("bucket", F.floor(F.col("run_id") / width)), F.lit(1))
+    inside = F.row_number().over(Window.partitionBy("node", "bucket").orderBy("run_id", "event_seq")) - 1
+    return rows.withColumn("place", F.col("base") + inside).drop("bucket", "base")
+
+
+def rolling_health(events: DataFrame, last: int = 20, block: int = 4096) -> DataFrame:
+    """Share of good events (column ok) among the last ones of each node. An incident: a full window with fewer than
+    half of them good, or an event with status 429 that asks to wait over 300 seconds (columns status, retry_after).
+    Each block of places, of at least last rows, also holds the last rows before it, so blocks are judged apart."""
+    p, block = F.col("place"), max(block, last)
+    homes = F.when((p % block >= block - last + 1), F.array(F.floor(p / block), F.floor(p / block) + 1)).otherwise(F.array(F.floor(p / block)))
+    rows = placed(events).withColumn("home", F.explode(homes))
+    frame = Window.partitionBy("node", "home").orderBy("place").rowsBetween(1 - last, 0)
+    rows = rows.withColumns({"seen": F.least(p + 1, F.lit(last)), "ok_rate": F.avg(F.col("ok").cast("double")).over(frame)}).filter(F.floor(p / block) == F.col("home"))
+    asked = (F.col("status") == 429) & (F.col("retry_after") > 300)
+    return rows.withColumn("incident", ((F.col("seen") == last) & (F.col("ok_rate") < 0.5)) | F.coalesce(asked, F.lit(False))).drop("home", "place")
+
+
+def within_budget(costs: DataFrame, cap: float, width: int = 1024) -> DataFrame:
     """Runs in order until their cost exceeds the cap; the one that exceeds it is still in."""
-    before = F.coalesce(F.sum("cost").over(Window.partitionBy("node").orderBy("run_id", "event_seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return costs.withColumn("before", before).filter(F.col("before") <= cap)
+    rows = _with_base(costs.withColumn("bucket", F.floor(F.col("run_id") / width)), F.col("cost"))
+    inside = F.sum("cost").over(Window.partitionBy("node", "bucket").orderBy("run_id", "event_seq").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("before", F.col("base") + F.coalesce(inside, F.lit(0.0))).filter(F.col("before") <= cap).drop("bucket", "base")
+
+
+def stages(events: DataFrame) -> DataFrame:
+    """Per run and node: calls, sums, the last model that was named, its status changes in order, and whether it failed."""
+    sums = [F.sum(c).alias(c) for c in ("latency_ms", "input_tokens", "output_tokens")]
+    step = F.when(F.col("before").isNotNull() | F.col("after").isNotNull(), F.struct("event_seq", F.concat(F.coalesce("before", F.lit("—")), F.lit(" → "), F.coalesce("after", F.lit("—"))).alias("s")))
+    out = events.groupBy("run_id", "node").agg(F.count(F.lit(1)).alias("calls"), *sums, F.max_by("model", F.when(F.col("model").isNotNull(), F.col("event_seq"))).alias("model"),
+                                               F.array_join(F.transform(F.sort_array(F.collect_list(step)), lambda x: x["s"]), "; ").alias("transitions"), F.max_by("after", "event_seq").alias("last"))
+    return out.withColumn("stage_status", F.when(F.upper("last").rlike("FAILED|ERROR"), "error").otherwise("completed")).drop("last")
+
+
+def numbered(events: DataFrame) -> DataFrame:
+    """events (run_id, at) with event_seq: their place in their run."""
+    return events.withColumn("event_seq", F.row_number().over(Window.partitionBy("run_id").orderBy("at", "event_id")))
+
+
+def queue_head(runs: DataFrame) -> DataFrame:
+    """The oldest queued run."""
+    return runs.filter("status = 'QUEUED'").agg(F.min(F.struct("queued_at", "run_id")).alias("h")).select("h.run_id", "h.queued_at").filter("run_id is not null")
+
+
+def budget_days(calls: DataFrame, budget: int) -> DataFrame:
+    """Per provider and UTC day: calls, calls beyond the budget, and the least gap between calls in seconds. calls: provider, at (a time)."""
+    line = Window.partitionBy("provider", "day").orderBy("at")
+    rows = calls.withColumn("day", F.to_date("at"))
+    rows = rows.withColumn("gap", F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.lag("at").over(line).cast("timestamp")))
+    return rows.groupBy("provider", "day").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.count(F.lit(1)) - budget, F.lit(0)).alias("over"), F.round(F.min("gap") / 1e6, 3).alias("least_gap"))
 
 
 def allocated(events: DataFrame, infra: float = 1.0) -> DataFrame:

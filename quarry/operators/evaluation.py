@@ -225,6 +225,11 @@ def report(scores: DataFrame, metrics: list[str]) -> DataFrame:
     return long.groupBy("config", "metric").agg(F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("value"))
 
 
+def evaluate(cases: DataFrame, metrics: dict, by: list[str]) -> DataFrame:
+    """Means of any metrics by configuration. metrics: names and expressions over a case's columns (or UDFs of them)."""
+    return cases.groupBy(*by).agg(*(F.round(F.coalesce(F.avg(m), F.lit(0.0)), 6).alias(k) for k, m in metrics.items()), F.count(F.lit(1)).alias("n"))
+
+
 def set_f1(predicted: Column, golden: Column) -> Column:
     """F1 of two sets, 0 if either is empty."""
     p, g = F.array_distinct(predicted), F.array_distinct(golden)

@@ -100,10 +100,11 @@ def quality_flags(articles: DataFrame, least_chars: int = 200, spam: int = 5) ->
     return rows.select("asset_id", "ticker", "source_type", reason.alias("reason"), F.round(sum(c.cast("int") for c in checks) / len(checks), 3).alias("score"))
 
 
-def chunks(assets: DataFrame) -> DataFrame:
-    """Level-1 rows for every asset and level-2 sentences of news."""
+def chunks(assets: DataFrame, splitter=text.sentences) -> DataFrame:
+    """Level-1 rows for every asset and level-2 sentences of news. splitter: an expression from a text to an array of
+    sentences, or a UDF of that kind."""
     one = assets.select(F.col("asset_id").cast("string").alias("chunk_id"), "asset_id", F.lit("l1").alias("level"), F.lit(0).alias("nth"), F.col("body").alias("content"))
-    two = assets.filter("source_type = 'polygon_news'").select("asset_id", F.posexplode(text.sentences(F.col("body"))).alias("i", "content"))
+    two = assets.filter("source_type = 'polygon_news'").select("asset_id", F.posexplode(splitter(F.col("body"))).alias("i", "content"))
     two = two.select(F.concat(F.col("asset_id").cast("string"), F.lit("::l2s"), F.lpad((F.col("i") + 1).cast("string"), 4, "0")).alias("chunk_id"),
                      "asset_id", F.lit("l2").alias("level"), (F.col("i") + 1).alias("nth"), "content")
     return one.unionByName(two)

@@ -69,6 +69,13 @@ STATE = GRADED + """, state AS (SELECT case_id, case_id % 31 = 0 AS error, CASE
 _EDGE = "CASE edge_reason WHEN 'upstream_system_error' THEN 'system_error' WHEN 'critic_proceed' THEN 'judge' WHEN 'critic_expand_macro' THEN 'expand_macro' ELSE 'insufficient' END"
 
 
+def _calls(s, d):
+    """Calls with a status: quick ones are good, others fail, some with a long wait asked for."""
+    e = t.trace_events(s, d)
+    ok = F.col("latency_ms") < 3000
+    return e.select("run_id", "event_seq", "node", ok.alias("ok"), F.when(ok, 200).when(F.col("latency_ms") % 2 == 0, 429).otherwise(500).alias("status"), (F.col("latency_ms") / 10).alias("retry_after"))
+
+
 QUERIES = {
     "relevance_filter": lambda s, d: _graded(s, d).withColumn("r", F.round(decision.penalised(F.col("relevance"), F.col("temporal_match")), 6)).filter("r > 0.25").select("case_id", "r"),
     "critic_decision": lambda s, d: decision.critic(_graded(s, d)),
@@ -77,7 +84,7 @@ QUERIES = {
     "trace_node_rollup": lambda s, d: decision.node_rollup(t.trace_events(s, d)),
     "run_summary": lambda s, d: t.trace_events(s, d).groupBy("run_id").agg(F.sum("latency_ms").alias("latency_ms"), F.count(F.lit(1)).alias("n_events")),
     "last_event": lambda s, d: decision.last_events(t.trace_events(s, d)),
-    "rolling_health": lambda s, d: decision.rolling_health(t.trace_events(s, d)).select("run_id", "event_seq", "node", "seen", F.round("ok_rate", 6).alias("ok_rate"), "incident"),
+    "rolling_health": lambda s, d: decision.rolling_health(_calls(s, d)).select("run_id", "event_seq", "node", "seen", F.round("ok_rate", 6).alias("ok_rate"), "incident"),
     "cost_by_model": lambda s, d: decision.costed(t.trace_events(s, d)).groupBy("node").agg(F.round(F.sum("cost"), 6).alias("cost")),
     "cost_cap": lambda s, d: decision.within_budget(decision.costed(t.trace_events(s, d)), 0.05).select("run_id", "event_seq", "node"),
     "infra_allocation": lambda s, d: decision.allocated(t.trace_events(s, d)).select("run_id", "event_seq", F.round("infra_cost", 6).alias("infra_cost")),
@@ -107,8 +114,8 @@ ORACLE_SQL = {
     "trace_node_rollup": f"WITH {TRACE} SELECT node, count(*) AS calls, CAST(sum(latency_ms) AS BIGINT) AS latency_ms, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM trace GROUP BY 1",
     "run_summary": f"WITH {TRACE} SELECT run_id, CAST(sum(latency_ms) AS BIGINT) AS latency_ms, count(*) AS n_events FROM trace GROUP BY 1",
     "last_event": f"WITH {TRACE} SELECT run_id, event_seq, node, latency_ms, n_events FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_seq DESC) AS k, count(*) OVER (PARTITION BY run_id) AS n_events FROM trace) WHERE k = 1",
-    "rolling_health": f"""WITH {TRACE}, w AS (SELECT run_id, event_seq, node, count(*) OVER f AS seen, avg(CASE WHEN latency_ms < 3000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER f AS ok FROM trace WINDOW f AS (PARTITION BY node ORDER BY run_id, event_seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-        SELECT run_id, event_seq, node, seen, round(ok, 6) AS ok_rate, seen = 20 AND ok < 0.5 AS incident FROM w""",
+    "rolling_health": f"""WITH {TRACE}, w AS (SELECT run_id, event_seq, node, latency_ms, count(*) OVER f AS seen, avg(CASE WHEN latency_ms < 3000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER f AS ok FROM trace WINDOW f AS (PARTITION BY node ORDER BY run_id, event_seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+        SELECT run_id, event_seq, node, seen, round(ok, 6) AS ok_rate, (seen = 20 AND ok < 0.5) OR (latency_ms >= 3000 AND latency_ms % 2 = 0 AND latency_ms / 10 > 300) AS incident FROM w""",
     "cost_by_model": f"WITH {COST} SELECT node, round(sum(cost), 6) AS cost FROM costs GROUP BY 1",
     "cost_cap": f"WITH {COST}, b AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY node ORDER BY run_id, event_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM costs) SELECT run_id, event_seq, node FROM b WHERE spent <= 0.05",
     "infra_allocation": f"WITH {TRACE} SELECT run_id, event_seq, round(CASE WHEN sum(latency_ms) OVER (PARTITION BY run_id) = 0 THEN 0.0 ELSE latency_ms / sum(latency_ms) OVER (PARTITION BY run_id) END, 6) AS infra_cost FROM trace",

@@ -208,13 +208,60 @@ def test_streams_agree_with_batch(spark, tmp_path):
 
 
 def test_stream_health_and_dedup(spark, tmp_path):
-    rows = spark.createDataFrame([("n", i % 2 == 0) for i in range(30)], "node string, ok boolean").coalesce(1)
+    rows = spark.createDataFrame([("n", i, i % 2 == 0, 200, 0.0) for i in range(30)] + [("m", i, i < 25, 200, 0.0) for i in range(40)] + [("w", 0, False, 429, 301.0)],
+                                 "node string, seq long, ok boolean, status int, retry_after double").repartition(3)
     rows.write.parquet(str(tmp_path / "h"))
-    q = streams.health(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "h"))).writeStream.format("memory").queryName("health").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [(r.seen, r.ok_of_last) for r in spark.table("health").collect()] == [(30, 10)]
+    got = streams.result(streams.health(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "h"))), "update", ["node"])
+    assert {tuple(r) for r in got.collect()} == {("n", 30, 10, False), ("m", 40, 5, True), ("w", 1, 0, True)}
     news = spark.createDataFrame([(1, "A b", "2026-01-01 10:00:00"), (2, "a B!", "2026-01-01 11:59:00"), (3, "a b", "2026-01-01 12:00:00")], "id int, title string, at string")
     news.select("id", "title", F.col("at").cast("timestamp").alias("published")).coalesce(1).write.parquet(str(tmp_path / "n"))
     stream = spark.readStream.schema("id int, title string, published timestamp").parquet(str(tmp_path / "n"))
     streams.drained(streams.deduplicated(stream), str(tmp_path / "c"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_stream_sinks(spark, tmp_path):
+    """A batch that is repeated changes nothing; of a key the latest version stays, across batches too."""
+    rows = lambda *r: spark.createDataFrame([(k, dt.date(2026, 1, d), v, x) for k, d, v, x in r], "k int, day date, version int, x string")
+    first, second = rows((1, 1, 1, "a"), (1, 1, 2, "b"), (2, 2, 1, "c")), rows((2, 2, 2, "d"), (3, 1, 1, "e"))
+    write = streams.compensated_sink(str(tmp_path / "t"), ["k", "day"], "day")
+    for batch, k in ((first, 0), (first, 0), (second, 1), (second, 1)):
+        write(batch, k)
+    got = spark.read.parquet(str(tmp_path / "t")).select("k", "x").collect()
+    assert sorted(map(tuple, got)) == [(1, "b"), (2, "d"), (3, "e")]
+    write = streams.upsert_sink(str(tmp_path / "u"), ["k"])
+    for batch, k in ((first, 0), (second, 1), (first, 0)):
+        write(batch, k)
+    assert sorted((r.k, r.x) for r in streams.latest(spark, str(tmp_path / "u"), ["k"]).collect()) == [(1, "b"), (2, "d"), (3, "e")]
+
+
+def test_stream_timeout(spark, tmp_path):
+    at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    rows = [("slow", 0, at(0), "start"), ("late", 0, at(0), "start"), ("late", 1, at(301), "end"), ("fine", 0, at(0), "start"), ("fine", 1, at(300), "end"), ("fresh", 0, at(900), "start"), ("idle", 0, at(1000), "queue"),
+            ("gone", 0, at(5), "cancel"), ("gone", 1, at(6), "start")]
+    df = spark.createDataFrame(rows, "run_id string, seq long, at timestamp, command string").coalesce(1)
+    df.write.parquet(str(tmp_path / "r"))
+    got = streams.result(streams.run_status(spark.readStream.schema(df.schema).parquet(str(tmp_path / "r"))), "update", ["run_id"])
+    assert {r.run_id: r.status for r in got.collect()} == {"slow": "FAILED_SYSTEM", "late": "FAILED_SYSTEM", "fine": "SUCCEEDED", "fresh": "RUNNING", "idle": "QUEUED", "gone": "CANCELLED"}
+
+
+def test_placed_over_buckets(spark):
+    """Places, rolling windows and budgets don't depend on how wide the buckets and blocks are."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(r, k, rng.choice("ab"), rng.random() < 0.5, 429 if rng.random() < 0.02 else 200, 400.0, rng.random()) for r in range(60) for k in range(rng.randint(1, 9))]
+    e = spark.createDataFrame(rows, "run_id long, event_seq long, node string, ok boolean, status int, retry_after double, cost double").repartition(5)
+    expected, seen, spent = {}, collections.defaultdict(list), collections.defaultdict(float)
+    kept = set()
+    for r, k, node, ok, status, _, cost in sorted(rows):
+        seen[node].append(ok)
+        last = seen[node][-20:]
+        expected[r, k] = (len(last), round(sum(last) / len(last), 9), (len(last) == 20 and sum(last) < 10) or status == 429)
+        if spent[node] <= 7.5:
+            kept.add((r, k))
+        spent[node] += cost
+    for block in (20, 64, 4096):
+        assert {(r.run_id, r.event_seq): (r.seen, round(r.ok_rate, 9), r.incident) for r in decision.rolling_health(e, block=block).collect()} == expected
+    for width in (1, 7, 1024):
+        assert {(r.run_id, r.event_seq) for r in decision.within_budget(e, 7.5, width).collect()} == kept
