@@ -10,6 +10,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,9 +74,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame, column: str) -> DataFrame:
-    """docs with a number for each row, given once and stored with it: however often the rows are read, and whatever
-    the cluster has become by then, a row keeps its number."""
-    return stored(docs.withColumn(column, F.monotonically_increasing_id()), "numbered")
+    """docs with a number for each row that is the same whenever the rows are read, and whatever the cluster has become
+    by then: in a Parquet scan it is made of the row's file and place in it; any other docs are stored first. Two rows
+    have one number with a chance of 2**-64, so rows are told apart by it and their id together."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        place = df.metadataColumn("_metadata")
+        return df.withColumn(column, F.xxhash64(place["file_path"], place["row_index"]))
+
+    try:
+        out = placed(docs)
+        _ = out.schema
+    except AnalysisException:  # no Parquet scan
+        out = placed(stored(docs, "numbered"))
+    return out
 
 
 def apart(df: DataFrame, *keys: str) -> DataFrame:
@@ -136,6 +149,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[edges[0] : edges[-1]], edges - edges[0]
 
 
+def sliced(tables, column: str | int, limit: int = 1 << 22):
+    """The tables in slices of at most limit bytes of a text column, or one row: what is made of them in Python stays small."""
+    for t in tables:
+        sizes = pc.fill_null(pc.binary_length(t.column(column)), 0).to_numpy(zero_copy_only=False)
+        for i, j in text_groups(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), limit):
+            yield t.slice(i, j - i)
+
+
 def binary(values: np.ndarray, edges: np.ndarray) -> pa.Array:
     """values[edges[i]:edges[i + 1]] as bytes, a row for each i."""
     offsets = (edges * values.itemsize).astype(np.int64 if len(values) * values.itemsize >= 1 << 31 else np.int32)
@@ -168,6 +189,21 @@ def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarr
     return span_hashes(buf, starts, ends), np.searchsorted(starts, edges), ends - starts
 
 
+def words_of(buf: np.ndarray, edges: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of the texts buf[edges[i]:edges[i + 1]], in order, as ``word_hashes`` gives them, and
+    the offsets of each text's words."""
+    if not len(buf):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(edges), dtype=np.int64)
+    buf = _LOWER[buf] if lower else buf
+    gap = BREAK[buf]
+    first, last = np.concatenate(([True], gap[:-1])), np.concatenate((gap[1:], [True]))
+    full = np.flatnonzero(np.diff(edges) > 0)
+    first[edges[full]] = True
+    last[edges[full + 1] - 1] = True
+    starts, ends = np.flatnonzero(~gap & first), np.flatnonzero(~gap & last) + 1
+    return span_hashes(buf, starts, ends), np.searchsorted(starts, edges)
+
+
 def batches(rows, limit: int = 1 << 20):
     """Groups of consecutive items (key, text) with at most limit bytes of text, or one item."""
     group, size = [], 0

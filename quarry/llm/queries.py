@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, id_coder, jaccard_join, kn_lm, langid, line_dedup, mixing, packing, quality
-from .common import crc_bucket, lean, stored
-
-#: Vocabulary files of public tokenizers.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-
+from .common import BREAK, crc_bucket, lean, text_bytes
 
 def vocabulary(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Where a vocabulary file of the public tokenizers is."""
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,18 +27,23 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).withColumn("__mixed", F.monotonically_increasing_id())
-    plan = stored(mixing.plan_mix(docs), "mix-plan")
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
+    mixture, key = mixing.Mixture(docs), mixing.KEY
 
     def counted(tables):
         for t in tables:
-            yield pa.record_batch([t.column("__mixed"), pa.array([len(x.encode().split()) for x in t.column("text").to_pylist()], pa.int64())], ["__mixed", "words"])
+            buf, edges = text_bytes(t.column("text"))
+            gap = np.concatenate(([True], BREAK[buf]))
+            starts = gap[:-1] & ~gap[1:]
+            starts[edges[:-1][np.diff(edges) > 0]] = ~BREAK[buf[edges[:-1][np.diff(edges) > 0]]]
+            words = np.diff(np.concatenate(([0], np.cumsum(starts)))[edges])
+            yield pa.record_batch([*(t.column(c) for c in key), pa.array(words.astype(np.int64))], [*key, "words"])
 
     # What was taken is counted in the mix itself: the words of each piece, by the row it came from. Counted in Python, in
     # the mix's order: under an aggregate alone Spark would leave out the local shuffle.
-    words = mixing.mix(docs, plan=plan).mapInArrow(lean(counted), "__mixed long, words long")
-    taken = words.groupBy("__mixed").agg(F.sum("words").alias("taken"))
-    rows = plan.join(taken, F.col("__row") == F.col("__mixed"), "left")
+    words = mixing.mix(docs, mixture, keyed=True).mapInArrow(lean(counted), "__k int, __cell long, __nth int, words long")
+    taken = words.groupBy(*key).agg(F.sum("words").alias("taken"))
+    rows = mixture.pieces().drop("pieces").join(taken, key, "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
