@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, stored
+from .common import apart, ascii_lower, fresh, numbered, stored
 
 BLOCK_BYTES = 8192
-#: Names are numbered inside so many ranges of sorted keys, in parallel.
-NAME_RANGES = 1024
+#: Names are numbered inside so many ranges of sorted keys, many of which share a task.
+NAME_RANGES = 1 << 20
 
 
 def _numbered(keys: DataFrame, columns: list[str], order: list[str] | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def _numbered(keys: DataFrame, columns: list[str], order: list[str] | None = Non
     window = Window.partitionBy("__range").orderBy(*(order or columns))
     return (
         keys.withColumn("__range", part)
-        .withColumn("__name", F.col("__range") * F.lit(1 << 40) + F.row_number().over(window))
+        .withColumn("__name", F.col("__range") * F.lit(1 << 42) + F.row_number().over(window))
         .drop("__range")
     )
 
@@ -40,11 +40,13 @@ def _blocks(raw: Column, n: Column, block_bytes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(raw, i * block_bytes + 1, F.lit(block_bytes)))
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per row of docs: __row, doc_id, text_sha256, n_blocks, name. Equal texts share (n_blocks, name)."""
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, row_col: str | None = None) -> DataFrame:
+    """A row per row of docs: __row (row_col's number), doc_id, text_sha256, n_blocks, name. Equal texts share
+    (n_blocks, name)."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()  # stored below, and read from there
     size = F.greatest(F.lit(1), F.ceil(F.octet_length("__raw") / F.lit(block_bytes))).cast("int")
     raw = docs.select(
-        F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("doc_id"), _bytes(F.col(text_col)).alias("__raw")
+        row.alias("__row"), F.col(id_col).alias("doc_id"), _bytes(F.col(text_col)).alias("__raw")
     ).withColumn("n_blocks", size)
     blocks = _blocks(F.col("__raw"), F.col("n_blocks"), block_bytes)
 
@@ -63,7 +65,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "exact-base",
     )
     cells = base.select("__row", "n_blocks", F.posexplode("__keys").alias("__pos", "__key"))
-    current = cells.join(named, "__key").select("__row", F.col("n_blocks").alias("__left_over"), "__pos", "__name")
+    current = cells.join(apart(named, "__key"), "__key").select("__row", F.col("n_blocks").alias("__left_over"), "__pos", "__name")
     done = None
     while True:
         current = stored(current, "exact-level")
@@ -78,28 +80,28 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         pairs = stored(pairs, "exact-pairs")
         names = _numbered(pairs.select("__a", "__b").distinct(), ["__a", "__b"])
-        current = pairs.join(names, ["__a", "__b"]).select(
+        current = pairs.join(apart(names, "__a", "__b"), ["__a", "__b"]).select(
             "__row", F.expr("(__left_over + 1) div 2").cast("int").alias("__left_over"), "__pos", "__name"
         )
     return base.select("__row", "doc_id", "text_sha256", "n_blocks").join(done, "__row")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, row_col: str | None = None) -> DataFrame:
     """A row per row of docs: __row, doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the row with
-    the largest id stays (of rows with that id, the last in the table)."""
-    rows = stored(identities(docs, id_col, text_col, block_bytes), "exact-identities")
+    the largest id stays (of rows with that id, the one of the largest number: row_col's, or as the table was read)."""
+    rows = stored(identities(docs, id_col, text_col, block_bytes, row_col), "exact-identities")
     groups = rows.groupBy("n_blocks", "name").agg(
         F.max(F.struct("doc_id", "__row")).alias("__best"), F.count(F.lit(1)).alias("group_size")
     )
-    return rows.join(groups, ["n_blocks", "name"]).select(
+    return rows.join(apart(groups, "n_blocks", "name"), ["n_blocks", "name"]).select(
         "__row", "doc_id", F.col("__best.doc_id").alias("keep_id"), "group_size",
         (F.col("__row") == F.col("__best.__row")).alias("kept"), "text_sha256",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. docs should be a scan: row numbers are taken twice."""
-    stays = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("__row").alias("__stays"))
-    row, = fresh(docs, "__row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(stays.withColumnRenamed("__stays", f"{row}_"), F.col(row) == F.col(f"{row}_"), "left_semi").drop(row)
+    """The rows of docs that stay, with all their columns."""
+    row, mate, own = fresh(docs, "__row", "__mate", "__own")
+    rows = numbered(docs, row)
+    stays = exact_groups(rows, id_col, text_col, row_col=row).filter("kept").select(F.col("__row").alias(mate), F.col("doc_id").alias(own))
+    return rows.join(stays, (F.col(row) == F.col(mate)) & F.col(id_col).eqNullSafe(F.col(own)), "left_semi").drop(row)
