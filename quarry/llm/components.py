@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import apart, stored
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs (u, v): every u's neighbours v. Large: the larger ones point at the least; small: all of them do."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = pairs.join(least, "u")
+    joined = pairs.join(apart(least, "u"), "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

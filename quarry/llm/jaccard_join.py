@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fresh, mix, mounted, shared_dir, stored, word_hashes
+from .common import apart, batches, fresh, lean, mix, mounted, numbered, shared_dir, sliced, stored, word_hashes
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -135,10 +135,12 @@ def _groups(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sets:
-    """Shards of sorted arrays in the shared folder, mapped into memory."""
+    """Shards of sorted arrays in the shared folder, mapped into memory. known: the shards of each kind that were
+    written; one of them that can't be opened is an error, and any other is empty."""
 
     def __init__(self, folder: str, shards: int):
         self.folder, self.shards = folder, shards
+        self.known: dict[str, frozenset[int]] = {}
 
     def path(self, kind: str, k: int) -> str:
         return f"{self.folder}/{kind}-{k:06d}.npy"
@@ -151,21 +153,25 @@ class Sets:
         os.replace(tmp, self.path(kind, k))
 
     def read(self, kind: str, k: int) -> np.ndarray | None:
+        if k not in self.known[kind]:
+            return None
         path = self.path(kind, k)
         if path not in _maps:
             if len(_maps) > 4096:
                 _maps.clear()
-            _maps[path] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            _maps[path] = np.load(path, mmap_mode="r")
         return _maps[path]
 
+    def wrote(self, kind: str, rows) -> None:
+        """The shards that a job has written: one small row for each, whatever they hold."""
+        self.known[kind] = frozenset(r[0] for r in rows)
+
     def shard(self, nodes: np.ndarray) -> np.ndarray:
         return (nodes.view(np.uint64) % _U(self.shards)).astype(np.int64)
 
     def load(self, k: int):
         """Nodes (sorted), offsets and shingles of a shard."""
         a = self.read("sets", k)
-        if a is None:
-            return None
         n = int(a[0])
         return a[1 : 1 + n].view(np.int64), a[1 + n : 2 + 2 * n].astype(np.int64), a[2 + 2 * n :]
 
@@ -181,17 +187,18 @@ class Sets:
 _maps: dict[str, np.ndarray | None] = {}
 
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, words: int, make, schema: str) -> DataFrame:
-    """make(rows' keys, shingles, offsets, nodes) gives record batches for a few megabytes of text."""
+def _scan(docs: DataFrame, row_col: str | None, id_col: str, text_col: str, words: int, make, schema: str) -> DataFrame:
+    """make(rows' keys, shingles, offsets, nodes) gives record batches for about a megabyte of text."""
 
     def run(tables):
-        for t in tables:
+        for t in sliced(tables, 2):
             for group in batches(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), (x.encode() if x else b"" for x in t.column(2).to_pylist()))):
                 keys, offsets = shingle_sets([g[-1] for g in group], words)
                 yield from make(group, keys, offsets, node_ids(keys, offsets))
 
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, schema)
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()  # the members' numbers are stored once
+    rows = docs.select(row.alias("__row"), F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _links(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
@@ -209,12 +216,13 @@ def _links(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
                 good[i] = _alike(mine, sets.set_of(int(b[i]), held), percent)
             yield pa.record_batch([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
-    return pairs.select("a", "b").mapInArrow(verify, "a long, b long")
+    return pairs.select("a", "b").mapInArrow(lean(verify), "a long, b long")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """A row per row of docs: __row, doc_id, n_shingles, node (null for an empty set), component_id and first_row,
-    the row of the component's least (doc_id, row). docs should be a scan: it is read three times."""
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT,
+            row_col: str | None = None) -> DataFrame:
+    """A row per row of docs: __row (row_col's number), doc_id, n_shingles, node (null for an empty set), component_id
+    and first_row, the row of the component's least (doc_id, row). docs is read three times; nodes are named by content."""
     spark = docs.sparkSession
     n_parts = max(2, docs.rdd.getNumPartitions())
     buckets, shards = 4 * n_parts, 2 * n_parts
@@ -225,7 +233,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         yield pa.record_batch([pa.array([g[0] for g in group], pa.int64()), pa.array([g[1] for g in group], pa.int64()),
                                pa.array(sizes, pa.int64()), pa.array(nodes, mask=sizes == 0)], ["__row", "doc_id", "n_shingles", "node"])
 
-    members = stored(_scan(docs, id_col, text_col, words, member, "__row long, doc_id long, n_shingles long, node long"), "jaccard-members")
+    members = stored(_scan(docs, row_col, id_col, text_col, words, member, "__row long, doc_id long, n_shingles long, node long"), "jaccard-members")
 
     # 1. Prefixes by hash; nodes with enough shingles that occur elsewhere.
     def prefix(group, keys, offsets, nodes):
@@ -249,7 +257,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         some = count > 0
         return pa.table({"node": nodes[some], "n": sizes[some], "met": count[some].astype(np.int64)})
 
-    first = _scan(docs, id_col, text_col, words, prefix, "bucket int, data binary").groupBy("bucket").applyInArrow(met, "node long, n long, met long")
+    first = _scan(docs, row_col, id_col, text_col, words, prefix, "bucket int, data binary").groupBy("bucket").applyInArrow(met, "node long, n long, met long")
     # The least partner has ceil(t n) shingles and so asks for this many matches.
     least = F.lit(1) + F.floor(F.floor((F.lit(percent) * F.col("n") + 99) / 100) / 10)
     left = stored(first.groupBy("node", "n").agg(F.sum("met").alias("met")).filter(F.col("met") >= least).select(F.col("node").alias("__node")), "jaccard-left")
@@ -262,7 +270,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         yield pa.record_batch([pa.array(sets.shard(nodes[once]), pa.int32()), pa.array(nodes[once], pa.int64()),
                                pa.array([raw[8 * offsets[i] : 8 * offsets[i + 1]] for i in once], pa.binary())], ["shard", "node", "data"])
 
-    full = _scan(docs, id_col, text_col, words, whole, "shard int, node long, data binary")
+    full = _scan(docs, row_col, id_col, text_col, words, whole, "shard int, node long, data binary")
     known = F.broadcast(left) if left.count() <= BROADCAST_NODES else left
     full = full.join(known, F.col("node") == F.col("__node"), "left_semi")
 
@@ -276,6 +284,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     # One row for each shard.
     shard_list = full.groupBy("shard").applyInArrow(write, "shard int, n long").select("shard").collect()
+    sets.wrote("sets", shard_list)
     result_none = members.select("__row", "doc_id", "n_shingles", "node")
     if not shard_list:
         return _named(result_none, None)
@@ -296,9 +305,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         low = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in table.column("data").to_pylist()]))
         starts, ends = _groups(low)
         sets.write("df", key[0].as_py(), np.stack([low[starts], (ends - starts).astype(np.uint32)]))
-        return pa.table({"n": pa.array([len(starts)], pa.int64())})
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32())})
 
-    listed.mapInArrow(count, "bucket int, data binary").groupBy("bucket").applyInArrow(frequent, "n long").agg(F.sum("n")).collect()
+    sets.wrote("df", listed.mapInArrow(lean(count), "bucket int, data binary").groupBy("bucket").applyInArrow(frequent, "bucket int").collect())
 
     def chosen(tables):
         for t in tables:
@@ -341,7 +350,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 yield from _postings(keys[at[seen]], who[seen], np.asarray(nodes), sizes, take, buckets).to_batches()
 
     # 3. Pivots for each group of nodes that share a prefix shingle.
-    postings = stored(listed.mapInArrow(chosen, "bucket int, data binary"), "jaccard-postings")
+    postings = stored(listed.mapInArrow(lean(chosen), "bucket int, data binary"), "jaccard-postings")
 
     def pivots(table):
         low, owner, nodes, sizes, _ = _read_postings(table)
@@ -361,16 +370,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     found = stored(components(links), "jaccard-components")
 
     # 4. Lookups between components.
-    counted = found.join(found.groupBy(F.col("root").alias("__root")).agg(F.count(F.lit(1)).alias("members")), F.col("root") == F.col("__root"))
+    members_of = found.groupBy(F.col("root").alias("__root")).agg(F.count(F.lit(1)).alias("members"))
+    counted = found.join(apart(members_of, "__root"), F.col("root") == F.col("__root"))
 
     def place(key, table):
         nodes, roots, members = (table.column(c).to_numpy() for c in ("node", "root", "members"))
         order = np.argsort(nodes)
         sets.write("root", key[0].as_py(), np.stack([nodes[order], roots[order], members[order]]))
-        return pa.table({"n": pa.array([len(nodes)], pa.int64())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32())})
 
     shard = F.pmod(F.col("node"), F.lit(shards)).cast("int")
-    counted.select("node", "root", "members", shard.alias("shard")).groupBy("shard").applyInArrow(place, "n long").agg(F.sum("n")).collect()
+    sets.wrote("root", counted.select("node", "root", "members", shard.alias("shard")).groupBy("shard").applyInArrow(place, "shard int").collect())
 
     def rooted(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nodes' components and their sizes, as far as the pivots showed them."""
@@ -471,6 +481,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     asked = postings.groupBy("bucket").applyInArrow(index, _LOOKUP)
     # All of the index is written before the first lookup.
     asked = stored(asked, "jaccard-lookups")
+    # A range that stored an index asks for something.
+    for kind in ("token", "posting"):
+        sets.wrote(kind, asked.select("bucket").distinct().collect())
     more = stored(asked.groupBy("shard").applyInArrow(look_up, "a long, b long"), "jaccard-more")
     if not more.isEmpty():
         # Components of the first links are stars; the new links join them.
@@ -514,15 +527,16 @@ def _named(members: DataFrame, roots: DataFrame | None) -> DataFrame:
         rooted = nodes.join(roots.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select(
             "node", F.coalesce("root", "node").alias("root"), "least", "first")
         least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
-        named = rooted.select(F.col("node").alias("__n"), "root").join(least, "root").select("__n", "component_id", F.col("first.__row").alias("first_row"))
-    out = members.join(named, F.col("node") == F.col("__n"), "left")
+        named = rooted.select(F.col("node").alias("__n"), "root").join(apart(least, "root"), "root").select("__n", "component_id", F.col("first.__row").alias("first_row"))
+    out = members.join(apart(named, "__n"), F.col("node") == F.col("__n"), "left")
     return out.select("__row", "doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
                       F.coalesce("first_row", "__row").alias("first_row"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, one of each component, with all their columns."""
-    stays = similar(docs, **options).filter("__row = first_row").select(F.col("__row").alias("__stays"))
-    row, = fresh(docs, "__row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(stays.withColumnRenamed("__stays", f"{row}_"), F.col(row) == F.col(f"{row}_"), "left_semi").drop(row)
+    row, mate, own = fresh(docs, "__row", "__mate", "__own")
+    rows = numbered(docs, row)
+    stays = similar(rows, row_col=row, **options).filter("__row = first_row").select(F.col("__row").alias(mate), F.col("doc_id").alias(own))
+    same = F.col(options.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col(own))
+    return rows.join(stays, (F.col(row) == F.col(mate)) & same, "left_semi").drop(row)
