@@ -75,7 +75,9 @@ def format_chats(turns: DataFrame, parts_col: str | None = None, trained_roles:
     parts (``PART_TYPE``) in parts_col."""
     parts = F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART_TYPE}>")) if parts_col else text_parts(F.col("text"))
     rows = turns.select("conv_id", F.col("turn").alias("t"), F.coalesce("role", F.lit("")).alias("r"), parts.alias("p"))
-    rows = rows.select("conv_id", F.struct("t", "r", _visit(F.col("p")).alias("body"), "p").alias("s"))
+    # Tied turns are ordered by their text as it came in, not as it is escaped.
+    raw = F.array_join(F.transform("p", lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    rows = rows.select("conv_id", F.struct("t", "r", raw.alias("raw"), _visit(F.col("p")).alias("body"), "p").alias("s"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
     # Each turn as (head, body, tail); then lengths give the places of the bodies.
     pieces = F.transform("s", lambda s: F.struct(
