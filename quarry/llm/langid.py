@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, lean
+from .common import batches, lean, sliced
 
 DIM, N, SEED = 1024, 3, 11
 UNKNOWN = "und"
@@ -35,7 +35,7 @@ class Space:
         self.letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.table = np.zeros((1024, dim), dtype=np.float32)
+        self.table = np.zeros((1024, dim), dtype=np.int8)
 
     def _letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -106,7 +106,9 @@ class Space:
                 own = rows[bounds[i] : bounds[i + 1]]
                 count = np.bincount(own[own >= 0], minlength=used)
                 some = np.flatnonzero(count)
-                out[i] += count[some].astype(np.float32) @ self.table[some]
+                for at in range(0, len(some), 4096):
+                    few = some[at : at + 4096]
+                    out[i] += count[few].astype(np.float32) @ self.table[few].astype(np.float32)
         return out
 
 
@@ -126,7 +128,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dim:
     def bundle(tables):
         sums: dict[str, np.ndarray] = {}
         sp = space(dim, n, seed)
-        for t in tables:
+        for t in sliced(tables, 1):
             for group in batches(zip(t.column(0).to_pylist(), t.column(1).to_pylist())):
                 v = sp.vectors([x for _, x in group])
                 langs = np.array([g[0] for g in group])
@@ -152,7 +154,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     def run(tables):
         sp = space(dim, n, seed)
-        for t in tables:
+        for t in sliced(tables, text_col):
             pred, score = [], []
             for group in batches((x,) for x in t.column(text_col).to_pylist()):
                 v = sp.vectors([g[0] for g in group])

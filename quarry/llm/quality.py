@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix, stored, word_hashes
+from .common import batches, lean, mix, sliced, stored, word_hashes
 
 # Fixed values of the base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW_WORDS = 10, 20, 5
@@ -137,7 +137,7 @@ def measure(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     """The measures of each text, and __group: its language, or its script where docs has none for it."""
 
     def run(tables):
-        for t in tables:
+        for t in sliced(tables, 1):
             for group in batches(zip(t.column(0).to_pylist(), t.column(2).to_pylist(), t.column(1).to_pylist())):
                 texts = [x or "" for *_, x in group]
                 scripts = list(map(script, texts))
@@ -154,7 +154,7 @@ def measure(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang")).mapInArrow(
-        run, f"{_ROW}, {_GROUP} string")
+        lean(run), f"{_ROW}, {_GROUP} string")
 
 
 def banded(rows: DataFrame, every: DataFrame, measures: list[str], classes: list[str]):
