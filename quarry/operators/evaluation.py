@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import jaccard, words
+from quarry.sources import shared
 
 
 def greedy_matches(predicted: Column, golden: Column, threshold: float = 0.26) -> Column:
@@ -59,11 +60,10 @@ def bowker(pairs: DataFrame) -> DataFrame:
 
 def wilcoxon_w(pairs: DataFrame) -> DataFrame:
     """Rank sums of positive and negative differences x - y; zeros are dropped, ties share their mean rank. Ranks
-    come from counts of distinct differences, so only those are sorted in one place."""
+    come from counts of distinct differences, added up over ranges."""
     d = pairs.select((F.col("x") - F.col("y")).alias("d")).filter("d <> 0").groupBy(F.abs("d").alias("m")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = d.withColumn("rank", before + (F.col("n") + 1) / 2)
+    r = shared.prefix_sums(d, "m", "n", "before").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     return r.agg(F.coalesce(F.sum(F.col("rank") * F.col("up")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("rank") * (F.col("n") - F.col("up"))), F.lit(0.0)).alias("w_minus"))
 
 
@@ -202,8 +202,7 @@ def spearman(pairs: DataFrame) -> DataFrame:
     come from counts of distinct values, which are sorted by value across ranges."""
     def ranks(column: str) -> DataFrame:
         c = pairs.groupBy(F.col(column).alias(f"__{column}")).agg(F.count(F.lit(1)).alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(f"__{column}").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return c.select(f"__{column}", (before + (F.col("n") + 1) / 2).alias(f"{column}_rank"))
+        return shared.prefix_sums(c, f"__{column}", "n", "before").select(f"__{column}", (F.col("before") + (F.col("n") + 1) / 2).alias(f"{column}_rank"))
 
     rows = pairs.join(ranks("x"), F.col("x") == F.col("__x")).join(ranks("y"), F.col("y") == F.col("__y"))
     bucket = lambda c: F.least(F.floor(F.col(c) * 4), F.lit(3))

@@ -54,19 +54,30 @@ def candidate_date(published: Column) -> Column:
 
 
 def as_of_forward(left: DataFrame, date_col: str, days: DataFrame, out: str = "trade_date") -> DataFrame:
-    """The first of days on or after the date. days is a calendar: its size follows time, not data, and is checked."""
-    if days.count() > 100_000:
-        raise ValueError("a calendar of more than 100,000 days")
-    calendar = days.agg(F.sort_array(F.collect_set("day")).alias("__days"))
-    joined = left.crossJoin(F.broadcast(calendar))  # one row: the calendar
-    return joined.withColumn(out, F.try_element_at(F.filter("__days", lambda d: d >= F.col(date_col)), F.lit(1))).drop("__days")
+    """The first of days on or after the date. Each calendar date is listed once with its day, so this is an equi-join;
+    Spark broadcasts the list while it is small. A calendar's rows follow time, not data."""
+    line = Window.orderBy("day")  # the calendar, a row a day
+    spans = days.select("day").distinct().select("day", F.lag("day").over(line).alias("before"))
+    dates = spans.select(F.explode(F.sequence(F.coalesce(F.date_add("before", 1), "day"), "day")).alias("__date"), F.col("day").alias("__next"))
+    first = days.agg(F.min("day").alias("__first"))  # one row
+    joined = left.crossJoin(F.broadcast(first)).join(dates, F.col(date_col) == F.col("__date"), "left")
+    return joined.withColumn(out, F.coalesce("__next", F.when(F.col(date_col) < F.col("__first"), F.col("__first")))).drop("__date", "__next", "__first")
 
 
 def as_of_latest(left: DataFrame, right: DataFrame, key: str, left_date: str, right_date: str, value: str) -> DataFrame:
-    """The value of right's latest row on or before left's date, by key: one union and one window, no range join."""
+    """The value of right's latest row on or before left's date, by key: a union and a window inside each month of a key,
+    and what the months before left off with; no range join, and no window over all of a key."""
     columns = left.columns
+    month = F.trunc("__at", "month")
     a = left.select(*columns, F.col(left_date).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__value"))
     empty = [F.lit(None).cast(left.schema[c].dataType).alias(c) if c != key else F.col(key) for c in columns]
     b = right.select(*empty, F.col(right_date).alias("__at"), F.lit(0).alias("__side"), F.col(value).alias("__value"))
-    frame = Window.partitionBy(key).orderBy("__at", "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(f"latest_{value}", F.last("__value", ignorenulls=True).over(frame)).filter("__side = 1").drop("__at", "__side", "__value")
+    rows = a.unionByName(b).withColumn("__month", month)
+    # A row for each month of a key.
+    ends = rows.groupBy(F.col(key).alias("__key"), F.col("__month").alias("__m")).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct("__at", "__value"))).alias("__end"))
+    before = Window.partitionBy("__key").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__carried", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+    frame = Window.partitionBy(key, "__month").orderBy("__at", "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("__own", F.last("__value", ignorenulls=True).over(frame)).filter("__side = 1")
+    found = found.join(ends, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__month") == F.col("__m")), "left")
+    return found.withColumn(f"latest_{value}", F.coalesce("__own", "__carried")).drop("__at", "__side", "__value", "__month", "__own", "__key", "__m", "__carried")

@@ -18,7 +18,11 @@ QUALITY = ARTICLES + f""", q AS (SELECT *, {NORM} AS t, coalesce(length(body), 0
     flags AS (SELECT asset_id, ticker, source_type, CASE WHEN size = 0 THEN 'short_text' WHEN coalesce(title, '') = '' OR published IS NULL OR coalesce(source, '') = '' THEN 'missing_fields'
         WHEN size < 200 THEN 'short_text' WHEN tongue <> 'en' THEN 'non_target_language' WHEN same >= 5 THEN 'template_spam' END AS reason,
     round(((size >= 200)::INT + (coalesce(title, '') <> '')::INT + (published IS NOT NULL)::INT + (coalesce(source, '') <> '')::INT + (tongue = 'en')::INT + (same < 5)::INT) / 6, 3) AS score FROM f)"""
-PAGE_URL = """regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '')"""
+_BARE, _PATH = "regexp_replace(url, '#.*$', '')", "regexp_extract(regexp_replace(url, '#.*$', ''), '^https?://[^/?]*([^?]*)', 1)"
+_QUERY = f"""array_to_string(list_sort(list_transform(list_filter(string_split(regexp_extract({_BARE}, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_|ref_|mc_)')),
+    lambda x: url_encode(url_decode(split_part(x, '=', 1))) || '=' || url_encode(url_decode(CASE WHEN contains(x, '=') THEN substr(x, instr(x, '=') + 1) ELSE '' END)))), '&')"""
+PAGE_URL = f"""(lower(regexp_extract({_BARE}, '^https?://[^/?]*')) || CASE WHEN {_PATH} = '/' THEN '' WHEN length({_PATH}) - length(replace({_PATH}, '/', '')) = 2 AND {_PATH} LIKE '%/' THEN rtrim({_PATH}, '/') ELSE {_PATH} END
+    || CASE WHEN {_QUERY} = '' THEN '' ELSE '?' || {_QUERY} END)"""
 TOKS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
@@ -83,9 +87,19 @@ QUERIES = {
     "rerank_overlap": lambda s, d: search.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d), 10).join(t.table(s, d, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").join(_queries(s, d), "query_id").select(
         "query_id", "doc_id", F.round(text.overlap(F.col("text"), F.col("body")), 6).alias("overlap")),
     "semantic_dedup_cosine": lambda s, d: _semantic(s, d),
+    "semantic_dedup_day": lambda s, d: _semantic_day(s, d),
 }
 
 
+def _semantic_day(s, d):
+    """Vectors of articles, and whether one of the same ticker and day with a smaller id is nearer than a cosine of 0.3. A
+    ticker has few articles a day."""
+    e = t.table(s, d, "embeddings").select((F.col("vec_id") % 40).alias("ticker"), (F.col("vec_id") % 30).alias("day"), F.col("vec_id").alias("asset_id"), "embedding")
+    other = e.select("ticker", "day", F.col("asset_id").alias("b"), F.col("embedding").alias("y"))
+    near = e.join(other, ["ticker", "day"]).filter("b < asset_id").filter(F.round(search.dot(F.col("embedding"), F.col("y")), 6) > 0.3).groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_before"))
+    return e.join(near, "asset_id", "left").select("asset_id", F.col("n_before").isNull().alias("kept"), F.coalesce("n_before", F.lit(0)).alias("n_before"))
+
+
 def _semantic(s, d):
     """Pairs of one label with a cosine over 0.92: only vectors that share a label meet."""
     e = t.table(s, d, "embeddings")
@@ -136,4 +150,7 @@ ORACLE_SQL = {
     "semantic_dedup_cosine": """SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
         WHERE round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) > 0.92""",
 }
+ORACLE_SQL["semantic_dedup_day"] = """WITH e AS (SELECT vec_id AS asset_id, vec_id % 40 AS ticker, vec_id % 30 AS day, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    n AS (SELECT a.asset_id, count(*) AS c FROM e a JOIN e b ON a.ticker = b.ticker AND a.day = b.day AND b.asset_id < a.asset_id WHERE round(list_dot_product(a.v, b.v), 6) > 0.3 GROUP BY 1)
+    SELECT e.asset_id, n.c IS NULL AS kept, coalesce(n.c, 0) AS n_before FROM e LEFT JOIN n USING (asset_id)"""
 ORACLE_SQL["chunk_layer_counts"] = f"SELECT level, count(*) AS n FROM ({ORACLE_SQL['chunks_l1_l2']}) GROUP BY 1"

@@ -6,7 +6,8 @@ import os
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -26,3 +27,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def prefix_sums(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """df with what value sums to over all rows before it in order (whose values are distinct): sums inside ranges of the
+    order, which are stored once, and of the ranges before; no task sees all rows."""
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
+    rows = stored(ranged, "ranged")
+    sums = rows.groupBy("__part").agg(F.sum(value).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sums.select(F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__base"))  # one row a partition
+    inside = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn(out, F.coalesce(inside, F.lit(0))).join(F.broadcast(bases), F.col("__part") == F.col("__p"))
+    return rows.withColumn(out, F.col(out) + F.col("__base")).drop("__part", "__p", "__base")

@@ -43,12 +43,8 @@ def matrix_manifest(vectors: DataFrame, dim: int) -> DataFrame:
 
 def position_join(ids: DataFrame, vectors: DataFrame) -> DataFrame:
     """The i-th id in order with row i of a matrix. Positions come from counts of ranges, so no task sees all ids."""
-    cut = ids.select("asset_id").repartitionByRange("asset_id").sortWithinPartitions("asset_id").withColumn("part", F.spark_partition_id())
-    placed = shared.stored(cut.withColumn("inner", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)), "positions")
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sizes.select("part", before.alias("base"))  # one row a partition
-    return placed.join(bases, "part").select("asset_id", (F.col("base") + F.col("inner")).alias("id")).join(vectors, "id")
+    placed = shared.prefix_sums(ids.select("asset_id", F.lit(1).alias("one")), "asset_id", "one", "id")
+    return placed.select("asset_id", "id").join(vectors, "id")
 
 
 def export_runs(runs: DataFrame, events: DataFrame, keys: str = "run_id") -> DataFrame:
