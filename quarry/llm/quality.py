@@ -1,7 +1,8 @@
 """Quality rules: base rules on words and repetition, then tokeniser fertility.
 
-A public vocabulary measures each text: characters per token, the share of byte-fallback tokens, and the entropy of
-the token distribution. Texts of one language, where it is known, or else of one script form a group: a text far
+Public vocabularies measure each text: characters per token, the share of byte-fallback tokens, and the entropy of
+the token distribution. The first has pieces for characters it lacks, byte by byte; a byte-level one falls back where a
+token is no whole character. Texts of one language, where it is known, or else of one script form a group: a text far
 outside its group's quartiles, which are computed over all texts, is rejected, however short it is; entropy is compared
 within a length class. A group of a few texts is held to what any other group's bands allow, or to the quartiles of
 the whole table if no group has bands.
@@ -17,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, lean, mix, sliced, stored, word_hashes
+from .common import batches, lean, mix, sliced, stored, text_bytes, word_hashes
+from .tokens import encoder
 
 # Fixed values of the base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW_WORDS = 10, 20, 5
@@ -25,7 +27,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Bands: quartiles of a group's texts, which a few per cent of junk hardly move, and the room given beyond them as a
 #: multiple of their distance; and the least room, for groups that hardly differ.
 LOW, HIGH, ROOM = 0.25, 0.75, 5.0
-LEAST_ROOM = {"chars_per_token": 0.1, "byte_share": 0.05, "entropy": 0.25}
+LEAST_ROOM = {"chars_per_token": 0.1, "byte_share": 0.05, "entropy": 0.25, "chars_per_token_2": 0.1, "byte_share_2": 0.05, "entropy_2": 0.25}
 #: A group of fewer texts has no bands of its own.
 LEAST_TEXTS = 30
 #: Entropy grows with length, so its bands are set apart by powers of two of the tokens, from the first to the last of these.
@@ -39,6 +41,7 @@ SCRIPTS = {"latin": (0x41, 0x24F), "greek": (0x370, 0x3FF), "cyrillic": (0x400,
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(SYMBOLS)] = True
 _models: dict[str, tuple] = {}
+_broken: dict[str, np.ndarray] = {}
 
 
 def _model(path: str):
@@ -115,6 +118,39 @@ def fertility(texts: list[str], path: str) -> list[tuple[int, int, float]]:
     return out
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printing ones stand for themselves, and the others,
+    in order, for the letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def fallback_tokens(path: str) -> np.ndarray:
+    """Which ids of a byte-level vocabulary are no whole characters."""
+    if path not in _broken:
+        model, byte_of = encoder(path).model, _byte_of()
+        flags = np.zeros(model.get_vocab_size(), dtype=bool)
+        for token, i in model.get_vocab().items():
+            try:
+                bytes(byte_of[c] for c in token).decode()
+            except (UnicodeDecodeError, KeyError):
+                flags[i] = token not in model.get_added_tokens_decoder()
+        _broken[path] = flags
+    return _broken[path]
+
+
+def byte_level(texts: list[str], path: str) -> list[tuple[int, int, float]]:
+    """Tokens, byte-fallback tokens and token entropy (bits) of each text under a byte-level vocabulary."""
+    ids, edges = encoder(path).ids(*text_bytes(pa.array(texts, pa.string())))
+    broken = np.concatenate(([0], np.cumsum(fallback_tokens(path)[ids])))
+    out = []
+    for i, j in zip(edges.tolist(), edges[1:].tolist()):
+        p = np.unique(ids[i:j], return_counts=True)[1] / max(1, j - i)
+        out.append((j - i, int(broken[j] - broken[i]), float(-(p * np.log2(p)).sum()) if j > i else 0.0))
+    return out
+
+
 def script(text: str) -> str:
     """The script of most of a text's letters, by code point; ``other`` for letters of no listed script."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
@@ -129,12 +165,13 @@ def script(text: str) -> str:
 
 
 _ROW = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "n_tokens long, byte_share double, entropy double, chars_per_token double, script string")
+        "n_tokens long, byte_share double, entropy double, chars_per_token double, n_tokens_2 long, byte_share_2 double, entropy_2 double, "
+        "chars_per_token_2 double, script string")
 _GROUP = "__group"
 
 
-def measure(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The measures of each text, and __group: its language, or its script where docs has none for it."""
+def measure(docs: DataFrame, vocabulary: str, second: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The measures of each text under two vocabularies, and __group: its language, or its script where docs has none."""
 
     def run(tables):
         for t in sliced(tables, 1):
@@ -142,15 +179,16 @@ def measure(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
                 texts = [x or "" for *_, x in group]
                 scripts = list(map(script, texts))
                 base = base_measures([x.encode() for x in texts])
-                tokens = fertility(texts, vocabulary)
-                n = [x[0] for x in tokens]
+                measured = []
+                for tokens in (fertility(texts, vocabulary), byte_level(texts, second)):
+                    n = [x[0] for x in tokens]
+                    measured += [pa.array(n, pa.int64()), pa.array([x[1] / max(1, x[0]) for x in tokens], pa.float64()), pa.array([x[2] for x in tokens], pa.float64()),
+                                 pa.array([c / max(1, k) for c, k in zip(base[1].tolist(), n)], pa.float64())]
                 yield pa.record_batch(
-                    [pa.array([g[0] for g in group], pa.int64()), *(pa.array(x, pa.int64()) for x in base), pa.array(n, pa.int64()),
-                     pa.array([x[1] / max(1, x[0]) for x in tokens], pa.float64()), pa.array([x[2] for x in tokens], pa.float64()),
-                     pa.array([c / max(1, k) for c, k in zip(base[1].tolist(), n)], pa.float64()), pa.array(scripts, pa.string()),
+                    [pa.array([g[0] for g in group], pa.int64()), *(pa.array(x, pa.int64()) for x in base), *measured, pa.array(scripts, pa.string()),
                      pa.array([f"lang {g[1]}" if g[1] else f"script {x}" for g, x in zip(group, scripts)], pa.string())],
-                    ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "byte_share", "entropy",
-                     "chars_per_token", "script", _GROUP])
+                    ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "byte_share", "entropy", "chars_per_token",
+                     "n_tokens_2", "byte_share_2", "entropy_2", "chars_per_token_2", "script", _GROUP])
 
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang")).mapInArrow(
@@ -180,16 +218,17 @@ def banded(rows: DataFrame, every: DataFrame, measures: list[str], classes: list
     return rows, inside
 
 
-def judge(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A row per document: the measures, base_failed, and kept: the base rules hold and it lies in its group's bands."""
-    rows = stored(measure(docs, vocabulary, id_col, text_col, lang_col), "quality")
+def judge(docs: DataFrame, vocabulary: str, second: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """A row per document: the measures, base_failed, and kept: the base rules hold and it lies in its group's bands.
+    vocabulary: a model with byte fallback; second: a byte-level one."""
+    rows = stored(measure(docs, vocabulary, second, id_col, text_col, lang_col), "quality")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     length = F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")
     joined = rows.withColumn("__class", F.least(F.greatest(length, F.lit(FIRST_CLASS)), F.lit(LAST_CLASS)))
     every = joined.select(_GROUP, "__class", *LEAST_ROOM)
     verdict = F.lit(True)
-    for measures, classes in ((["chars_per_token", "byte_share"], []), (["entropy"], ["__class"])):
+    for measures, classes in ((["chars_per_token", "byte_share", "chars_per_token_2", "byte_share_2"], []), (["entropy", "entropy_2"], ["__class"])):
         joined, inside = banded(joined, every, measures, classes)
         verdict &= inside
     out = joined.withColumn("kept", ~F.col("base_failed") & verdict)

@@ -83,7 +83,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+    return quality.judge(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.json"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

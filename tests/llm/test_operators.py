@@ -247,7 +247,8 @@ def test_languages(docs, rows, empty, spark):
 
 def test_quality(docs, rows, empty):
     path = queries.vocabulary("piece_bpe_32k.model")
-    got = quality.judge(docs, path).collect()
+    second = queries.vocabulary("byte_bpe_50k.json")
+    got = quality.judge(docs, path, second).collect()
     exp = []
     for r in rows:
         t = r[1] or ""
@@ -257,7 +258,7 @@ def test_quality(docs, rows, empty):
         rep = {j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
         exp.append(str((r[0], len(w), sum(len(x.decode()) for x in w), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(rep), len(w) < 10 or 100 * len(rep) > 20 * len(w))))
     assert sorted(str((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)) for r in got) == sorted(exp)
-    assert not any(r.kept and r.base_failed for r in got) and quality.judge(empty, path).count() == 0
+    assert not any(r.kept and r.base_failed for r in got) and quality.judge(empty, path, second).count() == 0
 
 
 def test_mixing_query_counts_the_mix(spark, docs, tmp_path, monkeypatch):
@@ -285,7 +286,7 @@ def judged(spark, n_words, known):
     own = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     junk = [(-1 - i, " ".join(word() for _ in range(n_words)), lang if known else None)
             for i, (word, lang) in enumerate((w, x) for w in planted_junk().values() for x in ("en", "fr", "de", "es"))]
-    got = quality.judge(own.unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string")), queries.vocabulary("piece_bpe_32k.model")).collect()
+    got = quality.judge(own.unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string")), queries.vocabulary("piece_bpe_32k.model"), queries.vocabulary("byte_bpe_50k.json")).collect()
     assert not any(r.base_failed for r in got if r.doc_id < 0)
     return [r for r in got if r.doc_id < 0], [r for r in got if r.doc_id >= 0 and not r.base_failed]
 
@@ -345,7 +346,13 @@ def test_model(docs, rows, empty):
             return (c - cut(c) + sum(map(cut, own.values())) * low) / sum(own.values())
 
         scored = kn_lm.score(docs, model).collect()
-        for r in scored[:25]:
+        for k in count:
+            n1, n2, n3, n4 = (sum(c == m for c in count[k].values()) for m in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 else 0.5
+            own = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+            assert model.discounts[k] == pytest.approx([min(max(d, 0.05), m + 0.95) for m, d in enumerate(own)])
+        assert len(scored) == len(rows)
+        for r in (r for r in scored if r.n_tokens < 1000):
             t = ["<b>"] * (order - 1) + lowered(r.text).split() + ["</s>"]
             assert abs(r.score - sum(math.log10(p(tuple(t[i - order + 1 : i]), t[i])) for i in range(order - 1, len(t)))) < 1e-6
             base = sum(math.log10((raw[x] + 0.5) / (model.tokens + 0.5 * (len(raw) + 1))) for x in t[order - 1 :])
@@ -354,6 +361,31 @@ def test_model(docs, rows, empty):
     assert {r.score for r in kn_lm.score(docs, kn_lm.train(empty)).collect()} == {0.0}
 
 
+def test_model_needs_its_files(docs):
+    """A range's file that is gone is an error, not an empty range."""
+    import os
+
+    model = kn_lm.train(docs)
+    files = sorted(os.listdir(model.folder))
+    assert len(files) == int(model.written.sum()) and all(f.endswith(".kn") for f in files)
+    os.remove(f"{model.folder}/{next(f for f in files if f.startswith('3-'))}")
+    with pytest.raises(Exception, match="No such file"):
+        kn_lm.score(docs, model).collect()
+
+
+def test_model_arrays():
+    """Look-ups in a range's file against a dictionary, large counts too."""
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 40, 3000):
+        keys = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        counts = rng.choice([1, 2, 254, 255, 256, 10**7], n)
+        order, (directory, lows) = kn_lm._sorted(keys)
+        held, values = dict(zip(keys.tolist(), counts.tolist())), kn_lm._bytes(counts[order])
+        asked = np.concatenate((keys, rng.integers(0, 1 << 63, 500, dtype=np.uint64)))
+        at, hit = kn_lm._seek(directory, lows, asked)
+        assert [int(v) if h else 0 for v, h in zip(kn_lm._whole(values, at), hit)] == [held.get(k, 0) for k in asked.tolist()]
+
+
 def components_of(sets, percent=75):
     parent = list(range(len(sets)))
 
