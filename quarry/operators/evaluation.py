@@ -95,6 +95,13 @@ def buckets(rows: DataFrame, n: int = 4) -> DataFrame:
     return out.select("bucket", "n", F.round("c", 6).alias("mean_confidence"), F.round("a", 6).alias("accuracy"), F.round(F.abs(F.col("c") - F.col("a")), 6).alias("error"))
 
 
+def calibration_score(rows: DataFrame, n: int = 4) -> DataFrame:
+    """Per case, 1 less the mean distance of confidence and accuracy over its buckets. rows: case_id, confidence, correct."""
+    b = F.least(F.floor(F.col("confidence") * n), F.lit(n - 1))
+    errors = rows.groupBy("case_id", b.alias("bucket")).agg(F.abs(F.avg("confidence") - F.avg(F.col("correct").cast("double"))).alias("e"))
+    return errors.groupBy("case_id").agg(F.round(F.greatest(F.lit(0.0), 1 - F.avg("e")), 6).alias("score"))
+
+
 def wilcoxon(w_plus: float, w_minus: float, counts: list[int]) -> tuple[float, float]:
     """The signed-rank statistic and its two-sided p. counts: how many differences share each size, zeros left out.
     Exact up to 50 differences without ties, else by the normal approximation with the tie correction."""

@@ -25,6 +25,16 @@ def encode(docs: DataFrame, encoder: Callable[[Column], Column], text_col: str =
     return docs.withColumn(out, encoder(F.col(text_col)))
 
 
+def resolved_mode(wanted: Column, has_index: Column) -> Column:
+    """The mode a search runs in: without an index there is only sql_only; what isn't asked to rerank doesn't."""
+    return F.when((wanted == "sql_only") | ~has_index, "sql_only").when(wanted == "rag_rerank", "rag_rerank").otherwise("rag_only")
+
+
+def looked_up(graded: DataFrame, chunks: DataFrame, missing: str = "[content not found]") -> DataFrame:
+    """graded (chunk_id, ...) with the content of its chunk (chunk_id, content), or a text that says there is none."""
+    return graded.join(chunks, "chunk_id", "left").withColumn("content", F.coalesce("content", F.lit(missing)))
+
+
 def candidates(cases: DataFrame, assets: DataFrame, layer: str, days: int = 3) -> DataFrame:
     """Assets that a layer may show a case: of its source types, within days of it, and for direct evidence of its
     ticker. The band is exploded into days, so the join is an equi-join. cases: case_id, ticker, trade_date, query."""

@@ -156,6 +156,7 @@ QUERIES = {
     "percentiles_three": lambda s, d: ev.percentiles(t.table(s, d, "documents"), "source", "n_chars", 0.9).select("source", "floor", "nearest", F.round("linear", 4).alias("linear"), "n"),
     "class_balance": lambda s, d: ev.class_balance(_paired(s, d).select(F.col("stratum").alias("status")), _CLASSES),
     "calibrated_triples": lambda s, d: ev.calibrated(_observed(s, d), (2, 1, 0.4)),
+    "confidence_scores": lambda s, d: ev.calibration_score(t.table(s, d, "labels").select((F.col("doc_id") % 97).alias("case_id"), (F.col("doc_id") % 101 / 100).alias("confidence"), (F.col("quality") == 1).alias("correct"))),
     "rank_correlation": lambda s, d: ev.spearman(_graders(s, d)),
     "consistency_rate": lambda s, d: ev.consistency(_runs3(s, d)),
     "metric_means": lambda s, d: ev.report(_configs(s, d), _METRICS),
@@ -243,6 +244,8 @@ ORACLE_SQL = {
         g AS (SELECT a AS k_sufficient, b AS k_partial, c AS m FROM (VALUES (1), (2), (3)) x(a), (VALUES (1), (2)) y(b), (VALUES (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE)) z(c) WHERE b < a),
         sc AS (SELECT k_sufficient, k_partial, m, round(avg((CASE WHEN n >= k_sufficient AND coverage >= m THEN 'SUFFICIENT' WHEN n = 0 THEN 'INSUFFICIENT' WHEN n >= k_partial OR coverage < m THEN 'PARTIAL' ELSE 'INSUFFICIENT' END = expected)::INT), 6) AS accuracy FROM ob, g GROUP BY 1, 2, 3)
         SELECT *, row_number() OVER (ORDER BY accuracy DESC, abs(k_sufficient - 2), abs(k_partial - 1), round(abs(m - 0.4), 6), k_sufficient DESC, k_partial, m DESC) = 1 AS chosen FROM sc""",
+    "confidence_scores": """WITH r AS (SELECT doc_id % 97 AS case_id, doc_id % 101 / 100 AS c, quality = 1 AS ok FROM labels), e AS (SELECT case_id, least(floor(c * 4), 3) AS b, abs(avg(c) - avg(ok::INT)) AS e FROM r GROUP BY 1, 2)
+        SELECT case_id, round(greatest(0, 1 - avg(e)), 6) AS score FROM e GROUP BY 1""",
     "rank_correlation": """WITH p AS (SELECT doc_id * 13 % 20 / 20 AS x, (doc_id * 13 % 20 + doc_id % 3) / 22 AS y FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0),
         r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM p)
         SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(avg((least(floor(x * 4), 3) = least(floor(y * 4), 3))::INT), 6) AS bucket_agreement, count(*) AS aligned_pairs FROM r""",
