@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, lean, mounted, shared_dir, text_bytes, text_groups
+from .common import lean, mounted, shared_dir, sliced, text_bytes, text_groups
 from .tokens import encoder, with_end
 
 MAGIC = b"IDCM2\n"
@@ -340,7 +340,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "
                     write_chunk(f, keys, counts, np.concatenate(parts), size)
                     keys.clear(), counts.clear(), parts.clear()
 
-            for t in tables:
+            for t in sliced(tables, 1):
                 buf, edges = text_bytes(t.column(1))
                 names = t.column(0).to_pylist()
                 for i, j in text_groups(edges):

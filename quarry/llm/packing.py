@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, lean, stored, text_bytes, text_groups
-from .tokens import encoder, with_end
+from .common import binary, lean, sliced, stored, text_bytes, text_groups
+from .tokens import encoder, release, with_end
 
 WINDOW = 1024
 
@@ -35,13 +35,14 @@ def token_stream(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "d
         enc = encoder(vocabulary)
         wide = "<u4" if max(enc.model.get_vocab_size(), end_id + 1) > 1 << 16 else "<u2"
         part, before = TaskContext.get().partitionId(), 0
-        for table in tables:
+        for table in sliced(tables, 1):
             buf, edges = text_bytes(table.column(1))
             for i, j in text_groups(edges):
                 ids, ends = with_end(*enc.ids(buf[edges[i] : edges[j]], edges[i : j + 1] - edges[i]), end_id)
                 yield pa.record_batch([pa.array(np.full(j - i, part, dtype=np.int32)), pa.array(before + ends[:-1]), table.column(0).slice(i, j - i),
                                        pa.array(np.diff(ends)), binary(ids.astype(wide), ends)], ["part", "before", "doc_id", "doc_tokens", "ids"])
                 before += int(ends[-1])
+        release()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(run), _TOKENS)
 
@@ -57,7 +58,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WINDOW
     bases = docs.sparkSession.sparkContext.broadcast(np.cumsum(base))
 
     def cut(tables):
-        for table in tables:
+        for table in sliced(tables, 4, 1 << 20):
             out = [[] for _ in range(8)]
             for part, before, doc_id, n, raw in zip(*(c.to_pylist() for c in table.columns)):
                 ids = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()

@@ -19,7 +19,7 @@ from .common import BREAK, ragged, span_hashes, text_bytes
 
 #: The memory of a worker: places for chunks (a power of two, two places for each hash) and ids of chunks. When the ids
 #: are full it starts anew.
-PLACES, POOL_IDS = 1 << 21, 1 << 24
+PLACES, POOL_IDS = 1 << 21, 1 << 23
 #: A chunk of more ids is not remembered.
 MOST_IDS = 1 << 14
 #: Bytes of new chunks handed to the tokenizer as one text.
@@ -261,9 +261,15 @@ def with_end(ids: np.ndarray, edges: np.ndarray, end_id: int) -> tuple[np.ndarra
 
 
 def encoder(path: str, special_as_text: bool = False) -> Encoder:
-    """The worker's own encoder for a vocabulary file. It lives on for the worker's next tasks; its memory has a bound."""
+    """The worker's own encoder for a vocabulary file. It lives on for the worker's next tasks, until ``release``; its
+    memory has a bound."""
     key = (path, special_as_text)
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
     return _encoders[key]
 
+
+
+def release() -> None:
+    """Drops the worker's encoders: it may go on with other work that needs the memory."""
+    _encoders.clear()
