@@ -365,7 +365,7 @@ def test_model_needs_its_files(docs):
     """A range's file that is gone is an error, not an empty range."""
     import os
 
-    model = kn_lm.train(docs)
+    model = kn_lm.train(docs, order=3)
     files = sorted(os.listdir(model.folder))
     assert len(files) == int(model.written.sum()) and all(f.endswith(".kn") for f in files)
     os.remove(f"{model.folder}/{next(f for f in files if f.startswith('3-'))}")
