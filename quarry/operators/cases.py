@@ -15,6 +15,11 @@ TERMINAL = ["SUCCEEDED", "PARTIAL", "INSUFFICIENT", "SYSTEM_ERROR", "FAILED_SYST
 # What a refusal says for each guard.
 GUARD_TEXT = {"ticker_mismatch_guard": "Query ticker does not match resolved ticker.", "market_session_guard": "No trading session on requested date for this ticker.",
               "magnitude_guard": "Claimed price move is inconsistent with OHLCV data."}
+# Summaries of a case without evidence and of one that failed, with places for its own words.
+LACKING = ("No evidence meeting the relevance threshold (>%s) was found for %s on %s. This may indicate the price move was driven by "
+           "factors outside our data coverage (private information, market microstructure, or sources we do not ingest).")
+BROKEN = ("**System error** during attribution for %s on %s. The Critic node failed to produce a valid response: %s. "
+          "This is an infrastructure issue, not an evidence gap.")
 # Reasons for which a request itself is at fault.
 REQUEST_FAULTS = ["unsupported_ticker", "date_out_of_range", "missing_trading_day_context", "invalid_query_type", "empty_query", "query_too_long", "invalid_trade_date"]
 # Artifacts that each node leaves.
@@ -113,10 +118,8 @@ def refusal(ticker: Column, day: Column, edge: Column, reason: Column, said: Col
     guard = F.lit("")
     for name, text in GUARD_TEXT.items():
         guard = F.when(reason == name, F.lit(text + " ")).otherwise(guard)
-    lacking = F.concat(guard, F.lit(f"No evidence meeting the relevance threshold (>{threshold}) was found for "), ticker, F.lit(" on "), day.cast("string"),
-                       F.lit(". This may indicate the price move was driven by factors outside our data coverage (private information, market microstructure, or sources we do not ingest)."))
-    broken = F.concat(F.lit("**System error** during attribution for "), ticker, F.lit(" on "), day.cast("string"), F.lit(". The Critic node failed to produce a valid response: "),
-                      F.coalesce(said, F.lit("Unknown error")), F.lit(". This is an infrastructure issue, not an evidence gap."))
+    lacking = F.concat(guard, F.format_string(LACKING, F.lit(str(threshold)), ticker, day.cast("string")))
+    broken = F.format_string(BROKEN, ticker, day.cast("string"), F.coalesce(said, F.lit("Unknown error")))
     return (F.when(edge == "system_error", F.struct(F.lit("SYSTEM_ERROR").alias("status"), F.lit(0).alias("n_causes"), broken.alias("summary")))
             .when(edge == "insufficient", F.struct(F.lit("INSUFFICIENT").alias("status"), F.lit(1).alias("n_causes"), lacking.alias("summary"))))
 
