@@ -10,8 +10,17 @@ from quarry.llm.common import crc_bucket, shared_dir
 from quarry.llm.queries import vocabulary
 
 
+#: Rows that Spark hands to a Python worker at once. Texts are long: fewer rows keep both sides' buffers small.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told stay."""
+    small_batches(spark)
     return langid.keep_known(docs, crc_bucket(F.col("doc_id"), 5) != 0)
 
 
@@ -22,16 +31,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one document stays."""
+    small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, or parts of them, as often as their source's target asks for."""
+    small_batches(spark)
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token stream, cut into windows."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
