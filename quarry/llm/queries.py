@@ -1,4 +1,4 @@
-"""The ten registered queries: each applies its operator, with production parameters, to its whole table."""
+"""The registered queries: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, id_coder, jaccard_join, kn_lm, langid, line_dedup, mixing, packing, quality
+from . import chat, divergence, exact_dedup, id_coder, jaccard_join, kn_lm, langid, license_scan, line_dedup, mixing, packing, quality, whitening
 from .common import BREAK, crc_bucket, lean, text_bytes
 
 def vocabulary(name: str) -> str:
@@ -95,9 +95,22 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_coder.read_ids(spark, files).drop("ids")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir)).drop("findings")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_mixing, op3_line_dedup, op4_packing, op5_language_id, op6_exact_dedup, op7_chat_formatting,
-    op8_quality_rules, op9_jaccard_join, op10_token_ids)}
+    op8_quality_rules, op9_jaccard_join, op10_token_ids, op11_license_scan, op12_whitening, op13_source_divergence)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -138,4 +151,33 @@ ORACLE_SQL = {
                sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
                CAST(sum(length(safe) + length(role) + 23) AS BIGINT) AS formatted_chars
         FROM escaped GROUP BY conv_id""",
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents),
+        t AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS docs FROM t GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n) AS lang_n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+        v AS (SELECT lang, count(*) AS terms, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        cells AS (
+            SELECT g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+            FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        p AS (
+            SELECT cells.*, 1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (total + 5 * terms) AS p,
+                   1 + CAST(1000000000 AS HUGEINT) * (lang_n + 5) // (lang_total + 5 * terms) AS q
+            FROM cells JOIN v ON cells.lang = v.lang),
+        sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS nth FROM parts)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(nth AS INTEGER) AS rank
+        FROM ranked WHERE part = 'pair' OR nth <= 50""",
 }
