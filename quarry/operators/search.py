@@ -1,34 +1,11 @@
-"""Hybrid search: BM25, vectors, reciprocal rank fusion, reranking."""
+"""Hybrid search: vectors, reciprocal rank fusion, reranking. Text search is in ranked.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.sources import shared
-
-K1, B, RRF_K = 1.2, 0.75, 60
-
-
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, doc_id, score, rank. Postings are made for query terms only, once, and stored; the list of query terms
-    is broadcast by Spark if it is small. Lengths are counted without making tokens. docs: doc_id, text; queries:
-    query_id, text."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.coalesce(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")), F.lit(0))).alias("avgdl"))
-    sized = docs.select("doc_id", tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
-    postings = sized.select("doc_id", "dl", F.explode("toks").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = shared.stored(postings.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("w", weight)  # stats is one row
-    scored = terms.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, k)
+RRF_K = 60
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import html, text
-from quarry.operators import evidence, search
+from quarry.operators import evidence, ranked, search
 from quarry.plans.market import ARTICLES, ASSETS, NEWS, r6
 from quarry.sources import tables as t
 
@@ -40,7 +40,7 @@ def _vectors(s, d):
 
 
 def _hybrid(s, d):
-    return search.fuse([search.nearest(_vectors(s, d), _vector_queries(s, d)), search.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d))])
+    return search.fuse([search.nearest(_vectors(s, d), _vector_queries(s, d)), ranked.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d))])
 
 
 def _articles(s, d):
@@ -80,11 +80,11 @@ QUERIES = {
     "md_table_render": lambda s, d: t.table(s, d, "nation").select(text.markdown_row(F.col("n_name"), F.col("n_regionkey").cast("string")).alias("line")),
     "news_markdown": lambda s, d: t.news(s, d).filter("source_type = 'polygon_news'").select("asset_id", F.length(F.concat(F.lit("## "), F.col("ticker"), F.lit(": "), F.col("title"), F.lit("\n\n"), F.col("body"))).alias("chars")),
     "error_classes": lambda s, d: t.table(s, d, "events").select("event_id", text.error_class(F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % len(_MESSAGES) + 1).cast("int"))).alias("kind")),
-    "bm25_topk": lambda s, d: search.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d), 10).select("query_id", "rank", F.round("score", 4).alias("score")),
+    "bm25_topk": lambda s, d: ranked.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d), 10).select("query_id", "doc_id", "rank", "score"),
     "vector_topk": lambda s, d: search.nearest(_vectors(s, d), _vector_queries(s, d), 10).select("query_id", "rank", F.round("score", 3).alias("score")),
     "rrf_hybrid": lambda s, d: _hybrid(s, d),
     "sufficiency": lambda s, d: search.sufficient(_hybrid(s, d)),
-    "rerank_overlap": lambda s, d: search.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d), 10).join(t.table(s, d, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").join(_queries(s, d), "query_id").select(
+    "rerank_overlap": lambda s, d: ranked.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d), 10).join(t.table(s, d, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").join(_queries(s, d), "query_id").select(
         "query_id", "doc_id", F.round(text.overlap(F.col("text"), F.col("body")), 6).alias("overlap")),
     "semantic_dedup_cosine": lambda s, d: _semantic(s, d),
     "semantic_dedup_day": lambda s, d: _semantic_day(s, d),
@@ -144,7 +144,7 @@ ORACLE_SQL = {
         p AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d), tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
         df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
         r AS (SELECT q.query_id, tf.doc_id, round(sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY 1, 2)
-        SELECT query_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""",
+        SELECT query_id, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""",
     "vector_topk": """WITH r AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
         SELECT query_id, rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""",
     "semantic_dedup_cosine": """SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import answers, markdown
-from quarry.operators import cases, evaluation, evidence, retrieval, search
+from quarry.operators import cases, evaluation, evidence, ranked, retrieval, search
 from quarry.plans import catalogue
 from quarry.sources import payloads, shared, sinks, tables
 
@@ -90,7 +90,7 @@ def test_rerank_query(spark):
     items = {r.item_id: r.text for r in tables.table(spark, SF, "benchmark").collect()}
     rows = catalogue.QUERIES["rerank_overlap"](spark, SF).collect()
     assert rows and all(r.overlap == pytest.approx(len(terms(items[r.query_id]) & terms(docs[r.doc_id])) / max(1, len(terms(items[r.query_id]))), abs=1e-6) for r in rows)
-    found = search.bm25(tables.table(spark, SF, "documents").select("doc_id", "text"), tables.table(spark, SF, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10).collect()
+    found = ranked.bm25(tables.table(spark, SF, "documents").select("doc_id", "text"), tables.table(spark, SF, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10).collect()
     assert {(r.query_id, r.doc_id) for r in rows} == {(r.query_id, r.doc_id) for r in found}
 
 
