@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import html, text
 from quarry.operators import evidence, ranked, search
+from quarry.operators.vector_index import VectorIndex
 from quarry.plans.market import ARTICLES, ASSETS, NEWS, r6
 from quarry.sources import tables as t
 
@@ -40,7 +41,24 @@ def _vectors(s, d):
 
 
 def _hybrid(s, d):
-    return search.fuse([search.nearest(_vectors(s, d), _vector_queries(s, d)), ranked.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d))])
+    return search.fuse([VectorIndex(_vectors(s, d)).search(_vector_queries(s, d), 20, exact=True), ranked.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d))])
+
+
+def _prefiltered(s, d):
+    """The nearest vectors of the query's label, of the days around its own; every third query asks for any day."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 30).cast("int"))
+    e = t.table(s, d, "embeddings").select("vec_id", "embedding", "label", day.alias("day"))
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label",
+                                              F.when(F.col("vec_id") % 60 != 0, F.date_sub("day", 3)).alias("since"), F.when(F.col("vec_id") % 60 != 0, F.date_add("day", 3)).alias("till"))
+    return VectorIndex(e, "vec_id", keep=("label", "day")).search(asked, 5, exact=True, match=("label",), within=("day", "since", "till"))
+
+
+def _recall(s, d):
+    """How many of each query's true neighbours the probed cells hold."""
+    index, asked = VectorIndex(_vectors(s, d)), _vector_queries(s, d)
+    true, found = index.search(asked, 10, exact=True), index.search(asked, 10)
+    both = true.select("query_id", "doc_id").join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return both.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("n_found"))
 
 
 def _articles(s, d):
@@ -81,7 +99,9 @@ QUERIES = {
     "news_markdown": lambda s, d: t.news(s, d).filter("source_type = 'polygon_news'").select("asset_id", F.length(F.concat(F.lit("## "), F.col("ticker"), F.lit(": "), F.col("title"), F.lit("\n\n"), F.col("body"))).alias("chars")),
     "error_classes": lambda s, d: t.table(s, d, "events").select("event_id", text.error_class(F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % len(_MESSAGES) + 1).cast("int"))).alias("kind")),
     "bm25_topk": lambda s, d: ranked.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d), 10).select("query_id", "doc_id", "rank", "score"),
-    "vector_topk": lambda s, d: search.nearest(_vectors(s, d), _vector_queries(s, d), 10).select("query_id", "rank", F.round("score", 3).alias("score")),
+    "vector_topk": lambda s, d: VectorIndex(_vectors(s, d)).search(_vector_queries(s, d), 10, exact=True),
+    "vector_prefiltered": lambda s, d: _prefiltered(s, d),
+    "vector_recall": lambda s, d: _recall(s, d),
     "rrf_hybrid": lambda s, d: _hybrid(s, d),
     "sufficiency": lambda s, d: search.sufficient(_hybrid(s, d)),
     "rerank_overlap": lambda s, d: ranked.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d), 10).join(t.table(s, d, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").join(_queries(s, d), "query_id").select(
@@ -146,7 +166,10 @@ ORACLE_SQL = {
         r AS (SELECT q.query_id, tf.doc_id, round(sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY 1, 2)
         SELECT query_id, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""",
     "vector_topk": """WITH r AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
-        SELECT query_id, rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""",
+        SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""",
+    "vector_prefiltered": """WITH e AS (SELECT *, DATE '2024-01-01' + CAST(vec_id % 30 AS INTEGER) AS day, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        r AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_dot_product(q.v, e.v), 6) AS score FROM e q JOIN e ON q.label = e.label AND (q.vec_id % 60 = 0 OR abs(e.day - q.day) <= 3) WHERE q.vec_id % 20 = 0)
+        SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 5""",
     "semantic_dedup_cosine": """SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
         WHERE round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) > 0.92""",
 }
