@@ -31,7 +31,7 @@ from quarry.sources import shared
 K1, B = 1.2, 0.75
 WORDS = "[a-z0-9]+"
 #: A shard has at most so many documents, and texts of so many bytes or one text.
-SHARD_DOCS, SHARD_BYTES = 16_384, 1 << 25
+SHARD_DOCS, SHARD_BYTES = 16_384, 1 << 23
 FIRST_BLOCK = 128
 #: The share of the threshold from which documents are let in. Less lets more in and leaves less to look up.
 LET_IN = 0.6
@@ -130,6 +130,8 @@ class TextIndex:
                     size += len(raw)
             if texts:
                 yield from _shard_rows(number, pa.array(ids, t.column(0).type), texts, mean, held.value)
+            ids, texts, t = [], [], None
+            shared.give_back()
 
         made = docs.select(F.col(id_col), lowered).mapInArrow(run, f"{_INDEX}, ids array<{self.doc_type}>")
         self.rows = shared.stored(made, "text-index")
@@ -155,6 +157,7 @@ class TextIndex:
 
             def run(tables, held=held):
                 yield from _search(tables, *held.value, k)
+                shared.give_back()
 
             found = shards.mapInArrow(run, _FOUND.format(kind=kind, doc=self.doc_type))
             out = found if out is None else out.unionByName(found)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +43,34 @@ def prefix_sums(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     inside = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn(out, F.coalesce(inside, F.lit(0))).join(F.broadcast(bases), F.col("__part") == F.col("__p"))
     return rows.withColumn(out, F.col(out) + F.col("__base")).drop("__part", "__p", "__base")
+
+
+def give_back() -> None:
+    """For the end of a task in Python: workers live on, so what they freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _place(spark, path)
+    return files.exists(at)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, in order; none if it isn't there."""
+    at, files = _place(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(at) if f.isDirectory()) if files.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, files = _place(spark, path)
+    files.delete(at, True)
