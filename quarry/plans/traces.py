@@ -9,14 +9,15 @@ from quarry.functions import markdown
 from quarry.operators import cases as ops
 from quarry.operators import decision
 from quarry.plans.cases import COMMANDS, _commands
-from quarry.plans.corpus import FP, NORM
+from quarry.plans.corpus import FP, NORM, PAGE_URL
 from quarry.plans.ingest import ORACLE_SQL as _INGEST
 from quarry.plans.ingest import _list_news
 from quarry.plans.market import ARTICLES, BARS, NEWS
 from quarry.plans.runs import TRACE
 from quarry.sources import shared, sinks
 from quarry.sources import tables as t
-from quarry.streaming import streams
+from quarry.streaming import stateful, streams
+from quarry.streaming.store import KeyedStore
 
 
 def _pick(values, column):
@@ -49,6 +50,12 @@ def _calls(s, d):
     return e.select(F.col("event_type").alias("node"), F.col("event_id").alias("seq"), (F.col("value") < 20).alias("ok"), F.when(F.col("value") < 20, 200).when(F.col("event_id") % 2 == 0, 429).otherwise(500).alias("status"), (F.col("value") * 3).alias("retry_after"))
 
 
+def _call_batches(s, d):
+    """Calls in four batches, in order."""
+    c = _calls(s, d)
+    return c.withColumn("batch", F.expr(f"seq * 4 div {max(1, c.count())}").cast("int"))
+
+
 def _timed(s, d):
     """Commands of each run, some of them far apart."""
     c = _commands(s, d)
@@ -57,6 +64,56 @@ def _timed(s, d):
     return c.select("run_id", "seq", at.alias("at"), F.when(F.col("command") == "retry", "queue").otherwise(F.col("command")).alias("command"))
 
 
+def _timed_batches(s, d):
+    """Commands by their time in four batches; the end of every ninth run comes a batch late."""
+    k = F.col("run_id").cast("long")
+    late = ((k % 9 == 0) & (F.col("command") == "end")).cast("int")
+    return _timed(s, d).withColumn("batch", F.least(F.lit(3), F.floor((F.unix_seconds("at") - 1_700_000_000) / 400).cast("int") + late))
+
+
+def _news_batches(s, d):
+    """Articles by day in four batches; some come one or two batches late, before or after the watermark."""
+    k = F.col("asset_id")
+    pages = t.table(s, d, "pages").select("page_id", "url")
+    n = pages.agg(F.count(F.lit(1)).alias("n"))
+    rows = t.news(s, d).crossJoin(F.broadcast(n)).withColumn("page_id", k % F.col("n")).join(pages, "page_id", "left")  # n is one row
+    late = F.when(k % 23 == 0, 2).when(k % 11 == 0, 1).otherwise(0)
+    return rows.select("asset_id", "title", "ticker", "url", F.col("published").cast("timestamp").alias("published"),
+                       F.least(F.lit(3), F.expr("(day(published) - 1) div 8").cast("int") + late).alias("batch"))
+
+
+def _event_batches(s, d, late=13):
+    """The log of a user's run in four batches; every late-th event comes a batch late."""
+    e = _events_of_users(s, d)
+    n = max(1, e.count())
+    return e.withColumn("batch", F.least(F.lit(3), F.expr(f"event_id * 4 div {n}").cast("int") + (F.col("event_id") % late == 0).cast("int")))
+
+
+def _events_of_users(s, d):
+    return t.table(s, d, "events").select(F.col("user_id").alias("run_id"), "event_id", F.col("event_type").alias("node"), F.col("ts").cast("timestamp").alias("at"), "value")
+
+
+def _checkpoints(s, d):
+    """Attempts by run, source, ticker and date. version: the attempt."""
+    e = _event_batches(s, d)
+    k = F.col("run_id")
+    return e.select(F.concat(F.lit("r"), k % 7).alias("run_id"), F.col("node").alias("source"), F.concat(F.lit("T"), k % 50).alias("ticker"), F.to_date("at").alias("date"),
+                    F.when(F.col("value") < 20, "success").otherwise("failed").alias("status"), F.when(F.col("value") >= 20, "timeout").alias("error_class"), (F.col("event_id") % 4).alias("retries"), F.col("event_id").alias("version"), "batch")
+
+
+def _store(s, d):
+    """A store that two streams wrote to, one of them in turned order, with a compaction and a repeated batch between."""
+    rows = shared.stored(_checkpoints(s, d), "attempts")
+    store = KeyedStore(s, shared.folder(s, "checkpoints"), rows.drop("batch").schema.simpleString()[7:-1].replace(":", " "), ["run_id", "source", "ticker", "date"], "version")
+    stateful.replay(rows.filter("version % 2 = 0"), "batch", lambda x: x, store.sink("daily"), "append")
+    store.compact()
+    turned = rows.filter("version % 2 = 1").withColumn("batch", 3 - F.col("batch"))
+    stateful.replay(turned, "batch", lambda x: x, store.sink("backfill"), "append")
+    again = rows.filter("version % 2 = 0 and batch = 0").drop("batch")
+    store.sink("daily")(again, 0)
+    return store
+
+
 def _daily(s, d):
     """Increments: of each day's bars, a first count, and later ones of the two days before it. version: the day of writing."""
     b = t.bars(s, d).select("symbol", "date", "volume")
@@ -77,12 +134,9 @@ def _compensated(s, d):
 
 def _newest(s, path, batch):
     """A batch without the rows that the table has newer ones of."""
-    try:
-        old = s.read.schema(batch.schema).parquet(path).select("symbol", "date", F.col("version").alias("__v"))
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return batch
-        raise
+    if not shared.exists(s, path):
+        return batch
+    old = s.read.schema(batch.schema).parquet(path).select("symbol", "date", F.col("version").alias("__v"))
     return batch.join(old, ["symbol", "date"], "left").filter(F.col("__v").isNull() | (F.col("version") >= F.col("__v"))).select(*batch.columns)
 
 
@@ -111,12 +165,14 @@ QUERIES = {
     "high_water_marks": lambda s, d: _runs(s, d).select("run_id", F.col("high").alias("after_seq"), (~F.col("status").isin(ops.TERMINAL)).alias("poll")),
     "latest_header": lambda s, d: t.table(s, d, "orders").agg(F.max(F.concat(F.lit("freeze-"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".json"))).alias("name")),
     "stream_node_counts": lambda s, d: streams.result(streams.windowed_counts(_streamed(_events(s, d), 3)), "complete").select(F.to_date("start").alias("day"), "event_type", "n"),
-    "stream_event_log": lambda s, d: streams.result(_streamed(_events(s, d), 3).select("event_id", "event_type"), "append"),
-    "stream_dedup": lambda s, d: streams.result(streams.deduplicated(_streamed(t.news(s, d).filter("title is not null").select("asset_id", "title", F.col("published").cast("timestamp").alias("published")))), "append").select("fp"),
-    "stream_proximity": lambda s, d: streams.result(streams.proximity(_streamed(t.news(s, d).select("asset_id", "title", "ticker", F.col("published").cast("timestamp").alias("published")))), "append"),
-    "stream_health": lambda s, d: streams.result(streams.health(_streamed(_calls(s, d))), "update", ["node"]),
-    "stream_run_status": lambda s, d: streams.result(streams.run_status(_streamed(_timed(s, d))), "update", ["run_id"]).select("run_id", "status"),
+    "stream_event_log": lambda s, d: stateful.replayed(_event_batches(s, d).drop("value"), "batch", stateful.event_log, "append"),
+    "stream_dedup": lambda s, d: stateful.replayed(_news_batches(s, d).filter("title is not null").select("asset_id", "title", "published", "batch"), "batch", lambda x: streams.deduplicated(x, "2 days"), "append").select("fp"),
+    "stream_proximity": lambda s, d: stateful.replayed(_news_batches(s, d), "batch", lambda x: stateful.near_copies(x, "2 days"), "append"),
+    "stream_health": lambda s, d: stateful.replayed(_call_batches(s, d), "batch", stateful.health, "update", ["node"]),
+    "stream_run_status": lambda s, d: stateful.replayed(_timed_batches(s, d), "batch", stateful.run_status, "update", ["run_id"]).select("run_id", "status"),
     "stream_upserts": _compensated,
+    "stream_checkpoints": lambda s, d: _store(s, d).snapshot(),
+    "resume_pending": lambda s, d: _store(s, d).pending(_checkpoints(s, d).select("run_id", "source", "ticker", "date").distinct(), "status = 'success'"),
     "api_tickers": lambda s, d: t.bars(s, d).select(F.upper("symbol").alias("ticker")).distinct().orderBy("ticker"),
     "api_ohlcv": lambda s, d: t.bars(s, d).filter("symbol = 'view' and date >= '2024-01-10'").orderBy("date").select("date", *(F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")), "volume"),
     "api_range_local": lambda s, d: t.bars(s, d).agg(F.min("date").alias("min_date"), F.max("date").alias("max_date"), F.countDistinct("symbol").alias("n_symbols"), F.count(F.lit(1)).alias("n_rows")),
@@ -126,7 +182,7 @@ QUERIES = {
     "api_run_events": lambda s, d: t.trace_events(s, d).filter("run_id = 3 and event_seq > 0").orderBy("event_seq").select("run_id", "event_seq", "node", "latency_ms"),
     "api_run_artifacts": lambda s, d: ops.artifacts(t.trace_events(s, d).filter("run_id = 3").withColumn("node", _pick(("miner", "critic"), F.col("event_seq")))).select("event_seq", "artifact_type"),
     "api_cancel_all": lambda s, d: _queue(s, d).select("run_id", F.when(F.col("status").isin("QUEUED", "RUNNING"), "CANCELLED").otherwise(F.col("status")).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n")),
-    "api_retry": lambda s, d: _queue(s, d).filter("run_id < 1000000000").select("run_id", F.when(F.col("status").isin("QUEUED", "RUNNING"), "run_not_terminal").otherwise("ok").alias("answer")),
+    "api_retry": lambda s, d: _queue(s, d).select("run_id", F.when(F.col("status").isin("QUEUED", "RUNNING"), "run_not_terminal").otherwise("ok").alias("answer")),
     "api_health": lambda s, d: ops.health(t.table(s, d, "region").select(F.lit("runtime").alias("group"), F.when(F.col("r_regionkey") == 1, "degraded").otherwise("ready").alias("status"), F.lit(64).alias("vector_dim"))),
     "api_models": lambda s, d: s.createDataFrame([(k, *v) for k, v in decision.PRICES.items()], "model string, per_million_in double, per_million_out double"),
 }
@@ -137,6 +193,14 @@ def _export(s, d):
     return sinks.export_runs(_runs(s, d).select("run_id", "status"), e)
 
 
+EVENT_BATCHES = "eb AS (SELECT *, least(3, event_id * 4 // (SELECT count(*) FROM events) + (event_id % 13 = 0)::INT) AS batch FROM events)"
+CHECKPOINTS = """cp AS (SELECT 'r' || user_id % 7 AS run_id, event_type AS source, 'T' || user_id % 50 AS ticker, CAST(ts AS DATE) AS date, CASE WHEN value < 20 THEN 'success' ELSE 'failed' END AS status,
+    CASE WHEN value >= 20 THEN 'timeout' END AS error_class, event_id % 4 AS retries, event_id AS version FROM events)"""
+# What a stream takes of articles: those later than the watermark, two days before the latest of all batches before, are dropped.
+TAKEN = f"""{NEWS}, pg AS (SELECT page_id, {PAGE_URL} AS url FROM pages),
+    nb AS (SELECT n.*, pg.url, least(3, (day(published) - 1) // 8 + CASE WHEN asset_id % 23 = 0 THEN 2 WHEN asset_id % 11 = 0 THEN 1 ELSE 0 END) AS batch FROM news n LEFT JOIN pg ON asset_id % (SELECT count(*) FROM pages) = page_id),
+    taken AS (SELECT * FROM (SELECT *, max(epoch_ms(published)) OVER (ORDER BY batch GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 172800000 AS mark FROM nb) WHERE mark IS NULL OR epoch_ms(published) > mark)"""
+
 ORACLE_SQL = {
     "trace_export": f"""WITH {TRACE} SELECT run_id, '{{"run_id":' || run_id || ',"status":"' || ['RUNNING', 'SUCCEEDED', 'QUEUED'][run_id % 3 + 1] || '","events":[' || string_agg('{{"event_seq":' || event_seq || ',"node":"' || node || '","latency_ms":' || latency_ms || '}}', ',' ORDER BY event_seq) || ']}}' AS json FROM trace GROUP BY run_id""",
     "stage_rollup": f"""WITH {STAGES} SELECT run_id, node, count(*) AS calls, CAST(sum(latency_ms) AS BIGINT) AS latency_ms, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, arg_max(model, event_seq) FILTER (model IS NOT NULL) AS model,
@@ -148,7 +212,11 @@ ORACLE_SQL = {
     "high_water_marks": f"WITH {TRACE} SELECT run_id, max(event_seq) AS after_seq, run_id % 3 <> 1 AS poll FROM trace GROUP BY 1",
     "latest_header": "SELECT 'freeze-' || strftime(max(o_orderdate), '%Y%m%d') || '.json' AS name FROM orders",
     "stream_node_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "stream_event_log": "SELECT event_id, event_type FROM events",
+    "stream_event_log": f"""WITH {EVENT_BATCHES} SELECT user_id AS run_id, event_id, event_type AS node, row_number() OVER (PARTITION BY user_id ORDER BY batch, ts, event_id) AS event_seq,
+        row_number() OVER (PARTITION BY user_id, event_type ORDER BY batch, ts, event_id) AS node_seq FROM eb""",
+    "stream_checkpoints": f"""WITH {CHECKPOINTS} SELECT run_id, source, ticker, date, arg_max(status, version) AS status, arg_max(error_class, version) FILTER (version = top) AS error_class, arg_max(retries, version) AS retries, max(version) AS version
+        FROM (SELECT *, max(version) OVER (PARTITION BY run_id, source, ticker, date) AS top FROM cp) GROUP BY ALL""",
+    "resume_pending": f"""WITH {CHECKPOINTS} SELECT run_id, source, ticker, date FROM cp GROUP BY ALL HAVING arg_max(status, version) <> 'success'""",
     "stream_health": """WITH r AS (SELECT event_type AS node, event_id, value, sum((value < 20)::INT) OVER w AS ok, count(*) OVER w AS c FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
         SELECT node, count(*) AS seen, CAST(arg_max(ok, event_id) AS BIGINT) AS ok_of_last, bool_or((c = 20 AND ok < 10) OR (value >= 20 AND event_id % 2 = 0 AND value * 3 > 300)) AS incident FROM r GROUP BY 1""",
     "stream_upserts": f"WITH {BARS} SELECT symbol, date, CAST(date + 2 AS DATE) AS version, volume * 10 + 2 AS n FROM bars",
@@ -164,13 +232,15 @@ ORACLE_SQL = {
     "api_health": "SELECT 'runtime' AS \"group\", 'degraded' AS status, false AS dim_mismatch",
     "api_models": "SELECT * FROM (VALUES ('user', 3.0, 15.0), ('assistant', 0.8, 4.0)) m(model, per_million_in, per_million_out)",
 }
-ORACLE_SQL["stream_dedup"] = f"WITH {NEWS} SELECT DISTINCT {FP} AS fp FROM news WHERE title IS NOT NULL"
-ORACLE_SQL["stream_proximity"] = f"""WITH {NEWS}, n AS (SELECT asset_id, {NORM} AS t, ticker, epoch(published) AS at_ FROM news)
-    SELECT asset_id, coalesce(at_ - lag(at_) OVER (PARTITION BY t, ticker ORDER BY at_, asset_id) < 14400, false) AS is_near FROM n WHERE t IS NOT NULL AND ticker IS NOT NULL"""
+ORACLE_SQL["stream_dedup"] = f"WITH {TAKEN.replace('FROM nb)', 'FROM nb WHERE title IS NOT NULL)')} SELECT DISTINCT {FP} AS fp FROM taken"
+ORACLE_SQL["stream_proximity"] = f"""WITH {TAKEN}, r AS (SELECT asset_id, 'url' AS rule, url AS a, '' AS b, batch, epoch(published) AS at_ FROM taken UNION ALL SELECT asset_id, 'title', {NORM}, ticker, batch, epoch(published) FROM taken)
+    SELECT asset_id, rule, CASE rule WHEN 'url' THEN row_number() OVER o > 1 ELSE coalesce(at_ - max(at_) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 14400, false) END AS is_near
+    FROM r WHERE a IS NOT NULL AND b IS NOT NULL WINDOW o AS (PARTITION BY rule, a, b ORDER BY batch, at_, asset_id)"""
 ORACLE_SQL["api_news"] = _INGEST["news_list"].replace("'src1'", "'src6'").replace("DATE '2024-01-05' AND DATE '2024-01-20'", "DATE '2023-12-29' AND DATE '2024-01-28'").replace("LIMIT 20", "LIMIT 100")
-ORACLE_SQL["stream_run_status"] = f"""WITH RECURSIVE {COMMANDS}, tm AS (SELECT run_id, seq, CASE command WHEN 'retry' THEN 'queue' ELSE command END AS command, 1700000000 + conv_id % 50 * 20 + seq * (40 + conv_id % 7 * 60) AS at_, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS k FROM cm),
-    step AS (SELECT run_id, 0 AS k, 'QUEUED' AS status, -1::BIGINT AS started FROM tm WHERE k = 1
+ORACLE_SQL["stream_run_status"] = f"""WITH RECURSIVE {COMMANDS}, tm AS (SELECT run_id, seq, CASE command WHEN 'retry' THEN 'queue' ELSE command END AS command, 1700000000 + conv_id % 50 * 20 + seq * (40 + conv_id % 7 * 60) AS at_, least(3, (conv_id % 50 * 20 + seq * (40 + conv_id % 7 * 60)) // 400 + (conv_id % 9 = 0 AND command = 'end')::INT) AS batch FROM cm),
+    tk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY batch, at_, seq) AS k FROM (SELECT *, max(at_) OVER (ORDER BY batch GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 60 AS mark FROM tm) WHERE mark IS NULL OR at_ > mark),
+    step AS (SELECT run_id, 0 AS k, 'QUEUED' AS status, -1::BIGINT AS started FROM tk WHERE k = 1
         UNION ALL SELECT s.run_id, t.k, CASE WHEN s.status NOT IN ('QUEUED', 'RUNNING') THEN s.status WHEN s.status = 'RUNNING' AND t.at_ - s.started > 300 THEN 'FAILED_SYSTEM' WHEN t.command = 'end' THEN 'SUCCEEDED' WHEN t.command = 'cancel' THEN 'CANCELLED'
-            WHEN t.command = 'start' THEN 'RUNNING' ELSE s.status END, CASE WHEN s.status = 'QUEUED' AND t.command = 'start' THEN t.at_ ELSE s.started END FROM step s JOIN tm t ON t.run_id = s.run_id AND t.k = s.k + 1),
+            WHEN t.command = 'start' THEN 'RUNNING' ELSE s.status END, CASE WHEN s.status = 'QUEUED' AND t.command = 'start' THEN t.at_ ELSE s.started END FROM step s JOIN tk t ON t.run_id = s.run_id AND t.k = s.k + 1),
     fin AS (SELECT run_id, arg_max(status, k) AS status, max(started) AS started FROM step GROUP BY 1)
     SELECT run_id, CASE WHEN status = 'RUNNING' AND (started + 301) < (SELECT max(at_) FROM tm) - 60 THEN 'FAILED_SYSTEM' ELSE status END AS status FROM fin"""

@@ -1,20 +1,15 @@
-"""Streams over the event log: node counts, deduplication, rolling health, run status, compensated increments."""
+"""Streams over the event log without state of their own: node counts, deduplication, compensated increments."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from quarry.functions.text import fingerprint, normalized_title
+from quarry.functions.text import fingerprint
 from quarry.sources import shared
 
-# Seconds a run may take, hours within which a title repeats itself.
-TIMEOUT_S, NEAR_HOURS = 300, 4
-
 
 def windowed_counts(events: DataFrame, length: str = "1 day", late: str = "1 day") -> DataFrame:
     """Events by window and type, with a watermark for late ones. events: ts (timestamp), event_type."""
@@ -27,75 +22,6 @@ def deduplicated(news: DataFrame, late: str = "2 hours") -> DataFrame:
     return news.withColumn("fp", fingerprint(F.col("title"), F.col("published"))).withWatermark("published", late).dropDuplicatesWithinWatermark(["fp"])
 
 
-def health(events: DataFrame, last: int = 20) -> DataFrame:
-    """Per node, how many events came, how many of the last ones were ok (a ring of flags as state), and whether there
-    has been an incident: a full ring with fewer than half ok, or a 429 that asks to wait over 300 seconds. Events of a
-    batch are taken in order of seq. events: node, seq, ok, status, retry_after."""
-
-    def run(key, frames, state):
-        seen, ring, incident = state.get if state.exists else (0, "", False)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for ok, status, wait in zip(rows["ok"], rows["status"], rows["retry_after"]):
-            seen += 1
-            ring = (ring + ("1" if ok else "0"))[-last:]
-            incident = incident or (len(ring) == last and ring.count("1") * 2 < last) or (status == 429 and wait > 300)
-        state.update((seen, ring, bool(incident)))
-        yield pd.DataFrame({"node": [key[0]], "seen": [seen], "ok_of_last": [ring.count("1")], "incident": [bool(incident)]})
-
-    return events.groupBy("node").applyInPandasWithState(run, "node string, seen long, ok_of_last long, incident boolean", "seen long, ring string, incident boolean", "update", GroupStateTimeout.NoTimeout)
-
-
-def proximity(news: DataFrame, hours: int = NEAR_HOURS, late: str = "4 hours") -> DataFrame:
-    """Articles with whether the one before them of their title and ticker is less than some hours older. The state of a
-    title is one time; a title that has been quiet for that long is forgotten. news: asset_id, title, ticker, published."""
-    rows = news.withColumn("t", normalized_title(F.col("title"))).filter("t is not null and ticker is not null").withWatermark("published", late)
-
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        batch = pd.concat(list(frames)).sort_values(["published", "asset_id"])
-        again = []
-        for at in batch["published"]:
-            now = int(at.timestamp())
-            again.append(last is not None and now - last < hours * 3600)
-            last = now if last is None else max(last, now)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last * 1000, state.getCurrentWatermarkMs()) + hours * 3_600_000)
-        yield pd.DataFrame({"asset_id": batch["asset_id"], "is_near": again})
-
-    return rows.groupBy("t", "ticker").applyInPandasWithState(run, "asset_id long, is_near boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def run_status(commands: DataFrame, late: str = "1 minute") -> DataFrame:
-    """The status of each run as its commands come (run_id, at, seq, command: queue, start, end, cancel): what ends it
-    first counts, and a run that has started and not ended after TIMEOUT_S seconds fails. n: how many rows a run has had so far."""
-    rows = commands.withWatermark("at", late)
-    ends = {"end": "SUCCEEDED", "cancel": "CANCELLED"}
-
-    def run(key, frames, state):
-        status, started, n = state.get if state.exists else ("QUEUED", -1, 0)
-        if state.hasTimedOut:
-            status = "FAILED_SYSTEM"
-        else:
-            for at, command in pd.concat(list(frames)).sort_values(["at", "seq"])[["at", "command"]].itertuples(index=False):
-                now = int(at.timestamp())
-                if status == "RUNNING" and now - started > TIMEOUT_S:
-                    status = "FAILED_SYSTEM"
-                if status in ("QUEUED", "RUNNING"):
-                    if command == "start" and status == "QUEUED":
-                        status, started = "RUNNING", now
-                    status = ends.get(command, status)
-        n += 1
-        state.update((status, started, n))
-        if status == "RUNNING":
-            state.setTimeoutTimestamp(max((started + TIMEOUT_S) * 1000 + 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "n": [n]})
-
-    return rows.groupBy("run_id").applyInPandasWithState(run, "run_id string, status string, n long", "status string, started long, n long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
 def compensated_sink(path: str, keys: list[str], day: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges each batch into a table by day: of a key the later batch counts, and inside a
     batch the row of the largest ``version``. Only the days that a batch touches are written anew, and a batch that is
@@ -106,29 +32,15 @@ def compensated_sink(path: str, keys: list[str], day: str) -> Callable[[DataFram
         best = Window.partitionBy(*keys).orderBy(F.desc("version"))
         new = shared.stored(batch.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n"), "increment")
         days = new.select(day).distinct()
-        try:
+        if shared.exists(spark, path):
             old = spark.read.schema(new.schema).parquet(path)
             kept = old.join(days, day, "left_semi").join(new.select(*keys), keys, "left_anti").select(*new.columns)
             new = shared.stored(kept.unionByName(new), "merged")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
     return write
 
 
-def upsert_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes each batch once, under its own id: a batch that is repeated replaces itself.
-    Of rows with one key in a batch the last by ``version`` stays; ``latest`` reads across batches."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        best = Window.partitionBy(*keys).orderBy(F.desc("version"))
-        batch.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return write
-
-
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Of each key the row of the latest batch."""
     rows = spark.read.parquet(path)

@@ -15,7 +15,7 @@ from quarry.functions import html, text
 from quarry.operators import decision, evaluation, evidence, search, timeseries
 from quarry.plans import catalogue
 from quarry.sources import tables
-from quarry.streaming import streams
+from quarry.streaming import stateful, streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -211,7 +211,8 @@ def test_stream_health_and_dedup(spark, tmp_path):
     rows = spark.createDataFrame([("n", i, i % 2 == 0, 200, 0.0) for i in range(30)] + [("m", i, i < 25, 200, 0.0) for i in range(40)] + [("w", 0, False, 429, 301.0)],
                                  "node string, seq long, ok boolean, status int, retry_after double").repartition(3)
     rows.write.parquet(str(tmp_path / "h"))
-    got = streams.result(streams.health(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "h"))), "update", ["node"])
+    with stateful.state_store(spark):
+        got = streams.result(stateful.health(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "h"))), "update", ["node"])
     assert {tuple(r) for r in got.collect()} == {("n", 30, 10, False), ("m", 40, 5, True), ("w", 1, 0, True)}
     news = spark.createDataFrame([(1, "A b", "2026-01-01 10:00:00"), (2, "a B!", "2026-01-01 11:59:00"), (3, "a b", "2026-01-01 12:00:00")], "id int, title string, at string")
     news.select("id", "title", F.col("at").cast("timestamp").alias("published")).coalesce(1).write.parquet(str(tmp_path / "n"))
@@ -229,10 +230,6 @@ def test_stream_sinks(spark, tmp_path):
         write(batch, k)
     got = spark.read.parquet(str(tmp_path / "t")).select("k", "x").collect()
     assert sorted(map(tuple, got)) == [(1, "b"), (2, "d"), (3, "e")]
-    write = streams.upsert_sink(str(tmp_path / "u"), ["k"])
-    for batch, k in ((first, 0), (second, 1), (first, 0)):
-        write(batch, k)
-    assert sorted((r.k, r.x) for r in streams.latest(spark, str(tmp_path / "u"), ["k"]).collect()) == [(1, "b"), (2, "d"), (3, "e")]
 
 
 def test_stream_timeout(spark, tmp_path):
@@ -241,7 +238,8 @@ def test_stream_timeout(spark, tmp_path):
             ("gone", 0, at(5), "cancel"), ("gone", 1, at(6), "start")]
     df = spark.createDataFrame(rows, "run_id string, seq long, at timestamp, command string").coalesce(1)
     df.write.parquet(str(tmp_path / "r"))
-    got = streams.result(streams.run_status(spark.readStream.schema(df.schema).parquet(str(tmp_path / "r"))), "update", ["run_id"])
+    with stateful.state_store(spark):
+        got = streams.result(stateful.run_status(spark.readStream.schema(df.schema).parquet(str(tmp_path / "r"))), "update", ["run_id"])
     assert {r.run_id: r.status for r in got.collect()} == {"slow": "FAILED_SYSTEM", "late": "FAILED_SYSTEM", "fine": "SUCCEEDED", "fresh": "RUNNING", "idle": "QUEUED", "gone": "CANCELLED"}
 
 
