@@ -19,7 +19,8 @@ def fingerprint(title: Column, published: Column, offset: str = "+00:00") -> Col
 
 
 def language(text: Column) -> Column:
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "unknown").when(text.rlike("[㐀-鿿]"), "non_target_language").otherwise("en")
+    """unknown for a text of nothing but white space, in the wide sense of Unicode and with the ASCII separators."""
+    return F.when(~F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False)), "unknown").when(text.rlike("[㐀-鿿]"), "non_target_language").otherwise("en")
 
 
 #: Prefixes of parameters that only track a visitor. Fixed values.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from math import comb, erfc, exp, sqrt
+from math import comb, erfc, exp, lgamma, log, sqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import jaccard, words
@@ -48,7 +48,17 @@ def mcnemar_p(n01: int, n10: int) -> float:
 
 
 def chi2_tail(x: float, df: int) -> float:
-    return erfc(sqrt(x / 2)) if df == 1 else exp(-x / 2) if df == 2 else erfc(sqrt(x / 2)) + sqrt(2 * x / 3.141592653589793) * exp(-x / 2)
+    """The share of the chi-square distribution above x, for any whole number of degrees of freedom."""
+    if df < 1:
+        raise ValueError(f"degrees of freedom: {df}")
+    if x <= 0:
+        return 1.0
+    # Two degrees more add (x / 2) ** (df / 2) * exp(-x / 2) / gamma(df / 2 + 1).
+    tail, at = (erfc(sqrt(x / 2)), 1) if df % 2 else (exp(-x / 2), 2)
+    while at < df:
+        tail += exp(at / 2 * log(x / 2) - x / 2 - lgamma(at / 2 + 1))
+        at += 2
+    return min(1.0, tail)
 
 
 def bowker(pairs: DataFrame) -> DataFrame:
@@ -102,20 +112,19 @@ def calibration_score(rows: DataFrame, n: int = 4) -> DataFrame:
     return errors.groupBy("case_id").agg(F.round(F.greatest(F.lit(0.0), 1 - F.avg("e")), 6).alias("score"))
 
 
-def wilcoxon(w_plus: float, w_minus: float, counts: list[int]) -> tuple[float, float]:
-    """The signed-rank statistic and its two-sided p. counts: how many differences share each size, zeros left out.
-    Exact up to 50 differences without ties, else by the normal approximation with the tie correction."""
-    n = sum(counts)
+def wilcoxon(w_plus: float, w_minus: float, n: int, ties: float = 0) -> tuple[float, float]:
+    """The signed-rank statistic and its two-sided p, of n differences that aren't zero. ties: the sum of c**3 - c over the
+    numbers c of differences that share a size. Exact up to 50 differences without ties, else by the normal approximation."""
     if not n:
         return 0.0, 1.0
     w = min(w_plus, w_minus)
-    if n <= 50 and max(counts) == 1:
+    if n <= 50 and not ties:
         ways = [1] + [0] * (n * (n + 1) // 2)
         for k in range(1, n + 1):
             for s in range(len(ways) - 1, k - 1, -1):
                 ways[s] += ways[s - k]
         return w, min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
-    spread = n * (n + 1) * (2 * n + 1) / 24 - sum(c**3 - c for c in counts) / 48
+    spread = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     return w, erfc(abs(w - n * (n + 1) / 4) / sqrt(spread) / sqrt(2))
 
 
@@ -134,26 +143,12 @@ def wilcoxon_r(p: float, n: int) -> float:
 
 
 def differences(pairs: DataFrame) -> DataFrame:
-    """How many differences x - y there are of each size above 0, and how many of them are positive."""
-    return pairs.select((F.col("x") - F.col("y")).alias("d")).filter("d <> 0").groupBy(F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("up"))
-
-
-def bootstrap_sums(pairs: DataFrame, iterations: int = 2000, seed: int = 7) -> DataFrame:
-    """Resampled means of x - y within strata. pairs: stratum, id, x, y. A row that is drawn k times in an iteration adds k
-    times its difference, where k is Poisson of mean 1 by a hash of row and iteration, scaled to the stratum's size: the
-    bootstrap as it can be run where the rows lie, without drawing row numbers. iteration, mean."""
-    # Distribution function of the Poisson distribution of mean 1, in millionths.
-    steps = [367879, 735759, 919699, 981012, 996340, 999406, 999917, 999990, 999999]
-    draws = pairs.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "stratum", "id", "iteration"), F.lit(1_000_000))
-    k = sum((u >= s).cast("int") for s in steps)
-    drawn = draws.groupBy("stratum", "iteration").agg(F.sum(k * (F.col("x") - F.col("y"))).alias("s"), F.sum(k).alias("k"), F.count(F.lit(1)).alias("n"))
-    return drawn.groupBy("iteration").agg((F.sum(F.try_divide(F.col("s") * F.col("n"), F.col("k"))) / F.sum("n")).alias("mean"))
-
-
-def bootstrap_interval(pairs: DataFrame, iterations: int = 2000, seed: int = 7) -> DataFrame:
-    """lower and upper: the 2.5 and 97.5 percentiles of the resampled means, by linear interpolation."""
-    return bootstrap_sums(pairs, iterations, seed).agg(F.percentile("mean", F.lit(0.025)).alias("lower"), F.percentile("mean", F.lit(0.975)).alias("upper"), F.count(F.lit(1)).alias("iterations"))
+    """One row: pairs (all, which an effect size is taken over), n (differences x - y that aren't zero), and ties, the sum of
+    c**3 - c over the numbers c of differences of one size."""
+    sizes = pairs.groupBy(F.abs(F.col("x") - F.col("y")).alias("size")).agg(F.count(F.lit(1)).cast("decimal(20,0)").alias("c"))
+    moved = F.when(F.col("size") != 0, F.col("c"))
+    return sizes.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.sum(moved), F.lit(0)).cast("long").alias("n"),
+                     F.coalesce(F.sum(moved.cast("double") * (moved.cast("double") * moved.cast("double") - 1)), F.lit(0.0)).alias("ties"))
 
 
 def percentiles(values: DataFrame, key: str, value: str, p: float) -> DataFrame:
@@ -183,17 +178,20 @@ def status_by(n: Column, coverage: Column, k_sufficient: Column, k_partial: Colu
             .when((n >= k_partial) | (coverage < m), "PARTIAL").otherwise("INSUFFICIENT"))
 
 
-def grid(k_sufficient: int, k_partial: int, m: float) -> list[tuple[int, int, float]]:
-    """Thresholds around the current ones; a case needs more for sufficient than for partial."""
-    ms = sorted({round(min(1.0, max(0.0, m + d)), 2) for d in (-0.1, 0.0, 0.1)})
-    return [(a, b, c) for a in range(max(1, k_sufficient - 1), k_sufficient + 2) for b in range(max(1, k_partial - 1), k_partial + 2) if b < a for c in ms]
+def grid(spark: SparkSession, current: tuple[int, int, float]) -> DataFrame:
+    """The thresholds one step around the current triple: 27 offsets, of which those stay that ask at least one piece of
+    evidence and more for sufficient than for partial. Shares beyond 0 and 1 fall together there."""
+    step = lambda place: F.floor(F.col("id") / 3**place) % 3 - 1
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(float(current[2])) + step(0) * F.lit(0.1)))
+    around = spark.range(27).select((current[0] + step(2)).cast("int").alias("k_sufficient"), (current[1] + step(1)).cast("int").alias("k_partial"), F.round(share, 2).alias("m"))
+    return around.filter("k_partial >= 1 and k_sufficient > k_partial").distinct()
 
 
 def calibrated(observations: DataFrame, current: tuple[int, int, float]) -> DataFrame:
     """Accuracy of every triple around the current one (a stated grid) on observations (n, coverage, expected), and
     which is chosen: of the most accurate the nearest to the current one, then the strictest."""
     spark = observations.sparkSession
-    triples = spark.createDataFrame(grid(*current), "k_sufficient int, k_partial int, m double")
+    triples = grid(spark, current)
     # Observations are counted by what a rule looks at first, so that the grid meets few rows.
     counts = observations.groupBy("n", "coverage", "expected").agg(F.count(F.lit(1)).alias("c"))
     right = status_by(*map(F.col, ("n", "coverage", "k_sufficient", "k_partial", "m"))) == F.col("expected")

@@ -32,12 +32,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, most: int = 10_
 
 
 def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion; ties by the best rank in the first list, then id."""
+    """Reciprocal rank fusion: query_id, doc_id, score, n_lists, and where a document was seen first: its list (from 0) and
+    rank there. Who orders by score takes ties in the order in which they were first seen: first_list, first_rank, doc_id."""
     rows = None
     for i, ranked in enumerate(lists):
         own = ranked.select("query_id", "doc_id", (1 / (F.lit(k) + F.col("rank"))).alias("part"), F.lit(i).alias("list"), "rank")
         rows = own if rows is None else rows.unionByName(own)
-    return rows.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"), F.count(F.lit(1)).alias("n_lists"))
+    return rows.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"), F.count(F.lit(1)).alias("n_lists"), F.min(F.struct("list", "rank")).alias("seen")).select(
+        "query_id", "doc_id", "score", "n_lists", F.col("seen.list").alias("first_list"), F.col("seen.rank").alias("first_rank"))
 
 
 def sufficient(fused: DataFrame, least: int = 5, mean: float = 0.02) -> DataFrame:

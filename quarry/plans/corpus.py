@@ -13,7 +13,9 @@ from quarry.sources import tables as t
 NORM = "nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '')"
 FP = """substr(sha256(regexp_replace(lower(regexp_replace(title, '[^\\p{L}\\p{N}_\\s]', '', 'g')), '^\\s+|\\s+$', '', 'g') || '|' ||
     strftime(date_trunc('hour', published) - to_hours(hour(published) % 2), '%Y-%m-%dT%H:%M:%S') || '+00:00'), 1, 16)"""
-QUALITY = ARTICLES + f""", q AS (SELECT *, {NORM} AS t, coalesce(length(body), 0) AS size, CASE WHEN coalesce(trim(body), '') = '' THEN 'unknown' WHEN regexp_matches(body, '[㐀-鿿]') THEN 'other' ELSE 'en' END AS tongue FROM arts),
+# Anything but white space.
+INKED = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+QUALITY = ARTICLES + f""", q AS (SELECT *, {NORM} AS t, coalesce(length(body), 0) AS size, CASE WHEN NOT coalesce(regexp_matches(body, '{INKED}'), false) THEN 'unknown' WHEN regexp_matches(body, '[㐀-鿿]') THEN 'other' ELSE 'en' END AS tongue FROM arts),
     c AS (SELECT t, count(*) AS same FROM q WHERE t IS NOT NULL GROUP BY 1),
     f AS (SELECT q.*, coalesce(c.same, 0) AS same FROM q LEFT JOIN c USING (t)),
     flags AS (SELECT asset_id, ticker, source_type, CASE WHEN size = 0 THEN 'short_text' WHEN coalesce(title, '') = '' OR published IS NULL OR coalesce(source, '') = '' THEN 'missing_fields'
@@ -148,7 +150,7 @@ ORACLE_SQL = {
     "quality_flags": f"WITH {QUALITY} SELECT * FROM flags",
     "eligibility_rate": f"WITH {QUALITY} SELECT source_type, count(*) AS n, round(avg((reason IS NULL)::INT), 6) AS rate FROM flags GROUP BY 1",
     "fallback_trigger": f"WITH {QUALITY} SELECT ticker, CASE WHEN count(*) FILTER (reason = 'short_text') >= 3 THEN 'connectivity_failures' WHEN count(*) FILTER (reason IS NULL) = 0 THEN 'all_articles_fail_quality' END AS reason FROM flags GROUP BY 1",
-    "language_profile": "SELECT CASE WHEN coalesce(trim(text), '') = '' THEN 'unknown' WHEN regexp_matches(text, '[㐀-鿿]') THEN 'non_target_language' ELSE 'en' END AS detected, lang, count(*) AS n FROM documents GROUP BY 1, 2",
+    "language_profile": f"SELECT CASE WHEN NOT coalesce(regexp_matches(text, '{INKED}'), false) THEN 'unknown' WHEN regexp_matches(text, '[㐀-鿿]') THEN 'non_target_language' ELSE 'en' END AS detected, lang, count(*) AS n FROM documents GROUP BY 1, 2",
     "provider_audit": "SELECT source, count(*) AS n, median(n_chars) AS median_chars, round(avg(n_chars), 6) AS mean_chars, count(*) FILTER (n_chars < 200) AS n_short FROM documents GROUP BY 1",
     "chunks_l1_l2": f"""WITH {ASSETS}, l2 AS (SELECT asset_id, list_slice(list_filter(list_transform(regexp_extract_all(body, '[^.!?]+[.!?]*'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 12), 1, 30) AS s FROM assets WHERE source_type = 'polygon_news'),
         l AS (SELECT asset_id, unnest(s) AS c, unnest(range(1, len(s) + 1)) AS n FROM l2)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import answers, text
-from quarry.operators import decision, evidence, grounding
+from quarry.operators import decision, evidence, grounding, resampling
 from quarry.operators import evaluation as ev
 from quarry.plans.corpus import QUALITY
 from quarry.plans.market import ASSETS, LAYER, SHIFTED, _shifted_cases
@@ -37,13 +37,12 @@ PAIRED = "pr AS (SELECT ['SUFFICIENT', 'PARTIAL', 'INSUFFICIENT'][doc_id % 3 + 1
 
 def _tests(s, d):
     """Statistics and p of the paired tests, from rows of counts: their tails are a few numbers on the driver."""
-    rows = ev.differences(_xy(s, d)).collect()  # a row for each size of a difference of two small numbers
+    of = ev.differences(_xy(s, d)).first()
     w = ev.wilcoxon_w(_xy(s, d)).first()
-    stat, p = ev.wilcoxon(w.w_plus, w.w_minus, [r.n for r in rows])
-    n = sum(r.n for r in rows)
+    stat, p = ev.wilcoxon(w.w_plus, w.w_minus, of.n, of.ties)
     b = ev.bowker(t.table(s, d, "documents").select((F.col("doc_id") % 3).alias("a"), F.expr("(doc_id div 3) % 3").alias("b"))).first()
     m = ev.discordance(t.table(s, d, "labels").select(F.col("quality").alias("a"), F.col("toxic").alias("b"))).first()
-    found = [("wilcoxon", float(stat), p, ev.wilcoxon_r(p, n)), ("bowker", float(b.statistic), ev.chi2_tail(b.statistic, b.df) if b.df else 1.0, 0.0), ("mcnemar", float(min(m.n01, m.n10)), ev.mcnemar_p(m.n01, m.n10), 0.0)]
+    found = [("wilcoxon", float(stat), p, ev.wilcoxon_r(p, of.pairs)), ("bowker", float(b.statistic), ev.chi2_tail(b.statistic, b.df) if b.df else 1.0, 0.0), ("mcnemar", float(min(m.n01, m.n10)), ev.mcnemar_p(m.n01, m.n10), 0.0)]
     return s.createDataFrame(found, "test string, statistic double, p double, effect double")
 
 
@@ -152,7 +151,7 @@ def _profile_row(s, d):
 
 QUERIES = {
     "paired_tests": _tests,
-    "bootstrap_interval": lambda s, d: ev.bootstrap_interval(_paired(s, d)),
+    "bootstrap_interval": lambda s, d: resampling.bootstrap_interval(_paired(s, d)),
     "percentiles_three": lambda s, d: ev.percentiles(t.table(s, d, "documents"), "source", "n_chars", 0.9).select("source", "floor", "nearest", F.round("linear", 4).alias("linear"), "n"),
     "class_balance": lambda s, d: ev.class_balance(_paired(s, d).select(F.col("stratum").alias("status")), _CLASSES),
     "calibrated_triples": lambda s, d: ev.calibrated(_observed(s, d), (2, 1, 0.4)),
@@ -184,7 +183,7 @@ QUERIES = {
     "cost_projection": lambda s, d: ev.projected(t.table(s, d, "orders").select(F.col("o_orderpriority").alias("model"), F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")).alias("nth"), (F.col("o_orderkey") % 7 / 2).alias("cost"))),
     "provider_advice": lambda s, d: ev.provider_audit(_profile_row(s, d)),
     "latest_per_model": lambda s, d: _latest(s, d),
-    "sequential_ids": lambda s, d: t.long_bars(s, d).withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("date"))).filter("n <= 500").select("symbol", "date", F.concat(F.lit("g"), F.lpad((F.col("n") + 5).cast("string"), 3, "0")).alias("id")),
+    "sequential_ids": lambda s, d: t.long_bars(s, d).withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("date"))).select("symbol", "date", F.format_string("g%03d", F.col("n") + 5).alias("id")),
     "chunk_merge": lambda s, d: _merged(s, d),
     "model_union": lambda s, d: t.table(s, d, "orders").select(F.col("o_orderpriority").alias("model")).union(t.table(s, d, "events").select("event_type")).distinct(),
     "missing_requested": lambda s, d: s.createDataFrame([(3,), (10**9,), (7,), (10**9 + 1,)], "doc_id long").subtract(t.table(s, d, "documents").select("doc_id")),
@@ -285,7 +284,7 @@ ORACLE_SQL = {
         SELECT *, CASE WHEN run_ok_rate < 0.7 OR endpoint_ok_rate < 0.7 THEN 'fallback_only_unstable' WHEN NOT is_news THEN 'primary_candidate' WHEN median_chars IS NULL THEN 'fallback_no_coverage' WHEN eligible_rate < 0.35 OR median_chars < 120 THEN 'fallback_low_text_quality' ELSE 'primary_candidate' END AS recommendation FROM q""",
     "latest_per_model": """WITH r AS (SELECT o_orderpriority AS model, o_orderkey AS id, o_orderdate AS at_, ['run-a', 'run-b', 'run-ab'][o_orderkey % 3 + 1] AS tag FROM orders WHERE o_orderkey % 3 <> 1)
         SELECT model, id, tag FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY tag = 'run-a' DESC, at_ DESC, id DESC) AS k FROM r) WHERE k = 1""",
-    "sequential_ids": "WITH l AS (SELECT DISTINCT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM l) SELECT symbol, date, 'g' || lpad(CAST(n + 5 AS VARCHAR), 3, '0') AS id FROM r WHERE n <= 500",
+    "sequential_ids": "WITH l AS (SELECT DISTINCT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM l) SELECT symbol, date, printf('g%03d', n + 5) AS id FROM r",
     "chunk_merge": """WITH u AS (SELECT 0 AS search, doc_id AS place, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 100 END AS asset_id FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 1, doc_id, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 130 END FROM documents WHERE doc_id % 4 = 0)
         SELECT search, place, asset_id FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY search, place) AS k FROM u) WHERE k = 1 OR asset_id IS NULL""",
     "model_union": "SELECT o_orderpriority AS model FROM orders UNION SELECT event_type FROM events",

@@ -60,6 +60,12 @@ def _place(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers name it."""
+    at, files = _place(spark, path)
+    return files.makeQualified(at).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at, files = _place(spark, path)
     return files.exists(at)

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.sources import shared
 
 
-def upsert_table(path: str, changes: DataFrame, keys: list[str]) -> str:
+def upsert_table(path: str, changes: DataFrame, keys: list[str], version: str | None = None) -> str:
     """The path of a table as it is after changes; readers of the old one keep it. Rows of changes replace those of
-    their key; of two with one key in changes, either may stay, so a batch should hold a key once."""
+    their key; of two with one key in changes the one of the larger version stays, and of equal ones (or without a
+    version) the larger row, column by column."""
     spark = changes.sparkSession
     current = spark.read.parquet(path)
-    kept = current.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes.dropDuplicates(keys))
+    rest = ([version] if version else []) + [c for c in changes.columns if c not in keys and c != version]
+    best = changes.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__row")).select(*keys, "__row.*")
+    kept = current.join(best.select(*keys), keys, "left_anti").unionByName(best)
     to = shared.folder(spark, "upsert")
     kept.write.parquet(to)
     return to
@@ -72,13 +80,27 @@ def report_markdown(metrics: DataFrame, names: list[str]) -> DataFrame:
     return head.unionByName(body.select((F.row_number().over(Window.orderBy("config")) + 1).alias("nth"), "line"))
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """name and sha256 of each file below a path."""
+def digests(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """name (the path below root) and sha256 of each file below a path. root: the path itself, if not given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    base = shared.qualified(spark, root or path).rstrip("/")
+    cut = lambda c: F.expr(f"substring({c}, {len(base) + 2})").alias("name")
+    # Spark lists files without content, but doesn't read them.
+    listed = [(re.sub("^file:/+", "file:/", unquote(f)),) for f in files.inputFiles()]
+    empty = hashlib.sha256(b"").hexdigest()
+    read = files.select(cut("path"), F.sha2("content", 256).alias("sha256"))
+    return spark.createDataFrame(listed, "path string").select(cut("path")).join(read, "name", "left").select("name", F.coalesce("sha256", F.lit(empty)).alias("sha256"))
 
 
 def folder_digest(files: DataFrame) -> DataFrame:
-    """One digest of a folder's files (name, sha256), in order of names. A row of two texts a file is gathered."""
-    pairs = F.transform(F.sort_array(F.collect_list(F.struct("name", "sha256"))), lambda x: F.concat(x["name"], F.lit("\0"), x["sha256"]))
-    return files.agg(F.sha2(F.array_join(pairs, "\n"), 256).alias("sha256"), F.count(F.lit(1)).alias("n_files"))
+    """One digest of a folder's files (name, sha256): over name, NUL, raw digest, NUL of each, in order of names (bytes), and the
+    number of files. Such a digest is one chain, so a single task reads the names in order; it keeps none of them."""
+    def run(tables):
+        digest, n = hashlib.sha256(), 0
+        for t in tables:
+            for name, sha in zip(*(c.to_pylist() for c in t.columns)):
+                digest.update(name.encode() + b"\0" + bytes.fromhex(sha) + b"\0")
+            n += t.num_rows
+        yield pa.record_batch([pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], ["sha256", "n_files"])
+
+    return files.select("name", "sha256").repartition(1).sortWithinPartitions("name").mapInArrow(run, "sha256 string, n_files long")

@@ -72,17 +72,18 @@ def test_fingerprint_windows(spark):
 
 
 def test_alignment(spark):
-    days = spark.createDataFrame([(dt.date(2026, 1, d),) for d in (15, 16, 19)], "day date")
-    times = spark.createDataFrame([(1, "2026-01-15 21:00:00"), (2, "2026-01-17 17:00:00"), (3, "2026-01-20 12:00:00")], "id int, at string")
+    days = spark.createDataFrame([(dt.date(2025, 7, d),) for d in (2, 3, 7)], "day date")
+    # Summer: the close is at 20:00 UTC. The 4th is a holiday, the 5th and 6th are a weekend.
+    times = spark.createDataFrame([(1, "2025-07-02 20:00:00"), (2, "2025-07-05 03:10:00"), (3, "2025-07-07 20:00:01"), (4, "2025-07-02 19:59:59")], "id int, at string")
     rows = times.select("id", timeseries.candidate_date(F.col("at").cast("timestamp_ntz")).alias("c"))
     got = {r.id: r.trade_date for r in timeseries.as_of_forward(rows, "c", days).collect()}
-    assert got == {1: dt.date(2026, 1, 16), 2: dt.date(2026, 1, 19), 3: None}
+    assert got == {1: dt.date(2025, 7, 3), 2: dt.date(2025, 7, 7), 3: None, 4: dt.date(2025, 7, 2)}
 
 
 def test_returns(spark):
-    bars = spark.createDataFrame([("a", dt.date(2026, 1, d), c) for d, c in ((14, 150.0), (15, 148.0), (16, 152.0))], "symbol string, date date, close double")
-    r = timeseries.forward_returns(bars).filter("date = '2026-01-15'").head()
-    assert (r.ret_t0, r.ret_t1, r.ret_t3) == (-2 / 150, 4 / 148, None)
+    bars = spark.createDataFrame([("a", dt.date(2025, 3, d), c) for d, c in ((3, 80.0), (4, 64.0), (6, 72.0))], "symbol string, date date, close double")
+    r = timeseries.forward_returns(bars).filter("date = '2025-03-04'").head()
+    assert (r.ret_t0, r.ret_t1, r.ret_t3) == (-16 / 80, 8 / 64, None)
 
 
 def test_hybrid_answers_all(spark, con):
@@ -180,7 +181,32 @@ def test_critic(spark):
 def test_tails():
     assert evaluation.mcnemar_p(0, 0) == 1.0
     assert abs(evaluation.mcnemar_p(1, 9) - 22 / 1024) < 1e-12
-    assert abs(evaluation.chi2_tail(3.841458820694124, 1) - 0.05) < 1e-9
+    # The values that leave a twentieth above them.
+    for df, x in {1: 3.841458820694124, 2: 5.991464547107979, 3: 7.814727903251179, 4: 9.487729036781154, 7: 14.067140449340169, 10: 18.307038053275146}.items():
+        assert abs(evaluation.chi2_tail(x, df) - 0.05) < 1e-9
+    assert evaluation.chi2_tail(0, 5) == 1.0 and evaluation.chi2_tail(2000.0, 30) < 1e-300
+    with pytest.raises(ValueError):
+        evaluation.chi2_tail(1.0, 0)
+
+
+def test_wilcoxon_of_all_pairs(spark):
+    """The effect is taken over all pairs, those without a difference too."""
+    of = evaluation.differences(spark.createDataFrame([(1, 1), (2, 2), (3, 1), (4, 6), (5, 5), (1, 2)], "x int, y int")).head()
+    assert (of.pairs, of.n, of.ties) == (6, 3, 6.0)
+    assert evaluation.differences(spark.createDataFrame([], "x int, y int")).head() == (0, 0, 0.0)
+
+
+def test_language_of_white_space(spark):
+    rows = [("\n\t \u00a0\u2003\x1f", "unknown"), ("", "unknown"), (None, "unknown"), ("\n.", "en"), ("a 漢", "non_target_language")]
+    got = spark.createDataFrame(rows, "t string, want string").select(text.language(F.col("t")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_grid(spark):
+    """Every triple one step away, against its definition."""
+    for now in ((2, 1, 0.5), (1, 1, 0.0), (5, 5, 0.95)):
+        around = {(a, b, min(1.0, max(0.0, round(now[2] + c / 10, 2)))) for a in (now[0] - 1, now[0], now[0] + 1) for b in (now[1] - 1, now[1], now[1] + 1) for c in (-1, 0, 1)}
+        assert {tuple(r) for r in evaluation.grid(spark, now).collect()} == {x for x in around if x[0] > x[1] >= 1}
 
 
 def test_html():

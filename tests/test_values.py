@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import answers, markdown
-from quarry.operators import cases, evaluation, evidence, ranked, retrieval, search
+from quarry.operators import cases, evaluation, evidence, ranked, resampling, retrieval, search
 from quarry.plans import catalogue
 from quarry.sources import payloads, shared, sinks, tables
 
@@ -29,10 +29,10 @@ def test_wilcoxon_exact():
             w = min(w_plus, total - w_plus)
             sums = [sum(k + 1 for k in range(n) if s[k]) for s in itertools.product((0, 1), repeat=n)]
             expected = min(1.0, 2 * sum(x <= w for x in sums) / 2**n)
-            assert evaluation.wilcoxon(w_plus, total - w_plus, [1] * n) == (w, pytest.approx(expected))
-    assert evaluation.wilcoxon(0, 0, []) == (0.0, 1.0)
+            assert evaluation.wilcoxon(w_plus, total - w_plus, n) == (w, pytest.approx(expected))
+    assert evaluation.wilcoxon(0, 0, 0) == (0.0, 1.0)
     # Normal approximation with ties: mean and spread by hand.
-    w, p = evaluation.wilcoxon(30.0, 25.0, [2, 3, 5])
+    w, p = evaluation.wilcoxon(30.0, 25.0, 10, 8 - 2 + 27 - 3 + 125 - 5)
     spread = math.sqrt(10 * 11 * 21 / 24 - (8 - 2 + 27 - 3 + 125 - 5) / 48)
     assert w == 25.0 and p == pytest.approx(math.erfc((27.5 - 25) / spread / math.sqrt(2)))
 
@@ -48,9 +48,28 @@ def test_bootstrap(spark):
     mean = sum(map(sum, d.values())) / len(rows)
     var = sum(len(v) * sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v) for v in d.values()) / len(rows) ** 2
     pairs = spark.createDataFrame(rows, "stratum string, id long, x double, y double")
-    r = evaluation.bootstrap_interval(pairs, 2000).head()
+    r = resampling.bootstrap_interval(pairs, 2000).head()
     assert r.iterations == 2000 and r.lower == pytest.approx(mean - 1.96 * math.sqrt(var), abs=0.2 * math.sqrt(var)) and r.upper == pytest.approx(mean + 1.96 * math.sqrt(var), abs=0.2 * math.sqrt(var))
-    assert evaluation.bootstrap_interval(pairs.repartition(3), 2000).head() == r
+    assert resampling.bootstrap_interval(pairs.repartition(3), 2000).head() == r
+
+
+def test_bootstrap_draws_each_stratum_whole(spark, monkeypatch):
+    """In each iteration a stratum is drawn as often as it has rows, over leaves of any number; draws don't depend on
+    partitions; a row's share and spread are those of a multinomial."""
+    monkeypatch.setattr(resampling, "LEAF", 7)
+    monkeypatch.setattr(resampling, "BLOCK_DRAWS", 50)
+    sizes = {"a": 100, "b": 1, None: 30, "": 8}
+    rows = [(s, i + 1000 * k, float(i), 0.0) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    pairs = spark.createDataFrame(rows, "stratum string, id long, x double, y double")
+    got = resampling.bootstrap_sums(pairs, 400).collect()
+    assert {(r.stratum, r.iteration): r.drawn for r in got} == {(s, i): n for s, n in sizes.items() for i in range(400)}
+    again = resampling.bootstrap_sums(pairs.repartition(5, "x"), 400).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    totals = [r.total for r in got if r.stratum == "a"]
+    mean, var = sum(totals) / 400, 100 * (100**2 - 1) / 12
+    assert abs(mean - 4950) < 4 * math.sqrt(var / 400) and 0.8 < sum((x - mean) ** 2 for x in totals) / 400 / var < 1.25
+    none = resampling.bootstrap_interval(pairs.limit(0)).head()
+    assert (none.lower, none.upper, none.iterations) == (0.0, 0.0, 0)
 
 
 def test_paired_tests(spark):
@@ -118,13 +137,26 @@ def test_reports(spark):
 
 
 def test_digests(spark, tmp_path):
-    files = {"b.txt": b"two", "a.txt": b"one"}
+    files = {"b.txt": b"two", "a.txt": b"one", "sub/a.txt": b"", "sub-x/a.txt": b"three"}
     for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
     got = sinks.digests(spark, str(tmp_path))
     assert {r.name: r.sha256 for r in got.collect()} == {k: hashlib.sha256(v).hexdigest() for k, v in files.items()}
-    whole = "\n".join(f"{k}\0{hashlib.sha256(files[k]).hexdigest()}" for k in sorted(files))
-    assert sinks.folder_digest(got).head() == (hashlib.sha256(whole.encode()).hexdigest(), 2)
+    whole = b"".join(k.encode() + b"\0" + hashlib.sha256(files[k]).digest() + b"\0" for k in sorted(files))
+    assert sinks.folder_digest(got).head() == (hashlib.sha256(whole).hexdigest(), 4)
+    one = sinks.digests(spark, str(tmp_path / "sub"), str(tmp_path)).collect()
+    assert [r.name for r in one] == ["sub/a.txt"]
+    # Contents that change places change the digest.
+    (tmp_path / "a.txt").write_bytes(b"two")
+    (tmp_path / "b.txt").write_bytes(b"one")
+    assert sinks.folder_digest(sinks.digests(spark, str(tmp_path))).head().sha256 != hashlib.sha256(whole).hexdigest()
+
+
+def test_digest_query(spark):
+    names = ("benchmark.parquet", "labels.parquet")
+    whole = b"".join(n.encode() + b"\0" + hashlib.sha256(open(f"{SF}/{n}", "rb").read()).digest() + b"\0" for n in names)
+    assert catalogue.QUERIES["folder_digest"](spark, SF).head() == (hashlib.sha256(whole).hexdigest(), 2)
 
 
 def test_freeze_manifest(spark):
@@ -192,3 +224,7 @@ def test_upsert_keeps_one(spark):
     spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(path)
     new = sinks.upsert_table(path, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
     assert sorted(map(tuple, spark.read.parquet(new).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    many = spark.createDataFrame([(2, "x", 1), (2, "b", 3), (2, "a", 3), (9, None, None)], "k int, v string, at int").repartition(3)
+    spark.createDataFrame([(1, "a", 0)], "k int, v string, at int").write.parquet(path + "-v")
+    new = sinks.upsert_table(path + "-v", many, ["k"], "at")
+    assert sorted(map(str, spark.read.parquet(new).select("k", "v").collect())) == ["Row(k=1, v='a')", "Row(k=2, v='b')", "Row(k=9, v=None)"]
