@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import html, text
-from quarry.operators import evidence, ranked, search
+from quarry.operators import duplicates, evidence, ranked, search
 from quarry.operators.vector_index import VectorIndex
 from quarry.plans.market import ARTICLES, ASSETS, NEWS, r6
 from quarry.sources import tables as t
@@ -86,6 +86,7 @@ QUERIES = {
     "dedup_stats": lambda s, d: evidence.hard_duplicates(t.news(s, d)).agg(F.sum("n").alias("articles"), F.count(F.lit(1)).alias("distinct_articles")),
     "canonical_url": lambda s, d: _tracked(s, d).select("page_id", text.canonical_url(F.col("url")).alias("url")),
     "cross_source_pairs": lambda s, d: evidence.cross_source_pairs(_articles(s, d)),
+    "duplicate_groups": lambda s, d: duplicates.duplicate_groups(_articles(s, d)),
     "select_canonical": lambda s, d: evidence.canonical(t.news(s, d).withColumn("g", text.normalized_title(F.col("title"))).filter("g is not null"), "g").select("asset_id", "source_type"),
     "title_counts": lambda s, d: t.assets(s, d).select(text.normalized_title(F.col("title")).alias("t")).filter("t is not null").groupBy("t").agg(F.count(F.lit(1)).alias("n")),
     "quality_flags": lambda s, d: evidence.quality_flags(t.articles(s, d)),
@@ -144,6 +145,13 @@ ORACLE_SQL = {
         f AS (SELECT min(asset_id) OVER (PARTITION BY url) AS asset_id, asset_id AS b_asset_id FROM a WHERE url IS NOT NULL),
         l AS (SELECT lag(asset_id) OVER w AS x, asset_id AS y, epoch(published) - lag(epoch(published)) OVER w AS gap FROM a WHERE t IS NOT NULL AND ticker IS NOT NULL WINDOW w AS (PARTITION BY t, ticker ORDER BY published, asset_id))
         SELECT asset_id, b_asset_id FROM f WHERE asset_id <> b_asset_id UNION SELECT least(x, y), greatest(x, y) FROM l WHERE gap < 14400""",
+    "duplicate_groups": f"""WITH RECURSIVE {NEWS}, p AS (SELECT page_id, {PAGE_URL} AS url FROM pages),
+        a AS (SELECT n.*, {NORM} AS t, p.url, coalesce(list_position(['polygon_news', 'fmp_news', 'finnhub_company_news', 'gdelt_news'], source_type), 5) AS prio FROM news n LEFT JOIN p ON n.asset_id % (SELECT count(*) FROM pages) = p.page_id),
+        l AS (SELECT x.asset_id AS x, y.asset_id AS y FROM a x JOIN a y ON x.asset_id <> y.asset_id AND (x.url = y.url OR (x.t = y.t AND x.ticker = y.ticker AND abs(epoch(x.published) - epoch(y.published)) < 14400))),
+        reach AS (SELECT asset_id AS x, asset_id AS y FROM a UNION SELECT r.x, l.y FROM reach r JOIN l ON l.x = r.y),
+        g AS (SELECT x AS asset_id, min(y) AS group_id, count(*) AS size FROM reach GROUP BY 1), d AS (SELECT x AS asset_id, count(*) AS n FROM l GROUP BY 1)
+        SELECT a.asset_id, g.group_id, g.size, coalesce(d.n, 0) AS n_links, row_number() OVER (PARTITION BY g.group_id ORDER BY prio, published, length(body) DESC, a.asset_id) = 1 AS kept
+        FROM a JOIN g USING (asset_id) LEFT JOIN d USING (asset_id)""",
     "select_canonical": f"""WITH {NEWS}, n AS (SELECT *, {NORM} AS g, coalesce(list_position(['polygon_news', 'fmp_news', 'finnhub_company_news', 'gdelt_news'], source_type), 5) AS p FROM news)
         SELECT asset_id, source_type FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p, published, length(body) DESC, asset_id) AS k FROM n WHERE g IS NOT NULL) WHERE k = 1""",
     "title_counts": f"WITH {ASSETS} SELECT {NORM} AS t, count(*) AS n FROM assets GROUP BY 1 HAVING t IS NOT NULL",
