@@ -9,7 +9,7 @@ from quarry.functions import markdown
 from quarry.operators import evidence
 from quarry.plans.corpus import QUALITY
 from quarry.plans.market import ARTICLES, ASSETS, BARS, NEWS
-from quarry.sources import payloads, shared, sinks
+from quarry.sources import paging, payloads, shared, sinks
 from quarry.sources import tables as t
 
 
@@ -117,6 +117,29 @@ def _embedding_rows(s, d):
     return a.filter(~F.col("is_duplicate") & (F.length("body") > 0)).select("asset_id", "reference_date", F.length("body").alias("chars"))
 
 
+def _pages(s, d):
+    """Orders as pages of their priority's list, by key: one list ends at an address that no page has, one comes back to its
+    tenth page. A request for each list, and one that starts within it."""
+    o = t.table(s, d, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("list"))
+    placed = shared.prefix_sums(o.select("list", F.struct("list", "o_orderkey").alias("at"), F.lit(1).cast("long").alias("one")), "at", "one", "place").select("list", "place")
+    placed = shared.stored(placed, "pages")
+    lists = placed.groupBy("list").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    rows = placed.join(F.broadcast(lists), "list").withColumn("nth", F.col("place") - F.col("first"))  # a row a list
+    url = lambda n: F.concat(F.lit("https://pages/"), F.col("list"), F.lit("?cursor="), n.cast("string"))
+    after = F.when(F.col("place") < F.col("last"), url(F.col("nth") + 1)).when(F.col("list") == "2", url(F.lit(-1))).when(F.col("list") == "3", url(F.lit(9)))
+    pages = rows.select(url(F.col("nth")).alias("url"), after.alias("next_url"))
+    asked = lists.select(F.explode(F.array(F.lit(0), F.lit(25), F.lit(-5))).alias("n"), "list").select(F.concat(F.col("list"), F.lit("-"), F.col("n")).alias("request_id"), url(F.col("n")).alias("url"))
+    return paging.followed(asked, pages)
+
+
+def _followed(s, d):
+    """How each request ended, and a sum over its pages and their places."""
+    seen, ended = _pages(s, d)
+    nth = F.regexp_extract("url", r"cursor=(\d+)", 1).cast("long")
+    sums = seen.groupBy("request_id").agg(F.sum(F.col("nth") * 3 + nth * 7).alias("places"))
+    return ended.join(sums, "request_id", "left").select("request_id", "n_pages", "ended", F.coalesce("places", F.lit(0).cast("long")).alias("places"))
+
+
 def _digest(s, d):
     """One digest of the files that two tables lie in."""
     files = [sinks.digests(s, f"{d}/{name}.parquet", d) for name in ("labels", "benchmark")]
@@ -160,6 +183,7 @@ QUERIES = {
     "json_lines_scan": _json_lines,
     "json_array_scan": _json_array,
     "folder_digest": _digest,
+    "followed_pages": _followed,
     "fk_integrity": lambda s, d: t.table(s, d, "labels").join(t.assets(s, d).filter("not is_duplicate").select(F.col("asset_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id"),
     "table_counts": lambda s, d: t.articles(s, d).agg(F.count(F.lit(1)).alias("n_assets")).crossJoin(evidence.quality_flags(t.articles(s, d)).agg(F.count_if(F.col("reason").isNull()).alias("n_eligible"), F.count_if(F.col("reason").isNotNull()).alias("n_flagged"))).crossJoin(
         t.bars(s, d).agg(F.count(F.lit(1)).alias("n_bars"))),  # one row each
@@ -194,6 +218,10 @@ def _rendered(s, d):
 _T = "regexp_replace(title, '^[ \\t\\r\\f]+|[ \\t\\r\\f]+$', '', 'g')"
 
 ORACLE_SQL = {
+    "followed_pages": """WITH l AS (SELECT o_orderpriority[1:1] AS list, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT list, n, unnest([0, 25, -5]) AS f FROM l),
+        w AS (SELECT list || '-' || f AS request_id, list, n, f, CASE WHEN f < 0 OR f >= n THEN 0 WHEN list = '3' AND n > 9 THEN n - least(f, 9) ELSE n - f END AS k FROM r)
+        SELECT request_id, CAST(k AS BIGINT) AS n_pages, CASE WHEN k = 0 OR list = '2' THEN 'broken' WHEN list = '3' AND n > 9 THEN 'loop' WHEN list = '3' THEN 'broken' ELSE 'complete' END AS ended,
+            CAST(coalesce(list_sum(list_transform(range(0, k), lambda i: 3 * i + 7 * CASE WHEN f + i < n THEN f + i ELSE 9 + (f + i - n) END)), 0) AS BIGINT) AS places FROM w""",
     "payload_bars": f"WITH {BARS} SELECT symbol, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, CAST(volume AS DOUBLE) AS volume FROM bars",
     "payload_first_bar": f"WITH {BARS} SELECT symbol, date, day(date) % 7 <> 0 AS whole, CASE WHEN day(date) % 7 <> 0 THEN round(open, 6) END AS close FROM bars",
     "payload_articles": f"""WITH {NEWS} SELECT asset_id, CASE asset_id % 6 WHEN 5 THEN NULL WHEN 4 THEN 0 ELSE 1 END AS n, CASE WHEN asset_id % 6 < 4 THEN title END AS title,
