@@ -14,7 +14,7 @@ from quarry.plans.ingest import ORACLE_SQL as _INGEST
 from quarry.plans.ingest import _list_news
 from quarry.plans.market import ARTICLES, BARS, NEWS
 from quarry.plans.runs import TRACE
-from quarry.sources import shared, sinks
+from quarry.sources import shared, sinks, surface
 from quarry.sources import tables as t
 from quarry.streaming import stateful, streams
 from quarry.streaming.store import KeyedStore
@@ -156,6 +156,20 @@ def _fundamentals(s, d, ticker, day):
     return best.filter("asset_id is not null").select("asset_id", "reference_date", markdown.table_metrics(md)["revenue"].alias("revenue"))
 
 
+def _called(sql):
+    """A query in SQL over the entry points by name."""
+    def run(s, d):
+        surface.register(s, d)
+        return s.sql(sql)
+
+    return run
+
+
+#: Every symbol with ranges that are open, closed, turned round and empty; symbols that nobody knows among them.
+_ASKED = """(SELECT ticker, r.since, r.till FROM (SELECT ticker FROM api_tickers() UNION ALL SELECT 'NONE') AS x
+    CROSS JOIN VALUES (DATE '2024-01-05', DATE '2024-01-12'), (NULL, DATE '2024-01-03'), (DATE '2024-01-20', NULL), (DATE '2024-01-09', DATE '2024-01-02') AS r(since, till)) AS a"""
+
+
 QUERIES = {
     "trace_export": lambda s, d: _export(s, d),
     "stage_rollup": lambda s, d: decision.stages(_stages(s, d)),
@@ -173,6 +187,10 @@ QUERIES = {
     "stream_upserts": _compensated,
     "stream_checkpoints": lambda s, d: _store(s, d).snapshot(),
     "resume_pending": lambda s, d: _store(s, d).pending(_checkpoints(s, d).select("run_id", "source", "ticker", "date").distinct(), "status = 'success'"),
+    "fn_ohlcv": _called(f"SELECT a.ticker, a.since, a.till, o.date, round(o.close, 6) AS close, o.volume FROM {_ASKED}, LATERAL api_ohlcv(a.ticker, a.since, a.till) AS o"),
+    "fn_news": _called("SELECT a.ticker, n.nth, n.asset_id, n.reference_date FROM (SELECT DISTINCT ticker FROM quarry_news UNION ALL SELECT 'NONE') AS a, LATERAL api_news(a.ticker, till => DATE '2024-01-20', days => 15, most => 4) AS n"),
+    "fn_fundamentals": _called("SELECT a.ticker, a.day, f.asset_id, f.reference_date FROM (SELECT DISTINCT ticker, date_add(DATE '2024-01-01', CAST(asset_id % 40 AS INT)) AS day FROM quarry_news) AS a, LATERAL api_fundamentals(a.ticker, a.day) AS f"),
+    "fn_run_events": _called("SELECT r.run_id, e.event_seq, e.node, e.latency_ms FROM (SELECT DISTINCT run_id FROM quarry_events) AS r, LATERAL api_run_events(r.run_id, after_seq => 0, most => 3) AS e"),
     "api_tickers": lambda s, d: t.bars(s, d).select(F.upper("symbol").alias("ticker")).distinct().orderBy("ticker"),
     "api_ohlcv": lambda s, d: t.bars(s, d).filter("symbol = 'view' and date >= '2024-01-10'").orderBy("date").select("date", *(F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")), "volume"),
     "api_range_local": lambda s, d: t.bars(s, d).agg(F.min("date").alias("min_date"), F.max("date").alias("max_date"), F.countDistinct("symbol").alias("n_symbols"), F.count(F.lit(1)).alias("n_rows")),
@@ -220,6 +238,14 @@ ORACLE_SQL = {
     "stream_health": """WITH r AS (SELECT event_type AS node, event_id, value, sum((value < 20)::INT) OVER w AS ok, count(*) OVER w AS c FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
         SELECT node, count(*) AS seen, CAST(arg_max(ok, event_id) AS BIGINT) AS ok_of_last, bool_or((c = 20 AND ok < 10) OR (value >= 20 AND event_id % 2 = 0 AND value * 3 > 300)) AS incident FROM r GROUP BY 1""",
     "stream_upserts": f"WITH {BARS} SELECT symbol, date, CAST(date + 2 AS DATE) AS version, volume * 10 + 2 AS n FROM bars",
+    "fn_ohlcv": f"""WITH {BARS}, r(since, till) AS (VALUES (DATE '2024-01-05', DATE '2024-01-12'), (NULL, DATE '2024-01-03'), (DATE '2024-01-20', NULL), (DATE '2024-01-09', DATE '2024-01-02'))
+        SELECT upper(symbol) AS ticker, since, till, date, round(close, 6) AS close, volume FROM bars, r WHERE (since IS NULL OR date >= since) AND (till IS NULL OR date <= till)""",
+    "fn_news": f"""WITH {NEWS} SELECT ticker, CAST(nth AS INTEGER) AS nth, asset_id, reference_date FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY reference_date DESC, published DESC, asset_id) AS nth FROM news
+        WHERE source_type = 'polygon_news' AND reference_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20') WHERE nth <= 4""",
+    "fn_fundamentals": f"""WITH {NEWS}, a AS (SELECT DISTINCT ticker, CAST(DATE '2024-01-01' + CAST(asset_id % 40 AS INTEGER) AS DATE) AS day FROM news)
+        SELECT ticker, day, asset_id, reference_date FROM (SELECT a.ticker, a.day, n.asset_id, n.reference_date, row_number() OVER (PARTITION BY a.ticker, a.day ORDER BY n.reference_date DESC, n.asset_id DESC) AS k
+            FROM a JOIN news n ON n.ticker = a.ticker AND n.source_type = 'fmp_fundamentals' AND n.reference_date <= a.day) WHERE k = 1""",
+    "fn_run_events": f"""WITH {TRACE} SELECT run_id, event_seq, node, latency_ms FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_seq) AS nth FROM trace WHERE event_seq > 0) WHERE nth <= 3""",
     "api_tickers": "SELECT DISTINCT upper(event_type) AS ticker FROM events",
     "api_ohlcv": f"WITH {BARS} SELECT date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars WHERE symbol = 'view' AND date >= DATE '2024-01-10'",
     "api_range_local": f"WITH {BARS} SELECT min(date) AS min_date, max(date) AS max_date, count(DISTINCT symbol) AS n_symbols, count(*) AS n_rows FROM bars",
