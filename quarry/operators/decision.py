@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources import shared
+
 # Thresholds of grading and the number of expansions of a search.
 THRESHOLD, PENALTY, K_SUFFICIENT, K_PARTIAL, M_THRESHOLD, MAX_EXPANSIONS = 0.25, 0.9, 1, 1, 0.3, 2
 # Dollars for a million tokens, in and out.
@@ -135,8 +137,13 @@ def stages(events: DataFrame) -> DataFrame:
 
 
 def numbered(events: DataFrame) -> DataFrame:
-    """events (run_id, at) with event_seq: their place in their run."""
-    return events.withColumn("event_seq", F.row_number().over(Window.partitionBy("run_id").orderBy("at", "event_id")))
+    """events (run_id, at, event_id: distinct) with event_seq: their place in their run. Places are taken in one order of all
+    events, range by range, less the run's first: a run of any length is spread over tasks."""
+    rows = events.withColumns({"__at": F.struct("run_id", "at", "event_id"), "__one": F.lit(1).cast("long")})
+    placed = shared.stored(shared.prefix_sums(rows, "__at", "__one", "__place"), "numbered")
+    firsts = placed.groupBy(F.col("run_id").alias("__run")).agg(F.min("__place").alias("__first"))
+    out = placed.join(firsts, F.col("run_id").eqNullSafe(F.col("__run")))
+    return out.withColumn("event_seq", F.col("__place") - F.col("__first") + 1).drop("__at", "__one", "__place", "__run", "__first")
 
 
 def queue_head(runs: DataFrame) -> DataFrame:

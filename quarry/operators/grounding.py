@@ -95,3 +95,39 @@ def gates(metrics: DataFrame, thresholds: list[tuple[str, float]]) -> DataFrame:
     """PASS or FAIL for each gate; metrics is one row with a column per gate."""
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("gate"), F.col(k).cast("double").alias("value"), F.lit(v).alias("least")) for k, v in thresholds)))
     return metrics.select(rows.alias("g")).select("g.gate", F.round("g.value", 6).alias("value"), F.when(F.col("g.value") >= F.col("g.least"), "PASS").otherwise("FAIL").alias("verdict"))
+
+
+def gate_measures(results: DataFrame, traces: DataFrame, statuses: list[str]) -> DataFrame:
+    """One row of what gates look at. results: config, run_id, output_status, should_refuse, cited and retrieved (arrays of ids),
+    latency_ms, cost_usd, tokens; traces: run_id. evidence_validity: the share of cited ids that were retrieved (1 where
+    none is cited); schema_validity: the share of results with a known status and both arrays; trace_completeness: the
+    share of results whose run has a trace; should_refuse_hit_rate: the least share, over configs, of refusals among the
+    cases to refuse (0 without any); cost_latency_reported: whether every result tells all three."""
+    one = F.lit(1).cast("double")
+    known = traces.select("run_id").distinct().withColumn("traced", one)
+    met = F.size(F.filter("cited", lambda i: F.array_contains(F.coalesce("retrieved", F.array().cast("array<long>")), i)))
+    valid = F.coalesce(F.col("output_status").isin(statuses), F.lit(False)) & F.col("cited").isNotNull() & F.col("retrieved").isNotNull()
+    told = F.col("latency_ms").isNotNull() & F.col("cost_usd").isNotNull() & F.col("tokens").isNotNull()
+    rows = results.join(known, "run_id", "left")
+    configs = rows.groupBy("config").agg(
+        F.sum(F.coalesce(met, F.lit(0))).alias("met"), F.sum(F.coalesce(F.size("cited"), F.lit(0))).alias("cited"), F.count(F.lit(1)).alias("n"), F.sum(valid.cast("long")).alias("valid"),
+        F.sum(F.coalesce("traced", F.lit(0.0))).alias("traced"), F.min(told).alias("told"),
+        F.coalesce(F.avg(F.when(F.col("should_refuse"), (F.col("output_status") == "INSUFFICIENT").cast("double"))), F.lit(0.0)).alias("refused"))
+    share = lambda a, b, none: F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(none))
+    return configs.agg(share("met", "cited", 1.0).alias("evidence_validity"), share("valid", "n", 0.0).alias("schema_validity"), share("traced", "n", 0.0).alias("trace_completeness"),
+                       F.coalesce(F.min("refused"), F.lit(0.0)).alias("should_refuse_hit_rate"), F.coalesce(F.min("told"), F.lit(True)).alias("cost_latency_reported"))
+
+
+def gate_report(metrics: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:
+    """A row for each rule (gate, ">=" or "==", bound) on one row of metrics, and a row overall, which passes where all of
+    them do: gate, rule, bound, value, verdict. A value that is missing fails. Booleans count as 0 and 1."""
+    if any(op not in (">=", "==") for _, op, _ in rules):
+        raise ValueError("a rule is >= or ==")
+    value = lambda g: F.round(F.col(g).cast("double"), 6)
+    holds = [F.coalesce(value(g) >= b if op == ">=" else value(g) == b, F.lit(False)) for g, op, b in rules]
+    verdict = lambda h: F.when(h, "PASS").otherwise("FAIL").alias("verdict")
+    cell = lambda g, op, b, v, h: F.struct(F.lit(g).alias("gate"), F.lit(op).alias("rule"), F.lit(float(b)).alias("bound"), v.alias("value"), verdict(h))
+    rows = [cell(g, op, b, value(g), h) for (g, op, b), h in zip(rules, holds)]
+    passed = sum((h.cast("double") for h in holds), F.lit(0.0))
+    rows.append(cell("overall", "==", len(rules), passed, passed == len(rules)))
+    return metrics.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -32,6 +32,25 @@ def big_moves(bars: DataFrame, threshold: float = 0.03, history: int = 60) -> Da
     return daily_returns(bars).withColumn("nth", F.row_number().over(_line())).filter((F.abs("ret") > threshold) & (F.col("nth") > history))
 
 
+def common_returns(bars: DataFrame) -> DataFrame:
+    """Returns (symbol, date, ret, place) of the days on which every symbol has one. A day's return is taken over the day before it
+    in the calendar of all symbols, so it takes a close on both; place counts a symbol's days from 0. The calendar has a
+    row a day."""
+    days = bars.select("date").distinct()
+    calendar = days.select("date", F.lag("date").over(Window.orderBy("date")).alias("before")).filter("before is not null")
+    last = bars.select("symbol", F.col("date").alias("before"), F.col("close").alias("last"))
+    own = bars.join(F.broadcast(calendar), "date").join(last, ["symbol", "before"])
+    own = own.select("symbol", "date", F.try_divide(F.col("close") - F.col("last"), F.col("last")).alias("ret")).filter("ret is not null")
+    symbols = bars.agg(F.countDistinct("symbol").alias("symbols"))
+    whole = own.groupBy("date").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(symbols)).filter("n = symbols").select("date")  # symbols is one row
+    return own.join(F.broadcast(whole), "date", "left_semi").withColumn("place", F.row_number().over(_line()) - 1)
+
+
+def detected_events(bars: DataFrame, since: str, threshold: float = 0.03, history: int = 60) -> DataFrame:
+    """Days from a date on whose return is beyond the threshold, with enough days before them to estimate from."""
+    return common_returns(bars).filter((F.abs("ret") > threshold) & (F.col("place") >= history) & (F.col("date") >= F.lit(since).cast("date")))
+
+
 def abnormal_returns(bars: DataFrame, window: int = 60) -> DataFrame:
     """alpha, beta over the window before each day, against the mean return of all symbols; ar is what they don't explain."""
     own = daily_returns(bars)

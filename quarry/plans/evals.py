@@ -108,6 +108,19 @@ def _gates(s, d):
     return grounding.gates(valid.crossJoin(whole).crossJoin(rates.agg(F.min("r").alias("refuse_hit_rate"))), [("evidence_validity", 0.85), ("cost_latency_reported", 1.0), ("refuse_hit_rate", 0.5)])  # one row each
 
 
+def _results(s, d):
+    """Results of two configurations: ids cited and retrieved follow from the texts' sizes; some have no status, arrays or cost."""
+    c = _configs(s, d).join(t.table(s, d, "documents").select(F.col("doc_id").alias("case_id"), "lang"), "case_id")
+    k, n = F.col("case_id"), F.col("tokens").cast("long")
+    cited = F.when(n % 97 != 0, F.transform(F.sequence(F.lit(0).cast("long"), n % 4), lambda i: k + i * (n % 3)))
+    retrieved = F.when(n % 101 != 0, F.array(k, k + 1, k + n % 5))
+    return c.select("config", (k % 400).alias("run_id"), F.when(n % 89 != 0, F.col("output_status")).alias("output_status"), (F.col("lang") == "de").alias("should_refuse"), cited.alias("cited"), retrieved.alias("retrieved"),
+                    "latency_ms", F.when(n % 1009 != 0, F.col("cost_usd")).alias("cost_usd"), "tokens")
+
+
+_RULES = [("evidence_validity", ">=", 0.5), ("schema_validity", "==", 1.0), ("trace_completeness", ">=", 0.2), ("should_refuse_hit_rate", ">=", 0.3), ("cost_latency_reported", "==", 1.0)]
+
+
 def _preflight(s, d):
     """Three counts against their thresholds, and whether all hold."""
     a = t.assets(s, d)
@@ -165,6 +178,7 @@ QUERIES = {
     "ablation_aggregate": _aggregate,
     "case_flattening": lambda s, d: _profiles(s, d).select("variant", "profile", "case.expected_status", "judge.output_status", "cost.latency_ms", (F.col("retrieved.total") > 0).alias("has_evidence")).groupBy("profile", "expected_status", "output_status", "has_evidence").agg(F.count(F.lit(1)).alias("n"), F.sum("latency_ms").alias("latency_ms")),
     "gate_aggregates": _gates,
+    "gate_report": lambda s, d: grounding.gate_report(grounding.gate_measures(_results(s, d), t.table(s, d, "conversations").select(F.col("conv_id").alias("run_id")), _CLASSES), _RULES),
     "preflight_verdict": _preflight,
     "coverage_by_case": lambda s, d: _coverage(s, d),
     "tiered_comparison": _tiers,
@@ -259,6 +273,15 @@ ORACLE_SQL = {
         round(avg(attribution_f1), 6) AS avg_attribution_f1, round(avg(grounding_rate), 6) AS avg_grounding_rate, round(avg(latency_ms), 6) AS avg_latency_ms, round(avg(tokens), 6) AS avg_tokens, round(avg(cost_usd), 6) AS avg_cost_usd,
         round(avg(CASE WHEN case_id % 5 = 0 THEN 0 ELSE (case_id % 4) / (case_id % 5) END), 6) AS avg_l2_ratio FROM cf GROUP BY 1, 2""",
     "case_flattening": f"WITH {CONFIGS} SELECT config AS profile, expected_status, output_status, case_id % 5 > 0 AS has_evidence, count(*) AS n, sum(latency_ms) AS latency_ms FROM cf GROUP BY 1, 2, 3, 4",
+    "gate_report": f"""WITH {CONFIGS}, rs AS (SELECT cf.config, case_id % 400 AS run_id, CASE WHEN n_chars % 89 <> 0 THEN output_status END AS st, lang = 'de' AS refuse, CASE WHEN n_chars % 97 <> 0 THEN list_transform(range(0, n_chars % 4 + 1), lambda i: case_id + i * (n_chars % 3)) END AS cited,
+            CASE WHEN n_chars % 101 <> 0 THEN [case_id, case_id + 1, case_id + n_chars % 5] END AS got, latency_ms, CASE WHEN n_chars % 1009 <> 0 THEN cost_usd END AS cost, tokens FROM cf JOIN documents ON doc_id = case_id),
+        ms AS (SELECT coalesce(sum(coalesce(len(list_filter(cited, lambda x: list_contains(coalesce(got, []), x))), 0)) / sum(coalesce(len(cited), 0)), 1) AS v, avg((st IS NOT NULL AND cited IS NOT NULL AND got IS NOT NULL)::INT) AS sv,
+            avg((run_id IN (SELECT conv_id FROM conversations))::INT) AS tc, bool_and(latency_ms IS NOT NULL AND cost IS NOT NULL AND tokens IS NOT NULL)::INT AS told FROM rs),
+        rf AS (SELECT min(r) AS r FROM (SELECT coalesce(avg((st = 'INSUFFICIENT')::INT) FILTER (refuse), 0) AS r FROM rs GROUP BY config)),
+        g AS (SELECT 'evidence_validity' AS gate, '>=' AS rule, 0.5::DOUBLE AS bound, round(v, 6) AS value FROM ms UNION ALL SELECT 'schema_validity', '==', 1.0, round(sv, 6) FROM ms UNION ALL SELECT 'trace_completeness', '>=', 0.2, round(tc, 6) FROM ms
+            UNION ALL SELECT 'should_refuse_hit_rate', '>=', 0.3, round(r, 6) FROM rf UNION ALL SELECT 'cost_latency_reported', '==', 1.0, told FROM ms),
+        j AS (SELECT *, CASE WHEN (rule = '>=' AND value >= bound) OR (rule = '==' AND value = bound) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g)
+        SELECT * FROM j UNION ALL SELECT 'overall', '==', 5.0, count(*) FILTER (verdict = 'PASS')::DOUBLE, CASE WHEN count(*) FILTER (verdict = 'PASS') = 5 THEN 'PASS' ELSE 'FAIL' END FROM j""",
     "gate_aggregates": f"""WITH {CONFIGS}, r AS (SELECT config, coalesce(avg((output_status = 'INSUFFICIENT')::INT) FILTER (should_refuse), 0) AS r FROM cf GROUP BY 1), m AS (SELECT (SELECT avg((d.doc_id IS NOT NULL)::INT) FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id + 1000003 * l.toxic) AS v, (SELECT min(r) FROM r) AS r)
         SELECT 'evidence_validity' AS gate, round(v, 6) AS value, CASE WHEN v >= 0.85 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM m UNION ALL SELECT 'cost_latency_reported', 1.0, 'PASS' UNION ALL SELECT 'refuse_hit_rate', round(r, 6), CASE WHEN r >= 0.5 THEN 'PASS' ELSE 'FAIL' END FROM m""",
     "preflight_verdict": f"""WITH {SHIFTED}, {ASSETS}, h AS (SELECT DISTINCT asset_id, body FROM shifted c JOIN assets a ON a.reference_date BETWEEN c.date - 3 AND c.date + 3 WHERE {LAYER} = 'macro'), dd AS (SELECT min(n) AS direct FROM (SELECT ticker, count(DISTINCT asset_id) AS n FROM assets WHERE {LAYER} = 'direct' GROUP BY 1)),

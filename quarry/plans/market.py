@@ -52,6 +52,7 @@ QUERIES = {
     "forward_returns": lambda s, d: timeseries.forward_returns(t.bars(s, d)).select("symbol", "date", *r6("ret_t0", "ret_t1", "ret_t3", "ret_t5")),
     "day_change": lambda s, d: timeseries.forward_returns(t.bars(s, d), ()).select("symbol", "date", F.round(F.coalesce(F.col("ret_t0") * 100, F.lit(0.0)), 6).alias("change_pct")),
     "intraday_move": lambda s, d: timeseries.intraday_move(t.bars(s, d)).select("symbol", "date", *r6("move_pct")),
+    "event_detection": lambda s, d: timeseries.detected_events(t.long_bars(s, d), "1995-01-01").select("symbol", "date", *r6("ret"), F.col("place").cast("long").alias("place")),
     "big_move_events": lambda s, d: timeseries.big_moves(t.long_bars(s, d)).select("symbol", "date", *r6("ret"), "nth"),
     "abnormal_return_ols": lambda s, d: timeseries.abnormal_returns(t.long_bars(s, d)).select("symbol", "date", F.round("alpha", 5).alias("alpha"), F.round("beta", 5).alias("beta"), F.round("ar", 5).alias("ar"), timeseries.weight_tier(F.round("ar", 5)).alias("tier")),
     "ar_top_n": lambda s, d: timeseries.abnormal_returns(t.long_bars(s, d)).select("symbol", "date", F.round("ar", 5).alias("ar")).orderBy(F.desc(F.abs("ar")), "symbol", "date").limit(20),
@@ -96,6 +97,12 @@ ORACLE_SQL = {
         round((lead(close, 3) OVER w - close) / close, 6) AS ret_t3, round((lead(close, 5) OVER w - close) / close, 6) AS ret_t5 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)""",
     "day_change": f"WITH {BARS} SELECT symbol, date, round(coalesce((close - lag(close) OVER w) / lag(close) OVER w * 100, 0.0), 6) AS change_pct FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)",
     "intraday_move": f"WITH {BARS} SELECT symbol, date, round(CASE WHEN open <> 0 THEN (close - open) / open * 100 END, 6) AS move_pct FROM bars",
+    "event_detection": """WITH l AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date, arg_max(o_totalprice, o_orderkey) AS close FROM orders GROUP BY 1, 2),
+        c AS (SELECT date, lag(date) OVER (ORDER BY date) AS before FROM (SELECT DISTINCT date FROM l)),
+        r AS (SELECT l.symbol, l.date, (l.close - p.close) / p.close AS ret FROM l JOIN c ON c.date = l.date JOIN l p ON p.symbol = l.symbol AND p.date = c.before WHERE p.close <> 0),
+        w AS (SELECT date FROM r GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM l)),
+        k AS (SELECT r.*, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS place FROM r WHERE date IN (SELECT date FROM w))
+        SELECT symbol, date, round(ret, 6) AS ret, place FROM k WHERE abs(ret) > 0.03 AND place >= 60 AND date >= DATE '1995-01-01'""",
     "big_move_events": f"WITH {RETURNS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS nth FROM rets) SELECT symbol, date, round(ret, 6) AS ret, nth FROM n WHERE abs(ret) > 0.03 AND nth > 60",
     "abnormal_return_ols": f"WITH {_AR} SELECT symbol, date, alpha, beta, ar, CASE WHEN abs(ar) > 0.05 THEN 'high' WHEN abs(ar) > 0.02 THEN 'medium' ELSE 'low' END AS tier FROM ars",
     "ar_top_n": f"WITH {_AR} SELECT symbol, date, ar FROM ars ORDER BY abs(ar) DESC, symbol, date LIMIT 20",
