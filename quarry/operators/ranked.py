@@ -68,8 +68,8 @@ def block_edges(n: int) -> np.ndarray:
     return np.array(out)
 
 
-def _shard_rows(number: int, ids: pa.Array, lowered: list[bytes], mean_length: float, wanted: set | None, batch: int = 4096):
-    """Rows of the index for one shard. The row without a term holds its documents' ids."""
+def _shard_rows(number: int, kept: list[pa.Array], lowered: list[bytes], mean_length: float, wanted: set | None, batch: int = 4096):
+    """Rows of the index for one shard. The row without a term holds its documents' ids and what else is kept of them."""
     coded, offsets = (x := words(lowered))[0].dictionary_encode(), x[1]
     names, lengths = coded.dictionary, np.diff(offsets)
     size = max(1, len(names))
@@ -78,9 +78,8 @@ def _shard_rows(number: int, ids: pa.Array, lowered: list[bytes], mean_length: f
     term, doc = cells // len(lowered), (cells % len(lowered)).astype(np.int32)
     impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
     edges = np.searchsorted(term, np.arange(size + 1))
-    columns = [[number], [None], [len(lowered)], [None], [None], [None]]
-    yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))] + [pa.array([ids.to_pylist()], pa.list_(ids.type))],
-                          ["shard", "term", "n", "most", "docs", "impacts", "ids"])
+    kinds = [k.type for k in kept]
+    yield _batch([(number, None, len(lowered), None, None, None, *(k.to_pylist() for k in kept))], kinds)
     rows = []
     for k, name in enumerate(names.to_pylist()):
         if wanted is not None and name not in wanted:
@@ -91,55 +90,65 @@ def _shard_rows(number: int, ids: pa.Array, lowered: list[bytes], mean_length: f
         for i, j in zip(cuts[:-1], cuts[1:]):
             most.append(impact[order[i]])
             order[i:j] = np.sort(order[i:j])
-        rows.append((number, name, int(b - a), np.array(most).tobytes(), doc[order].tobytes(), impact[order].tobytes(), None))
+        rows.append((number, name, int(b - a), np.array(most).tobytes(), doc[order].tobytes(), impact[order].tobytes(), *[None] * len(kept)))
         if len(rows) == batch:
-            yield _batch(rows, ids.type)
+            yield _batch(rows, kinds)
             rows = []
     if rows:
-        yield _batch(rows, ids.type)
+        yield _batch(rows, kinds)
 
 
-def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    types = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(kind))
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["shard", "term", "n", "most", "docs", "impacts", "ids"])
+def _batch(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), *map(pa.list_, kinds))
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["shard", "term", "n", "most", "docs", "impacts", *(f"own{i}" for i in range(len(kinds)))])
 
 
 class TextIndex:
-    """An index of docs (id_col, text_col), stored in the shared folder. wanted: only these terms (a set), else all."""
+    """An index of docs (id_col, text_col), stored in the shared folder. wanted: only these terms (a set), else all. keep:
+    columns that searches can filter by."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: set | None = None):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: set | None = None, keep: tuple[str, ...] = ()):
         spark = docs.sparkSession
         lowered = F.lower(F.col(text_col))
         sizes = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.regexp_count(lowered, F.lit(WORDS)), F.lit(0))).alias("mean")).first()
         self.n_docs, mean = sizes["n"], sizes["mean"] or 1.0
         self.doc_type = docs.schema[id_col].dataType.simpleString()
-        self.narrow = wanted is not None
+        self.narrow, self.keep = wanted is not None, keep
         held = spark.sparkContext.broadcast(wanted)
 
         def run(tables):
             number = TaskContext.get().partitionId() << 32
-            ids, texts, size = [], [], 0
+            own, texts, size = [], [], 0
+
+            def shard():
+                columns = [pa.concat_arrays([o[c] for o in own]) for c in range(len(own[0]))]
+                return _shard_rows(number, columns, texts, mean, held.value)
+
             for t in tables:
-                for i, text in zip(t.column(0), t.column(1)):
+                first = 0
+                for i, text in enumerate(t.column(0)):
                     raw = (text.as_py() or "").encode()
                     if texts and (len(texts) >= SHARD_DOCS or size + len(raw) > SHARD_BYTES):
-                        yield from _shard_rows(number, pa.array(ids, t.column(0).type), texts, mean, held.value)
-                        number, ids, texts, size = number + 1, [], [], 0
-                    ids.append(i.as_py())
+                        own.append([c.slice(first, i - first) for c in t.columns[1:]])
+                        yield from shard()
+                        number, own, texts, size, first = number + 1, [], [], 0, i
                     texts.append(raw)
                     size += len(raw)
+                own.append([c.slice(first) for c in t.columns[1:]])
             if texts:
-                yield from _shard_rows(number, pa.array(ids, t.column(0).type), texts, mean, held.value)
-            ids, texts, t = [], [], None
+                yield from shard()
+            own, texts, t = [], [], None
             shared.give_back()
 
-        made = docs.select(F.col(id_col), lowered).mapInArrow(run, f"{_INDEX}, ids array<{self.doc_type}>")
+        columns = [id_col, *keep]
+        kinds = [docs.schema[c].dataType.simpleString() for c in columns]
+        made = docs.select(lowered, *columns).mapInArrow(run, _INDEX + "".join(f", own{i} array<{k}>" for i, k in enumerate(kinds)))
         self.rows = shared.stored(made, "text-index")
 
     def _passes(self, terms: DataFrame) -> int:
         return max(1, -(-terms.count() // HELD_TERMS))
 
-    def _found(self, queries: DataFrame, k: int) -> DataFrame:
+    def _found(self, queries: DataFrame, k: int, match: tuple = (), within: tuple | None = None) -> DataFrame:
         """query_id, doc_id, score: a task's best; and for each query and task how many postings there were and were read."""
         kind = queries.schema["query_id"].dataType.simpleString()
         terms = shared.stored(query_terms(queries), "query-terms")
@@ -152,7 +161,9 @@ class TextIndex:
             df = rows.groupBy("term").agg(F.sum("n").alias("df"))
             idf = F.log(1 + (F.lit(self.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
             weighted = part.join(df, "term").select("query_id", "term", idf.alias("idf")).toArrow()  # HELD_TERMS rows or so
-            held = queries.sparkSession.sparkContext.broadcast((_by_query(weighted), weighted.schema.field("query_id").type))
+            limits = queries.select("query_id", *match, *(within[1:] if within else ())).join(part.select("query_id").distinct(), "query_id", "left_semi").toArrow() if match or within else None
+            filters = _Filters([self.keep.index(c) + 1 for c in match], self.keep.index(within[0]) + 1 if within else None, limits)
+            held = queries.sparkSession.sparkContext.broadcast((_by_query(weighted), weighted.schema.field("query_id").type, filters))
             shards = rows.unionByName(self.rows.filter("term is null")).repartition("shard").sortWithinPartitions("shard")
 
             def run(tables, held=held):
@@ -163,10 +174,12 @@ class TextIndex:
             out = found if out is None else out.unionByName(found)
         return out
 
-    def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 20, match: tuple[str, ...] = (), within: tuple[str, str, str] | None = None) -> DataFrame:
         """query_id, doc_id, score, rank: the k best documents of each query (query_id, text), by score (six decimals)
-        and then id. Queries without a known term have none."""
-        found = self._found(queries, k).filter("doc_id is not null").select("query_id", "doc_id", "score")
+        and then id. Queries without a known term have none. match: kept columns in which a document must equal its query
+        (null asks for nothing); within: a kept column, and the queries' columns that bound it, both included (null is no
+        bound). Filters come before scores; idf and lengths are those of all documents. Filtered queries have distinct ids."""
+        found = self._found(queries, k, match, within).filter("doc_id is not null").select("query_id", "doc_id", "score")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -204,7 +217,39 @@ class _Postings:
         return w, there
 
 
-def _in_shard(terms: list, shard: dict, n: int, least: float, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+class _Filters:
+    """Which documents of a shard a query may find. Columns by their number in the shard's own row; limits: a row a query."""
+
+    def __init__(self, match: list[int], within: int | None, limits: pa.Table | None):
+        self.match, self.within = match, within
+        self.limits = {row[0]: row[1:] for row in zip(*(c.to_pylist() for c in limits.columns))} if limits is not None else {}
+        self.masks: dict = {}
+
+    def shard(self, own: list[list]) -> None:
+        self.own, self.masks = own, {}
+
+    def allowed(self, query) -> np.ndarray | None:
+        """None: all of them."""
+        asked = self.limits.get(query)
+        if asked is None:
+            return None
+        out = None
+        for column, value in zip(self.match, asked):
+            if value is not None:
+                key = (column, value)
+                if key not in self.masks:
+                    self.masks[key] = np.array([x == value for x in self.own[column]], dtype=bool)
+                out = self.masks[key] if out is None else out & self.masks[key]
+        if self.within is not None and (asked[-2] is not None or asked[-1] is not None):
+            key = (None, asked[-2], asked[-1])
+            if key not in self.masks:
+                low, high = asked[-2:]
+                self.masks[key] = np.array([x is not None and (low is None or x >= low) and (high is None or x <= high) for x in self.own[self.within]], dtype=bool)
+            out = self.masks[key] if out is None else out & self.masks[key]
+        return out
+
+
+def _in_shard(terms: list, shard: dict, n: int, least: float, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Documents that may be among the k best and reach the least score, their scores, postings of all terms, and how many
     were read."""
     held = sorted(((idf * p.most[0], idf, p, term) for term, idf in terms if (p := shard.get(term)) is not None), key=lambda x: (-x[0], x[3]))
@@ -223,7 +268,7 @@ def _in_shard(terms: list, shard: dict, n: int, least: float, k: int) -> tuple[n
             bound[docs] += idf * p.impacts[: p.cuts[t]] - u
             met[docs] = True
             read += len(docs)
-    alive = np.flatnonzero(met & (bound >= least))
+    alive = np.flatnonzero(met & (bound >= least) if allowed is None else met & allowed & (bound >= least))
     bound = bound[alive]
     for i in sorted((i for i, u in enumerate(unread) if u > 0), key=lambda i: -unread[i]):
         if not len(alive):
@@ -244,17 +289,21 @@ def _in_shard(terms: list, shard: dict, n: int, least: float, k: int) -> tuple[n
     return alive, score, postings, read
 
 
-def _search(tables, queries: list[tuple], query_type: pa.DataType, k: int):
+def _search(tables, queries: list[tuple], query_type: pa.DataType, filters: _Filters, k: int):
     best = [[] for _ in queries]  # heaps of (score, order of the id turned round, id), the worst first
     counts = np.zeros((len(queries), 2), dtype=np.int64)
-    number, ids, shard = None, None, {}
+    number, own, shard = None, None, {}
     doc_type = None
 
     def finish():
-        for i, (_, terms) in enumerate(queries):
-            heap = best[i]
+        ids = own[0]
+        filters.shard(own)
+        for i, (query, terms) in enumerate(queries):
+            allowed, heap = filters.allowed(query), best[i]
+            if allowed is not None and not allowed.any():
+                continue
             least = heap[0].score - SLACK if len(heap) == k else -np.inf
-            docs, scores, postings, read = _in_shard(terms, shard, len(ids), least, k)
+            docs, scores, postings, read = _in_shard(terms, shard, len(ids), least, k, allowed)
             counts[i] += postings, read
             scores = np.round(scores, DIGITS)
             if len(docs) > k:
@@ -268,15 +317,15 @@ def _search(tables, queries: list[tuple], query_type: pa.DataType, k: int):
                     heapq.heapreplace(heap, item)
 
     for t in tables:
-        doc_type = t.schema.field("ids").type.value_type
-        columns = (t.column(c) for c in ("shard", "term", "most", "docs", "impacts", "ids"))
-        for s, term, most, docs, impacts, own in zip(*columns):
+        doc_type = t.schema.field("own0").type.value_type
+        columns = (t.column(c) for c in ("shard", "term", "most", "docs", "impacts", *sorted((c for c in t.schema.names if c.startswith("own")), key=lambda c: int(c[3:]))))
+        for s, term, most, docs, impacts, *rest in zip(*columns):
             if (s := s.as_py()) != number:
                 if number is not None:
                     finish()
-                number, ids, shard = s, None, {}
+                number, own, shard = s, None, {}
             if term.as_py() is None:
-                ids = own.as_py()
+                own = [x.as_py() for x in rest]
             else:
                 shard[term.as_py()] = _Postings(most.as_py(), docs.as_py(), impacts.as_py())
     if number is None:

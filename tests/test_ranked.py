@@ -121,3 +121,23 @@ def test_hybrid_against_brute_force(spark):
             parts[q, i].append(1 / (60 + rank))
     got = {(r.query_id, r.doc_id): (r.score, r.n_lists) for r in catalogue.QUERIES["rrf_hybrid"](spark, sf).collect()}
     assert set(got) == set(parts) and all(got[x][1] == len(p) and got[x][0] == pytest.approx(sum(p), abs=2e-9) for x, p in parts.items())
+
+
+def test_filters_before_scores(spark, docs, queries, monkeypatch):
+    """Equal columns and ranges, null in documents and in queries, over several shards."""
+    monkeypatch.setattr(ranked, "SHARD_DOCS", 200)
+    rng = random.Random(12)
+    kept = {i: (rng.choice(["A", "B", None]), rng.choice([None, 1, 2, 3, 4, 5]), rng.choice([True, False])) for i, _ in docs}
+    asked = {q: (rng.choice(["A", "B", "C", None]), rng.choice([None, True]), rng.choice([None, 2, 3]), rng.choice([None, 3, 4, 1])) for q, _ in queries}
+    d = spark.createDataFrame([(i, t, *kept[i]) for i, t in docs], "doc_id long, text string, ticker string, day int, fresh boolean").repartition(3)
+    q = spark.createDataFrame([(i, t, *asked[i]) for i, t in queries], "query_id long, text string, ticker string, fresh boolean, since int, till int")
+    whole = collections.defaultdict(list)
+    for a, i, s, _ in brute(docs, queries, len(docs)):
+        ticker, fresh, since, till = asked[a]
+        day = kept[i][1]
+        inside = (since is None and till is None) or (day is not None and (since is None or day >= since) and (till is None or day <= till))
+        if inside and ticker in (None, kept[i][0]) and fresh in (None, kept[i][2]):
+            whole[a].append((-s, i))
+    want = {(a, i, -s, n + 1) for a, rows in whole.items() for n, (s, i) in enumerate(sorted(rows)[:6])}
+    found = ranked.TextIndex(d, keep=("day", "ticker", "fresh")).search(q, 6, match=("ticker", "fresh"), within=("day", "since", "till"))
+    assert {(r.query_id, r.doc_id, r.score, r["rank"]) for r in found.collect()} == want and want
