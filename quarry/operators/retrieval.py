@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators.search import dot
+from quarry.operators.ranked import TextIndex
+from quarry.operators.search import dot, fuse
+from quarry.operators.vector_index import VectorIndex
 from quarry.sources.tables import LAYERS
 
 RRF_K, TOP, RERANKED, LEAST, MEAN = 60, 12, 5, 5, 0.02
@@ -86,3 +88,20 @@ def bookkeeping(hits: DataFrame, cases: DataFrame, layer: str, top: int = TOP) -
     rows = cases.select("case_id").join(counts, "case_id", "left").na.fill({"n": 0, "mean": 0.0})
     enough = (F.col("n") >= LEAST) & (F.col("mean") >= MEAN)
     return rows.select("case_id", F.lit(layer).alias("layer"), "n", (F.col("n") < top).alias("shortfall"), "mean", F.when(enough, "sufficiency_reached").alias("stop_reason"))
+
+
+def prefiltered(cases: DataFrame, texts: TextIndex, vectors: VectorIndex, match: tuple[str, ...], within: tuple[str, str, str], top: int = TOP) -> DataFrame:
+    """query_id, doc_id, rank, score: the first top of each case by reciprocal rank fusion of the exact best top vectors and texts that
+    its filters let through. cases: query_id (distinct), text, query (a vector) and the columns of the filters. Only ids and
+    scores are carried; bodies are joined to what is left. Ties go to what was seen first: vectors, then texts, by rank."""
+    lists = [index.search(cases, top, match=match, within=within, **more) for index, more in ((vectors, {"exact": True}), (texts, {}))]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_list", "first_rank", "doc_id")
+    return fuse(lists, RRF_K).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "doc_id", "rank", "score")
+
+
+def kept_places(hits: DataFrame, cases: DataFrame, bodies: DataFrame, scorer: Callable[[Column, Column], Column], top: int = RERANKED) -> DataFrame:
+    """The first top of each case's hits (query_id, doc_id, rank, score) by a scorer of its text and the body: place and rerank are
+    added, ties stay as they were. bodies: doc_id, body; a hit without one scores 0."""
+    rows = hits.join(bodies, "doc_id", "left").join(cases.select("query_id", "text"), "query_id").withColumn("rerank", F.coalesce(F.round(scorer(F.col("text"), F.col("body")), 6), F.lit(0.0)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("rerank"), "rank")
+    return rows.drop("text", "body").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)

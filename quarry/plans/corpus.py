@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import html, text
-from quarry.operators import duplicates, evidence, ranked, search
+from quarry.operators import duplicates, evidence, ranked, retrieval, search
 from quarry.operators.vector_index import VectorIndex
 from quarry.plans.market import ARTICLES, ASSETS, NEWS, r6
 from quarry.sources import tables as t
@@ -63,6 +63,22 @@ def _recall(s, d):
     return both.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("n_found"))
 
 
+def _search_cases(s, d):
+    """Benchmark items as cases: a ticker (not for each fourth), two weeks around a day, and the vector of their number."""
+    k = F.col("item_id")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int"))
+    rows = t.table(s, d, "benchmark").select(k.alias("query_id"), "text", F.when(k % 4 != 0, F.concat(F.lit("src"), k % 20)).alias("ticker"), F.date_sub(day, 7).alias("since"), F.date_add(day, 7).alias("till"))
+    return rows.join(t.table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
+
+
+def _prefiltered_hybrid(s, d):
+    a = t.assets(s, d).select(F.col("asset_id").alias("doc_id"), "ticker", "reference_date", F.col("body").alias("text"))
+    cases, keep = _search_cases(s, d), ("ticker", "reference_date")
+    vectors = VectorIndex(_vectors(s, d).join(a.drop("text"), "doc_id"), keep=keep)
+    hits = retrieval.prefiltered(cases, ranked.TextIndex(a, keep=keep), vectors, ("ticker",), ("reference_date", "since", "till"))
+    return retrieval.kept_places(hits, cases, a.select("doc_id", F.col("text").alias("body")), text.overlap)
+
+
 def _articles(s, d):
     pages = t.table(s, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
     n = pages.agg(F.count(F.lit(1)).alias("n"))
@@ -106,6 +122,7 @@ QUERIES = {
     "vector_prefiltered": lambda s, d: _prefiltered(s, d),
     "vector_recall": lambda s, d: _recall(s, d),
     "rrf_hybrid": lambda s, d: _hybrid(s, d),
+    "hybrid_prefiltered": _prefiltered_hybrid,
     "sufficiency": lambda s, d: search.sufficient(_hybrid(s, d)),
     "rerank_overlap": lambda s, d: ranked.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d), 10).join(t.table(s, d, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").join(_queries(s, d), "query_id").select(
         "query_id", "doc_id", F.round(text.overlap(F.col("text"), F.col("body")), 6).alias("overlap")),
@@ -180,6 +197,20 @@ ORACLE_SQL = {
     "vector_prefiltered": """WITH e AS (SELECT *, DATE '2024-01-01' + CAST(vec_id % 30 AS INTEGER) AS day, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
         r AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_dot_product(q.v, e.v), 6) AS score FROM e q JOIN e ON q.label = e.label AND (q.vec_id % 60 = 0 OR abs(e.day - q.day) <= 3) WHERE q.vec_id % 20 = 0)
         SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 5""",
+    "hybrid_prefiltered": f"""WITH {ASSETS}, d AS (SELECT asset_id AS doc_id, ticker, reference_date, body, regexp_extract_all(lower(body), '[a-z0-9]+') AS toks FROM assets), s AS (SELECT count(*) AS n, avg(coalesce(len(toks), 0)) AS avgdl FROM d),
+        c AS (SELECT item_id AS query_id, b.text, CASE WHEN item_id % 4 <> 0 THEN 'src' || item_id % 20 END AS tk, DATE '2024-01-01' + CAST(item_id % 30 AS INTEGER) AS day, CAST(embedding AS DOUBLE[]) AS v FROM benchmark b JOIN embeddings ON vec_id = item_id),
+        q AS (SELECT DISTINCT query_id, unnest({TOKS}) AS term FROM c),
+        p AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d), tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+        ok AS (SELECT c.query_id, d.doc_id FROM c JOIN d ON (c.tk IS NULL OR c.tk = d.ticker) AND abs(d.reference_date - c.day) <= 7),
+        r AS (SELECT q.query_id, tf.doc_id, round(sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN ok ON ok.query_id = q.query_id AND ok.doc_id = tf.doc_id, s GROUP BY 1, 2),
+        f AS (SELECT query_id, doc_id, 1 AS list, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM r QUALIFY k <= 12
+            UNION ALL SELECT ok.query_id, ok.doc_id, 0, row_number() OVER (PARTITION BY ok.query_id ORDER BY round(list_dot_product(c.v, CAST(e.embedding AS DOUBLE[])), 6) DESC, ok.doc_id) AS k FROM ok JOIN embeddings e ON e.vec_id = ok.doc_id JOIN c ON c.query_id = ok.query_id QUALIFY k <= 12),
+        fu AS (SELECT query_id, doc_id, round(sum(1 / (60 + k)), 9) AS score, min(list * 1000 + k) AS seen FROM f GROUP BY 1, 2),
+        h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, doc_id) AS rank FROM fu QUALIFY rank <= 12),
+        o AS (SELECT h.query_id, h.doc_id, h.score, h.rank, c.text, d.body FROM h JOIN c USING (query_id) JOIN d USING (doc_id)),
+        w AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN\\pM_]+')) AS a, list_distinct(regexp_extract_all(lower(body), '[\\pL\\pN\\pM_]+')) AS b FROM o)
+        SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank, round(len(list_intersect(a, coalesce(b, []))) / greatest(1, len(a)), 6) AS rerank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(len(list_intersect(a, coalesce(b, []))) / greatest(1, len(a)), 6) DESC, rank) AS INTEGER) AS place
+        FROM w QUALIFY place <= 5""",
     "semantic_dedup_cosine": """SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
         WHERE round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) > 0.92""",
 }
