@@ -73,7 +73,9 @@ def final_status(decision: Column, failure: Column) -> Column:
 
 
 def node_rollup(events: DataFrame) -> DataFrame:
-    return events.groupBy("node").agg(F.count(F.lit(1)).alias("calls"), *(F.sum(c).alias(c) for c in ("latency_ms", "input_tokens", "output_tokens")))
+    """Per node: calls, sums of latency, tokens and cost, the longest first."""
+    sums = [F.sum(c).alias(c) for c in ("latency_ms", "input_tokens", "output_tokens")]
+    return events.groupBy("node").agg(F.count(F.lit(1)).alias("calls"), *sums, F.round(F.sum("cost"), 6).alias("cost")).orderBy(F.desc("latency_ms"), "node")
 
 
 def costed(events: DataFrame) -> DataFrame:

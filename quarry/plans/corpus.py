@@ -98,6 +98,7 @@ _MESSAGES = ("HTTP 429", "Rate limit hit", "Read timeout", "HTTP 503", "502 bad
 
 QUERIES = {
     "dedup_hard_fingerprint": lambda s, d: t.news(s, d).select("asset_id", text.fingerprint(F.col("title"), F.col("published")).alias("fp")),
+    "dedup_first_fingerprint": lambda s, d: evidence.first_seen(t.news(s, d).select("asset_id", F.when(F.col("asset_id") % 37 != 0, text.fingerprint(F.col("title"), F.col("published"))).alias("fp")), "fp", ["asset_id"]),
     "dedup_first_seen": lambda s, d: evidence.first_seen(t.news(s, d).select("asset_id", text.normalized_title(F.col("title")).alias("t")), "t", ["asset_id"]),
     "dedup_stats": lambda s, d: evidence.hard_duplicates(t.news(s, d)).agg(F.sum("n").alias("articles"), F.count(F.lit(1)).alias("distinct_articles")),
     "canonical_url": lambda s, d: _tracked(s, d).select("page_id", text.canonical_url(F.col("url")).alias("url")),
@@ -113,6 +114,8 @@ QUERIES = {
     "provider_audit": lambda s, d: t.table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.median("n_chars").alias("median_chars"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.count_if(F.col("n_chars") < 200).alias("n_short")),
     "chunks_l1_l2": lambda s, d: evidence.chunks(t.assets(s, d)).select("chunk_id", "level", "nth", F.length("content").alias("chars")),
     "chunk_layer_counts": lambda s, d: evidence.chunks(t.assets(s, d)).groupBy("level").agg(F.count(F.lit(1)).alias("n")),
+    "chunk_source_counts": lambda s, d: evidence.chunks(t.assets(s, d)).join(t.assets(s, d).select("asset_id", "source_type"), "asset_id").groupBy("source_type").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("level") == "l1").alias("l1"), F.count_if(F.col("level") == "l2").alias("l2")).orderBy(F.desc("total"), "source_type"),
     "html_clean": lambda s, d: html.clean_pages(t.table(s, d, "pages")),
     "md_table_render": lambda s, d: t.table(s, d, "nation").select(text.markdown_row(F.col("n_name"), F.col("n_regionkey").cast("string")).alias("line")),
     "news_markdown": lambda s, d: t.news(s, d).filter("source_type = 'polygon_news'").select("asset_id", F.length(F.concat(F.lit("## "), F.col("ticker"), F.lit(": "), F.col("title"), F.lit("\n\n"), F.col("body"))).alias("chars")),
@@ -149,6 +152,7 @@ def _semantic(s, d):
 
 ORACLE_SQL = {
     "dedup_hard_fingerprint": f"WITH {NEWS} SELECT asset_id, {FP} AS fp FROM news",
+    "dedup_first_fingerprint": f"WITH {NEWS}, n AS (SELECT asset_id, CASE WHEN asset_id % 37 <> 0 THEN {FP} END AS fp FROM news) SELECT asset_id, fp FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY asset_id) AS k FROM n) WHERE k = 1 OR fp IS NULL",
     "dedup_first_seen": f"WITH {ASSETS}, n AS (SELECT asset_id, {NORM} AS t FROM assets) SELECT asset_id, t FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY asset_id) AS k FROM n) WHERE k = 1 OR t IS NULL",
     "dedup_stats": f"WITH {NEWS} SELECT count(*) AS articles, count(DISTINCT {FP}) AS distinct_articles FROM news",
     "canonical_url": r"""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages), parts AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?]*)', 1)) AS host,
@@ -218,3 +222,5 @@ ORACLE_SQL["semantic_dedup_day"] = """WITH e AS (SELECT vec_id AS asset_id, vec_
     n AS (SELECT a.asset_id, count(*) AS c FROM e a JOIN e b ON a.ticker = b.ticker AND a.day = b.day AND b.asset_id < a.asset_id WHERE round(list_dot_product(a.v, b.v), 6) > 0.3 GROUP BY 1)
     SELECT e.asset_id, n.c IS NULL AS kept, coalesce(n.c, 0) AS n_before FROM e LEFT JOIN n USING (asset_id)"""
 ORACLE_SQL["chunk_layer_counts"] = f"SELECT level, count(*) AS n FROM ({ORACLE_SQL['chunks_l1_l2']}) GROUP BY 1"
+ORACLE_SQL["chunk_source_counts"] = f"""SELECT ['polygon_news', 'fmp_fundamentals', 'fred_macro', 'gdelt_news'][CAST(split_part(chunk_id, '::', 1) AS BIGINT) // 20 % 4 + 1] AS source_type, count(*) AS total,
+    count(*) FILTER (level = 'l1') AS l1, count(*) FILTER (level = 'l2') AS l2 FROM ({ORACLE_SQL['chunks_l1_l2']}) GROUP BY 1"""

@@ -9,7 +9,7 @@ from quarry.operators import decision, evaluation, grounding
 from quarry.sources import tables as t
 
 GRADED = """graded AS (SELECT doc_id // 3 AS case_id, CAST(doc_id * 31 % 100 AS DOUBLE) / 100 * CASE WHEN doc_id % 5 < 2 THEN CAST(0.3 AS DOUBLE) ELSE 1 END AS relevance, doc_id % 4 <> 0 AS temporal_match FROM documents),
-    pen AS (SELECT case_id, temporal_match, greatest(0.0, CASE WHEN NOT temporal_match THEN relevance * CAST(0.9 AS DOUBLE) ELSE relevance END) AS r FROM graded),
+    pen AS (SELECT case_id, temporal_match, relevance, greatest(0.0, CASE WHEN NOT temporal_match THEN relevance * CAST(0.9 AS DOUBLE) ELSE relevance END) AS r FROM graded),
     agg AS (SELECT case_id, count(*) FILTER (r > 0.25) AS n, avg(r) FILTER (r > 0.25) AS mean, bool_or(r >= 0.8 AND temporal_match) AS sure FROM pen GROUP BY 1),
     cov AS (SELECT *, round(CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, mean * least(1.0, n / 1)) END, 6) AS coverage FROM agg),
     dec AS (SELECT case_id, n, coverage, CASE WHEN n = 1 AND sure THEN 'sufficient' WHEN n >= 1 AND coverage >= 0.3 THEN 'sufficient' WHEN n = 0 THEN 'insufficient' ELSE 'partial' END AS decision FROM cov),
@@ -77,11 +77,11 @@ def _calls(s, d):
 
 
 QUERIES = {
-    "relevance_filter": lambda s, d: _graded(s, d).withColumn("r", F.round(decision.penalised(F.col("relevance"), F.col("temporal_match")), 6)).filter("r > 0.25").select("case_id", "r"),
+    "relevance_filter": lambda s, d: _graded(s, d).withColumn("r", F.round(decision.penalised(F.col("relevance"), F.col("temporal_match")), 6)).filter("r > 0.25").select("case_id", "r", F.round("relevance", 6).alias("original")),
     "critic_decision": lambda s, d: decision.critic(_graded(s, d)),
     "router_edges": lambda s, d: decision.route(_guards(s, d)).select("case_id", "edge", "edge_reason"),
     "final_status": lambda s, d: decision.critic(_graded(s, d)).select("case_id", decision.final_status(F.col("decision"), F.when(F.col("case_id") % 11 == 0, "timeout").when(F.col("case_id") % 13 == 0, "schema_invalid")).alias("status")),
-    "trace_node_rollup": lambda s, d: decision.node_rollup(t.trace_events(s, d)),
+    "trace_node_rollup": lambda s, d: decision.node_rollup(decision.costed(t.trace_events(s, d))),
     "run_summary": lambda s, d: t.trace_events(s, d).groupBy("run_id").agg(F.sum("latency_ms").alias("latency_ms"), F.count(F.lit(1)).alias("n_events")),
     "last_event": lambda s, d: decision.last_events(t.trace_events(s, d)),
     "rolling_health": lambda s, d: decision.rolling_health(_calls(s, d)).select("run_id", "event_seq", "node", "seen", F.round("ok_rate", 6).alias("ok_rate"), "incident"),
@@ -107,11 +107,11 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "relevance_filter": f"WITH {GRADED} SELECT case_id, round(r, 6) AS r FROM pen WHERE round(r, 6) > 0.25",
+    "relevance_filter": f"WITH {GRADED} SELECT case_id, round(r, 6) AS r, round(relevance, 6) AS original FROM pen WHERE round(r, 6) > 0.25",
     "critic_decision": f"WITH {GRADED} SELECT * FROM critic",
     "router_edges": f"WITH {STATE} SELECT case_id, {_EDGE} AS edge, edge_reason FROM routed",
     "final_status": f"WITH {GRADED} SELECT case_id, CASE WHEN case_id % 11 = 0 THEN 'SYSTEM_ERROR' WHEN case_id % 13 = 0 THEN 'PARTIAL' WHEN decision = 'sufficient' THEN 'SUFFICIENT' WHEN decision = 'partial' THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS status FROM critic",
-    "trace_node_rollup": f"WITH {TRACE} SELECT node, count(*) AS calls, CAST(sum(latency_ms) AS BIGINT) AS latency_ms, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM trace GROUP BY 1",
+    "trace_node_rollup": f"WITH {COST} SELECT node, count(*) AS calls, CAST(sum(latency_ms) AS BIGINT) AS latency_ms, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost), 6) AS cost FROM costs GROUP BY 1",
     "run_summary": f"WITH {TRACE} SELECT run_id, CAST(sum(latency_ms) AS BIGINT) AS latency_ms, count(*) AS n_events FROM trace GROUP BY 1",
     "last_event": f"WITH {TRACE} SELECT run_id, event_seq, node, latency_ms, n_events FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_seq DESC) AS k, count(*) OVER (PARTITION BY run_id) AS n_events FROM trace) WHERE k = 1",
     "rolling_health": f"""WITH {TRACE}, w AS (SELECT run_id, event_seq, node, latency_ms, count(*) OVER f AS seen, avg(CASE WHEN latency_ms < 3000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER f AS ok FROM trace WINDOW f AS (PARTITION BY node ORDER BY run_id, event_seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))

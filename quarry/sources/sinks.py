@@ -104,3 +104,18 @@ def folder_digest(files: DataFrame) -> DataFrame:
         yield pa.record_batch([pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], ["sha256", "n_files"])
 
     return files.select("name", "sha256").repartition(1).sortWithinPartitions("name").mapInArrow(run, "sha256 string, n_files long")
+
+
+def provenance(tables: dict[str, tuple[DataFrame, DataFrame, list[str], str | None]]) -> DataFrame:
+    """A row for each table of a copy: rows of the source and the target, distinct keys that the target lacks and has beyond the
+    source, whether it lacks none, and the first and last date of the target (null without a date column). Each
+    table: source, target, keys, date column. Keys of the two sides meet in one aggregate; null keys are keys."""
+    out = None
+    for name, (source, target, keys, day) in tables.items():
+        date = F.col(day).cast("date") if day else F.lit(None).cast("date")
+        sides = source.select(*keys, F.lit(1).alias("s"), F.lit(0).alias("t"), F.lit(None).cast("date").alias("day")).unionByName(target.select(*keys, F.lit(0).alias("s"), F.lit(1).alias("t"), date.alias("day")))
+        met = sides.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.min("day").alias("first"), F.max("day").alias("last"))
+        row = met.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("n_source"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_target"), F.count_if(F.col("t") == 0).alias("missing"), F.count_if(F.col("s") == 0).alias("extra"), F.min("first").alias("first"), F.max("last").alias("last"))
+        row = row.select(F.lit(name).alias("name"), "n_source", "n_target", "missing", "extra", (F.col("missing") == 0).alias("superset"), "first", "last")
+        out = row if out is None else out.unionByName(row)
+    return out
