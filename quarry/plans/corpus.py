@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import html, text
-from quarry.operators import duplicates, evidence, ranked, retrieval, search
+from quarry.operators import duplicates, evidence, ranked, retrieval, search, sentences
 from quarry.operators.vector_index import VectorIndex
 from quarry.plans.market import ARTICLES, ASSETS, NEWS, r6
 from quarry.sources import tables as t
@@ -79,6 +79,19 @@ def _prefiltered_hybrid(s, d):
     return retrieval.kept_places(hits, cases, a.select("doc_id", F.col("text").alias("body")), text.overlap)
 
 
+def _abbreviated(s, d):
+    """Documents in which a word that is always shortened stands before common words."""
+    return t.table(s, d, "documents").select("doc_id", F.regexp_replace("text", " (the|der|la|le) ", " apr. $1 ").alias("text"))
+
+
+def _split(s, d):
+    """How many sentences a text has with what was learned from all of them, and a digest of them."""
+    rows = _abbreviated(s, d)
+    said = sentences.split(rows, sentences.abbreviations(sentences.word_counts(rows)))
+    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "sentence"))), lambda x: x["sentence"]), "|")
+    return said.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(line, 256).alias("sha256"))
+
+
 def _articles(s, d):
     pages = t.table(s, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
     n = pages.agg(F.count(F.lit(1)).alias("n"))
@@ -116,6 +129,8 @@ QUERIES = {
     "chunk_layer_counts": lambda s, d: evidence.chunks(t.assets(s, d)).groupBy("level").agg(F.count(F.lit(1)).alias("n")),
     "chunk_source_counts": lambda s, d: evidence.chunks(t.assets(s, d)).join(t.assets(s, d).select("asset_id", "source_type"), "asset_id").groupBy("source_type").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("level") == "l1").alias("l1"), F.count_if(F.col("level") == "l2").alias("l2")).orderBy(F.desc("total"), "source_type"),
+    "abbreviations": lambda s, d: sentences.abbreviations(sentences.word_counts(_abbreviated(s, d))).select("word", F.round("score", 6).alias("score")),
+    "learned_sentences": _split,
     "html_clean": lambda s, d: html.clean_pages(t.table(s, d, "pages")),
     "md_table_render": lambda s, d: t.table(s, d, "nation").select(text.markdown_row(F.col("n_name"), F.col("n_regionkey").cast("string")).alias("line")),
     "news_markdown": lambda s, d: t.news(s, d).filter("source_type = 'polygon_news'").select("asset_id", F.length(F.concat(F.lit("## "), F.col("ticker"), F.lit(": "), F.col("title"), F.lit("\n\n"), F.col("body"))).alias("chars")),
@@ -224,3 +239,17 @@ ORACLE_SQL["semantic_dedup_day"] = """WITH e AS (SELECT vec_id AS asset_id, vec_
 ORACLE_SQL["chunk_layer_counts"] = f"SELECT level, count(*) AS n FROM ({ORACLE_SQL['chunks_l1_l2']}) GROUP BY 1"
 ORACLE_SQL["chunk_source_counts"] = f"""SELECT ['polygon_news', 'fmp_fundamentals', 'fred_macro', 'gdelt_news'][CAST(split_part(chunk_id, '::', 1) AS BIGINT) // 20 % 4 + 1] AS source_type, count(*) AS total,
     count(*) FILTER (level = 'l1') AS l1, count(*) FILTER (level = 'l2') AS l2 FROM ({ORACLE_SQL['chunks_l1_l2']}) GROUP BY 1"""
+_LEARNED = r"""ab AS (SELECT doc_id, regexp_replace(text, ' (the|der|la|le) ', ' apr. \1 ', 'g') AS text FROM documents),
+    wd AS (SELECT unnest(regexp_extract_all(lower(text), '\pL[\pL.]*')) AS w FROM ab),
+    wc AS (SELECT regexp_replace(w, '[.]$', '') AS word, count(*) FILTER (w LIKE '%.') AS stopped, count(*) FILTER (w NOT LIKE '%.') AS plain FROM wd GROUP BY 1),
+    tot AS (SELECT sum(stopped + plain) AS n, sum(stopped) AS stops FROM wc),
+    sc AS (SELECT word, stopped, plain, length(word) - length(replace(word, '.', '')) AS dots, length(replace(word, '.', '')) AS letters, stops / n AS p FROM wc, tot WHERE stopped > 0 AND stops < n),
+    ln AS (SELECT word, round(-2 * (stopped * ln(p) + plain * ln(1 - p) - stopped * ln(0.99) - plain * ln(0.01)) * exp(-letters) * (dots + 1) * pow(letters, -plain), 9) AS score FROM sc),
+    le AS (SELECT * FROM ln WHERE score >= 0.3)"""
+ORACLE_SQL["abbreviations"] = f"WITH {_LEARNED} SELECT word, round(score, 6) AS score FROM le"
+ORACLE_SQL["learned_sentences"] = rf"""WITH {_LEARNED}, pc AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ps FROM ab),
+    x AS (SELECT doc_id, unnest(ps) AS piece, unnest(range(0, len(ps))) AS at_ FROM pc),
+    m AS (SELECT x.*, le.word IS NOT NULL AS goes_on FROM x LEFT JOIN le ON le.word = regexp_extract(lower(piece), '(\pL[\pL.]*)\.$', 1)),
+    b AS (SELECT *, coalesce(NOT lag(goes_on) OVER (PARTITION BY doc_id ORDER BY at_), true)::INT AS begins FROM m), g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY at_) AS nth FROM b),
+    st AS (SELECT doc_id, nth, string_agg(piece, ' ' ORDER BY at_) AS sentence FROM g GROUP BY 1, 2)
+    SELECT doc_id, count(*) AS n, sha256(string_agg(sentence, '|' ORDER BY nth)) AS sha256 FROM st GROUP BY 1"""
