@@ -171,7 +171,7 @@ QUERIES = {
     "retrieval_layers": _layered,
     "retrieval_sql_only": lambda s, d: _hits(s, d, "direct", "sql_only").select("case_id", "asset_id", "rank"),
     "retrieval_modes": lambda s, d: t.table(s, d, "events").groupBy(retrieval.resolved_mode(_pick(("sql_only", "rag_only", "rag_rerank"), F.col("event_id")), F.col("event_id") % 4 != 0).alias("mode")).agg(F.count(F.lit(1)).alias("n")),
-    "evidence_lookup": lambda s, d: retrieval.looked_up(_labelled(s, d).select(F.col("cause_id").alias("chunk_id"), "case_id"), t.assets(s, d).filter("not is_duplicate").select(F.col("asset_id").alias("chunk_id"), F.col("body").alias("content"))).select("chunk_id", "case_id", F.length("content").alias("chars")),
+    "evidence_lookup": lambda s, d: retrieval.looked_up(_labelled(s, d).select(F.col("cause_id").alias("chunk_id"), "case_id"), t.assets(s, d).filter("not is_duplicate").select(F.col("asset_id").alias("chunk_id"), F.col("body").alias("content"))).select("chunk_id", "case_id", F.sha2("content", 256).alias("sha256")),
     "unique_evidence": lambda s, d: _hits(s, d, "direct").select("case_id", "asset_id").unionByName(_hits(s, d, "macro").select("case_id", "asset_id")).groupBy("case_id").agg(F.countDistinct("asset_id").alias("n_unique")),
     "hashed_embedding": lambda s, d: retrieval.encode(t.table(s, d, "benchmark"), lambda c: retrieval.hashed_embedding(c, 64)).select("item_id", F.round(F.col("embedding")[0], 6).alias("x0"), F.round(F.col("embedding")[33], 6).alias("x33"), F.size("embedding").alias("dim")),
     "search_mock": lambda s, d: _labelled(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("nth"))).select("case_id", "cause_id", F.round(1 / (60 + F.col("rank")), 9).alias("score")),
@@ -259,7 +259,7 @@ ORACLE_SQL = {
     "hashed_embedding": """WITH h AS (SELECT item_id, sha256(text) AS x FROM benchmark), b AS (SELECT item_id, list_transform([0, 1], lambda i: (instr('0123456789abcdef', substr(x, CAST(2 * i + 1 AS INT), 1)) - 1) * 16 + instr('0123456789abcdef', substr(x, CAST(2 * i + 2 AS INT), 1)) - 1) AS v FROM h)
         SELECT item_id, round(v[1] / 255.0::DOUBLE - 0.5, 6) AS x0, round(v[2] / 255.0::DOUBLE - 0.5, 6) AS x33, 64 AS dim FROM b""",
     "retrieval_modes": "SELECT CASE WHEN event_id % 3 = 0 OR event_id % 4 = 0 THEN 'sql_only' WHEN event_id % 3 = 2 THEN 'rag_rerank' ELSE 'rag_only' END AS mode, count(*) AS n FROM events GROUP BY 1",
-    "evidence_lookup": f"WITH {LABELLED}, {ASSETS} SELECT cause_id AS chunk_id, case_id, length(coalesce(body, '[content not found]')) AS chars FROM lab LEFT JOIN assets ON asset_id = cause_id AND NOT is_duplicate",
+    "evidence_lookup": f"WITH {LABELLED}, {ASSETS} SELECT cause_id AS chunk_id, case_id, sha256(coalesce(body, '[content not found]')) AS sha256 FROM lab LEFT JOIN assets ON asset_id = cause_id AND NOT is_duplicate",
     "search_mock": f"WITH {LABELLED} SELECT case_id, cause_id, round(1 / (60 + row_number() OVER (PARTITION BY case_id ORDER BY cause_id)), 9) AS score FROM lab",
     "macro_expansion": f"""WITH {STATE}, ex AS (SELECT *, edge_reason = 'critic_expand_macro' AS again FROM routed)
         SELECT case_id, CASE WHEN again THEN 'macro' ELSE 'direct' END AS layer, expansions + again::INT AS expansions, again::INT AS n_reasons,

@@ -125,7 +125,7 @@ QUERIES = {
         "ticker", evidence.fallback_reason(F.col("n"), F.col("bad"), F.lit(0.05), F.col("good")).alias("reason")),
     "language_profile": lambda s, d: t.table(s, d, "documents").groupBy(text.language(F.col("text")).alias("detected"), "lang").agg(F.count(F.lit(1)).alias("n")),
     "provider_audit": lambda s, d: t.table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.median("n_chars").alias("median_chars"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.count_if(F.col("n_chars") < 200).alias("n_short")),
-    "chunks_l1_l2": lambda s, d: evidence.chunks(t.assets(s, d)).select("chunk_id", "level", "nth", F.length("content").alias("chars")),
+    "chunks_l1_l2": lambda s, d: evidence.chunks(t.assets(s, d)).select("chunk_id", "level", "nth", F.sha2("content", 256).alias("sha256")),
     "chunk_layer_counts": lambda s, d: evidence.chunks(t.assets(s, d)).groupBy("level").agg(F.count(F.lit(1)).alias("n")),
     "chunk_source_counts": lambda s, d: evidence.chunks(t.assets(s, d)).join(t.assets(s, d).select("asset_id", "source_type"), "asset_id").groupBy("source_type").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("level") == "l1").alias("l1"), F.count_if(F.col("level") == "l2").alias("l2")).orderBy(F.desc("total"), "source_type"),
@@ -133,7 +133,7 @@ QUERIES = {
     "learned_sentences": _split,
     "html_clean": lambda s, d: html.clean_pages(t.table(s, d, "pages")),
     "md_table_render": lambda s, d: t.table(s, d, "nation").select(text.markdown_row(F.col("n_name"), F.col("n_regionkey").cast("string")).alias("line")),
-    "news_markdown": lambda s, d: t.news(s, d).filter("source_type = 'polygon_news'").select("asset_id", F.length(F.concat(F.lit("## "), F.col("ticker"), F.lit(": "), F.col("title"), F.lit("\n\n"), F.col("body"))).alias("chars")),
+    "news_markdown": lambda s, d: t.news(s, d).filter("source_type = 'polygon_news'").select("asset_id", F.sha2(F.concat(F.lit("## "), F.col("ticker"), F.lit(": "), F.col("title"), F.lit("\n\n"), F.col("body")), 256).alias("sha256")),
     "error_classes": lambda s, d: t.table(s, d, "events").select("event_id", text.error_class(F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % len(_MESSAGES) + 1).cast("int"))).alias("kind")),
     "bm25_topk": lambda s, d: ranked.bm25(t.table(s, d, "documents").select("doc_id", "text"), _queries(s, d), 10).select("query_id", "doc_id", "rank", "score"),
     "vector_topk": lambda s, d: VectorIndex(_vectors(s, d)).search(_vector_queries(s, d), 10, exact=True),
@@ -198,9 +198,9 @@ ORACLE_SQL = {
     "provider_audit": "SELECT source, count(*) AS n, median(n_chars) AS median_chars, round(avg(n_chars), 6) AS mean_chars, count(*) FILTER (n_chars < 200) AS n_short FROM documents GROUP BY 1",
     "chunks_l1_l2": f"""WITH {ASSETS}, l2 AS (SELECT asset_id, list_slice(list_filter(list_transform(regexp_extract_all(body, '[^.!?]+[.!?]*'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 12), 1, 30) AS s FROM assets WHERE source_type = 'polygon_news'),
         l AS (SELECT asset_id, unnest(s) AS c, unnest(range(1, len(s) + 1)) AS n FROM l2)
-        SELECT CAST(asset_id AS VARCHAR) AS chunk_id, 'l1' AS level, 0 AS nth, length(body) AS chars FROM assets UNION ALL SELECT asset_id || '::l2s' || lpad(CAST(n AS VARCHAR), 4, '0'), 'l2', n, length(c) FROM l""",
+        SELECT CAST(asset_id AS VARCHAR) AS chunk_id, 'l1' AS level, 0 AS nth, sha256(body) AS sha256 FROM assets UNION ALL SELECT asset_id || '::l2s' || lpad(CAST(n AS VARCHAR), 4, '0'), 'l2', n, sha256(c) FROM l""",
     "md_table_render": "SELECT '| ' || n_name || ' | ' || n_regionkey || ' |' AS line FROM nation",
-    "news_markdown": f"WITH {ASSETS} SELECT asset_id, length('## ' || ticker || ': ' || title || chr(10) || chr(10) || body) AS chars FROM assets WHERE source_type = 'polygon_news'",
+    "news_markdown": f"WITH {ASSETS} SELECT asset_id, sha256('## ' || ticker || ': ' || title || chr(10) || chr(10) || body) AS sha256 FROM assets WHERE source_type = 'polygon_news'",
     "error_classes": f"""WITH m AS (SELECT event_id, lower({list(_MESSAGES)}[event_id % {len(_MESSAGES)} + 1]) AS m FROM events)
         SELECT event_id, CASE WHEN m = '' THEN NULL WHEN contains(m, '429') OR contains(m, 'rate') THEN 'rate_limit' WHEN contains(m, 'timeout') THEN 'timeout'
             WHEN contains(m, '500') OR contains(m, '502') OR contains(m, '503') OR contains(m, '504') THEN 'server_error' WHEN starts_with(m, 'ingest:') THEN 'ingest' WHEN starts_with(m, 'clean:') THEN 'clean'

@@ -195,7 +195,7 @@ QUERIES = {
         "*", F.when(F.col("ticker").isNull(), "ticker").when(F.col("day").isNull(), "date").when(F.col("n_sources") == 0, "sources").alias("fault")),
     "source_selection": lambda s, d: payloads.unknown_sources(t.assets(s, d).select(F.col("source_type").alias("source")).distinct()),
     "markdown_fields": lambda s, d: t.articles(s, d).filter("title is not null").select("asset_id", markdown.title(F.col("content_md")).alias("title"), markdown.source(F.col("content_md")).alias("source"),
-                                                       markdown.published(F.col("content_md")).alias("published"), F.length(markdown.body(F.col("content_md"))).alias("body_chars")),
+                                                       markdown.published(F.col("content_md")).alias("published"), F.sha2(markdown.body(F.col("content_md")), 256).alias("body_sha256")),
     "markdown_headlines": lambda s, d: t.articles(s, d).filter("title is not null").select("asset_id", markdown.headline(F.col("content_md")).alias("headline"), F.length(markdown.snippet(F.col("content_md"))).alias("snippet_chars")),
     "news_list": lambda s, d: _list_news(s, d, "src1", "2024-01-20", 15),
     "table_metrics": lambda s, d: t.table(s, d, "part").select("p_partkey", markdown.table_metrics(F.concat(F.lit("## X\n\n"), markdown.flat_table(F.create_map(F.lit("name"), F.col("p_name"), F.lit("size"), F.col("p_size").cast("string"))), F.lit("\n| size | last |"))).alias("m")).select(
@@ -258,7 +258,7 @@ ORACLE_SQL = {
     "request_normalised": """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN upper(source) END AS ticker, CASE doc_id % 5 WHEN 0 THEN DATE '2024-01-05' WHEN 4 THEN DATE '2024-03-01' END AS day, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS n_sources FROM documents)
         SELECT *, CASE WHEN ticker IS NULL THEN 'ticker' WHEN day IS NULL THEN 'date' WHEN n_sources = 0 THEN 'sources' END AS fault FROM r""",
     "source_selection": f"WITH {ASSETS} SELECT DISTINCT source_type AS source FROM assets WHERE source_type NOT IN ('fmp_fundamentals', 'yfinance_fundamentals', 'polygon_news', 'polygon_ohlcv', 'fred_macro')",
-    "markdown_fields": f"WITH {ARTICLES} SELECT asset_id, nullif({_T}, '') AS title, source, published, length(regexp_replace('news*' || chr(10) || chr(10) || body, '[ \\t\\n\\r\\f]+$', '')) AS body_chars FROM arts WHERE title IS NOT NULL AND body IS NOT NULL",
+    "markdown_fields": f"WITH {ARTICLES} SELECT asset_id, nullif({_T}, '') AS title, source, published, sha256(regexp_replace('news*' || chr(10) || chr(10) || body, '[ \\t\\n\\r\\f]+$', '')) AS body_sha256 FROM arts WHERE title IS NOT NULL AND body IS NOT NULL",
     "markdown_headlines": f"""WITH {ARTICLES} SELECT asset_id, {_T} AS headline, least(200, length(regexp_replace(CASE WHEN {_T} = '' THEN '## ' || ticker || ': ' || title || chr(10) ELSE '' END || '*Source: ' || coalesce(source, '') || ' | ' || coalesce(published, '') || ' | Category: news*' || chr(10) || chr(10) || body || chr(10) || chr(10) || '## References' || chr(10) || '[1] https://example.com/' || asset_id, '^\\s+', ''))) AS snippet_chars FROM arts WHERE title IS NOT NULL""",
     "news_list": f"WITH {QUALITY}" + """, l AS (SELECT a.asset_id, a.reference_date, a.published, nullif(trim(a.ticker || ': ' || a.title), '') AS title, 'Source: ' || coalesce(a.source, '') || ' | ' || coalesce(a.published, '') || ' | Category: news' AS source_line,
         least(500, length('## ' || a.ticker || ': ' || a.title || chr(10) || '*Source: ' || coalesce(a.source, '') || ' | ' || coalesce(a.published, '') || ' | Category: news*' || chr(10) || chr(10) || a.body || chr(10) || chr(10) || '## References' || chr(10) || '[1] https://example.com/' || a.asset_id)) AS snippet_chars
