@@ -1,8 +1,9 @@
 """Exact deduplication by deterministic block naming.
 
 Each normalised text is cut into blocks of a fixed number of bytes. Distinct blocks, compared by their whole
-content, are sorted and numbered; then pairs of adjacent names are numbered the same way, level by level, until
-each document has one name. Two texts are equal exactly when they have as many blocks and the same name.
+content, are sorted and numbered inside ranges of a hash (a name is the range and the place there, not a place in one order
+of all blocks); then pairs of adjacent names are numbered the same way, level by level, until each document has one
+name. Two texts are equal exactly when they have as many blocks and the same name.
 
 Rows and edge cases: null text counts as the empty text, which is one empty block. A null doc_id is below every
 other id. Repeated rows are separate rows of one group, of which one stays. An empty table gives an empty result.
