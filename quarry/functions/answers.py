@@ -11,6 +11,8 @@ ALIASES = {"APPLE": "AAPL", "MICROSOFT": "MSFT", "TESLA": "TSLA", "GOOGLE": "GOO
 REFUSALS = ["knowledge cutoff", "date is in the future", "future relative to my knowledge", "cannot verify", "can't verify", "no data available", "no market data",
             "cannot provide real causes", "cannot access real-time", "outside my training data", "i don't have access to", "has not yet occurred"]
 TOO_LITTLE = ["insufficient", "not enough evidence", "cannot determine", "no evidence"]
+# Made-up deals that an answer may tell of.
+MADE_UP = ["acquired openai", "acquisition of openai"]
 # Words of good and bad news.
 GOOD = ["surge", "beat", "record", "growth", "rally", "gain", "upgrade", "strong", "bullish", "outperform", "positive", "profit"]
 BAD = ["drop", "fall", "miss", "decline", "loss", "cut", "downgrade", "weak", "bearish", "slump", "warning", "negative", "crash"]
@@ -58,7 +60,7 @@ def hallucinates(query: Column, answer: Column) -> Column:
     """Does an answer that doesn't refuse name a filing number, or a percentage of 40 or more that the question lacks?"""
     percents = lambda x: F.regexp_extract_all(x, F.lit(r"\b\d+(?:\.\d+)?%"), F.lit(0))
     large = F.exists(F.array_except(percents(answer), percents(query)), lambda p: F.rtrim(p, F.lit("%")).cast("double") >= 40.0)
-    return ~refuses(answer) & (answer.rlike(r"\b\d{7}-\d{2}-\d{6}\b") | large | has_any(answer, ["acquired openai", "acquisition of openai"]))
+    return ~refuses(answer) & (answer.rlike(r"\b\d{7}-\d{2}-\d{6}\b") | large | has_any(answer, MADE_UP))
 
 
 def sentiment(text: Column) -> Column:
