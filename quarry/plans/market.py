@@ -76,7 +76,7 @@ QUERIES = {
     "resume_antijoin": lambda s, d: t.assets(s, d).select("asset_id").join(t.table(s, d, "labels").select(F.col("doc_id").alias("asset_id")), "asset_id", "left_anti"),
     "upsert_latest": lambda s, d: t.upsert(t.bars(s, d).select("symbol", "date", "close"), t.bars(s, d).filter("volume > 50").select("symbol", "date", (F.col("close") + 1).alias("close")), ["symbol", "date"]).select("symbol", "date", *r6("close")),
     "corpus_pivot_totals": lambda s, d: t.assets(s, d).cube("ticker", "source_type").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("ticker", F.lit("total")).alias("ticker"), F.coalesce("source_type", F.lit("total")).alias("source_type"), "n"),
-    "source_counts": lambda s, d: t.assets(s, d).filter("reference_date between '2024-01-05' and '2024-01-24'").groupBy("source_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source_type"),
+    "source_counts": lambda s, d: t.assets(s, d).groupBy("source_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source_type"),
     "provenance_manifest": lambda s, d: sinks.provenance({
         "assets": (t.assets(s, d), t.assets(s, d).filter("not is_duplicate"), ["asset_id"], "reference_date"), "bars": (t.bars(s, d), t.bars(s, d).filter("date >= '2024-01-10'"), ["symbol", "date"], "date"),
         "labels": (t.table(s, d, "labels"), t.assets(s, d).withColumnRenamed("asset_id", "doc_id"), ["doc_id"], None)}),
@@ -136,7 +136,7 @@ ORACLE_SQL = {
     "resume_antijoin": "SELECT doc_id AS asset_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "upsert_latest": f"WITH {BARS} SELECT symbol, date, round(CASE WHEN volume > 50 THEN close + 1 ELSE close END, 6) AS close FROM bars",
     "corpus_pivot_totals": f"WITH {ASSETS} SELECT coalesce(ticker, 'total') AS ticker, coalesce(source_type, 'total') AS source_type, count(*) AS n FROM assets GROUP BY CUBE (ticker, source_type)",
-    "source_counts": f"WITH {ASSETS} SELECT source_type, count(*) AS n FROM assets WHERE reference_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-24' GROUP BY 1",
+    "source_counts": f"WITH {ASSETS} SELECT source_type, count(*) AS n FROM assets GROUP BY 1",
     "provenance_manifest": f"""WITH {ASSETS}, {BARS}, f AS (SELECT * FROM assets WHERE NOT is_duplicate), b AS (SELECT * FROM bars WHERE date >= DATE '2024-01-10')
         SELECT 'assets' AS name, (SELECT count(*) FROM assets) AS n_source, (SELECT count(*) FROM f) AS n_target, (SELECT count(*) FROM (SELECT asset_id FROM assets EXCEPT SELECT asset_id FROM f)) AS missing, 0 AS extra, false AS superset,
             (SELECT min(reference_date) FROM f) AS first, (SELECT max(reference_date) FROM f) AS last

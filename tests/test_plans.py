@@ -289,3 +289,9 @@ def test_placed_over_buckets(spark):
         assert {(r.run_id, r.event_seq): (r.seen, round(r.ok_rate, 9), r.incident) for r in decision.rolling_health(e, block=block).collect()} == expected
     for width in (1, 7, 1024):
         assert {(r.run_id, r.event_seq) for r in decision.within_budget(e, 7.5, width).collect()} == kept
+
+
+def test_source_counts_are_of_all_assets(spark):
+    """No window leaves an asset out."""
+    counted = catalogue.QUERIES["source_counts"](spark, SF).agg(F.sum("n").alias("n")).head().n
+    assert counted == spark.read.parquet(f"{SF}/documents.parquet").count()
