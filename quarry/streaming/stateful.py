@@ -1,6 +1,10 @@
 """Stateful operators over many batches, each a StatefulProcessor on the RocksDB state store: numbered event logs, rolling health,
 proximity of articles, run status with timeouts. State is dealt over tasks by key; a batch's rows of one key are put in order
-there, so batches bound the memory (``maxFilesPerTrigger``). A stream that is ended goes on from its checkpoint."""
+there, so batches bound the memory (``maxFilesPerTrigger``). A stream that is ended goes on from its checkpoint.
+
+Where keys are as many as rows (numbered logs, proximity), they are dealt into buckets: a call handles a bucket's keys at once and
+holds their state as one Arrow table. A bucket's table is read and written by each batch that has rows of it; more buckets
+make it smaller. Their number belongs to a stream's checkpoint: it must stay as it was."""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -18,6 +23,8 @@ from quarry.sources import shared
 
 # Seconds a run may take, hours within which a title repeats itself, calls that health looks back on.
 TIMEOUT_S, NEAR_HOURS, LAST = 300, 4, 20
+#: Buckets that keys are dealt into.
+BUCKETS = 256
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,35 +44,50 @@ def _ordered(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(by, kind="stable")
 
 
+def _packed(table: pd.DataFrame) -> bytes:
+    made, sink = pa.Table.from_pandas(table, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, made.schema) as out:
+        out.write_table(made)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(held).read_all().to_pandas()
+
+
 class _Numbers(StatefulProcessor):
-    """State: events of the run so far, and of each of its nodes."""
+    """State of a bucket: events so far of each run and node."""
 
     def init(self, handle) -> None:
-        self.seen = handle.getValueState("seen", "n long")
-        self.nodes = handle.getMapState("nodes", "node string", "n long")
+        self.held = handle.getValueState("held", "nodes binary")
 
     def handleInputRows(self, key, rows, timerValues):
         batch = _ordered(rows, ["at", "event_id"])
-        first = self.seen.get()[0] if self.seen.exists() else 0
-        inside = batch.groupby("node", dropna=False).cumcount()
-        before = {n: (self.nodes.getValue((n,))[0] if self.nodes.containsKey((n,)) else 0) for n in batch["node"].unique()}
-        for node, n in batch["node"].value_counts(dropna=False).items():
-            self.nodes.updateValue((node,), (before[node] + int(n),))
-        self.seen.update((first + len(batch),))
-        yield pd.DataFrame({"run_id": key[0], "event_id": batch["event_id"], "node": batch["node"], "event_seq": first + np.arange(1, len(batch) + 1),
-                            "node_seq": batch["node"].map(before).to_numpy() + inside.to_numpy() + 1})
+        both = ["run", "node"]
+        new = batch.groupby(both, dropna=False, sort=False).size().rename("n").reset_index()
+        event_seq, node_seq = (batch.groupby(k, dropna=False, sort=False).cumcount().to_numpy() + 1 for k in ("run", both))
+        if self.held.exists():
+            held = _unpacked(self.held.get()[0])
+            runs = held.groupby("run", dropna=False, sort=False)["n"].sum().reset_index()
+            before = lambda some, k: batch[k].merge(some, "left", on=k)["n"].fillna(0).to_numpy(dtype=np.int64)
+            event_seq, node_seq = event_seq + before(runs, ["run"]), node_seq + before(held, both)
+            new = pd.concat([held, new]).groupby(both, dropna=False, sort=False)["n"].sum().reset_index()
+        self.held.update((_packed(new),))
+        yield pd.DataFrame({"run": batch["run"], "event_id": batch["event_id"], "node": batch["node"], "event_seq": event_seq, "node_seq": node_seq})
 
     def close(self) -> None:
         pass
 
 
-def event_log(events: DataFrame) -> DataFrame:
+def event_log(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """An append-only log: each event with its number in the run and in the run's node, from 1, in the order in which
-    batches come, and inside a batch of (at, event_id). events: run_id, event_id, node, at. A null node counts as ''."""
-    rows = events.select("run_id", "event_id", F.coalesce("node", F.lit("")).alias("node"), "at")
-    kind = dict(rows.dtypes)
-    return rows.groupBy("run_id").transformWithStateInPandas(
-        _Numbers(), f"run_id {kind['run_id']}, event_id {kind['event_id']}, node string, event_seq long, node_seq long", "append", "none")
+    batches come, and inside a batch of (at, event_id). events: run_id, event_id, node, at. A null node counts as ''.
+    Tasks tell runs apart by what their ids are as strings."""
+    kind = dict(events.dtypes)
+    rows = events.select(F.col("run_id").cast("string").alias("run"), "event_id", F.coalesce("node", F.lit("")).alias("node"), "at")
+    numbered = rows.withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets))).groupBy("bucket").transformWithStateInPandas(
+        _Numbers(), f"run string, event_id {kind['event_id']}, node string, event_seq long, node_seq long", "append", "none")
+    return numbered.select(F.col("run").cast(kind["run_id"]).alias("run_id"), "event_id", "node", "event_seq", "node_seq")
 
 
 class _Health(StatefulProcessor):
@@ -106,38 +128,54 @@ def health(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 
 class _Near(StatefulProcessor):
-    """State of a title and ticker: the latest time, forgotten by a timer once nothing can be near it. State of an
-    address: that it has been seen."""
+    """State of a bucket: the latest time of each title with its ticker, forgotten once nothing can be near it, and of each
+    address, which is kept; and the timer that forgets titles where no more rows come."""
+
+    KEYS = ["rule", "a", "b"]
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long, timer long")
+        self.held = handle.getValueState("held", "latest binary, timer long")
+
+    def _keep(self, latest: pd.DataFrame, mark: int) -> None:
+        ends = (latest["at"] + NEAR_HOURS * 3600) * 1000
+        titles = latest["rule"] == "title"
+        latest = latest[~titles | (ends > mark)]
+        timer = max(int(ends[titles].max()), mark + 1) if (titles & (ends > mark)).any() else None
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        if len(latest):
+            self.held.update((_packed(latest), timer))
+        else:
+            self.held.clear()
 
     def handleInputRows(self, key, rows, timerValues):
         batch = _ordered(rows, ["at", "asset_id"])
-        at = batch["at"].to_numpy(dtype=np.int64)
-        before, timer = self.last.get() if self.last.exists() else (None, None)
-        latest = np.maximum.accumulate(np.concatenate(([np.iinfo(np.int64).min if before is None else before], at)))
-        if key[0] == "url":
-            near = np.arange(len(at)) > 0 if before is None else np.ones(len(at), dtype=bool)
-        else:
-            near = np.where(latest[:-1] == np.iinfo(np.int64).min, False, at < latest[:-1] + NEAR_HOURS * 3600)
+        prior = batch.groupby(self.KEYS, sort=False)["at"].shift().to_numpy(dtype=np.float64)
+        latest = batch[[*self.KEYS, "at"]]
+        if self.held.exists():
+            packed, timer = self.held.get()
             if timer is not None:
                 self.handle.deleteTimer(timer)
-            timer = max(int(latest[-1]) * 1000, timerValues.getCurrentWatermarkInMs()) + NEAR_HOURS * 3_600_000
-            self.handle.registerTimer(timer)
-        self.last.update((int(latest[-1]), timer))
-        yield pd.DataFrame({"asset_id": batch["asset_id"], "rule": key[0], "is_near": near})
+            held = _unpacked(packed)
+            before = batch[self.KEYS].merge(held, "left", on=self.KEYS)["at"].to_numpy(dtype=np.float64)
+            prior = np.fmax(prior, before)
+            latest = pd.concat([held, latest])
+        # An address that came before, a title whose latest article is less than some hours older; without one, NaN.
+        near = np.where(batch["rule"] == "url", ~np.isnan(prior), batch["at"].to_numpy() < prior + NEAR_HOURS * 3600)
+        self._keep(latest.groupby(self.KEYS, sort=False)["at"].max().reset_index(), timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"asset_id": batch["asset_id"], "rule": batch["rule"], "is_near": near})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.last.clear()
+        if self.held.exists():
+            self._keep(_unpacked(self.held.get()[0]), timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def near_copies(news: DataFrame, late: str = "4 hours") -> DataFrame:
+def near_copies(news: DataFrame, late: str = "4 hours", buckets: int = BUCKETS) -> DataFrame:
     """For each article and rule (url: its address came before; title: its title and ticker came less than some hours
     before) whether it repeats another. Articles without the rule's columns have no row of it; later ones than the
     watermark allows are dropped. news: asset_id, title, ticker, published, url."""
@@ -145,7 +183,8 @@ def near_copies(news: DataFrame, late: str = "4 hours") -> DataFrame:
                     F.struct(F.lit("title").alias("rule"), normalized_title(F.col("title")).alias("a"), F.col("ticker").alias("b")))
     rows = news.withWatermark("published", late).select("asset_id", "published", F.unix_seconds("published").alias("at"), F.explode(rules).alias("r")).select("asset_id", "published", "at", "r.*")
     rows = rows.filter("a is not null and b is not null")
-    return rows.groupBy("rule", "a", "b").transformWithStateInPandas(_Near(), "asset_id long, rule string, is_near boolean", "append", "eventTime")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rule", "a", "b"), F.lit(buckets)))
+    return rows.groupBy("bucket").transformWithStateInPandas(_Near(), "asset_id long, rule string, is_near boolean", "append", "eventTime")
 
 
 class _Status(StatefulProcessor):

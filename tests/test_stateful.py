@@ -118,3 +118,17 @@ def test_broken_writers_leave_nothing(spark, tmp_path):
     assert store.compact() == 1 and [r.status for r in store.snapshot().collect()] == ["late"]
     with pytest.raises(ValueError):
         store.sink("a/b")
+
+
+def test_many_runs_in_few_buckets(spark):
+    """Runs share a call and its state; ids may be null or beyond what a double holds."""
+    rng = random.Random(4)
+    runs = [None, 2**60, 2**60 + 1, *range(40)]
+    rows = [(rng.choice(runs), i, rng.choice("ab"), at(i % 7), i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "run_id long, event_id long, node string, at timestamp, batch int")
+    got = {r.event_id: (r.run_id, r.node, r.event_seq, r.node_seq) for r in stateful.replayed(df, "batch", lambda x: stateful.event_log(x, buckets=2), "append").collect()}
+    seen, want = collections.Counter(), {}
+    for run, i, node, *_ in sorted(rows, key=lambda r: (r[4], r[3], r[1])):
+        seen.update([(run,), (run, node)])
+        want[i] = (run, node, seen[(run,)], seen[run, node])
+    assert got == want
