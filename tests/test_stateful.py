@@ -132,3 +132,11 @@ def test_many_runs_in_few_buckets(spark):
         seen.update([(run,), (run, node)])
         want[i] = (run, node, seen[(run,)], seen[run, node])
     assert got == want
+
+
+def test_near_copies_in_two_buckets(spark):
+    """Keys share a call and its state: an address is kept, a title is forgotten after some hours."""
+    rows = [(i, f"title {i % 9}", "T", f"http://x.y/{i % 11}", at(5 * (i // 9) + i % 9 / 10), i // 30) for i in range(90)]
+    df = spark.createDataFrame(rows, "asset_id long, title string, ticker string, url string, published timestamp, batch int")
+    got = {(r.asset_id, r.rule): r.is_near for r in stateful.replayed(df, "batch", lambda x: stateful.near_copies(x, "10 hours", buckets=2), "append").collect()}
+    assert got == {(i, "title"): False for i in range(90)} | {(i, "url"): i >= 11 for i in range(90)}
