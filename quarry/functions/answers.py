@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,21 +96,31 @@ def _valid(chunk: Column) -> Column:
     return ((F.length(chunk["chunk_id"]) > 0) & chunk["relevance"].between(0.0, 1.0) & chunk["temporal_match"].isNotNull() & (F.length(chunk["reasoning"]) > 0))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def parsed_grades(text: Column) -> Column:
     """struct<mode, chunks>: graded chunks of a response read strictly, all of them valid (strict), or each innermost
     object that is a valid one (chunk_salvage); mode is null if there is none."""
-    clean = without_fence(text)
-    whole = F.from_json(clean, f"graded_chunks array<{GRADED}>, reasoning string", {"mode": "PERMISSIVE"})
-    listed = F.from_json(clean, f"array<{GRADED}>", {"mode": "PERMISSIVE"})
-    is_list = clean.startswith("[")
-    grades = F.when(is_list, listed).otherwise(whole["graded_chunks"])
+    read = lambda x, kind: F.from_json(x, kind, {"mode": "PERMISSIVE"})
+
+    def strictly(clean: Column) -> Column:
+        listed = lambda: _once(read(clean, f"array<{GRADED}>"), lambda x: F.struct(x.alias("grades"), (F.size(x) > 0).alias("fine")))
+        held = lambda: _once(read(clean, f"graded_chunks array<{GRADED}>, reasoning string"), lambda x: F.struct(x["graded_chunks"].alias("grades"), (F.length(x["reasoning"]) > 0).alias("fine")))
+        return F.when(clean.startswith("["), listed()).otherwise(held())
+
+    def chosen(clean: Column) -> Column:
+        proper = lambda x: F.coalesce(F.try_parse_json(clean).isNotNull() & x["grades"].isNotNull() & F.forall(x["grades"], lambda c: F.coalesce(_valid(c), F.lit(False))) & x["fine"], F.lit(False))
+        pieces = F.transform(F.regexp_extract_all(clean, F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda x: read(x, GRADED))
+        saved = F.filter(pieces, lambda c: F.coalesce(_valid(c), F.lit(False)))
+        strict = _once(strictly(clean), lambda x: F.when(proper(x), x["grades"]))
+        kept = _once(strict, lambda x: F.struct(x.isNotNull().alias("strict"), F.coalesce(x, saved).alias("chunks")))
+        return _once(kept, lambda x: F.struct(F.when(x["strict"], "strict").when(F.size(x["chunks"]) > 0, "chunk_salvage").alias("mode"), x["chunks"].alias("chunks")))
+
     known = lambda some: F.transform(some, lambda c: c.withField("category", category(c["category"])))
-    proper = F.try_parse_json(clean).isNotNull() & grades.isNotNull() & F.forall(grades, lambda c: F.coalesce(_valid(c), F.lit(False)))
-    proper &= F.when(is_list, F.size(grades) > 0).otherwise(F.length(whole["reasoning"]) > 0)
-    pieces = F.transform(F.regexp_extract_all(clean, F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda x: F.from_json(x, GRADED, {"mode": "PERMISSIVE"}))
-    saved = F.filter(pieces, lambda c: F.coalesce(_valid(c), F.lit(False)))
-    strict = F.coalesce(proper, F.lit(False))
-    return F.struct(F.when(strict, "strict").when(F.size(saved) > 0, "chunk_salvage").alias("mode"), known(F.when(strict, grades).otherwise(saved)).alias("chunks"))
+    return _once(_once(without_fence(text), chosen), lambda x: F.struct(x["mode"].alias("mode"), known(x["chunks"]).alias("chunks")))
 
 
 def relevance(text: Column) -> Column:

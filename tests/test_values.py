@@ -228,3 +228,11 @@ def test_upsert_keeps_one(spark):
     spark.createDataFrame([(1, "a", 0)], "k int, v string, at int").write.parquet(path + "-v")
     new = sinks.upsert_table(path + "-v", many, ["k"], "at")
     assert sorted(map(str, spark.read.parquet(new).select("k", "v").collect())) == ["Row(k=1, v='a')", "Row(k=2, v='b')", "Row(k=9, v=None)"]
+
+
+def test_grades_are_parsed_once(spark):
+    """A response is read once by each schema, however many fields are taken from the result."""
+    p = spark.range(3).select(answers.parsed_grades(F.concat(F.lit("["), F.col("id").cast("string"))).alias("p"))
+    fields = p.select("p.mode", F.size("p.chunks").alias("n"), F.transform("p.chunks", lambda c: c["category"]).alias("c"))
+    plan = fields._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") + plan.count("jsontostructs") <= 3, plan
