@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 # Fixed values of the published method: from which score on a word is an abbreviation; how often an abbreviation has its full stop.
 LEAST_SCORE, STOPPED = 0.3, 0.99
+#: Keys that the pieces ending in one word are dealt over.
+SALTS = 64
 
 _WORD = r"\p{L}[\p{L}.]*"
 _ENDS = r"(?<=[.!?])\s+"
@@ -50,7 +52,10 @@ def split(texts: DataFrame, learned: DataFrame, id_col: str = "doc_id", text_col
     """id_col, nth (from 1), sentence, for texts with distinct ids. A piece that ends in a learned abbreviation goes on with the
     next one, a space between them. Rows of one text meet, never those of two."""
     pieces = texts.select(id_col, F.posexplode(F.filter(F.split(F.trim(F.regexp_replace(text_col, r"^\s+|\s+$", "")), _ENDS), lambda x: x != "")).alias("at", "piece"))
-    marked = pieces.withColumn("word", last_word(F.col("piece"))).join(learned.select("word", F.lit(1).alias("goes_on")), "word", "left")
+    # A word may end most pieces: its rows are dealt over SALTS keys, those without a word over all tasks.
+    salt = F.when(F.col("word") == "", F.xxhash64(id_col, "at")).otherwise(F.pmod(F.xxhash64(id_col, "at"), F.lit(SALTS)))
+    known = learned.filter("word <> ''").select("word", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(1).alias("goes_on"))
+    marked = pieces.withColumn("word", last_word(F.col("piece"))).withColumn("salt", salt).join(known, ["word", "salt"], "left")
     before = Window.partitionBy(id_col).orderBy("at")
     begins = F.coalesce(F.lag(F.coalesce("goes_on", F.lit(0))).over(before) == 0, F.lit(True)).cast("int")
     numbered = marked.withColumn("begins", begins).withColumn("nth", F.sum("begins").over(before))

@@ -40,3 +40,18 @@ def test_edges(spark):
     assert got == [(4, 1, "no end"), (5, 1, "One."), (5, 2, "Two"), (6, 1, "Ends with kg."), (7, 1, "It is 3 kg. of it."), (7, 2, "Next?!"), (7, 3, "Yes")]
     empty = df.limit(0)
     assert sentences.abbreviations(sentences.word_counts(empty)).collect() == [] and sentences.split(empty, learned).collect() == []
+
+
+def test_frequent_word_is_dealt_out(spark):
+    """Pieces that end in one word, or in none, don't meet in one task of the join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(400).selectExpr("id as doc_id", "if(id % 2 = 0, 'It is 3 kg. of it! Yes', 'No end') as text")
+        said = sentences.split(df, spark.createDataFrame([("kg", 1.0)], "word string, score double"))
+        plan = said._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(word" in plan and "salt" in plan.split("hashpartitioning(word")[1].split(")")[0]
+        assert {(r.nth, r.sentence) for r in said.filter("doc_id % 2 = 0").collect()} == {(1, "It is 3 kg. of it!"), (2, "Yes")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
