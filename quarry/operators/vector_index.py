@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from quarry.sources import shared
 
 #: Rows that k-means and the number of probes are fitted on, queries among them that measure recall, bytes of queries held at once.
-SAMPLE, TRIALS, HELD_BYTES = 20_000, 200, 1 << 25
+SAMPLE, TRIALS, HELD_BYTES = 20_000, 200, 1 << 23
 DIGITS, SLACK = 6, 1e-6
-#: Scores that a task makes at once.
-BLOCK_SCORES = 1 << 22
+#: Scores that a task makes at once, and candidates that it gathers beside the best of its queries.
+BLOCK_SCORES, GATHERED = 1 << 20, 1 << 18
 
 
 def usable(vector: Column) -> Column:
@@ -206,7 +206,7 @@ class _Best:
 
     def __init__(self, queries: int, k: int):
         self.k, self.least = k, np.full(queries, -np.inf)
-        self.most = max(1 << 18, 8 * k * queries)
+        self.most = max(GATHERED, 2 * k * queries)
         self.parts, self.size = [], 0
 
     def add(self, query: np.ndarray, ids: pa.Array, score: np.ndarray) -> None:

@@ -104,3 +104,12 @@ def test_as_the_plain_join(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     v, q = e.select(F.col("vec_id").alias("doc_id"), "embedding"), e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     assert got(VectorIndex(v).search(q, 10, exact=True)) == got(search.nearest(v, q, 10))
+
+
+def test_candidates_are_bounded():
+    """A task holds at most twice the best of its queries and one block of scores more."""
+    best, rng = vector_index._Best(30_000, 10), np.random.default_rng(1)
+    for _ in range(4):
+        best.add(rng.integers(0, 30_000, 500_000), vector_index.pa.array(rng.integers(0, 10**6, 500_000)), rng.random(500_000))
+        assert best.size <= 2 * 10 * 30_000
+    assert vector_index.BLOCK_SCORES <= 1 << 20
