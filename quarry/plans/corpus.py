@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import html, text
-from quarry.operators import duplicates, evidence, ranked, retrieval, search, sentences
+from quarry.operators import duplicates, evidence, ranked, retrieval, search, sentences, vector_pairs
 from quarry.operators.vector_index import VectorIndex
 from quarry.plans.market import ARTICLES, ASSETS, NEWS, r6
 from quarry.sources import tables as t
@@ -160,9 +160,8 @@ def _semantic_day(s, d):
 
 def _semantic(s, d):
     """Pairs of one label with a cosine over 0.92: only vectors that share a label meet."""
-    e = t.table(s, d, "embeddings")
-    a, b = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
-    return a.join(b, "label").filter("a < b").withColumn("cosine", F.round(search.dot(F.col("x"), F.col("y")), 6)).filter("cosine > 0.92").select("a", "b", F.round("cosine", 4).alias("cosine"))
+    e = t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    return vector_pairs.near_pairs(e, 0.92).select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
 ORACLE_SQL = {
