@@ -36,3 +36,23 @@ def test_nothing(spark):
     none = spark.createDataFrame([], "url string, next_url string")
     seen, ended = paging.followed(spark.createDataFrame([(1, "a")], "request_id long, url string"), none)
     assert seen.collect() == [] and [tuple(r) for r in ended.collect()] == [(1, 0, "broken")]
+
+
+def test_any_range(spark):
+    """Requests that cross ranges, come back into one, and meet their own way or another's there."""
+    rng = random.Random(5)
+    following = {f"a{i:03}": f"a{i + 1:03}" for i in range(120)} | {"a120": "a007"}  # comes back behind its start
+    following |= {f"b{i:03}": f"b{i + 1:03}" for i in range(100)} | {"b100": "a050", "c": "nowhere", "b101": None}
+    following |= {f"x{i}": f"x{rng.randint(0, 70)}" for i in range(60)} | {f"n{i}": f"n{i + 1}" for i in range(130)} | {"n130": "n9"}
+    firsts = [*following, None, "none"]
+    requests = spark.createDataFrame(list(enumerate(firsts)), "request_id long, url string").repartition(2)
+    pages = spark.createDataFrame(list(following.items()), "url string, next_url string").repartition(3)
+    for held in (13, 150):
+        seen, ended = paging.followed(requests, pages, held)
+        got = {}
+        for r in sorted(seen.collect(), key=lambda r: (r.request_id, r.nth)):
+            got.setdefault(r.request_id, []).append((r.nth, r.url))
+        ends = {r.request_id: (r.n_pages, r.ended) for r in ended.collect()}
+        for i, first in enumerate(firsts):
+            pages_of, how = walk(first, following)
+            assert got.get(i, []) == list(enumerate(pages_of)) and ends[i] == (len(pages_of), how), (held, first)
