@@ -129,9 +129,9 @@ def health(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 class _Near(StatefulProcessor):
     """State of a bucket: the latest time of each title with its ticker, forgotten once nothing can be near it, and of each
-    address, which is kept; and the timer that forgets titles where no more rows come."""
+    address, which is kept; and the timer that forgets titles where no more rows come. Both are held as digests."""
 
-    KEYS = ["rule", "a", "b"]
+    KEYS = ["high", "low"]
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -139,7 +139,7 @@ class _Near(StatefulProcessor):
 
     def _keep(self, latest: pd.DataFrame, mark: int) -> None:
         ends = (latest["at"] + NEAR_HOURS * 3600) * 1000
-        titles = latest["rule"] == "title"
+        titles = latest["titled"]
         latest = latest[~titles | (ends > mark)]
         timer = max(int(ends[titles].max()), mark + 1) if (titles & (ends > mark)).any() else None
         if timer is not None:
@@ -152,19 +152,19 @@ class _Near(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         batch = _ordered(rows, ["at", "asset_id"])
         prior = batch.groupby(self.KEYS, sort=False)["at"].shift().to_numpy(dtype=np.float64)
-        latest = batch[[*self.KEYS, "at"]]
+        latest = batch[[*self.KEYS, "titled", "at"]]
         if self.held.exists():
             packed, timer = self.held.get()
             if timer is not None:
                 self.handle.deleteTimer(timer)
             held = _unpacked(packed)
-            before = batch[self.KEYS].merge(held, "left", on=self.KEYS)["at"].to_numpy(dtype=np.float64)
+            before = batch[self.KEYS].merge(held[[*self.KEYS, "at"]], "left", on=self.KEYS)["at"].to_numpy(dtype=np.float64)
             prior = np.fmax(prior, before)
             latest = pd.concat([held, latest])
         # An address that came before, a title whose latest article is less than some hours older; without one, NaN.
-        near = np.where(batch["rule"] == "url", ~np.isnan(prior), batch["at"].to_numpy() < prior + NEAR_HOURS * 3600)
-        self._keep(latest.groupby(self.KEYS, sort=False)["at"].max().reset_index(), timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame({"asset_id": batch["asset_id"], "rule": batch["rule"], "is_near": near})
+        near = np.where(batch["titled"], batch["at"].to_numpy() < prior + NEAR_HOURS * 3600, ~np.isnan(prior))
+        self._keep(latest.groupby([*self.KEYS, "titled"], sort=False)["at"].max().reset_index(), timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"asset_id": batch["asset_id"], "titled": batch["titled"], "is_near": near})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self.held.exists():
@@ -183,8 +183,13 @@ def near_copies(news: DataFrame, late: str = "4 hours", buckets: int = BUCKETS)
                     F.struct(F.lit("title").alias("rule"), normalized_title(F.col("title")).alias("a"), F.col("ticker").alias("b")))
     rows = news.withWatermark("published", late).select("asset_id", "published", F.unix_seconds("published").alias("at"), F.explode(rules).alias("r")).select("asset_id", "published", "at", "r.*")
     rows = rows.filter("a is not null and b is not null")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rule", "a", "b"), F.lit(buckets)))
-    return rows.groupBy("bucket").transformWithStateInPandas(_Near(), "asset_id long, rule string, is_near boolean", "append", "eventTime")
+    # Titles may be whole texts: from here on a key is 120 bits of its SHA-256. Neither a title's form nor the end of an address is ambiguous here.
+    digest = F.sha2(F.concat_ws("\0", "rule", "a", "b"), 256)
+    high, low = (F.conv(F.substring("key", k, 15), 16, 10).cast("long") for k in (1, 16))
+    rows = rows.select("asset_id", "published", "at", (F.col("rule") == "title").alias("titled"), digest.alias("key")).select("asset_id", "published", "at", "titled", high.alias("high"), low.alias("low"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("high", "low"), F.lit(buckets)))
+    found = rows.groupBy("bucket").transformWithStateInPandas(_Near(), "asset_id long, titled boolean, is_near boolean", "append", "eventTime")
+    return found.select("asset_id", F.when(F.col("titled"), "title").otherwise("url").alias("rule"), "is_near")
 
 
 class _Status(StatefulProcessor):
@@ -229,10 +234,11 @@ def run_status(commands: DataFrame, late: str = "1 minute") -> DataFrame:
     return rows.groupBy("run_id").transformWithStateInPandas(_Status(), "run_id string, status string, n long", "update", "eventTime")
 
 
-def replay(rows: DataFrame, batch: str, build: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], mode: str, parts: int = 4) -> None:
-    """Runs a stream over rows that come in batches, by the number in a column, each as several files. The stream is ended
+def replay(rows: DataFrame, batch: str, build: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], mode: str, parts: int | None = None) -> None:
+    """Runs a stream over rows that come in batches, by the number in a column, each as several files (parts). The stream is ended
     after each batch and goes on from its checkpoint."""
     spark = rows.sparkSession
+    parts = parts or max(4, spark.sparkContext.defaultParallelism)
     source, progress = (shared.folder(spark, f"stream-{x}") for x in ("source", "progress"))
     held = shared.stored(rows, "stream-rows")
     schema = held.drop(batch).schema
@@ -243,7 +249,7 @@ def replay(rows: DataFrame, batch: str, build: Callable[[DataFrame], DataFrame],
             stream.writeStream.foreachBatch(write).option("checkpointLocation", progress).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def replayed(rows: DataFrame, batch: str, build: Callable[[DataFrame], DataFrame], mode: str, keys: list[str] | None = None, parts: int = 4) -> DataFrame:
+def replayed(rows: DataFrame, batch: str, build: Callable[[DataFrame], DataFrame], mode: str, keys: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """The result of ``replay``: of mode append all rows, of mode update each key's last one."""
     spark, kinds = rows.sparkSession, []
     out = shared.folder(spark, "stream-out")

@@ -3,6 +3,7 @@
 import collections
 import datetime as dt
 import itertools
+import pathlib
 import random
 
 import pytest
@@ -140,3 +141,17 @@ def test_near_copies_in_two_buckets(spark):
     df = spark.createDataFrame(rows, "asset_id long, title string, ticker string, url string, published timestamp, batch int")
     got = {(r.asset_id, r.rule): r.is_near for r in stateful.replayed(df, "batch", lambda x: stateful.near_copies(x, "10 hours", buckets=2), "append").collect()}
     assert got == {(i, "title"): False for i in range(90)} | {(i, "url"): i >= 11 for i in range(90)}
+
+
+def test_long_titles_are_held_as_digests(spark):
+    """Titles may be whole texts; the stream's state doesn't grow with their length."""
+    rng = random.Random(6)
+    titles = ["".join(rng.choices("abcdefghij0123456789 ", k=20_000)) for _ in range(200)]
+    rows = [(i, titles[i % 200] + ("x" if i == 399 else ""), "T", None, at(1 + i // 200), 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "asset_id long, title string, ticker string, url string, published timestamp, batch int")
+    place = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(place.glob("stream-progress-*"))
+    got = {r.asset_id: r.is_near for r in stateful.replayed(df, "batch", lambda x: stateful.near_copies(x, "10 hours", buckets=2), "append").collect()}
+    assert got == {i: 200 <= i < 399 for i in range(400)}
+    (progress,) = set(place.glob("stream-progress-*")) - before
+    assert sum(f.stat().st_size for f in progress.rglob("*") if f.is_file()) < 1_000_000
