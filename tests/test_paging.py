@@ -1,5 +1,6 @@
 """Followed pages against a walk, page by page."""
 
+import pathlib
 import random
 
 from quarry.sources import paging
@@ -56,3 +57,12 @@ def test_any_range(spark):
         for i, first in enumerate(firsts):
             pages_of, how = walk(first, following)
             assert got.get(i, []) == list(enumerate(pages_of)) and ends[i] == (len(pages_of), how), (held, first)
+
+
+def test_pages_of_a_range_are_not_doubled(spark):
+    place = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(place.glob("jumps-*"))
+    pages = spark.range(300).selectExpr("concat('p', id) AS url", "CASE WHEN id < 299 THEN concat('p', id + 1) END AS next_url")
+    _, ended = paging.followed(spark.createDataFrame([(1, "p0")], "request_id long, url string"), pages)
+    assert [tuple(r) for r in ended.collect()] == [(1, 300, "complete")]
+    assert sum(spark.read.parquet(str(p)).count() for p in set(place.glob("jumps-*")) - before) == 0
