@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The lines and headings of a stored document.
-HEADER = r"(?m)^##\s+(.+?)\s*$"
-META = r"(?m)^\*Source:\s*(.*?)\s*\|\s*(.*?)\s*\|\s*Category:"
+# The lines and headings of a stored document. Only \n ends a line, as in SQL; by itself Java takes \r, U+0085, U+2028 and U+2029 too.
+BLANK, INK = r"[ \t\n\f\r]", r"[^ \t\n\f\r]"
+HEADER = rf"(?md)^##{BLANK}+([^\n]+)"
+META = rf"(?md)^\*Source:{BLANK}*(.*?){BLANK}*\|{BLANK}*(.*?){BLANK}*\|{BLANK}*Category:"
 REFERENCES = "\n## References\n"
 NO_BODY = "(No content available)"
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_extract(text, rf"\A{BLANK}*+((?s:.*){INK})?", 1)
 
 
 def _some(text: Column) -> Column:
@@ -21,7 +22,7 @@ def _some(text: Column) -> Column:
 
 
 def title(md: Column) -> Column:
-    """What follows the first ``: `` of the first header, else the header; null without one."""
+    """What follows the first ``: `` of the first header, else the header; null without one, or where nothing follows."""
     header = F.regexp_extract(md, HEADER, 1)
     at = F.instr(header, ": ")
     return _some(_stripped(F.when(at > 0, F.substring(header, at + 2, F.length(header))).otherwise(header)))
@@ -36,10 +37,10 @@ def published(md: Column) -> Column:
 
 
 def body(md: Column) -> Column:
-    """What follows the source line, without the references; the whole text without a source line."""
-    line = F.regexp_extract(md, META, 0)
-    rest = F.when(line != "", F.substring(md, F.instr(md, line) + F.length(line), F.length(md))).otherwise(md)
-    return F.coalesce(_stripped(F.substring_index(_stripped(rest), REFERENCES, 1)), F.lit(""))
+    """What follows the source line, without the references; the whole text without a source line. References stand
+    last, so that a heading of that name inside a body does not end it."""
+    rest = F.regexp_extract(md, rf"\A(?:(?s:.*?){META})?+{BLANK}*+((?s:.*){INK})?", 3)
+    return F.coalesce(_stripped(F.regexp_replace(rest, rf"(?s)\A(.*){REFERENCES}.*", "$1")), F.lit(""))
 
 
 def headline(md: Column) -> Column:

@@ -59,7 +59,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("asset_id")
     n = n.select("asset_id", "ticker", "source_type", "reference_date", "title", "body", F.when(k % 37 != 0, F.col("ticker")).alias("source"),
                  F.when(k % 41 != 0, F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("published"))
-    md = F.concat(F.lit("## "), F.col("ticker"), F.lit(": "), F.col("title"), F.lit("\n*Source: "), F.coalesce("source", F.lit("")), F.lit(" | "), F.coalesce("published", F.lit("")),
+    md = F.concat(F.lit("## "), F.coalesce("ticker", F.lit("")), F.lit(": "), F.col("title"), F.lit("\n*Source: "), F.coalesce("source", F.lit("")), F.lit(" | "), F.coalesce("published", F.lit("")),
                   F.lit(" | Category: news*\n\n"), F.col("body"), F.lit("\n\n## References\n[1] https://example.com/"), k.cast("string"))
     return n.withColumn("content_md", md)
 

@@ -51,6 +51,20 @@ def test_query(spark, con, name):
         assert sorted(tuple(shown(v) for v in r) for r in rows) == expected
 
 
+def test_markdown_fields_of_odd_texts(spark, tmp_path):
+    """Blank titles, characters that end a line in Java but not here, headings and source lines inside texts, and no or empty sources."""
+    odd = [" ", "\t", "\r", "\f", "\x0b", "\x85", "\u2028", "\u2029", "\xa0", "\n", "\r\n", ""]
+    texts = [a + b + c for a in odd for b in ("", "ab: c", "q\nbody") for c in odd] + [f"a{x}b \n c{y}{x}" for x in odd for y in odd]
+    texts += ["## References\nx", "x\n## References\ny", "x\n## References", "\n## References\n", "x\n*Source: a | b | Category: c\ny", "\n## a: b\n", " " * 2_000 + "x" + " " * 2_000 + "y\nz"]
+    texts += [f"\U0001f600 *Source: s | 2024-01-{i % 30 + 1:02d}T{i * 37 % 1440 // 60:02d}:{i * 37 % 60:02d}:00Z | Category: b\nc" for i in range(len(texts), len(texts) + 3)]
+    rows = [(i, x, "s") for i, x in enumerate(texts)] + [(1000 + i, x, s) for i, x in enumerate(("", "\n", "a: b\nc", "d")) for s in (None, "")] + [(2000, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df, c = catalogue.QUERIES["markdown_fields"](spark, str(tmp_path)), duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = c.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLE_SQL['markdown_fields']})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, expected)) and len(expected) == len(rows) - 1
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).head().x
 
